@@ -99,12 +99,12 @@ def put_file(uri: str, data: bytes) -> None:
     store, path = open_fs(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         out.write(data)
     store.move(part, path)
 
 
 def get_file(uri: str) -> bytes:
     store, path = open_fs(uri)
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         return f.read()

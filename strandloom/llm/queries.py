@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.llm.common import table
+from strandloom.llm.common import crc_mod, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,11 +21,108 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.langid import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(crc_mod("doc_id", 4) != 2))
+    return predict(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.quality import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), fold=crc_mod("doc_id", 3) != 1)
+    return predict(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_packing)}
-ORACLES: dict[str, str] = {}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.toxicity import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), fold=crc_mod("doc_id", 4) != 2)
+    return predict(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_sentences", "n_offending")
+
+
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.grid_join import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.shingle_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
+
+
+def op9_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.phrase_prints import with_edits
+
+    return with_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.pieces import digest
+
+    return digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language, op3_quality, op4_packing, op5_toxicity, op6_near_vectors, op7_warc, op8_shingle_join, op9_phrase_prints, op10_pieces)}
+
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+             g AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+        SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN g.first_id IS NOT NULL AND p.page_id IS DISTINCT FROM g.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN g.first_id IS NOT NULL AND p.page_id IS DISTINCT FROM g.first_id THEN g.first_id END AS refers_to
+        FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 100
+    """,
+    "op6_near_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
+        ),
+        u AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach AS (SELECT a AS v, b AS w FROM links UNION SELECT r.v, l.b FROM reach r JOIN links l ON r.w = l.a),
+        comp AS (SELECT v, min(least(v, w)) AS c FROM reach GROUP BY v),
+        deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(c.c, e.vec_id) AS component_id, e.vec_id = coalesce(c.c, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN deg d ON d.a = e.vec_id LEFT JOIN comp c ON c.v = e.vec_id
+    """,
+    "op8_shingle_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                   ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w
+        ),
+        t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+              FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        half AS (SELECT a, b FROM o WHERE 100 * k >= 90 * (na + nb - k)),
+        links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+        reach AS (SELECT a AS v, b AS w FROM links UNION SELECT r.v, l.b FROM reach r JOIN links l ON r.w = l.a),
+        comp AS (SELECT v, min(least(v, w)) AS c FROM reach GROUP BY v)
+        SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(c.c, s.doc_id) AS component_id
+        FROM s LEFT JOIN comp c ON c.v = s.doc_id
+    """,
+}

@@ -35,7 +35,7 @@ MAGIC = b"STRTOK01"
 INDEX = np.dtype([("valid", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u8")])
 HEAD = len(MAGIC) + 1 + 32
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
-READ = "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long, frame_bytes long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long, frame_bytes long"
 
 
 def encode_all(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[int | None, bytes]]:
@@ -165,14 +165,12 @@ def read_document(uri: str, dictionary: bytes, doc_id: int) -> np.ndarray | None
 
 def _read(batches, dictionary):
     for b in rows(batches):
-        for part, seq, path in zip(b["part"], b["seq"], b["path"]):
-            at, out = 0, []
+        for at, path in zip(b["base"], b["path"]):
+            out = []
             for doc_id, ids, size in parse(get_file(path), dictionary.value):
-                out.append((part, seq, doc_id, at, len(ids) // 4, zlib.crc32(ids), size))
+                out.append((doc_id, at, len(ids) // 4, zlib.crc32(ids), size))
                 at += len(ids) // 4
-            cols = list(zip(*out))
-            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in READ.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[x.split()[0] for x in READ.split(", ")])
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -185,7 +183,5 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     data = get_file(f"{folder}/{name}")
     #: One row per shard file, not per document.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    shards = manifest.select("part", "seq", "path").repartition(max(1, min(manifest.count(), 10_000)))
-    got = shards.mapInArrow(partial(_read, dictionary=spark.sparkContext.broadcast(data)), READ)
-    return got.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "frame_bytes")
+    shards = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")).repartition(max(1, min(manifest.count(), 10_000)))
+    return shards.mapInArrow(partial(_read, dictionary=spark.sparkContext.broadcast(data)), READ)

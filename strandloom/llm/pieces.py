@@ -160,7 +160,7 @@ class Pieces:
         for t in texts:
             if not t:
                 split.append(None)
-            elif MARK in t or "\0" in t or (t[-1] == " " and t[-2:-1].strip()):  # one last space isn't the model's own
+            elif MARK in t or "\0" in t or (t[-1] == " " and t[-2:-1] != " "):  # one last space isn't the model's own
                 split.append(t)
             elif "  " in t or t[0] == " " or t[-1] == " ":
                 split.append(_WORDS.findall(" " + t))

@@ -66,7 +66,7 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(idx, pa.binary()), pa.array(starts, pa.binary())], names=["doc_id", "y", "weight", "idx", "starts"])
 
 
-def _train(batches, epochs, alpha, beta, l1, l2, start):
+def _train(batches, updates, alpha, beta, l1, l2, start):
     rows = []
     for b in batches:
         for i, y, weight, idx, starts in zip(*(b.column(k).to_pylist() for k in range(5))):
@@ -81,7 +81,7 @@ def _train(batches, epochs, alpha, beta, l1, l2, start):
     size = 1 << BITS
     z, n, bias, bias_n = np.zeros(size), np.zeros(size), start, 1.0
     weights = lambda i: np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
-    for _ in range(epochs):
+    for _ in range(max(5, min(40, updates // len(rows)))):
         for _, _, y, weight, u, inverse, own, k in rows:
             w = weights(u)
             s = np.clip(bias + np.bincount(own, w[inverse], minlength=k), -30, 30)
@@ -100,13 +100,13 @@ def _train(batches, epochs, alpha, beta, l1, l2, start):
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, size]), pa.array(np.r_[w[at], bias])], names=["feature", "weight"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fold=None, per_class: int = 4_000, epochs: int = 5, alpha: float = 0.5, beta: float = 1.0, l1: float = 1.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """(weights of 2 ** BITS features, intercept of a sentence)."""
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fold=None, per_class: int = 4_000, updates: int = 20_000, alpha: float = 0.5, beta: float = 1.0, l1: float = 3.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(weights of 2 ** BITS features, intercept of a sentence). The sample is passed over until there were ``updates`` of them, 5 to 40 times."""
     tune(docs.sparkSession)
     some = labelled_sample(docs, labels, label_col=label_col, per_class={0: per_class, 1: per_class}, fold=fold, seed=5)
     f = some.mapInArrow(_extract, "doc_id long, y int, weight double, idx binary, starts binary")
     #: At most 2 * per_class rows meet in the training task.
-    found = f.repartition(1).mapInArrow(partial(_train, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2, start=-6.0), "feature long, weight double").toPandas()
+    found = f.repartition(1).mapInArrow(partial(_train, updates=updates, alpha=alpha, beta=beta, l1=l1, l2=l2, start=-6.0), "feature long, weight double").toPandas()
     w = np.zeros((1 << BITS) + 1)
     w[-1] = -30.0
     w[found["feature"].to_numpy(int)] = found["weight"].to_numpy(float)
@@ -129,25 +129,23 @@ class _Weights(dict):
 
 
 def sentence_scores(text: str | None, weights: _Weights, bias: float) -> np.ndarray:
-    """The probability of each non-empty sentence; a text without words has one of no weight."""
-    total = []
-    rest = 0.0
-    words = 0
+    """The probability of each sentence with words; a text without words has one of no weight. A feature counts once in a sentence."""
+    found: list[set[int]] = [set()]  # features of weight by sentence
+    filled = [False]
     for part in segments(text or ""):
-        x = np.array([*map(weights.__getitem__, _TOKEN.findall(part.lower()))], float)
+        words = _TOKEN.findall(part.lower())
+        x = np.array([*map(weights.__getitem__, words)], float)
         end = np.isnan(x)
-        x = np.r_[rest, np.where(end, 0.0, x)]
-        before = np.flatnonzero(np.r_[False, end])
-        own = np.cumsum(np.r_[False, end])
-        count = np.bincount(own, minlength=len(before) + 1) - np.r_[1, np.ones(len(before), int)]
-        count[0] += words
-        s = np.bincount(own, x, minlength=len(before) + 1)
-        total.append(s[:-1][count[:-1] > 0])
-        rest, words = float(s[-1]), int(count[-1])
-    if words:
-        total.append(np.array([rest]))
-    s = np.concatenate(total) if total else np.zeros(0)
-    return 1 / (1 + np.exp(-np.clip(bias + (s if len(s) else np.zeros(1)), -30, 30)))
+        own = np.cumsum(end) + len(found) - 1
+        n = int(end.sum())
+        found += [set() for _ in range(n)]
+        filled += [False] * n
+        for k in np.unique(own[~end]).tolist():
+            filled[k] = True
+        for k in np.flatnonzero(np.where(end, 0.0, x)).tolist():
+            found[own[k]].update(word_features(words[k]))
+    s = [float(weights.w[sorted(f)].sum()) if f else 0.0 for f, any_word in zip(found, filled) if any_word]
+    return 1 / (1 + np.exp(-np.clip(bias + np.array(s or [0.0]), -30, 30)))
 
 
 def noisy_or(p: np.ndarray) -> float:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import hash_share, saved, tune
-from strandloom.llm.components import connected_components
+from strandloom.llm.components import connected_components, forest
 
 AXES = 8
 INTERVAL = 1024
@@ -140,22 +140,6 @@ def _join(x, y, at, same, axes, cosine, eps, found):
         found.append((i, j))
 
 
-def forest(u: np.ndarray, v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) of the nodes with a link and not the root of their component."""
-    label = np.arange(size)
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    node = np.flatnonzero(label != np.arange(size))
-    return node, label[node]
-
-
 def _pairs(batches, directions, axes, cosine, eps):
     d = directions.value
     for b in batches:

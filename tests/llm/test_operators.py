@@ -175,8 +175,9 @@ def test_components(spark):
         if a is not None and a != b:
             a, b = find(a), find(b)
             up[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: find(x) for x in up}
+    for local in (1_000_000, 20, 0):
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), local=local).collect()}
+        assert got == {x: find(x) for x in up}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from strandloom.plans import matrices, sequences, tables
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for family in (tables, matrices, sequences):
+    QUERIES |= family.R.queries
+    ORACLES |= family.R.oracles

@@ -33,7 +33,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that a worker holds a few long texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

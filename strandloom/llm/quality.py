@@ -37,7 +37,7 @@ _REPEAT = np.uint32(0x5BD1E995)
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         h = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return h
@@ -98,8 +98,8 @@ def _train(batches, epochs, alpha, beta, l1, l2):
     rows = []
     for b in batches:
         for i, y, weight, idx, val in zip(*(b.column(k).to_pylist() for k in range(5))):
-            at = np.r_[np.frombuffer(idx, "<u4").astype(np.int64), 1 << BITS]
-            rows.append((zlib.crc32(str(i).encode()), i, (at, np.r_[np.frombuffer(val, "<f4").astype(float), 1.0], y, weight)))
+            at = np.r_[np.frombuffer(idx, "<u4").astype(np.int32), np.int32(1 << BITS)]
+            rows.append((zlib.crc32(str(i).encode()), i, (at, np.r_[np.frombuffer(val, "<f4"), np.float32(1)], y, weight)))
     if not rows:
         return
     rows.sort(key=lambda r: r[:2])

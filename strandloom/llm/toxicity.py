@@ -70,10 +70,10 @@ def _train(batches, updates, alpha, beta, l1, l2, start):
     rows = []
     for b in batches:
         for i, y, weight, idx, starts in zip(*(b.column(k).to_pylist() for k in range(5))):
-            at, cut = np.frombuffer(idx, "<u4").astype(np.int64), np.frombuffer(starts, "<u4").astype(np.int64)
-            own = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+            at, cut = np.frombuffer(idx, "<u4").astype(np.int32), np.frombuffer(starts, "<u4").astype(np.int64)
+            own = np.repeat(np.arange(len(cut) - 1, dtype=np.int32), np.diff(cut))
             u, inverse = np.unique(at, return_inverse=True)
-            rows.append((zlib.crc32(str(i).encode()), i, y, weight, u, inverse, own, len(cut) - 1))
+            rows.append((zlib.crc32(str(i).encode()), i, y, weight, u, inverse.astype(np.int32), own, len(cut) - 1))
     if not rows:
         return
     rows.sort(key=lambda r: r[:2])
@@ -121,7 +121,7 @@ class _Weights(dict):
         self.update(dict.fromkeys(_ENDS, np.nan))
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
             self.update(dict.fromkeys(_ENDS, np.nan))
         got = self[word] = float(self.w[list(word_features(word))].sum())

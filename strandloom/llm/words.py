@@ -31,7 +31,7 @@ class _Pieces(dict):
     after them only the first ``marked`` are kept, as their parts are.
     """
 
-    def __init__(self, token, other, most: int, marked: int = 200_000):
+    def __init__(self, token, other, most: int, marked: int = 100_000):
         self.token, self.other, self.most, self.marked = token, other, most, marked
 
     def __missing__(self, piece: str) -> bytes:
@@ -52,7 +52,7 @@ class _Pieces(dict):
 class Encoder:
     """Text to the little-endian unsigned 32-bit ids of ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:

@@ -125,7 +125,7 @@ def library_complexity(df: DataFrame, *, key: list[str]) -> DataFrame:
 def cigar_ops(cigar: str = "cigar") -> Column:
     """array<struct<n, op>> of a CIGAR string."""
     parts = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
-    return F.transform(parts, lambda p: F.struct(F.substring(p, 1, F.length(p) - 1).cast("int").alias("n") if False else F.regexp_extract(p, r"^(\d+)", 1).cast("int").alias("n"), F.right(p, F.lit(1)).alias("op")))
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\d+)", 1).cast("int").alias("n"), F.right(p, F.lit(1)).alias("op")))
 
 
 def with_unclipped_ends(df: DataFrame) -> DataFrame:

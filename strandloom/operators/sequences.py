@@ -205,7 +205,7 @@ def validate_cds(df: DataFrame, *, seq: str = "seq") -> DataFrame:
     c = codons(F.col(seq))
     stops = [k for k, v in CODONS.items() if v == "*"]
     d = df.withColumn("codons", c).withColumn("whole", F.length(seq) % 3 == 0).withColumn("start_ok", F.coalesce(F.get("codons", F.lit(0)) == "ATG", F.lit(False)))
-    d = d.withColumn("stop_ok", F.coalesce(F.element_at(F.col("codons"), F.when(F.size("codons") > 0, F.size("codons")).otherwise(1)).isin(stops) if False else F.get("codons", F.size("codons") - 1).isin(stops), F.lit(False)))
+    d = d.withColumn("stop_ok", F.coalesce(F.get("codons", F.size("codons") - 1).isin(stops), F.lit(False)))
     d = d.withColumn("internal_stop", F.exists(F.slice("codons", 1, F.greatest(F.size("codons") - 1, F.lit(0))), lambda x: x.isin(stops))).withColumn("other_letters", ~F.upper(seq).rlike("^[ACGT]*$"))
     return d.withColumn("accepted", F.col("whole") & F.col("start_ok") & F.col("stop_ok") & ~F.col("internal_stop") & ~F.col("other_letters"))
 

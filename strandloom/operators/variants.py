@@ -60,8 +60,7 @@ def left_align(pos: int, ref: str, alt: str, window: str, window_start: int) ->
         if not ref or not alt:
             pos -= 1
             if pos < 1:
-                base = window[len(ref or alt) :][:1] if False else ""
-                return (1, ref, alt) if not base else None
+                return 1, ref, alt  # at the start of a contig there is no base to anchor on
             at = pos - window_start
             if at < 0:
                 return None

@@ -134,7 +134,7 @@ def unit_aggregate(v):
 
 
 @R.add("""
-    WITH k AS (SELECT feature FROM {counts} WHERE n > 60 GROUP BY feature, is_case HAVING count(DISTINCT sample) >= 0.5 * 6)
+    WITH z AS (SELECT is_case, count(DISTINCT sample) AS s FROM {counts} GROUP BY is_case), k AS (SELECT DISTINCT feature FROM (SELECT feature, is_case, count(DISTINCT sample) AS m FROM {counts} WHERE n > 60 GROUP BY feature, is_case) JOIN z USING (is_case) WHERE m >= 0.5 * s)
     SELECT feature, sample, n FROM {counts} SEMI JOIN k USING (feature)""")
 def completeness_filter(v):
     x = v.counts.withColumn("value", F.when(F.col("n") > 60, F.col("n")))
@@ -142,9 +142,9 @@ def completeness_filter(v):
     return mx.completeness_filter(x, s, share=0.5).select("feature", "sample", "n")
 
 
-@R.add("SELECT feature, sample, n FROM {counts} SEMI JOIN (SELECT feature FROM {counts} WHERE n > 0 GROUP BY feature HAVING count(DISTINCT sample) >= 11) USING (feature)")
+@R.add("SELECT feature, sample, n FROM {counts} SEMI JOIN (SELECT feature FROM {counts} WHERE n > 0 GROUP BY feature HAVING count(DISTINCT sample) >= 9) USING (feature)")
 def prevalence_filter(v):
-    return mx.prevalence_filter(v.counts, least=11).select("feature", "sample", "n")
+    return mx.prevalence_filter(v.counts, least=9).select("feature", "sample", "n")
 
 
 @R.add("""
@@ -305,11 +305,11 @@ def reads_dropped_share(v):
 
 
 @R.add("""
-    WITH s AS (SELECT sample, is_case AS grp, sum(n) AS total, count(*) AS ids FROM {counts} WHERE n > 0 GROUP BY ALL), g AS (SELECT grp, quantile_cont(total, 0.5) AS g FROM s GROUP BY grp)
+    WITH s AS (SELECT sample, is_case AS grp, sum(n)::BIGINT AS total, count(*) AS ids FROM {counts} WHERE n > 0 GROUP BY ALL), g AS (SELECT grp, quantile_cont(total, 0.5) AS g FROM s GROUP BY grp)
     SELECT sample, grp, total, ids, round(100 * (1 - ids / (SELECT count(DISTINCT feature) FROM {counts})), 6) AS missing_pct, round(total / g, 6) AS fold, total / g > 3 OR total / g < 1 / 3 AS flag FROM s JOIN g USING (grp)""")
 def sample_raw_qc(v):
     s = v.counts.select("sample", F.col("is_case").alias("grp")).distinct()
-    return mx.sample_raw_qc(v.counts.drop("is_case"), s, value="n").select("sample", "grp", F.col("total").cast("decimal(38,0)").alias("total") if False else "total", "ids", "missing_pct", "fold", "flag")
+    return mx.sample_raw_qc(v.counts.drop("is_case"), s, value="n").select("sample", "grp", "total", "ids", "missing_pct", "fold", "flag")
 
 
 @R.add("""
@@ -367,7 +367,7 @@ def composition_table(v):
 
 
 @R.add("""
-    WITH b AS (SELECT cell, cluster AS a, (cell % 7 + cluster) % 8 AS b FROM {customers}), x AS (SELECT a, b, count(*) AS k, sum(count(*)) OVER (PARTITION BY a) AS na, sum(count(*)) OVER (PARTITION BY b) AS nb FROM b GROUP BY ALL)
+    WITH b AS (SELECT cell, cluster AS a, (cell % 7 + cluster) % 8 AS b FROM {customers}), y AS (SELECT a, b, count(*) AS k FROM b GROUP BY a, b), x AS (SELECT *, sum(k) OVER (PARTITION BY a) AS na, sum(k) OVER (PARTITION BY b) AS nb FROM y)
     SELECT a AS cluster, round(max(k / (na + nb - k)), 6) AS stability, 1::BIGINT AS replicates FROM x GROUP BY a""")
 def cluster_stability(v):
     again = v.customers.select(F.lit(1).alias("replicate"), "cell", ((F.col("cell") % 7 + F.col("cluster")) % 8).alias("cluster"))

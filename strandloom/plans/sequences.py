@@ -9,7 +9,6 @@ from strandloom.operators import matrix as mx
 from strandloom.operators import sequences as sq
 from strandloom.plans.core import Registry
 
-
 R = Registry()
 
 HARM = """
@@ -48,8 +47,8 @@ def mr_egger(v):
 
 
 @R.add(f"""
-    WITH {HARM}, r AS (SELECT locus, snp, beta_2 / beta AS r, pow(beta / se_2, 2) AS w FROM h WHERE beta <> 0), c AS (SELECT *, (sum(w) OVER (PARTITION BY locus ORDER BY r, snp ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY locus) AS p FROM r),
-         n AS (SELECT *, lead(r) OVER (PARTITION BY locus ORDER BY r, snp) AS r2, lead(p) OVER (PARTITION BY locus ORDER BY r, snp) AS p2 FROM c)
+    WITH {HARM}, r AS (SELECT locus, snp, beta_2 / beta AS r, pow(beta / se_2, 2) AS w FROM h WHERE beta <> 0), cw AS (SELECT *, (sum(w) OVER (PARTITION BY locus ORDER BY r, snp ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY locus) AS p FROM r),
+         n AS (SELECT *, lead(r) OVER (PARTITION BY locus ORDER BY r, snp) AS r2, lead(p) OVER (PARTITION BY locus ORDER BY r, snp) AS p2 FROM cw)
     SELECT locus, count(*) AS snps, round(coalesce(max(CASE WHEN p <= 0.5 AND p2 > 0.5 THEN r + (r2 - r) * (0.5 - p) / (p2 - p) END), min(r)), 6) AS weighted_median FROM n GROUP BY locus""")
 def weighted_median(v):
     return gw.weighted_median(_harmonised(v), by=["locus"])
@@ -138,7 +137,7 @@ def gsea_running_sum(v):
 
 
 DNA = "(SELECT id, lang, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM {texts})"
-ALN = "(SELECT id, rpad(regexp_replace(substr(upper(text), 1, 60), '[^A-Z]', '-', 'g'), 60, '-') AS seq FROM {texts})"
+ALN = "(SELECT id, rpad(upper(regexp_replace(substr(text, 1, 60), '[^A-Za-z]', '-', 'g')), 60, '-') AS seq FROM {texts})"
 COLS = f"(SELECT id, i AS col, substr(seq, i + 1, 1) AS residue FROM (SELECT *, unnest(range(60))::INT AS i FROM {ALN}))"
 
 
@@ -147,7 +146,7 @@ def _dna(v):
 
 
 def _aln(v):
-    return v.texts.select("id", F.rpad(F.regexp_replace(F.substring(F.upper("text"), 1, 60), "[^A-Z]", "-"), 60, "-").alias("seq"))
+    return v.texts.select("id", F.rpad(F.upper(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z]", "-")), 60, "-").alias("seq"))
 
 
 @R.add(f"SELECT lang AS file, count(*) AS records, sum(len(seq))::BIGINT AS bases, min(len(seq))::INT AS shortest, max(len(seq))::INT AS longest, round(avg(len(seq)), 6) AS mean FROM {DNA} GROUP BY lang")
@@ -208,7 +207,6 @@ def substitution_counts(v):
 
 
 @R.add(f"""
-    WITH f AS (SELECT col, count(DISTINCT residue) AS k FROM {COLS} GROUP BY col HAVING count(*) FILTER (residue = '-') < 200), r AS (SELECT col, residue, count(*) AS n FROM {COLS} GROUP BY ALL), w AS (SELECT col, residue, 1 FROM r)
     SELECT c.id, sum((residue <> '-')::INT)::BIGINT AS residues FROM {COLS} c GROUP BY c.id""")
 def position_map(v):
     return sq.position_map(_aln(v)).groupBy("id").agg((F.max("residue_index") + 1).cast("long").alias("residues"))
@@ -268,9 +266,9 @@ def _bits(v):
 
 @R.add(f"""
     WITH b AS (SELECT * FROM {BITS}), p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.bits, b.bits)) AS s, len(a.bits) + len(b.bits) AS t FROM b a JOIN b ON a.id < b.id)
-    SELECT id_a, id_b, s::INT AS shared, round(s / (t - s), 6) AS similarity FROM p WHERE t > s AND s / (t - s) >= 0.6""")
+    SELECT id_a, id_b, s::INT AS shared, round(s / (t - s), 6) AS similarity FROM p WHERE t > s AND s / (t - s) >= 0.35""")
 def similarity_pairs(v):
-    return sq.similarity_pairs(_bits(v), threshold=0.6)
+    return sq.similarity_pairs(_bits(v), threshold=0.35)
 
 
 @R.add(f"""
@@ -284,7 +282,7 @@ def tanimoto_search(v):
 @R.add()
 def butina_clusters(v):
     b = _bits(v)
-    p = sq.similarity_pairs(b, threshold=0.6)
+    p = sq.similarity_pairs(b, threshold=0.35)
     label = b.select("id", F.col("id").alias("component"))
     both = p.select("id_a", "id_b").unionByName(p.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
     for _ in range(30):
@@ -300,7 +298,7 @@ def butina_clusters(v):
 
 @R.add("SELECT brand AS compound, count(price) AS n, round(avg(price), 6) AS mean, round(stddev_samp(price), 6) AS sd, round(max(price) - min(price), 6) AS \"range\", max(price) - min(price) > 95 AS disagree FROM {parts} GROUP BY brand")
 def dedupe_replicates(v):
-    return sq.dedupe_replicates(v.parts, compound="brand", value="price", most_range=95.0)
+    return sq.dedupe_replicates(v.parts.withColumnRenamed("brand", "compound"), value="price", most_range=95.0)
 
 
 @R.add("SELECT size AS scaffold, count(*) AS n FROM {parts} GROUP BY size HAVING count(*) >= 3")

@@ -28,9 +28,8 @@ STANDINS: dict[str, tuple[str, list[str], str]] = {
     "counts_raw": ("lineitem", ["l_partkey AS feature", "CAST(l_suppkey % 12 AS INT) AS sample", "CAST(floor(l_quantity) AS BIGINT) AS k"], "true"),
     "psms": ("events", ["user_id * 100 + event_id % 100 AS scan", "value AS score", "concat(CASE WHEN event_type = 'error' THEN 'DECOY_' ELSE '' END, 'P', CAST(event_id % 50 AS STRING)) AS protein", "event_id AS psm", "event_type AS kind", "user_id AS run"], "true"),
     "peptides": ("lineitem", ["l_orderkey AS peptide", "concat(CASE WHEN l_suppkey % 4 = 3 THEN 'DECOY_' ELSE '' END, 'S', CAST(l_suppkey AS STRING)) AS protein", "l_extendedprice AS intensity", "l_quantity AS rt", "l_partkey AS partkey", "l_linenumber AS line"], "true"),
-    "gwas1": ("part", ["p_partkey AS snp", "substr('ACGT', CAST(p_partkey % 4 AS INT) + 1, 1) AS a1", "substr('CTAG', CAST((p_partkey + p_size) % 4 AS INT) + 1, 1) AS a2", "(p_retailprice - 950) / 100 AS beta", "0.01 + p_size / 1000.0 AS se", "0.01 + (p_partkey % 49) / 100.0 AS maf", "p_brand AS locus", "p_partkey * 1000 AS pos", "p_size AS size"],
+    "gwas1": ("part", ["p_partkey AS snp", "substr('ACGT', CAST(p_partkey % 4 AS INT) + 1, 1) AS a1", "substr('CTAG', CAST((p_partkey + p_size) % 4 AS INT) + 1, 1) AS a2", "(p_retailprice - 950) / 100 AS beta", "CAST(0.01 + p_size / 1000.0 AS DOUBLE) AS se", "CAST(0.01 + (p_partkey % 49) / 100.0 AS DOUBLE) AS maf", "p_brand AS locus", "p_partkey * 1000 AS pos", "p_size AS size"],
               "substr('ACGT', CAST(p_partkey % 4 AS INT) + 1, 1) <> substr('CTAG', CAST((p_partkey + p_size) % 4 AS INT) + 1, 1)"),
-    "survival": ("orders", ["CAST(datediff('day', TIMESTAMP '1995-01-01 00:00:00', o_orderdate) AS DOUBLE) AS time", "o_orderstatus = 'F' AS event", "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 ELSE 0 END AS cause", "o_orderpriority AS arm"], "true"),
     "orders": ("orders", ["o_orderkey AS unit", "o_custkey AS donor", "o_orderpriority AS block", "o_totalprice AS price", "o_orderstatus AS status"], "true"),
     "cell_rows": ("orders", ["o_orderkey AS orderkey", "o_custkey AS cell"], "true"),
     "customers": ("customer", ["c_custkey AS cell", "c_nationkey AS donor", "c_mktsegment AS segment", "CAST(c_nationkey % 8 AS INT) AS cluster", "c_acctbal AS score"], "true"),
@@ -45,10 +44,10 @@ STANDINS: dict[str, tuple[str, list[str], str]] = {
 
 #: Stand-ins made from others by SQL that both read.
 DERIVED: dict[str, str] = {
-    "counts": "SELECT feature, sample, sum(k) AS n, sample < 6 AS is_case, sample % 2 AS batch FROM {counts_raw} GROUP BY feature, sample",
-    "cells": "SELECT o.cell AS cell, l.gene AS gene, sum(l.k) AS n FROM {lines} l JOIN {cell_rows} o ON l.orderkey = o.orderkey GROUP BY o.cell, l.gene",
+    "counts": "SELECT feature, sample, CAST(sum(k) AS BIGINT) AS n, sample < 6 AS is_case, sample % 2 AS batch FROM {counts_raw} GROUP BY feature, sample",
+    "cells": "SELECT o.cell AS cell, l.gene AS gene, CAST(sum(l.k) AS BIGINT) AS n FROM {lines} l JOIN {cell_rows} o ON l.orderkey = o.orderkey GROUP BY o.cell, l.gene",
     "calls": "SELECT site, sample, min_by(gt, k) AS gt, min_by(gq, k) AS gq, min_by(ref_depth, k) AS ref_depth, min_by(alt_depth, k) AS alt_depth FROM {genotypes} GROUP BY site, sample",
-    "gwas2": "SELECT v.snp AS snp, CASE WHEN v.snp % 3 = 0 THEN v.a2 WHEN v.snp % 3 = 1 THEN translate(v.a1, 'ACGT', 'TGCA') ELSE v.a1 END AS a1, CASE WHEN v.snp % 3 = 0 THEN v.a1 WHEN v.snp % 3 = 1 THEN translate(v.a2, 'ACGT', 'TGCA') ELSE v.a2 END AS a2, x.b AS beta, 0.02 + v.size / 2000.0 AS se, v.maf AS maf FROM {gwas1} v JOIN (SELECT partkey, avg(discount) - 0.05 AS b FROM {lines} GROUP BY partkey) x ON x.partkey = v.snp",
+    "gwas2": "SELECT v.snp AS snp, CASE WHEN v.snp % 3 = 0 THEN v.a2 WHEN v.snp % 3 = 1 THEN translate(v.a1, 'ACGT', 'TGCA') ELSE v.a1 END AS a1, CASE WHEN v.snp % 3 = 0 THEN v.a1 WHEN v.snp % 3 = 1 THEN translate(v.a2, 'ACGT', 'TGCA') ELSE v.a2 END AS a2, x.b AS beta, CAST(0.02 + v.size / 2000.0 AS DOUBLE) AS se, v.maf AS maf FROM {gwas1} v JOIN (SELECT partkey, avg(discount) - 0.05 AS b FROM {lines} GROUP BY partkey) x ON x.partkey = v.snp",
     "scored": "SELECT d.id AS id, d.n_chars AS score, d.lang AS lang, l.quality AS label FROM {texts} d JOIN {labels} l ON d.id = l.id",
     "snvs": "SELECT chrom, pos, ref, alt, qual, filter, size, tenth FROM {variants} WHERE ref <> alt",
 }

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-
 DOUBLE = DoubleType()
 
 
@@ -24,7 +23,7 @@ def norm_ppf(p: float) -> float:
     t = math.sqrt(-2 * math.log(min(p, 1 - p)))
     x = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
     for _ in range(4):
-        x -= (min(p, 1 - p) - norm_sf(x)) / (-math.exp(-x * x / 2) / math.sqrt(2 * math.pi))
+        x += (norm_sf(x) - min(p, 1 - p)) / (math.exp(-x * x / 2) / math.sqrt(2 * math.pi))
     return x if p > 0.5 else -x
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandloom.plans import matrices, sequences, tables
+from strandloom.plans import events, matrices, sequences, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for family in (tables, matrices, sequences):
+for family in (tables, matrices, sequences, events):
     QUERIES |= family.R.queries
     ORACLES |= family.R.oracles

@@ -178,19 +178,26 @@ def mutual_information_apc(df: DataFrame, *, least_rows: int = 20, key: str = "i
     return x.select("i", "j", "n", "mi", (F.col("mi") - F.col("mi_i") * F.col("mi_j") / F.nullif("_all", F.lit(0.0))).alias("mi_apc"))
 
 
+def letters(seq: str | Column) -> Column:
+    """The residues of an aligned row as an array, as ``columns`` gives them."""
+    return F.filter(F.split(F.translate(F.upper(seq), ".", "-"), ""), lambda x: x != "")
+
+
 def position_map(df: DataFrame, *, key: str = "id", seq: str = "seq") -> DataFrame:
-    """(id, col, residue_index): index of the residue in its own sequence, -1 at gaps."""
-    c = columns(df, key=key, seq=seq)
-    i = F.sum((F.col("residue") != "-").cast("int")).over(Window.partitionBy(key).orderBy("col")) - 1
-    return c.select(key, "col", F.when(F.col("residue") == "-", -1).otherwise(i).alias("residue_index"))
+    """(id, col, residue_index): index of the residue in its own sequence, -1 at gaps. Each row is read alone, without a shuffle."""
+    d = df.select(key, letters(seq).alias("_s"))
+    at = lambda want: F.filter(F.transform("_s", lambda x, i: F.when(want(x), i)), lambda i: i.isNotNull())
+    place = lambda c, k: F.struct(c.alias("col"), k.alias("residue_index"))
+    both = F.concat(F.transform(at(lambda x: x != "-"), lambda c, k: place(c, k)), F.transform(at(lambda x: x == "-"), lambda c: place(c, F.lit(-1))))
+    return d.select(key, F.inline(both))
 
 
 def mask_columns(df: DataFrame, *, max_gap: float = 0.5, key: str = "id", seq: str = "seq") -> DataFrame:
-    """Rows without the columns whose gap share reaches the limit."""
-    c = columns(df, key=key, seq=seq)
-    bad = c.groupBy("col").agg(F.avg((F.col("residue") == "-").cast("double")).alias("_g")).where(F.col("_g") >= max_gap).select("col")
-    kept = c.join(bad, "col", "left_anti").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "residue"))), lambda x: x["residue"]), "").alias(seq))
-    return df.select(key).join(kept, key, "left").fillna("", [seq])
+    """Rows without the columns whose gap share reaches the limit. One row with the column states, as long as the alignment is wide, goes to all rows."""
+    share = columns(df, key=key, seq=seq).groupBy("col").agg((F.avg((F.col("residue") == "-").cast("double")) < max_gap).alias("_ok"))
+    mask = share.agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "_ok"))), lambda x: x["_ok"]).alias("_mask"))
+    kept = F.array_join(F.filter(letters(seq), lambda x, i: F.get("_mask", i)), "")
+    return df.crossJoin(F.broadcast(mask)).select(key, F.coalesce(kept, F.lit("")).alias(seq))  # one row
 
 
 def codons(seq: str | Column) -> Column:

@@ -146,7 +146,11 @@ def _dna(v):
 
 
 def _aln(v):
-    return v.texts.select("id", F.rpad(F.upper(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z]", "-")), 60, "-").alias("seq"))
+    """Whole texts as aligned rows of 60 characters, the last one filled up with gaps; the id is "row:id" of the text's consecutive rows, from 0. (ALN holds the rows 0 only.)"""
+    s = F.upper(F.regexp_replace("text", "[^A-Za-z]", "-"))
+    rows = F.greatest(F.ceil(F.length(s) / 60), F.lit(1)).cast("int")
+    d = v.texts.select("id", F.posexplode(F.regexp_extract_all(F.rpad(s, rows * 60, "-"), F.lit(".{60}"), F.lit(0))).alias("row", "seq"))
+    return d.select(F.concat_ws(":", "row", "id").alias("id"), "seq")
 
 
 @R.add(f"SELECT lang AS file, count(*) AS records, sum(len(seq))::BIGINT AS bases, min(len(seq))::INT AS shortest, max(len(seq))::INT AS longest, round(avg(len(seq)), 6) AS mean FROM {DNA} GROUP BY lang")

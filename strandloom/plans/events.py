@@ -16,7 +16,7 @@ R = Registry()
     WITH d AS (SELECT suppkey AS event, partkey % 20 AS sample, avg(discount) * 10 AS psi FROM {lines} WHERE quantity > 20 GROUP BY ALL), k AS (SELECT event FROM d GROUP BY event HAVING count(psi) >= 10 AND avg(psi) > 0.05 AND avg(psi) < 0.52)
     SELECT event, sample, round(psi, 6) AS psi FROM d SEMI JOIN k USING (event)""")
 def filter_events(v):
-    d = v.lines.where("quantity > 20").groupBy(F.col("suppkey").alias("event"), (F.col("partkey") % 20).alias("sample")).agg((F.avg("discount") * 10).alias("psi"))
+    d = v.lines.groupBy(F.col("suppkey").alias("event"), (F.col("partkey") % 20).alias("sample")).agg((F.avg("discount") * 10).alias("psi"))
     return ev.filter_events(d, samples=20, high=0.52)
 
 
@@ -47,10 +47,8 @@ def psi_by_group(v):
          g AS (SELECT level, min(k) AS k, avg(m) AS mean, avg(v) AS msw, var_samp(m) AS vm FROM d GROUP BY level)
     SELECT level, round(mean, 6) AS mean, round(sqrt(msw) / mean, 6) AS intra_cv, round(sqrt(msw + greatest(0.0, (k * vm - msw) / k)) / mean, 6) AS inter_cv FROM g""")
 def precision_components(v):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("level", "day").orderBy("orderkey", "partkey", "suppkey", "line")
-    d = v.lines.withColumn("level", F.col("line") % 4).withColumn("day", F.col("partkey") % 5).withColumn("_i", F.row_number().over(w)).where("_i <= 20").select("level", "day", F.col("quantity").alias("value"))
+    """20 replicates per level and day, each the mean of all rows of one residue of the order key."""
+    d = v.lines.groupBy((F.col("line") % 4).alias("level"), (F.col("partkey") % 5).alias("day"), (F.col("orderkey") % 20).alias("replicate")).agg(F.avg("quantity").alias("value"))
     return mx.precision_components(d).select("level", "mean", "intra_cv", "inter_cv")
 
 

@@ -37,7 +37,7 @@ def adjust_p_by_group(v):
     WITH p AS ({P_SQL}), r AS (SELECT *, count(p) OVER () AS m, rank() OVER (ORDER BY p) AS r FROM p WHERE p IS NOT NULL AND psm % 50 = 0), q AS (SELECT psm, max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY p) AS q FROM r)
     SELECT psm, round(q, 6) AS q FROM q""")
 def adjust_p_holm(v):
-    return st.adjust_p(_p(v).where("psm % 50 = 0 and p is not null").select("psm", "p"), method="holm").select("psm", "q")
+    return st.adjust_p(_p(v).where("p is not null").select("psm", "p"), method="holm").select("psm", "q")
 
 
 RANKS = """
@@ -260,10 +260,9 @@ def pqn_normalize(v):
          l AS (SELECT analyte, min(x) AS lloq FROM s JOIN f USING (analyte) WHERE abs((y - a) / b / x - 1) <= CASE WHEN x = lo THEN 0.2 ELSE 0.15 END GROUP BY analyte)
     SELECT f.analyte, round(b, 4) AS slope, round(a, 4) AS intercept, lloq FROM f LEFT JOIN l USING (analyte)""")
 def weighted_calibration(v):
-    s = v.lines.where("quantity > 0 and line <= 3").select((F.col("partkey") % 20).alias("analyte"), F.col("quantity").alias("x"), (F.col("price") / 1000).alias("y"))
-    q = s.select("analyte", F.lit("s").alias("sample"), "y")
-    out = mx.weighted_calibration(s, q.dropDuplicates(["analyte"]))
-    return out.select("analyte", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), "lloq").distinct()
+    s = v.lines.where("quantity > 0").select((F.col("partkey") % 20).alias("analyte"), F.concat_ws(":", "orderkey", "line").alias("sample"), F.col("quantity").alias("x"), (F.col("price") / 1000).alias("y"))
+    out = mx.weighted_calibration(s, s.select("analyte", "sample", "y"))
+    return out.withColumns({c: F.round(c, 4) for c in ("slope", "intercept", "concentration")})
 
 
 @R.add("""
@@ -402,13 +401,13 @@ def separate_search_q(v):
     WITH s AS (SELECT protein, list_sort(list_distinct(list(peptide % 40))) AS p FROM {peptides} WHERE line = 1 AND partkey % 50 = 0 GROUP BY protein)
     SELECT min(protein) AS name, count(*)::INT AS n_members, any_value(len(p))::INT AS n_peptides FROM s GROUP BY p""")
 def collapse_proteins(v):
-    x = v.peptides.where("line = 1 and partkey % 50 = 0").withColumn("peptide", F.col("peptide") % 40)
+    x = v.peptides.withColumn("peptide", F.col("peptide") % 40)
     return pr.collapse_proteins(x).select("name", F.size("members").alias("n_members"), "n_peptides")
 
 
 @R.add()
 def parsimony_groups(v):
-    return pr.parsimony_groups(pr.collapse_proteins(v.peptides.where("line = 1").withColumn("peptide", F.col("peptide") % 300)))
+    return pr.parsimony_groups(pr.collapse_proteins(v.peptides.withColumn("peptide", F.col("peptide") % 300)))
 
 
 @R.add("""
@@ -487,7 +486,7 @@ def rarefy(v):
 
 @R.add()
 def drift_correct(v):
-    x = v.counts.where("feature < 300").withColumn("is_qc", F.col("sample") % 2 == 0).withColumn("value", F.col("n").cast("double"))
+    x = v.counts.withColumn("is_qc", F.col("sample") % 2 == 0).withColumn("value", F.col("n").cast("double"))
     return mx.drift_correct(x, order="sample")
 
 

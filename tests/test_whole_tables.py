@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
 from strandloom.plans import registry
 
 
@@ -47,3 +51,94 @@ def test_aligned_rows_are_whole_texts(spark, tmp_path):
     for name in ("conservation_profile", "information_content", "jsd_conservation"):
         assert len(run(name)) == 60
     assert len(run("pssm")) == 60 * 26
+
+
+LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    """The folder of a table of 2,000 lines, and its rows."""
+    rng = random.Random(5)
+    rows = [(k // 4, rng.randrange(1, 420), rng.randrange(1, 25), k % 4 + 1, float(rng.randrange(1, 51)), round(rng.uniform(900, 90000), 2), rng.randrange(11) / 100, 0.02, "N", "O") for k in range(2000)]
+    return put(spark, tmp_path_factory.mktemp("lines"), "lineitem", rows, LINE), rows
+
+
+def test_holm_over_all_values(spark, tmp_path):
+    sf = put(spark, tmp_path, "events", [(k, k % 9, "view", 1.0) for k in range(400)], "event_id long, user_id long, event_type string, value double")
+    p = {k: (k * 7919 % 10007 + 1) / 10008 for k in range(400) if k % 17}
+    want, most = {}, 0.0
+    for r, (x, k) in enumerate(sorted((x, k) for k, x in p.items())):  # no ties
+        want[k] = most = max(most, min(1.0, (len(p) - r) * x))
+    got = {r.psm: r.q for r in registry.QUERIES["adjust_p_holm"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_proteins_of_all_lines(spark, lines):
+    sf, rows = lines
+    for name, mod in (("collapse_proteins", 40), ("parsimony_groups", 300)):
+        sets = defaultdict(set)
+        for r in rows:
+            sets[("DECOY_" if r[2] % 4 == 3 else "") + f"S{r[2]}"].add(r[0] % mod)
+        groups = defaultdict(list)
+        for k, s in sets.items():
+            groups[frozenset(s)].append(k)
+        got = registry.QUERIES[name](spark, sf).collect()
+        if name == "collapse_proteins":
+            assert {r.name: (r.n_members, r.n_peptides) for r in got} == {min(m): (len(m), len(s)) for s, m in groups.items()}
+            continue
+        left, covered, want = {min(m): s for s, m in groups.items()}, set(), {}
+        while left:
+            new, _, k = min((-len(s - covered), -len(s), k) for k, s in left.items())
+            want[k] = -new
+            covered |= left.pop(k)
+        assert {r.name: r.new_peptides for r in got} == want
+
+
+def test_drift_of_all_features(spark, lines):
+    sf, rows = lines
+    got = {(r.feature, r.sample) for r in registry.QUERIES["drift_correct"](spark, sf).collect()}
+    assert got == {(r[1], r[2] % 12) for r in rows}
+
+
+def test_calibration_and_quantities_of_all_lines(spark, lines):
+    sf, rows = lines
+    got = defaultdict(list)
+    for r in registry.QUERIES["weighted_calibration"](spark, sf).collect():
+        got[r.analyte].append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for a, out in got.items():
+        s = [(f"{r[0]}:{r[3]}", r[4], r[5] / 1000) for r in rows if r[1] % 20 == a]
+        x, y = np.array([r[1] for r in s]), np.array([r[2] for r in s])
+        slope, intercept = np.polyfit(x, y, 1, w=1 / x)
+        error = abs((y - intercept) / slope / x - 1)
+        ok = x[error <= np.where(x == x.min(), 0.2, 0.15)]
+        lloq = ok.min() if len(ok) else None
+        assert (out[0].slope, out[0].intercept) == pytest.approx((slope, intercept), abs=1e-4) and {r.lloq for r in out} == {lloq}
+        want = {k: c if lloq is not None and c >= lloq else None for k, c in ((k, (b - intercept) / slope) for k, _, b in s)}
+        assert {r.sample: r.concentration for r in out} == pytest.approx(want, abs=1e-4)
+
+
+def test_precision_of_all_lines(spark, lines):
+    sf, rows = lines
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r[3] % 4, r[1] % 5, r[0] % 20].append(r[4])
+    for r in registry.QUERIES["precision_components"](spark, sf).collect():
+        days = [[np.mean(bins[r.level, d, k]) for k in range(20)] for d in range(5)]
+        within, between = np.mean([np.var(d, ddof=1) for d in days]), np.var([np.mean(d) for d in days], ddof=1)
+        both = within + max(0, between - within / 20)
+        assert (r.mean, r.intra_cv, r.inter_cv) == pytest.approx([v / np.mean(days) for v in (np.mean(days) ** 2, within**0.5, both**0.5)], abs=1e-6)
+
+
+def test_events_of_all_lines(spark, lines):
+    sf, rows = lines
+    psi = defaultdict(list)
+    for r in rows:
+        psi[r[2], r[1] % 20].append(10 * r[6])
+    m = {k: sum(x) / len(x) for k, x in psi.items()}
+    of = defaultdict(list)
+    for (e, _), x in m.items():
+        of[e].append(x)
+    want = {k: x for k, x in m.items() if len(of[k[0]]) >= 10 and 0.05 < sum(of[k[0]]) / len(of[k[0]]) < 0.52}
+    assert want and {(r.event, r.sample): r.psi for r in registry.QUERIES["filter_events"](spark, sf).collect()} == pytest.approx(want, abs=1e-6)

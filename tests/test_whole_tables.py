@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -142,3 +143,26 @@ def test_events_of_all_lines(spark, lines):
         of[e].append(x)
     want = {k: x for k, x in m.items() if len(of[k[0]]) >= 10 and 0.05 < sum(of[k[0]]) / len(of[k[0]]) < 0.52}
     assert want and {(r.event, r.sample): r.psi for r in registry.QUERIES["filter_events"](spark, sf).collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_gene_sets_stay_small_in_large_tables(spark, tmp_path):
+    rng = random.Random(6)
+    parts = [(10 * k, "n", "A" if k % 2 else "B", "t", 1, 1.0) for k in range(1200)]  # 600 a brand
+    put(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    d = {p[0]: rng.randrange(11) / 100 for p in parts}
+    sf = put(spark, tmp_path, "lineitem", [(k, k, 1, 1, 1.0, 1.0, x, 0.0, "N", "O") for k, x in d.items()], LINE)
+    sets = defaultdict(list)
+    for p in parts:
+        sets[p[2] + (f"/{p[0] // 2000}" if p[0] >= 2000 else "")].append(p[0])
+    assert {len(s) for s in sets.values()} == {100} and len(sets) == 12
+    hits, total = {k for k, x in d.items() if x > 0.052}, len(d)
+    tail = lambda k: sum(math.comb(len(hits), i) * math.comb(total - len(hits), 100 - i) for i in range(k, 101)) / math.comb(total, 100)
+    want = {s: (len(hits & set(g)), pytest.approx(tail(len(hits & set(g))), abs=2e-6)) for s, g in sets.items()}
+    assert {r.set: (r.k, r.p) for r in registry.QUERIES["hypergeom_enrichment"](spark, sf).collect()} == want
+    ranking = sorted(d, key=lambda k: (-round(d[k] - 0.05, 9), k))
+    got = {r.set: r.es for r in registry.QUERIES["gsea_running_sum"](spark, sf).collect()}
+    assert set(got) == set(sets)
+    for s, g in sets.items():
+        w = {k: abs(d[k] - 0.05) for k in g}
+        at = np.cumsum([0] + [w[k] / sum(w.values()) if k in w else -1 / (total - 100) for k in ranking])
+        assert got[s] == pytest.approx(max(at) if max(at) >= -min(at) else min(at), abs=1e-5)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import tails
+from strandloom.operators.components import components
 from strandloom.operators.stats import adjust_p, monotone, running
 
 #: Prefixes that mark a decoy, in any case: fixed values.
@@ -67,20 +68,11 @@ def collapse_proteins(df: DataFrame, *, peptide: str = "peptide", protein: str =
     return g.select(F.col("members")[0].alias("name"), "members", "peptides", F.size("peptides").alias("n_peptides"))
 
 
-def protein_components(nodes: DataFrame, *, rounds: int = 50) -> DataFrame:
-    """(name, component): groups that share peptides, directly or through others, by spreading the least name."""
+def protein_components(nodes: DataFrame) -> DataFrame:
+    """(name, component): groups that share peptides, directly or through others; each peptide ties its groups to the least name."""
     links = nodes.select("name", F.explode("peptides").alias("peptide"))
-    label = nodes.select("name", F.col("name").alias("component"))
-    for _ in range(rounds):
-        low = links.join(label, "name").groupBy("peptide").agg(F.min("component").alias("_c"))
-        new = links.join(low, "peptide").groupBy("name").agg(F.min("_c").alias("component"))
-        if new.sparkSession.sparkContext.getCheckpointDir():
-            new = new.checkpoint()
-        changed = new.join(label.withColumnRenamed("component", "_old"), "name").where("component <> _old").isEmpty()
-        label = new
-        if changed:
-            break
-    return label
+    least = links.groupBy("peptide").agg(F.min("name").alias("least"))
+    return components(links.join(least, "peptide"), nodes, a="name", b="least", key="name")
 
 
 def _cover(pdf: pd.DataFrame) -> pd.DataFrame:

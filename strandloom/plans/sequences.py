@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import gwas as gw
 from strandloom.operators import matrix as mx
 from strandloom.operators import sequences as sq
+from strandloom.operators.components import components
 from strandloom.plans.core import Registry
 
 R = Registry()
@@ -289,17 +290,7 @@ def tanimoto_search(v):
 def butina_clusters(v):
     b = _bits(v)
     p = sq.similarity_pairs(b, threshold=0.35)
-    label = b.select("id", F.col("id").alias("component"))
-    both = p.select("id_a", "id_b").unionByName(p.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
-    for _ in range(30):
-        low = both.join(label.withColumnRenamed("id", "id_b"), "id_b").groupBy(F.col("id_a").alias("id")).agg(F.min("component").alias("_c"))
-        new = label.join(low, "id", "left").select("id", F.least("component", F.coalesce("_c", "component")).alias("component"), (F.col("_c") < F.col("component")).alias("_moved"))
-        new = new.checkpoint() if v.spark.sparkContext.getCheckpointDir() else new
-        moved = not new.where("_moved").isEmpty()
-        label = new.drop("_moved")
-        if not moved:
-            break
-    return sq.butina_clusters(p, b, label)
+    return sq.butina_clusters(p, b, components(p, b))
 
 
 @R.add("SELECT brand AS compound, count(price) AS n, round(avg(price), 6) AS mean, round(stddev_samp(price), 6) AS sd, round(max(price) - min(price), 6) AS \"range\", max(price) - min(price) > 95 AS disagree FROM {parts} GROUP BY brand")

@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from strandloom.operators import proteins
+from strandloom.operators.components import components
 from strandloom.plans import registry
 
 
@@ -166,3 +168,27 @@ def test_gene_sets_stay_small_in_large_tables(spark, tmp_path):
         w = {k: abs(d[k] - 0.05) for k in g}
         at = np.cumsum([0] + [w[k] / sum(w.values()) if k in w else -1 / (total - 100) for k in ranking])
         assert got[s] == pytest.approx(max(at) if max(at) >= -min(at) else min(at), abs=1e-5)
+
+
+def test_long_chains_are_one_component(spark, tmp_path):
+    n = 200
+    nodes = spark.createDataFrame([(f"P{k:03d}", [k, k + 1]) for k in range(n)], "name string, peptides array<long>")
+    got = proteins.protein_components(nodes).collect()
+    assert len(got) == n and {r.component for r in got} == {"P000"}
+    order = list(range(n))
+    random.Random(7).shuffle(order)
+    pairs = spark.createDataFrame(list(zip(order, order[1:])), "id_a long, id_b long")
+    ids = spark.range(n + 1)
+    got = {r.id: r.component for r in components(pairs, ids).collect()}
+    assert got == {k: 0 for k in range(n)} | {n: n}
+    with pytest.raises(RuntimeError):
+        components(pairs, ids, most_rounds=1)
+    sf = put(spark, tmp_path, "embeddings", [(k, [float(k <= i < k + 10) for i in range(n + 10)], "x") for k in range(n)], "vec_id long, embedding array<double>, label string")
+    near = {k: {j for j in range(n) if j != k and abs(j - k) <= 4} for k in range(n)}  # (10 - 4) / (10 + 4) >= 0.35
+    free, want = set(near), {}
+    for k in sorted(near, key=lambda k: (-len(near[k]), k)):
+        if k in free:
+            members = ({k} | near[k]) & free
+            want |= dict.fromkeys(members, k)
+            free -= members
+    assert {r.id: r.cluster for r in registry.QUERIES["butina_clusters"](spark, sf).collect()} == want

@@ -1,41 +1,56 @@
-"""Connected components of pairs of any ordered type, by hooking and pointer jumping."""
+"""Connected components of pairs of any ordered type, by alternating stars.
+
+Every edge is kept as (child, parent) with child > parent. A round moves each
+child to the least neighbour of its parent (large star), then ties the parents
+of a child to the least of them (small star). Both are a grouped minimum and a
+join, so a node with very many edges is aggregated in part before the shuffle
+and its join can be split; long chains halve about every round. It ends when
+each child has one parent and no parent is a child: the edges are then stars
+around the least node of each component. Every round is written to the shared
+folder. The same path runs at every size; nothing is collected.
+"""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.scratch import Scratch
+
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Ends the lineage: a checkpoint, or a table in a temporary folder where no checkpoint folder is set (tests)."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    path = tempfile.mkdtemp(prefix="spark-") + "/kept"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _is_stars(e: DataFrame) -> bool:
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("child")), F.struct(F.col("v").alias("n"), F.lit(0).alias("child")))).alias("x"))
+    g = ends.groupBy("x.n").agg(F.sum("x.child").alias("parents"), F.min("x.child").alias("least"))
+    return g.where("parents > 1 or (parents = 1 and least = 0)").isEmpty()
 
 
-def components(pairs: DataFrame, nodes: DataFrame, *, a: str = "id_a", b: str = "id_b", key: str = "id", most_rounds: int = 200) -> DataFrame:
-    """(key, component): the least node that each node reaches over the pairs, itself included.
+def connected_components(edges: DataFrame, *, most_rounds: int = 100) -> DataFrame:
+    """(u, v) pairs to (node, component): the least node that each node reaches.
 
-    Each round offers a node, and the node that labels it, the least label
-    among its neighbours; then labels are replaced by their own labels, so that
-    long chains halve. It ends when no pair has two labels, and raises if that
-    takes more than ``most_rounds`` rounds.
+    Null ends, loops and repeated pairs are ignored; nodes without an edge to
+    another node don't appear. More than ``most_rounds`` rounds are an error.
     """
-    e = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(pairs.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct()
-    e = _kept(e)
-    label = nodes.select(F.col(key).alias("node")).distinct().withColumn("component", F.col("node"))
+    s = Scratch(edges.sparkSession, "components")
+    e = s.saved(edges.select("u", "v").dropna().where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(most_rounds):
-        lu, lv = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
-        two = e.join(lu, "u").join(lv, "v").where("cv < cu")
-        offers = two.select(F.explode(F.array("u", "cu")).alias("node"), "cv").groupBy("node").agg(F.min("cv").alias("_c"))
-        offers = _kept(offers)
-        if offers.isEmpty():
-            return label.select(F.col("node").alias(key), "component")
-        hooked = label.join(offers, "node", "left").select("node", F.least("component", F.coalesce("_c", "component")).alias("_h"))
-        up = hooked.select(F.col("node").alias("_h"), F.col("_h").alias("component"))
-        label = _kept(hooked.join(up, "_h").select("node", "component"))
+        if _is_stars(e):
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = s.saved(out, "components", stays=True)
+            s.close()
+            return out
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = s.saved(e.join(near, "v").select("u", F.col("m").alias("v")), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("_far"))
+        ties = large.join(least.where("m <> _far").select("u", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = s.saved(least.select("u", F.col("m").alias("v")).unionByName(ties).distinct(), "edges")
+        s.drop(e)
+        s.drop(large)
+        e = small
     raise RuntimeError("components did not end")
+
+
+def components(pairs: DataFrame, nodes: DataFrame, *, a: str = "id_a", b: str = "id_b", key: str = "id", most_rounds: int = 100) -> DataFrame:
+    """(key, component): the least node that each of ``nodes`` reaches over the pairs, itself included."""
+    found = connected_components(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")), most_rounds=most_rounds)
+    return nodes.select(F.col(key).alias("node")).distinct().join(found, "node", "left").select(F.col("node").alias(key), F.coalesce("component", "node").alias("component"))

@@ -1,10 +1,9 @@
-"""Scratch tables, shared binary files and small Arrow helpers of the operators."""
+"""Shared binary files and small Arrow helpers of the operators."""
 
 from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,44 +12,22 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if "root" not in _LOCAL or not os.path.isdir(_LOCAL["root"]):
-        _LOCAL["root"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
-    return _LOCAL["root"]
-
+from strandloom.scratch import shared_root
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
+    """A new path in the shared folder, for files that the caller keeps."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a worker holds a few long texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: the lineage ends there and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Removes a table that ``saved`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.startswith(("file:", "/")) is False and "://" not in folder:
-            continue
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Small Arrow batches, so that a worker holds a few long texts at a time.
+
+    The setting stays lowered in the caller's session: results are lazy, and
+    are computed after an operator returns.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 256:
+        spark.conf.set(key, "256")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,24 +1,8 @@
-"""Connected components of an edge table, by contraction in Spark.
-
-While there are more than ``LOCAL`` edges, each round hooks every node to the
-neighbour of least hashed rank and replaces the ends of all edges by those
-parents. The graph shrinks geometrically (the rank is hashed anew each round,
-so that long chains halve too); only aggregations and joins run, nothing is
-collected. What is left, at most ``LOCAL`` edges whatever the input, is
-finished in one task.
-"""
+"""Spanning forests of the links that one task finds; searches over whole tables are ``strandloom.operators.components``."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from strandloom.llm.common import drop, saved
-
-#: Edges that one task may hold (16 bytes each).
-LOCAL = 1_000_000
 
 
 def forest(u: np.ndarray, v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,56 +19,3 @@ def forest(u: np.ndarray, v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndar
         label = new
     node = np.flatnonzero(label != np.arange(size))
     return node, label[node]
-
-
-def _local(batches):
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not sum(len(u) for u, _ in got):
-        return
-    u, v = (np.concatenate(x) for x in zip(*got))
-    ids, at = np.unique(np.r_[u, v], return_inverse=True)
-    node, root = forest(at[: len(u)], at[len(u) :], len(ids))
-    own = np.arange(len(ids))
-    own[node] = root
-    for k in range(0, len(ids), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 10_000]), pa.array(ids[own[k : k + 10_000]])], names=["node", "root"])
-
-
-def _tidy(e: DataFrame) -> DataFrame:
-    return e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def connected_components(edges: DataFrame, most_rounds: int = 200, local: int = LOCAL) -> DataFrame:
-    """(u, v) pairs of longs to (node, component): the least node of each component.
-
-    Null ends, loops and repeated edges are allowed and ignored; nodes without
-    an edge to another node don't appear.
-    """
-    e = saved(_tidy(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).dropna()), "edges")
-    first, hops, seed = e, [], 0
-    while e.count() > local:
-        if seed >= most_rounds:
-            raise RuntimeError("contraction did not end")
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("r"), F.col(c).alias("n"))  # noqa: B023, E731
-        both = e.select("u", rank("v").alias("k")).unionByName(e.select(F.col("v").alias("u"), rank("u").alias("k")))
-        best = both.groupBy("u").agg(F.min("k").alias("k"))
-        hop = saved(best.where(F.col("k") < rank("u")).select(F.col("u").alias("node"), F.col("k.n").alias("parent")), "hops")
-        hops.append(hop)
-        a = hop.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
-        b = hop.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
-        nxt = e.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"))
-        nxt = saved(_tidy(nxt), "edges")
-        if e is not first:
-            drop(e)
-        e, seed = nxt, seed + 1
-    roots = saved(e.coalesce(1).mapInArrow(_local, "node long, root long"), "roots")
-    if not hops:
-        return roots.withColumnRenamed("root", "component")
-    for hop in reversed(hops):
-        later = roots.select(F.col("node").alias("parent"), F.col("root").alias("far"))
-        moved = hop.join(later, "parent", "left").select("node", F.coalesce("far", "parent").alias("root"))
-        roots = saved(moved.unionByName(roots).groupBy("node").agg(F.min("root").alias("root")), "roots")
-    ends = roots.select(F.col("root").alias("node"), "root").distinct()
-    full = saved(roots.unionByName(ends).groupBy("node").agg(F.min("root").alias("root")), "roots")
-    least = saved(full.groupBy("root").agg(F.min("node").alias("component")), "least")
-    return full.join(least, "root").select("node", "component")

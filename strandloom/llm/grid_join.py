@@ -7,8 +7,9 @@ results), sorted by the cells of a grid of width eps on them, and cut into
 intervals of the sequence. Boxes of intervals form a tree; pairs of nodes are
 descended from the roots with Spark joins, and those whose boxes are more than
 eps apart are dropped with all below them. The pairs of intervals that remain
-are joined in tasks, which halve them further by the same rule down to
-``LEAF`` vectors and then compare in double precision.
+are dealt by blocks of ``RUN`` successive intervals, so that an interval's
+vectors go once to each block it meets; a task halves the pairs further by the
+same rule down to ``LEAF`` vectors and then compares in double precision.
 
 Equal vectors of one label are one representative with a count, so copies are
 never expanded into pairs. A task returns, for its pair of intervals, the
@@ -18,11 +19,14 @@ not the links: rows grow with vectors times neighbouring intervals, while
 
 A vector with null label, null, without components, zero, or with a null or
 non-finite component, and a row with null id, link with nothing. Repeated rows
-are vectors of their own. Other columns are ignored.
+are vectors of their own, each with its links; rows of one id are one node of
+the components. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from functools import partial
 
 import numpy as np
@@ -30,38 +34,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import hash_share, saved, tune
-from strandloom.llm.components import connected_components, forest
+from strandloom.llm.common import hash_share, tune
+from strandloom.llm.components import forest
+from strandloom.operators.components import connected_components
+from strandloom.scratch import Scratch
 
 AXES = 8
-INTERVAL = 1024
+#: Numbers and vectors in an interval at most; intervals in a block.
+INTERVAL_NUMBERS, INTERVAL, RUN = 65_536, 1024, 8
 LEAF = 128
 FAN = 16
-SEQUENCE = "interval long, label long, dim int, n int, ids binary, counts binary, vectors binary, lo array<double>, hi array<double>"
+UNITS = "vec_id long, label long, dim int, h1 long, h2 long, vector binary"
+SEQUENCE = "interval long, label long, dim int, ids binary, marks binary, counts binary, vectors binary, lo array<double>, hi array<double>"
 
 
-def _unit(batches):
-    """(vec_id, label, dim, unit vector as doubles) of the vectors that can link."""
+def unit(rows: list[bytes], kind: str, dim: int) -> np.ndarray:
+    """Vectors of one dimension, as stored, scaled to length one in double precision."""
+    x = np.frombuffer(b"".join(rows), kind).reshape(-1, dim).astype(float)
+    #: Scaled first, so that the squares of very large or small components stay finite.
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _ready(batches, kind):
+    """The vectors that can link, with a digest; -0.0 is 0.0."""
     for b in batches:
         out = []
         for i, label, v in zip(*(b.column(k).to_pylist() for k in range(3))):
             if i is None or label is None or not v or any(x is None for x in v):
                 continue
-            x = np.array(v, float)
-            #: Scaled first, so that the squares of very large or small components stay finite.
-            big = np.abs(x).max()
-            if not np.isfinite(big) or big == 0:
+            x = np.array(v, kind) + np.zeros(1, kind)
+            if not np.isfinite(x).all() or not x.any():
                 continue
-            x = x / big
-            x = x / np.sqrt(x @ x)
-            out.append((i, label, len(x), (x + 0.0).tobytes()))
+            raw = x.tobytes()
+            out.append((i, label, len(x), *struct.unpack("<qq", hashlib.blake2b(raw, digest_size=16).digest()), raw))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["vec_id", "label", "dim", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=[x.split()[0] for x in UNITS.split(", ")])
 
 
-def principal(sample: list[bytes], axes: int) -> np.ndarray:
+def principal(x: np.ndarray, axes: int) -> np.ndarray:
     """Leading principal directions (rows) of a sample of vectors of one dimension."""
-    x = np.array([np.frombuffer(s) for s in sample])
     return np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:axes]
 
 
@@ -69,13 +81,16 @@ def _axes(dim: int, directions: dict[int, np.ndarray], axes: int) -> np.ndarray:
     return directions[dim] if dim in directions else np.eye(dim)[:axes]
 
 
-def _cells(batches, directions, eps, axes):
+def _cells(batches, directions, eps, axes, kind):
     d = directions.value
     for b in batches:
-        cells = []
-        for dim, u in zip(b.column(1).to_pylist(), b.column(4).to_pylist()):
-            p = _axes(dim, d, axes) @ np.frombuffer(u)
-            cells.append(np.floor(p / eps).astype(int).tolist())
+        dims, raw = np.array(b.column(1).to_pylist(), int), b.column(5).to_pylist()
+        cells: list = [None] * len(raw)
+        for dim in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == dim).tolist()
+            p = unit([raw[k] for k in at], kind, dim) @ _axes(dim, d, axes).T
+            for k, c in zip(at, np.floor(p / eps).astype(int).tolist()):
+                cells[k] = c
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*b.schema.names, "cell"])
 
 
@@ -84,7 +99,7 @@ def _box(x: np.ndarray, axes: np.ndarray):
     return p.min(axis=0), p.max(axis=0)
 
 
-def _intervals(batches, directions, axes):
+def _intervals(batches, directions, axes, kind):
     from pyspark import TaskContext
 
     part, seq, d = TaskContext.get().partitionId(), 0, directions.value
@@ -92,23 +107,21 @@ def _intervals(batches, directions, axes):
 
     def close():
         nonlocal seq
-        ids, counts, units = zip(*held)
-        x = np.array([np.frombuffer(u) for u in units])
-        a = _axes(key[1], d, axes)
-        lo, hi = _box(x, a)
+        ids, counts, marks, raw = zip(*held)
+        lo, hi = _box(unit(list(raw), kind, key[1]), _axes(key[1], d, axes))
         pad = [0.0] * (axes - len(lo))
-        row = [(part << 33) + seq, key[0], key[1], len(ids), np.array(ids, "<i8").tobytes(), np.array(counts, "<i8").tobytes(), x.tobytes(), [*lo.tolist(), *pad], [*hi.tolist(), *pad]]
+        row = [(part << 33) + seq, *key, *(np.array(x, "<i8").tobytes() for x in (ids, marks, counts)), b"".join(raw), [*lo.tolist(), *pad], [*hi.tolist(), *pad]]
         seq += 1
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[x.split()[0] for x in SEQUENCE.split(", ")])
 
     for b in batches:
-        for label, dim, i, n, u in zip(*(b.column(k).to_pylist() for k in range(5))):
-            if held and ((label, dim) != key or len(held) >= INTERVAL):
+        for label, dim, *row in zip(*(b.column(k).to_pylist() for k in range(6))):
+            if held and ((label, dim) != key or len(held) >= max(LEAF, min(INTERVAL, INTERVAL_NUMBERS // dim))):
                 yield close()
                 held = []
             key = (label, dim)
-            held.append((i, n, u))
+            held.append(row)
     if held:
         yield close()
 
@@ -140,34 +153,52 @@ def _join(x, y, at, same, axes, cosine, eps, found):
         found.append((i, j))
 
 
-def _pairs(batches, directions, axes, cosine, eps):
+def _met(x, y, same, axes, cosine, eps):
+    """(rep, mark, links, root) of the links between two intervals (unit vectors, ids, marks, counts)."""
+    found: list = []
+    _join(x[0], y[0], ((0, len(x[0])), (0, len(y[0]))), same, axes, cosine, eps, found)
+    if not found:
+        return None
+    i, j = (np.concatenate(k) for k in zip(*found))
+    _, ids, marks, counts = x
+    if not same:
+        j = j + len(ids)
+        ids, marks, counts = (np.r_[a, b] for a, b in zip(x[1:], y[1:]))
+    links = np.bincount(i, counts[j], minlength=len(ids)) + np.bincount(j, counts[i], minlength=len(ids))
+    at = np.flatnonzero(links)
+    node, root = forest(i, j, len(ids))
+    up = np.arange(len(ids))
+    up[node] = root
+    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(marks[at]), pa.array(links[at].astype(np.int64)), pa.array(ids[up[at]])], names=["rep", "mark", "links", "root"])
+
+
+def _blocks(batches, directions, axes, cosine, eps, kind):
+    """Rows (x, y, interval, dim, partners, ids, marks, counts, vectors) of one (x, y) follow each other and are joined together."""
     d = directions.value
-    for b in batches:
-        for same, dim, ai, ac, av, bi, bc, bv in zip(*(b.column(k).to_pylist() for k in range(8))):
-            x, y = np.frombuffer(av).reshape(-1, dim), np.frombuffer(bv).reshape(-1, dim)
-            found: list = []
-            _join(x, y, ((0, len(x)), (0, len(y))), same, _axes(dim, d, axes), cosine, eps, found)
-            if not found:
-                continue
-            i, j = (np.concatenate(k) for k in zip(*found))
-            ids, counts = np.frombuffer(ai, "<i8"), np.frombuffer(ac, "<i8")
-            if not same:
-                j = j + len(x)
-                ids, counts = np.r_[ids, np.frombuffer(bi, "<i8")], np.r_[counts, np.frombuffer(bc, "<i8")]
-            links = np.bincount(i, counts[j], minlength=len(ids)) + np.bincount(j, counts[i], minlength=len(ids))
-            at = np.flatnonzero(links)
-            node, root = forest(i, j, len(ids))
-            up = np.arange(len(ids))
-            up[node] = root
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at].astype(np.int64)), pa.array(ids[up[at]])], names=["rep", "links", "root"])
-
-
-def _tree_pairs(leaves: DataFrame, eps: float) -> DataFrame:
+    key, held = None, {}
+
+    def joined():
+        for a, (dim, partners, own) in held.items():
+            for b in sorted(partners):
+                got = _met(own, held[b][2], a == b, _axes(dim, d, axes), cosine, eps)
+                if got is not None:
+                    yield got
+
+    for batch in batches:
+        for x, y, interval, dim, partners, ids, marks, counts, raw in zip(*(batch.column(k).to_pylist() for k in range(9))):
+            if (x, y) != key:
+                yield from joined()
+                key, held = (x, y), {}
+            held[interval] = (dim, partners, (unit([raw], kind, dim), *(np.frombuffer(v, "<i8") for v in (ids, marks, counts))))
+    yield from joined()
+
+
+def _tree_pairs(s: Scratch, leaves: DataFrame, eps: float) -> DataFrame:
     """(a, b) pairs of intervals whose boxes are within eps, found from the roots of the tree of boxes downwards."""
     w = Window.partitionBy("label", "dim").orderBy("interval")
     box = [F.col("lo")[k].alias(f"lo{k}") for k in range(AXES)] + [F.col("hi")[k].alias(f"hi{k}") for k in range(AXES)]
     #: One row per interval of INTERVAL vectors, not per vector.
-    n = saved(leaves.select("interval", "label", "dim", (F.row_number().over(w) - 1).alias("node"), *box), "boxes")
+    n = s.saved(leaves.select("interval", "label", "dim", (F.row_number().over(w) - 1).alias("node"), *box), "boxes")
     depth, top = 0, n.agg(F.max("node")).first()[0] or 0
     while top >= FAN ** (depth + 1):
         depth += 1
@@ -188,7 +219,7 @@ def _tree_pairs(leaves: DataFrame, eps: float) -> DataFrame:
     pairs = met(root, root, key)
     for k in range(depth - 1, -1, -1):
         kids = level(k).withColumn("up", F.floor(F.col("at") / FAN).cast("long"))
-        p = saved(pairs.select(F.col("a.label").alias("label"), F.col("a.dim").alias("dim"), F.col("a.at").alias("pa"), F.col("b.at").alias("pb")), "pairs")
+        p = s.saved(pairs.select(F.col("a.label").alias("label"), F.col("a.dim").alias("dim"), F.col("a.at").alias("pa"), F.col("b.at").alias("pb")), "pairs")
         left = p.alias("p").join(kids.alias("k"), (F.col("p.label") == F.col("k.label")) & (F.col("p.dim") == F.col("k.dim")) & (F.col("p.pa") == F.col("k.up"))).select("k.*", "p.pb")
         pairs = met(left, kids, key & (F.col("a.pb") == F.col("b.up")))
     return pairs.select(F.col("a.interval").alias("a"), F.col("b.interval").alias("b"))
@@ -198,34 +229,45 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, *, id_col: str = "vec
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     tune(spark)
+    s = Scratch(spark, "grid_join")
     eps = float(np.sqrt(2 - 2 * cosine))
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
-    ready = v.mapInArrow(_unit, "vec_id long, label long, dim int, unit binary")
-    units = saved(ready.withColumn("key", F.sha2("unit", 256)), "units")
-    reps = saved(units.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("unit").alias("unit")), "reps")
+    kind = "<f4" if v.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+    units = s.saved(v.mapInArrow(partial(_ready, kind=kind), UNITS), "units", stays=True)
+    same = ["label", "dim", "h1", "h2"]
+    groups = units.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    #: Written first, so that the joins have plain inputs and Spark can split a vector that many rows share.
+    groups = s.saved(groups, "groups", stays=True)
+    first = units.join(groups, same).where("vec_id = rep").dropDuplicates(same)
+    lone = units.join(groups, same, "left_anti").withColumn("rep", F.col("vec_id")).withColumn("n", F.lit(1).cast("long"))
+    reps = s.saved(lone.unionByName(first).select("label", "dim", "rep", "n", "h1", "vector"), "reps")
     share = sample_rows / max(1, reps.count())
     by_dim: dict[int, list[bytes]] = {}
-    for dim, u in reps.where(hash_share("rep", 6) < share).select("dim", "unit").limit(2 * sample_rows).collect():
+    for dim, u in reps.where(hash_share("rep", 6) < share).select("dim", "vector").limit(2 * sample_rows).collect():
         by_dim.setdefault(dim, []).append(bytes(u))
-    directions = spark.sparkContext.broadcast({dim: principal(s, axes) for dim, s in by_dim.items() if len(s) > axes})
-    celled = reps.select("label", "dim", "rep", "n", "unit").mapInArrow(partial(_cells, directions=directions, eps=eps, axes=axes), "label long, dim int, rep long, n long, unit binary, cell array<long>")
+    directions = spark.sparkContext.broadcast({dim: principal(unit(x, kind, dim), axes) for dim, x in by_dim.items() if len(x) > axes})
+    celled = reps.mapInArrow(partial(_cells, directions=directions, eps=eps, axes=axes, kind=kind), "label long, dim int, rep long, n long, h1 long, vector binary, cell array<long>")
     order = ["label", "dim", "cell", "rep"]
-    leaves = saved(celled.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_intervals, directions=directions, axes=axes), SEQUENCE), "intervals")
-    p = saved(_tree_pairs(leaves.select("interval", "label", "dim", "lo", "hi"), eps), "interval_pairs")
-    own = lambda c: leaves.select(F.col("interval").alias(c), F.col("dim").alias(f"{c}_dim"), F.col("ids").alias(f"{c}_ids"), F.col("counts").alias(f"{c}_counts"), F.col("vectors").alias(f"{c}_vectors"))
-    j = p.join(own("a"), "a").join(own("b"), "b").select((F.col("a") == F.col("b")).alias("same"), F.col("a_dim").alias("dim"), "a_ids", "a_counts", "a_vectors", "b_ids", "b_counts", "b_vectors")
-    found = saved(j.mapInArrow(partial(_pairs, directions=directions, axes=axes, cosine=cosine, eps=eps), "rep long, links long, root long"), "links")
+    leaves = s.saved(celled.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_intervals, directions=directions, axes=axes, kind=kind), SEQUENCE), "intervals")
+    p = s.saved(_tree_pairs(s, leaves.select("interval", "label", "dim", "lo", "hi"), eps), "interval_pairs")
+    run = lambda c: F.floor(F.col(c) / F.lit(RUN)).cast("long")
+    each = p.select(run("a").alias("x"), run("b").alias("y"), "a", "b")
+    each = each.select("x", "y", F.col("a").alias("interval"), F.col("b").alias("partner")).unionByName(each.select("x", "y", F.col("b").alias("interval"), F.lit(None).cast("long").alias("partner")))
+    met = each.groupBy("x", "y", "interval").agg(F.collect_list("partner").alias("partners"))  # RUN partners at most
+    j = met.join(leaves, "interval").select("x", "y", "interval", "dim", "partners", "ids", "marks", "counts", "vectors")
+    j = j.repartition("x", "y").sortWithinPartitions("x", "y", "interval")
+    found = s.saved(j.mapInArrow(partial(_blocks, directions=directions, axes=axes, cosine=cosine, eps=eps, kind=kind), "rep long, mark long, links long, root long"), "links", stays=True)
     comp = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    done = reps.select("label", "dim", "key", "rep", "n").join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    done = saved(done.select("label", "dim", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "linked")
-    linked = units.select("vec_id", "label", "dim", "key").join(done, ["label", "dim", "key"]).select("vec_id", "n_links", "component_id")
-    out = linked.unionByName(_unlinked(v))
-    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    s.close()
+    own = units.select("vec_id", *same).join(groups, same, "left").select("vec_id", F.col("h1").alias("mark"), F.coalesce("rep", "vec_id").alias("rep"), F.coalesce("n", F.lit(1)).alias("n"))
+    links = found.groupBy("rep", "mark").agg(F.sum("links").alias("links"))
+    out = own.join(links, ["rep", "mark"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    out = out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    return out.unionByName(_unlinked(v)).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
 def _unlinked(v: DataFrame) -> DataFrame:
-    """The rows that link with nothing; the same rule as ``_unit``."""
+    """The rows that link with nothing; the same rule as ``_ready``."""
     x = F.col("embedding")
     big = F.array_max(F.transform(x, lambda e: F.abs(e.cast("double"))))
     odd = F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))

@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import saved, tune
+from strandloom.llm.common import tune
 from strandloom.llm.token_files import encode_all
+from strandloom.scratch import Scratch
 
 PIECES = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, local_rank long"
 
@@ -123,8 +124,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, *, id
     spark = docs.sparkSession
     tune(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    p = saved(d.mapInArrow(partial(_pieces, path=tokenizer, end_id=end_id, most=length, keep=keep_ids), PIECES + (", ids binary" if keep_ids else "")), "pieces")
-    per_task = saved(p.groupBy("length", "part").count(), "lengths")
+    s = Scratch(spark, "packing")
+    p = s.saved(d.mapInArrow(partial(_pieces, path=tokenizer, end_id=end_id, most=length, keep=keep_ids), PIECES + (", ids binary" if keep_ids else "")), "pieces", stays=True)
+    per_task = s.saved(p.groupBy("length", "part").count(), "lengths", stays=True)
     histogram = {r[0]: r[1] for r in per_task.groupBy("length").agg(F.sum("count")).collect()}
     runs = spark.sparkContext.broadcast(shortest_pack_first(histogram, length))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,16 +4,21 @@ A text is parsed into LZ78 phrases: each is the longest phrase met before plus
 one character. The set of phrases, hashed from their characters, is reduced to
 the ``KEPT`` smallest hashes (a minimum-hash signature); the likeness of two
 signatures estimates the Jaccard similarity of the phrase sets, which is high
-where one text compresses well given the other. The dictionary starts anew
-after ``PHRASES`` phrases, so memory is bounded for texts of any length.
+where one text compresses well given the other. Texts are parsed in stretches of ``LONG`` characters that end
+with a phrase; the dictionary goes on from one to the next, and starts anew
+after the stretch in which it reached ``PHRASES`` phrases, so memory is bounded
+for texts of any length.
 
 A fingerprint is the signature in base64; equal texts have equal ones. An
 empty or null text has the empty fingerprint, which is like itself alone.
 
 ``with_edits`` sets each document beside the next in descending id: documents
-are dealt to buckets between quantiles of the id, and the first document of a
-bucket also goes to the bucket before, so every bucket is handled alone. Rows
-with null id come last; ties go by text; a single document follows itself.
+are dealt to buckets between quantiles of the id (an id with more rows than a
+bucket holds is cut further by a hash of the text), and the first document of a
+bucket also goes to the bucket before, so every bucket is handled alone. A
+bucket is read in sorted order, a document at a time. Rows with null id come
+last; ties go by the hash, then by text; a single document follows itself.
+Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,21 +93,23 @@ def _least(hashes: np.ndarray) -> np.ndarray:
 
 def signature(text: str) -> np.ndarray:
     """The smallest hashes of a text's phrases, sorted."""
-    best, at = np.zeros(0, np.uint32), 0
+    best, at, root, made = np.zeros(0, np.uint32), 0, {}, 0
     while at < len(text):
-        #: A phrase has a character at least, so a stretch of PHRASES characters can't overfill the dictionary.
-        stretch, root, ends = text[at : at + PHRASES], {}, []
+        stretch, ends = text[at : at + LONG], []
         _grow(stretch, 0, root, root, ends, None)
-        if not ends or ends[-1] < len(stretch):
+        #: The last phrase of the text is what is left; elsewhere it is parsed again at the beginning of the next stretch.
+        if not ends or (at + len(stretch) == len(text) and ends[-1] < len(stretch)):
             ends.append(len(stretch))
-        best = _least(np.r_[best, _hashes(_points(stretch), ends)])
-        at += len(stretch)
+        best = _least(np.r_[best, _hashes(_points(stretch[: ends[-1]]), ends)])
+        at, made = at + ends[-1], made + len(ends)
+        if made >= PHRASES:
+            root, made = {}, 0
     return best
 
 
 def signatures(text: str, cut: int, tail: str) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of ``text`` and of ``text[:cut] + tail``; the common beginning is parsed once."""
-    if max(len(text), cut + len(tail)) > min(LONG, PHRASES):
+    if max(len(text), cut + len(tail)) > LONG:
         return signature(text), signature(text[:cut] + tail)
     root: dict = {}
     ends: list[int] = []
@@ -190,35 +197,64 @@ def _beside(batches, size=256):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
-def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 2_048) -> DataFrame:
+def _ends(d: DataFrame, bucket_rows: int, most_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (id, hash) of the first document, in descending order, of each bucket; ascending."""
+    n, top = d.agg(F.count(F.lit(1)), F.max("doc_id")).first()
+    wanted = min(most_buckets, -(-n // bucket_rows)) if n else 0
+    if wanted <= 1:
+        cuts = [top] if n else []
+    else:
+        cuts = [*d.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 100_000)).first()[0], top]
+    #: An id that is several quantiles at once is cut as often by its hash.
+    ids, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+    steps = [(i, -(1 << 63) + (1 << 64) * k // m - 1) for i, m in zip(ids.tolist(), times.tolist()) for k in range(1, m + 1)]
+    shared = d.sparkSession.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in (zip(*steps) if steps else ((), ()))))
+    first = d.groupBy(_bucket(shared)("doc_id", "h").alias("b")).agg(F.max(F.struct("doc_id", "h")).alias("m")).select("m.*").collect()
+    found = sorted((r[0], r[1]) for r in first)
+    return np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
+
+
+def place(ends: tuple[np.ndarray, np.ndarray], ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The number of the first end at or above each (id, hash)."""
+    at, hi = np.searchsorted(ends[0], ids), np.searchsorted(ends[0], ids, "right")
+    for k in np.flatnonzero(hi > at):
+        at[k] += np.searchsorted(ends[1][at[k] : hi[k]], h[k])
+    return at
+
+
+def _bucket(shared):
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(place(shared.value, ids.to_numpy(np.int64), h.to_numpy(np.int64)))
+
+    return bucket
+
+
+def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 2_048, most_buckets: int = 100_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text has its last third replaced by the beginning of the next
-    document's text.
+    document's text. The ends of the buckets come to the driver and go to the
+    tasks: 16 bytes for each of at most ``most_buckets``; beyond that, buckets
+    grow, which bounds how many tasks can share the work but not their memory.
     """
     spark = docs.sparkSession
     tune(spark)
     null = -(1 << 63)
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc_id"), F.col(text_col).alias("text"))
-    n, top = d.agg(F.count(F.lit(1)), F.max("doc_id")).first()
-    if not n:
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    ends = _ends(d.select("doc_id", "h"), bucket_rows, most_buckets)
+    if not len(ends[0]):
         return spark.createDataFrame([], OUT)
-    wanted = min(20_000, -(-n // bucket_rows))
-    cuts = []
-    if wanted > 1:
-        cuts = d.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 100_000)).first()[0]
-    #: Largest ids of the buckets, ascending; each is an id that occurs.
-    ends = np.array(sorted({*cuts, top}), np.int64)
     shared = spark.sparkContext.broadcast(ends)
 
     @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        e = shared.value
-        x = ids.to_numpy(np.int64)
-        at = np.searchsorted(e, x)
+    def places(ids: pd.Series, h: pd.Series) -> pd.Series:
+        e, x, y = shared.value, ids.to_numpy(np.int64), h.to_numpy(np.int64)
+        at = place(e, x, y)
+        first = (e[0][at] == x) & (e[1][at] == y)
         #: The first document of a bucket is also the one after the bucket above (after the lowest bucket: the first of all).
-        return pd.Series([[2 * k, 2 * ((k + 1) % len(e)) + 1] if e[k] == i else [2 * k] for k, i in zip(at.tolist(), x.tolist())])
+        return pd.Series([[2 * k, 2 * ((k + 1) % len(e[0])) + 1] if f else [2 * k] for k, f in zip(at.tolist(), first.tolist())])
 
-    p = d.withColumn("place", F.explode(places("doc_id"))).select(F.shiftright("place", 1).alias("bucket"), F.col("place").bitwiseAND(1).alias("ahead"), "doc_id", "text")
-    p = p.repartition("bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc(), "text")
+    p = d.withColumn("place", F.explode(places("doc_id", "h"))).select(F.shiftright("place", 1).alias("bucket"), F.col("place").bitwiseAND(1).alias("ahead"), "doc_id", "text", "h")
+    p = p.repartition("bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc(), F.col("h").desc(), "text").drop("h")
     return p.mapInArrow(_beside, OUT).withColumn("doc_id", F.expr(f"nullif(doc_id, {null + 1} - 1)"))

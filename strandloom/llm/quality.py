@@ -12,7 +12,8 @@ is bounded by that parameter; the weights alone come to the driver.
 
 Null and empty texts have no features: their score is that of the intercept.
 Unlabelled rows teach nothing; without any labels every score is 0.5. Repeated
-rows are scored each; long texts go in segments; other columns are ignored.
+rows are scored each; long texts go in segments; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import segments, tune
-from strandloom.llm.labelled import labelled_sample
+from strandloom.llm.labelled import bounded, labelled_sample
+from strandloom.scratch import Scratch
 
 BITS = 20
 SCALE = 8.0
@@ -112,10 +114,11 @@ def _train(batches, epochs, alpha, beta, l1, l2):
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", fold=None, per_class: int = 4_000, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """(weights of 2 ** BITS features, intercept)."""
     tune(docs.sparkSession)
-    some = labelled_sample(docs, labels, label_col=label_col, per_class={0: per_class, 1: per_class}, fold=fold, seed=3)
+    s, each = Scratch(docs.sparkSession, "quality"), {0: per_class, 1: per_class}
+    some = labelled_sample(docs, labels, label_col=label_col, per_class=each, fold=fold, seed=3)
     f = some.mapInArrow(_extract, "doc_id long, y int, weight double, idx binary, val binary")
-    #: At most 2 * per_class rows meet in the training task.
-    found = f.repartition(1).mapInArrow(partial(_train, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2), "feature long, weight double").toPandas()
+    found = bounded(s, f, each, 3).mapInArrow(partial(_train, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2), "feature long, weight double").toPandas()
+    s.close()
     w = np.zeros((1 << BITS) + 1, np.float32)
     w[found["feature"].to_numpy(int)] = found["weight"].to_numpy(float)
     return w[:-1], float(w[-1])

@@ -5,10 +5,11 @@ SHA-256 of the dictionary, one Zstandard frame per document, the index
 (``INDEX`` records), and a trailer of index offset and document count. A
 single document is read with three small reads: trailer, index, frame.
 
-Documents are dealt by range of doc_id, so shards in order of (part, seq) hold
-the documents in ascending doc_id order (null ids first, ties by text). Null
-and empty texts hold the end id alone. Repeated rows are kept. Other columns
-of the input are ignored.
+Documents are dealt by range of doc_id and hash of the text, so shards in order
+of (part, seq) hold the documents in ascending doc_id order (null ids first,
+ties by that hash), and rows that share an id are split like others. Null and
+empty texts hold the end id alone. Repeated rows are kept; long texts are
+whole. Other columns of the input are ignored; an empty table gives no files.
 
 The dictionary is trained on a bounded sample (``sample_rows`` documents by
 hash of doc_id, ``sample_ids`` ids of each); it only affects size, never
@@ -28,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import get_file, hash_share, open_fs, put_file, rows, saved, scratch, tune
+from strandloom.llm.common import get_file, hash_share, open_fs, put_file, rows, scratch, tune
 from strandloom.llm.words import encoder
+from strandloom.scratch import Scratch
 
 MAGIC = b"STRTOK01"
 INDEX = np.dtype([("valid", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u8")])
@@ -63,7 +65,10 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+    x = np.frombuffer(ids, "<u4")
+    if width < 4 and len(x) and int(x.max()) >> (8 * width):
+        raise ValueError(f"id {int(x.max())} doesn't fit {width} bytes")
+    return x.astype(f"<u{width}").tobytes()
 
 
 def _dictionary(data: bytes):
@@ -115,7 +120,7 @@ def _write(batches, path, end_id, folder, dictionary, width, shard_bytes, level)
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, dictionary_bytes: int = 65_536, sample_rows: int = 1_000, sample_ids: int = 4_096, shard_bytes: int = 32 << 20, width: int = 2, level: int = 3) -> tuple[DataFrame, str]:
     """Writes the files; returns the manifest (a row per shard) and the folder with the dictionary.
 
-    ``width`` 2 holds ids below 65,536, else pass 4. A failed or repeated task
+    ``width`` 2 holds ids below 65,536, else pass 4; a larger id is an error. A failed or repeated task
     leaves a file that the manifest doesn't name; readers go by the manifest.
     """
     spark = docs.sparkSession
@@ -128,8 +133,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: s
     data = train_dictionary(samples, dictionary_bytes)
     put_file(f"{folder}/dictionary-{hashlib.sha256(data).hexdigest()}.zdict", data)
     job = partial(_write, path=tokenizer, end_id=end_id, folder=folder, dictionary=spark.sparkContext.broadcast(data), width=width, shard_bytes=shard_bytes, level=level)
-    dealt = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return saved(dealt.mapInArrow(job, MANIFEST), "manifest"), folder
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = d.repartitionByRange(*order).sortWithinPartitions(*order)
+    return Scratch(spark, "tokens").saved(dealt.mapInArrow(job, MANIFEST), "manifest", stays=True), folder
 
 
 def parse(blob: bytes, dictionary: bytes) -> Iterator[tuple[int | None, bytes, int]]:

@@ -12,8 +12,9 @@ say which sentences offend.
 The fit takes at most ``per_class`` labelled documents of each class, weighted
 back to the classes' shares; its updates run in one Spark task over those
 bounded rows. Null and empty texts have one empty sentence. Unlabelled rows
-teach nothing; without labels every score is 0. Repeated rows are scored each;
-long texts go in segments; other columns are ignored.
+teach nothing; without labels a score is about 1e-13 times the number of
+sentences. Repeated rows are scored each; long texts go in segments; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import segments, tune
-from strandloom.llm.labelled import labelled_sample
+from strandloom.llm.labelled import bounded, labelled_sample
+from strandloom.scratch import Scratch
 
 BITS = 18
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
@@ -103,10 +105,11 @@ def _train(batches, updates, alpha, beta, l1, l2, start):
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fold=None, per_class: int = 4_000, updates: int = 20_000, alpha: float = 0.5, beta: float = 1.0, l1: float = 3.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """(weights of 2 ** BITS features, intercept of a sentence). The sample is passed over until there were ``updates`` of them, 5 to 40 times."""
     tune(docs.sparkSession)
-    some = labelled_sample(docs, labels, label_col=label_col, per_class={0: per_class, 1: per_class}, fold=fold, seed=5)
+    s, each = Scratch(docs.sparkSession, "toxicity"), {0: per_class, 1: per_class}
+    some = labelled_sample(docs, labels, label_col=label_col, per_class=each, fold=fold, seed=5)
     f = some.mapInArrow(_extract, "doc_id long, y int, weight double, idx binary, starts binary")
-    #: At most 2 * per_class rows meet in the training task.
-    found = f.repartition(1).mapInArrow(partial(_train, updates=updates, alpha=alpha, beta=beta, l1=l1, l2=l2, start=-6.0), "feature long, weight double").toPandas()
+    found = bounded(s, f, each, 5).mapInArrow(partial(_train, updates=updates, alpha=alpha, beta=beta, l1=l1, l2=l2, start=-6.0), "feature long, weight double").toPandas()
+    s.close()
     w = np.zeros((1 << BITS) + 1)
     w[-1] = -30.0
     w[found["feature"].to_numpy(int)] = found["weight"].to_numpy(float)

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import hash_share, open_fs, put_file, rows, saved, scratch, tune
+from strandloom.llm.common import hash_share, open_fs, put_file, rows, scratch, tune
 from strandloom.llm.token_files import train_dictionary
+from strandloom.scratch import Scratch
 
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -111,7 +112,7 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     large = p.where(F.col("payload_bytes") >= least).select("digest", "page_id")
     groups = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
     #: Written first, so that the join has two plain inputs and Spark can split a digest that many pages share.
-    groups = saved(groups.select("digest", "first_id"), "groups")
+    groups = Scratch(pages.sparkSession, "warc").saved(groups.select("digest", "first_id"), "groups", stays=True)
     other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     j = p.join(groups, "digest", "left")
     return j.select("page_id", "url", F.when(~other, F.col("html")).alias("html"), "digest", "payload_bytes", F.when(other, F.col("first_id")).alias("refers_to"))
@@ -127,7 +128,7 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     some = p.where(hash_share("page_id", 7) < share).limit(2 * sample_rows)
     data = train_dictionary([r[0] for r in some.mapInArrow(partial(_sample, most=sample_bytes, date=date), "r binary").collect()], dictionary_bytes)
     job = partial(_write, folder=folder, dictionary=spark.sparkContext.broadcast(data), date=date, file_bytes=file_bytes, level=level)
-    return saved(with_revisits(p, least).mapInArrow(job, MANIFEST), "manifest")
+    return Scratch(spark, "warc").saved(with_revisits(p, least).mapInArrow(job, MANIFEST), "manifest", stays=True)
 
 
 def records(uri: str, chunk: int = 1 << 16) -> Iterator[bytes]:

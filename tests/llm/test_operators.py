@@ -14,8 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import grid_join, langid, packing, phrase_prints, pieces, quality, shingle_join, token_files, toxicity, warc, words
-from strandloom.llm.components import connected_components
 from strandloom.llm.queries import tokenizer_file
+from strandloom.operators.components import connected_components
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -175,9 +175,8 @@ def test_components(spark):
         if a is not None and a != b:
             a, b = find(a), find(b)
             up[max(a, b)] = min(a, b)
-    for local in (1_000_000, 20, 0):
-        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), local=local).collect()}
-        assert got == {x: find(x) for x in up}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in up}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 

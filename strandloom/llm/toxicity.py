@@ -68,6 +68,15 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(idx, pa.binary()), pa.array(starts, pa.binary())], names=["doc_id", "y", "weight", "idx", "starts"])
 
 
+def pulls(s: np.ndarray, y: int) -> np.ndarray:
+    """The gradient of a document's log loss under noisy-or by the log odds of its sentences."""
+    p = 1 / (1 + np.exp(-s))
+    if not y:
+        return p
+    none = np.logaddexp(0, s).sum()  # -log of the chance that no sentence offends
+    return -p * np.exp(-none) / max(1e-9, -np.expm1(-none))
+
+
 def _train(batches, updates, alpha, beta, l1, l2, start):
     rows = []
     for b in batches:
@@ -87,10 +96,7 @@ def _train(batches, updates, alpha, beta, l1, l2, start):
         for _, _, y, weight, u, inverse, own, k in rows:
             w = weights(u)
             s = np.clip(bias + np.bincount(own, w[inverse], minlength=k), -30, 30)
-            p = 1 / (1 + np.exp(-s))
-            none = np.logaddexp(0, s).sum()  # -log of the chance that no sentence offends
-            pull = p if not y else -p * np.exp(-none) / max(1e-9, -np.expm1(-none))
-            pull = pull * (weight / mean)
+            pull = pulls(s, y) * (weight / mean)
             g = np.bincount(inverse, pull[own], minlength=len(u))
             z[u] += g - (np.sqrt(n[u] + g * g) - np.sqrt(n[u])) / alpha * w
             n[u] += g * g

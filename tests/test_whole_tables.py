@@ -179,10 +179,11 @@ def test_long_chains_are_one_component(spark, tmp_path):
     random.Random(7).shuffle(order)
     pairs = spark.createDataFrame(list(zip(order, order[1:])), "id_a long, id_b long")
     ids = spark.range(n + 1)
-    got = {r.id: r.component for r in components(pairs, ids).collect()}
-    assert got == {k: 0 for k in range(n)} | {n: n}
+    for most in (1, 30, 1_000_000):  # many rounds, some, one task
+        got = {r.id: r.component for r in components(pairs, ids, edges_per_task=most).collect()}
+        assert got == {k: 0 for k in range(n)} | {n: n}
     with pytest.raises(RuntimeError):
-        components(pairs, ids, most_rounds=1)
+        components(pairs, ids, most_rounds=1, edges_per_task=1)
     sf = put(spark, tmp_path, "embeddings", [(k, [float(k <= i < k + 10) for i in range(n + 10)], "x") for k in range(n)], "vec_id long, embedding array<double>, label string")
     near = {k: {j for j in range(n) if j != k and abs(j - k) <= 4} for k in range(n)}  # (10 - 4) / (10 + 4) >= 0.35
     free, want = set(near), {}

@@ -163,16 +163,27 @@ def single_causal_credible_set(df: DataFrame, *, by: list[str], key: str = "snp"
     return d.withColumn("cumulative", F.sum("pip").over(w)).withColumn("in_set", F.col("cumulative") - F.col("pip") < coverage).drop("_a", "_e")
 
 
-def concordance_tier(df: DataFrame, rules: dict[str, tuple[str, float]]) -> DataFrame:
-    """How many evidence streams pass (null doesn't), how many are available, and the tier."""
-    passed, there = F.lit(0), F.lit(0)
-    for c, (op, v) in rules.items():
-        x = F.col(c)
-        cond = {">=": x >= v, ">": x > v, "<=": x <= v, "<": x < v}[op]
-        passed = passed + F.coalesce(cond, F.lit(False)).cast("int")
-        there = there + x.isNotNull().cast("int")
-    n = F.col("n_passed")
-    return df.withColumn("n_passed", passed).withColumn("n_available", there).withColumn("tier", F.when(n >= 4, "high").when(n >= 2, "moderate").when(n >= 1, "low").otherwise("none"))
+def concordance_tier(df: DataFrame) -> DataFrame:
+    """How many of six evidence streams pass (missing values don't), how many are available, and the tier.
+
+    Streams: fine mapping (pip_top_variant and credible_set_purity above 0.5),
+    coloc_pph4 from 0.7, distance_to_tss up to 100 kb, pops_decile_rank 1,
+    l2g_score from 0.5, and abc_score from 0.02 or encode_re2g_score from 0.5.
+    """
+    c = F.col
+    streams = [
+        ((c("pip_top_variant") > 0.5) & (c("credible_set_purity") > 0.5), c("pip_top_variant").isNotNull() & c("credible_set_purity").isNotNull()),
+        (c("coloc_pph4") >= 0.7, c("coloc_pph4").isNotNull()),
+        (c("distance_to_tss") <= 100_000, c("distance_to_tss").isNotNull()),
+        (c("pops_decile_rank") == 1, c("pops_decile_rank").isNotNull()),
+        (c("l2g_score") >= 0.5, c("l2g_score").isNotNull()),
+        ((c("abc_score") >= 0.02) | (c("encode_re2g_score") >= 0.5), c("abc_score").isNotNull() | c("encode_re2g_score").isNotNull()),
+    ]
+    passed = sum((F.coalesce(p, F.lit(False)).cast("int") for p, _ in streams), F.lit(0))
+    there = sum((a.cast("int") for _, a in streams), F.lit(0))
+    n = F.col("concordance")
+    tier = F.when(n >= 5, "near_certain").when(n >= 4, "strong").when(n >= 3, "high").when(n >= 2, "suggestive").otherwise("associational_only")
+    return df.withColumn("concordance", passed).withColumn("n_streams_available", there).withColumn("tier", tier)
 
 
 def snp_to_gene(variants: DataFrame, scores: DataFrame, *, key: str = "snp") -> tuple[DataFrame, DataFrame]:

@@ -8,11 +8,11 @@ intervals then fall into few bins, and a hot contig spreads over many keys.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.scratch import Scratch
+
 
 def _bins(start: Column, stop: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor((F.greatest(stop, start + 1) - 1) / width).cast("long")))
@@ -59,7 +59,8 @@ def interval_semi(a: DataFrame, regions: DataFrame, *, contig: str = "contig", s
     on = (F.col(contig) == F.col("_c")) & (F.col("_bin") == F.col("_b")) & (F.col(start) < F.col("_e")) & (F.col("_s") < F.col(stop))
     if not anti:
         return x.join(r, on, "left_semi").dropDuplicates(["_id"]).select(*a.columns)
-    return x.join(r, on, "left").groupBy("_id", *a.columns).agg(F.max("_hit").alias("_hit")).where("_hit is null").select(*a.columns)
+    row = F.any_value(F.struct(*[F.col(f"`{c}`") for c in a.columns])).alias("_row")
+    return x.join(r, on, "left").groupBy("_id").agg(F.max("_hit").alias("_hit"), row).where("_hit is null").select("_row.*")
 
 
 def interval_anti(a: DataFrame, regions: DataFrame, **how) -> DataFrame:
@@ -67,11 +68,13 @@ def interval_anti(a: DataFrame, regions: DataFrame, **how) -> DataFrame:
 
 
 def point_in_segment(points: DataFrame, segments: DataFrame, *, contig: str = "contig", at: str = "at", start: str = "start", stop: str = "stop", value: str = "copy_number", width: int = 1024) -> DataFrame:
-    """Left join of points to the segment that holds them; of several, the one that starts first (then the least value)."""
-    s = segments.select(F.col(contig).alias("_c"), F.col(start).alias("_s"), F.col(stop).alias("_e"), F.col(value).alias("_v")).withColumn("_b", _bins(F.col("_s"), F.col("_e"), width))
-    on = (F.col(contig) == F.col("_c")) & (F.floor(F.col(at) / width).cast("long") == F.col("_b")) & (F.col(at) >= F.col("_s")) & (F.col(at) < F.col("_e"))
-    j = points.join(s, on, "left")
-    return j.groupBy(*points.columns).agg(F.min(F.struct("_s", "_v")).alias("_m")).select(*points.columns, F.col("_m._v").alias(value))
+    """Left join of points to the segment that holds them, both its ends included; of several, the one that starts first (then the least value). Repeated points stay as they are."""
+    s = segments.select(F.col(contig).alias("_c"), F.col(start).alias("_s"), F.col(stop).alias("_e"), F.col(value).alias("_v")).withColumn("_b", _bins(F.col("_s"), F.col("_e") + 1, width))
+    p = points.select(F.col(contig).alias("_pc"), F.col(at).alias("_pa")).distinct()
+    on = (F.col("_pc") == F.col("_c")) & (F.floor(F.col("_pa") / width).cast("long") == F.col("_b")) & (F.col("_pa") >= F.col("_s")) & (F.col("_pa") <= F.col("_e"))
+    found = p.join(s, on).groupBy("_pc", "_pa").agg(F.min(F.struct("_s", "_v")).alias("_m"))
+    j = points.join(found, (F.col(contig) == F.col("_pc")) & (F.col(at) == F.col("_pa")), "left")
+    return j.select(*[F.col(f"`{c}`") for c in points.columns], F.col("_m._v").alias(value))
 
 
 def flank_join(sites: DataFrame, genes: DataFrame, *, flank: int, contig: str = "contig", at: str = "pos", start: str = "start", stop: str = "stop", width: int = 1024) -> DataFrame:
@@ -130,32 +133,42 @@ def variant_near_outlier(variants: DataFrame, outliers: DataFrame, *, distance:
     return j.select(F.col("a_chrom").alias("chrom"), F.col("a_pos").alias("pos"), F.col("a_sample").alias("sample"), F.col("b_event_start").alias("event_start"), F.col("b_event_stop").alias("event_stop")).distinct()
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    d = pdf.sort_values(["score", "start", "id"], ascending=[False, True, True])
-    kept_start, kept_stop, keep = np.zeros(0), np.zeros(0), []
-    for s, e in zip(d["start"], d["stop"]):
-        free = not ((kept_start < e) & (kept_stop > s)).any()
-        keep.append(free)
-        if free:
-            kept_start, kept_stop = np.append(kept_start, s), np.append(kept_stop, e)
-    return d[keep]
-
-
-def consensus_peaks(peaks: DataFrame, *, half: int = 250, blacklist: DataFrame | None = None) -> DataFrame:
+def consensus_peaks(peaks: DataFrame, *, half: int = 250, blacklist: DataFrame | None = None, tile: int = 1 << 16, most_rounds: int = 1_000) -> DataFrame:
     """Fixed-width peaks around summits (contig, summit, score, id), kept greedily by score so that none overlap: contig, start, stop, score, id.
 
-    Only peaks of one overlapping run compete, so the greedy choice runs per
-    run, in one task each; runs are as long as the stretch of genome they cover.
+    A peak that is best among all that overlap it is kept before any of them,
+    so a round keeps all such peaks at once and drops what they overlap; that
+    is the greedy choice. Of peaks at one start only the best can be kept.
+    Windows run over the width of a peak within tiles, whose rows near a border
+    also go to the neighbouring tile, so none spans a contig.
     """
+    width = 2 * half + 1
     p = peaks.select("contig", (F.col("summit") - half).alias("start"), (F.col("summit") + half + 1).alias("stop"), F.col("score").cast("double").alias("score"), "id").where("start >= 0")
     if blacklist is not None:
         p = interval_anti(p, blacklist)
-    w = Window.partitionBy("contig").orderBy("start", "stop", "id")
-    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    run = F.sum(F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    d = p.withColumn("run", run)
-    out = d.groupBy("contig", "run").applyInPandas(lambda pdf: _greedy(pdf)[["contig", "start", "stop", "score", "id"]], "contig string, start long, stop long, score double, id long")
-    return out
+    s = Scratch(peaks.sparkSession, "peaks")
+    rank = F.struct((-F.col("score")).alias("a"), F.col("id").alias("b"))
+    p = p.groupBy("contig", "start").agg(F.min(rank).alias("r")).withColumn("rank", F.struct(F.col("r.a").alias("a"), F.col("start").alias("s"), F.col("r.b").alias("b"))).select("contig", "start", "rank")
+    left, out = s.saved(p, "left"), None
+    at = F.floor(F.col("start") / tile)
+
+    def tiled(d: DataFrame) -> DataFrame:
+        """Rows by tile, with those of other tiles within a width of it (``own`` false)."""
+        near = F.array_distinct(F.array(F.floor((F.col("start") - width) / tile), at, F.floor((F.col("start") + width) / tile)))
+        return d.withColumn("t", F.explode(near)).withColumn("own", F.col("t") == at)
+
+    w = Window.partitionBy("contig", "t").orderBy("start").rangeBetween(-(width - 1), width - 1)
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            if out is None:
+                out = left
+            s.close()
+            return out.select("contig", "start", (F.col("start") + width).alias("stop"), (-F.col("rank.a")).alias("score"), F.col("rank.b").alias("id"))
+        now = s.saved(tiled(left).withColumn("best", F.min("rank").over(w)).where("own and rank = best").select("contig", "start", "rank"), "kept", stays=True)
+        out = now if out is None else out.unionByName(now)
+        marked = left.join(now.select("contig", "start", F.lit(True).alias("won")), ["contig", "start"], "left").withColumn("won", F.coalesce("won", F.lit(False)))
+        left = s.saved(tiled(marked).withColumn("hit", F.max("won").over(w)).where("own and not hit").select("contig", "start", "rank"), "left", stays=True)
+    raise RuntimeError("the peaks did not end")
 
 
 def to_saf(peaks: DataFrame) -> DataFrame:

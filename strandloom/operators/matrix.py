@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import tails
 from strandloom.operators.intervals import point_in_segment
-from strandloom.operators.stats import adjust_p, rank_sum_test, ranked
+from strandloom.operators.stats import adjust_p, rank_sums, ranked
 
 
 def median(c: str | Column) -> Column:
@@ -87,16 +87,18 @@ def unmeasurable_groups(samples: DataFrame, *, group: str = "grp") -> DataFrame:
     return samples.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n = 1")
 
 
-def sample_swap_check(df: DataFrame, samples: DataFrame, *, top: int = 500, feature: str = "feature", sample: str = "sample", group: str = "grp", value: str = "x") -> DataFrame:
-    """The group each sample correlates with best, over complete features of greatest variance, centred per feature."""
+def sample_swap_check(df: DataFrame, samples: DataFrame, *, top: int = 300, feature: str = "feature", sample: str = "sample", group: str = "grp", value: str = "x") -> DataFrame:
+    """Mean correlation of each sample to its own group and to the best one, over complete features of greatest variance, centred per feature. A group of one can't be measured; ties go to the first group."""
     n = samples.count()
     f = df.where(F.col(value).isNotNull()).groupBy(feature).agg(F.count(F.lit(1)).alias("k"), F.var_samp(value).alias("v"), F.avg(value).alias("_m")).where(F.col("k") == n).orderBy(F.col("v").desc(), feature).limit(top)
     d = df.join(f.select(feature, "_m"), feature).withColumn(value, F.col(value) - F.col("_m")).drop("_m")
     c = sample_correlations(d, feature=feature, sample=sample, value=value)
     both = c.select(F.col(f"{sample}_a").alias(sample), F.col(f"{sample}_b").alias("_o"), "pearson").unionByName(c.select(F.col(f"{sample}_b").alias(sample), F.col(f"{sample}_a").alias("_o"), "pearson"))
     m = both.join(samples.select(F.col(sample).alias("_o"), F.col(group).alias("_g")), "_o").groupBy(sample, "_g").agg(F.avg("pearson").alias("_c"))
-    best = m.groupBy(sample).agg(F.max(F.struct("_c", "_g")).alias("_b")).select(sample, F.col("_b._g").alias("best_group"), F.col("_b._c").alias("mean_correlation"))
-    return samples.select(sample, group).join(best, sample).withColumn("swapped", F.col(group) != F.col("best_group"))
+    best = m.groupBy(sample).agg(F.min(F.struct((-F.col("_c")).alias("c"), "_g")).alias("_b")).select(sample, F.col("_b._g").alias("best_group"), (-F.col("_b.c")).alias("r_best"))
+    own = m.select(sample, F.col("_g").alias(group), F.col("_c").alias("r_own"))
+    j = samples.select(sample, group).join(best, sample, "left").join(own, [sample, group], "left")
+    return j.withColumn("status", F.when(F.col("r_own").isNotNull(), "measured").otherwise("not_measurable_n1")).withColumn("possible_swap", F.when(F.col("r_own").isNotNull(), F.col(group) != F.col("best_group")))
 
 
 def normalize_cpm_log(df: DataFrame, *, sample: str = "sample", value: str = "n", scale: float | str = 1e6, log: str = "log2", offset: float = 1.0, out: str = "x") -> DataFrame:
@@ -119,11 +121,11 @@ def guide_lfc(df: DataFrame, *, late: list, plasmid, controls: Column, feature:
     return g.crossJoin(g.where(controls).agg(median("lfc").alias("_m"))).select(feature, (F.col("lfc") - F.coalesce("_m", F.lit(0.0))).alias("lfc"))  # one row
 
 
-def gene_zscore(df: DataFrame, null: DataFrame, *, gene: str = "gene", value: str = "lfc") -> DataFrame:
-    """Per gene: mean, sd, n, z against the null set's median and sd, p and BH."""
-    n = null.agg(median(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    g = df.groupBy(gene).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n")).crossJoin(n)  # one row
-    g = g.withColumn("z", (F.col("mean") - F.col("_m")) / (F.col("_s") / F.sqrt("n"))).drop("_m", "_s")
+def gene_zscore(df: DataFrame, *, controls: Column | None = None, gene: str = "gene", value: str = "lfc") -> DataFrame:
+    """Per gene: mean, sd, n, z of its mean against the median and sd of the control genes' means (of all genes without controls), p and BH."""
+    g = df.groupBy(gene).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
+    null = (g if controls is None else g.where(controls)).agg(median("mean").alias("_m"), F.stddev_samp("mean").alias("_s"))
+    g = g.crossJoin(null).withColumn("z", (F.col("mean") - F.col("_m")) / F.nullif("_s", F.lit(0.0))).drop("_m", "_s")  # one row
     return adjust_p(g.withColumn("p", tails.norm_two_sided("z")))
 
 
@@ -134,12 +136,17 @@ def second_best(df: DataFrame, *, gene: str = "gene", value: str = "lfc", guide:
 
 
 def gene_rank_test(df: DataFrame, null: DataFrame, *, gene: str = "gene", value: str = "lfc", floor: float = -1.0, alpha: float = 0.05) -> DataFrame:
-    """Per gene: median, one-sided rank test against the null guides (lower), BH and call. The null set is a bounded list of control guides."""
+    """Per gene: median, one-sided rank test against the null guides (lower), BH and call.
+
+    p is exact where either side has eight values at most and none are tied,
+    else normal with continuity correction. The null set is a bounded list of
+    control guides.
+    """
     genes = df.select(gene).distinct()
     both = df.select(gene, value, F.lit(True).alias("is_case")).unionByName(genes.crossJoin(F.broadcast(null.select(value))).select(gene, value, F.lit(False).alias("is_case")))
-    t = rank_sum_test(both, feature=gene, value=value).withColumn("p", tails.norm_upper(-F.col("z")))
+    t = rank_sums(both, feature=gene, value=value).withColumn("p", tails.rank_less_p("u", "n1", "n2", "ties"))
     m = df.groupBy(gene).agg(median(value).alias("median_lfc"))
-    q = adjust_p(m.join(t.select(gene, "u", "z", "p"), gene))
+    q = adjust_p(m.join(t.select(gene, "u", "p"), gene))
     return q.withColumn("call", (F.col("q") < alpha) & (F.col("median_lfc") <= floor))
 
 
@@ -151,11 +158,27 @@ def copy_number_correct(df: DataFrame, segments: DataFrame, *, gene: str = "gene
     return d.join(seg, ["contig", "segment_cn"], "left").withColumn("copy_number", F.col("segment_cn.copy_number")).withColumn("residual", F.col(value) - F.coalesce(F.when(off, F.col("_m")), F.lit(0.0))).drop("_g", "_m", "segment_cn")
 
 
-def cn_bias(df: DataFrame, *, value: str = "lfc", cn: str = "copy_number", bins: int = 5) -> DataFrame:
-    """Mean value by quintile of copy number, with the gap between amplified (> 4) and diploid (1.5 to 2.5) genes."""
-    e = df.agg(F.percentile(cn, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_e"), F.avg(F.when(F.col(cn) > 4, F.col(value))).alias("_amp"), F.avg(F.when(F.col(cn).between(1.5, 2.5), F.col(value))).alias("_dip"))
+def cn_bias(df: DataFrame, *, value: str = "lfc", cn: str = "copy_number", bins: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(one row, a row per bin) of the dependence of gene values on copy number.
+
+    The row has Spearman's rho and its p, amplified (> 4) and diploid (1.5 to
+    2.5) genes, their means, the gap and the rank test's p that amplified genes
+    are lower (with three on each side), and the flag. Bins are quantiles of
+    copy number, closed on the right.
+    """
+    r = ranked(ranked(df.select(value, cn), value, ties="average", out="_a"), cn, ties="average", out="_b")
+    amp, dip = F.col(cn) > 4, F.col(cn).between(1.5, 2.5)
+    g = r.agg(F.corr("_a", "_b").alias("rho"), F.count(F.lit(1)).alias("n"), F.count_if(amp).alias("amplified"), F.count_if(dip).alias("diploid"), F.avg(F.when(amp, F.col(value))).alias("amplified_mean"), F.avg(F.when(dip, F.col(value))).alias("diploid_mean"))
+    t = rank_sums(df.where(amp | dip).select(F.lit(1).alias("feature"), F.col(value).alias("value"), amp.alias("is_case"))).withColumn("_p", tails.rank_less_p("u", "n1", "n2", "ties")).select("_p")
+    j = g.join(t, F.lit(True), "left")  # one row each
+    enough = (F.col("amplified") >= 3) & (F.col("diploid") >= 3)
+    j = j.withColumn("p", tails.t_p(F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0))), (F.col("n") - 2).cast("double")))
+    j = j.withColumn("gap", F.when(enough, F.col("amplified_mean") - F.col("diploid_mean"))).withColumn("p_gap", F.when(enough, F.col("_p")))
+    flag = ((F.col("rho") < -0.1) & (F.col("p") < 0.01)) | F.coalesce((F.col("gap") < -0.5) & (F.col("p_gap") < 0.01), F.lit(False))
+    e = df.agg(F.array_distinct(F.percentile(cn, F.array(*[F.lit(k / bins) for k in range(1, bins)]))).alias("_e"))
     d = df.crossJoin(F.broadcast(e)).withColumn("bin", F.size(F.filter("_e", lambda x: x < F.col(cn))))  # one row
-    return d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(cn).alias("mean_cn"), F.avg(value).alias("mean_lfc"), F.first("_amp").alias("_a"), F.first("_dip").alias("_d")).select("bin", "n", "mean_cn", "mean_lfc", (F.col("_a") - F.col("_d")).alias("gap"))
+    per = d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), median(value).alias("median"), F.stddev_samp(value).alias("sd"))
+    return j.select("rho", "p", "n", "amplified", "diploid", "amplified_mean", "diploid_mean", "gap", "p_gap", F.coalesce(flag, F.lit(False)).alias("cn_bias")), per
 
 
 def genetic_interaction(pairs: DataFrame, singles: DataFrame) -> DataFrame:
@@ -166,13 +189,13 @@ def genetic_interaction(pairs: DataFrame, singles: DataFrame) -> DataFrame:
     g = g.withColumn("expected", F.col("_a") + F.col("_b")).withColumn("gi", F.col("mean") - F.col("expected")).drop("_a", "_b")
     g = g.crossJoin(g.agg(F.avg("gi").alias("_m"), F.stddev_pop("gi").alias("_s"))).withColumn("z", (F.col("gi") - F.col("_m")) / F.nullif("_s", F.lit(0.0))).drop("_m", "_s")  # one row
     q = adjust_p(g.withColumn("p", tails.norm_two_sided("z")))
-    return q.withColumn("class", F.when((F.col("q") < 0.05) & (F.col("gi") < 0), "synthetic lethal").when((F.col("q") < 0.05) & (F.col("gi") > 0), "buffering").otherwise("none"))
+    return q.withColumn("class", F.when((F.col("q") < 0.05) & (F.col("z") < 0), "synthetic_lethal").when((F.col("q") < 0.05) & (F.col("z") > 0), "synthetic_rescue").otherwise("no_interaction"))
 
 
 def dose_consistent(df: DataFrame, *, gene: str = "gene", dose: str = "dose", effect: str = "effect", fdr: str = "fdr", alpha: float = 0.05) -> DataFrame:
     """Genes of one sign at all doses and significant at the top dose, with whether the effect grows with every step."""
     w = Window.partitionBy(gene).orderBy(dose)
-    d = df.withColumn("_step", F.abs(effect) >= F.coalesce(F.abs(F.lag(effect).over(w)), F.lit(0.0)))
+    d = df.where(F.col(effect).isNotNull()).withColumn("_step", F.abs(effect) >= F.coalesce(F.abs(F.lag(effect).over(w)), F.lit(0.0)))
     g = d.groupBy(gene).agg(F.min(F.signum(effect)).alias("_a"), F.max(F.signum(effect)).alias("_b"), F.max_by(fdr, dose).alias("top_fdr"), F.max_by(effect, dose).alias("top_effect"), F.min("_step").alias("monotonic"))
     return g.where((F.col("_a") == F.col("_b")) & (F.col("_a") != 0) & (F.col("top_fdr") < alpha)).select(gene, "top_effect", "top_fdr", "monotonic")
 
@@ -210,23 +233,39 @@ def irs_bridge(df: DataFrame, *, feature: str = "feature", plex: str = "plex", i
     return df.join(r, [feature, plex], "left").join(t, feature, "left").withColumn("bridged", F.col(value) * F.col("_g") / F.col("_r")).drop("_r", "_g", "_k")
 
 
-def apms_score(df: DataFrame, *, prey: str = "prey", run: str = "run", is_control: str = "is_control", value: str = "value", cut: float = 2.0) -> DataFrame:
-    """log2 enrichment of a prey's mean in baits over controls, each control without it at its run's floor; the worst case is over the largest control."""
-    floors = df.where(F.col(is_control)).groupBy(run).agg(F.min(F.when(F.col(value) > 0, F.col(value))).alias("floor"))
-    dead = floors.where("floor is null").count()
-    alive = floors.where("floor is not null")
-    c = df.select(prey).distinct().crossJoin(F.broadcast(alive)).join(df.where(F.col(is_control)).select(prey, run, value), [prey, run], "left")  # controls are few runs
-    c = c.withColumn("_v", F.greatest(F.coalesce(F.col(value), F.col("floor")), F.col("floor"))).groupBy(prey).agg(F.avg("_v").alias("control_mean"), F.max("_v").alias("control_max"))
-    b = df.where(~F.col(is_control)).groupBy(prey).agg(F.avg(value).alias("bait_mean"))
-    j = b.join(c, prey)
-    return j.select(prey, F.log2(F.col("bait_mean") / F.col("control_mean")).alias("enrichment"), F.log2(F.col("bait_mean") / F.col("control_max")).alias("worst_case"), (F.log2(F.col("bait_mean") / F.col("control_max")) >= cut).alias("call"), F.lit(dead).cast("long").alias("dead_controls"))
+def apms_score(df: DataFrame, *, prey: str = "prey", run: str = "run", is_control: str = "is_control", value: str = "value", cut: float = 2.0, least_baits: int | None = None) -> DataFrame:
+    """log2 enrichment of preys (prey, run, is_control, value; 0 and missing: not detected) in baits over controls, and the call.
+
+    A control run without a prey counts at its own floor (its least value);
+    control runs without data are left out. The worst case is the weakest bait
+    over the strongest control. Called are preys in ``least_baits`` bait runs
+    (all of them) that no control has or whose enrichment reaches ``cut``.
+    """
+    c, seen = F.col(is_control), F.col(value) > 0
+    runs = df.groupBy(run).agg(F.max(c).alias("_c"), F.min(F.when(seen, F.log2(F.col(value).cast("double")))).alias("_floor"))
+    n_baits, n_alive, n_controls = runs.agg(F.count_if(~F.col("_c")), F.count_if(F.col("_c") & F.col("_floor").isNotNull()), F.count_if("_c")).first()
+    if n_controls and not n_alive:
+        raise ValueError("every control run is empty")
+    d = df.where(seen).select(prey, run, c.alias("_c"), F.log2(F.col(value).cast("double")).alias("_l"))
+    floors = runs.where("_c and _floor is not null").select(run, "_floor")
+    grid = df.select(prey).distinct().crossJoin(F.broadcast(floors))  # control runs are few
+    con = grid.join(d.where("_c"), [prey, run], "left").groupBy(prey).agg(F.count("_l").alias("n_ctrl"), F.avg(F.coalesce("_l", "_floor")).alias("_mean"), F.max(F.coalesce("_l", "_floor")).alias("_max"))
+    bait = d.where("not _c").groupBy(prey).agg(F.count(F.lit(1)).alias("n_bait"), F.avg("_l").alias("_b"), F.min("_l").alias("_low"))
+    j = con.join(bait, prey, "left").fillna(0, ["n_bait"])
+    enrich = F.col("_b") - F.col("_mean")
+    call = (F.col("n_bait") >= (least_baits or n_baits)) & ((F.col("n_ctrl") == 0) | F.coalesce(enrich >= cut, F.lit(False)))
+    return j.select(prey, "n_bait", "n_ctrl", F.lit(n_alive).cast("long").alias("n_ctrl_runs_used"), enrich.alias("log2_enrichment"), (F.col("_low") - F.col("_max")).alias("worst_case_log2"), call.alias("interactor"))
 
 
 def silac_checks(df: DataFrame, *, heavy: str = "heavy", light: str = "light", prolines: str = "prolines") -> DataFrame:
-    """Incorporation over proline-free peptides and the slope of log2 H/L on the number of prolines."""
-    free = F.col(prolines) == 0
-    h, t = F.sum(F.when(free, F.col(heavy))), F.sum(F.when(free, F.col(heavy) + F.col(light)))
-    return df.where((F.col(heavy) > 0) & (F.col(light) > 0)).agg((h / t).alias("incorporation"), F.regr_slope(F.log2(F.col(heavy) / F.col(light)), F.col(prolines).cast("double")).alias("proline_slope"), F.count(F.lit(1)).alias("peptides"))
+    """One row: incorporation over proline-free peptides with signal, their median and how many are below 95 %, the bias it gives a 1:1 mix, and the slope of log2 H/L on the number of prolines."""
+    h, t = F.coalesce(F.col(heavy), F.lit(0.0)), F.coalesce(F.col(heavy), F.lit(0.0)) + F.coalesce(F.col(light), F.lit(0.0))
+    use = (t > 0) & (F.col(prolines) == 0)
+    share = F.when(use, h / F.nullif(t, F.lit(0.0)))
+    ratio = F.when((F.col(heavy) > 0) & (F.col(light) > 0), F.log2(F.col(heavy) / F.col(light)))
+    g = df.agg(F.count_if(use).alias("n_peptides"), F.count_if(t > 0).alias("n_signal_peptides"), (F.sum(F.when(use, h)) / F.sum(F.when(use, t))).alias("incorporation"), median(share).alias("median_peptide_incorporation"), F.count_if(share < 0.95).alias("peptides_below_95pct"), F.regr_slope(ratio, F.when(ratio.isNotNull(), F.col(prolines).cast("double"))).alias("log2_slope_per_proline"))
+    e = F.col("incorporation")
+    return g.withColumn("expected_log2_bias_at_1to1", F.log2(e / (2 - e))).withColumn("conversion_per_proline", 1 - F.pow(F.lit(2.0), F.col("log2_slope_per_proline"))).withColumn("pass_95pct", e >= 0.95)
 
 
 def cv_and_missingness(df: DataFrame, samples: DataFrame, *, feature: str = "feature", sample: str = "sample", group: str = "grp", value: str = "value") -> DataFrame:
@@ -395,7 +434,7 @@ def isotope_matrix(carbons: int, natural: float = 0.0107) -> np.ndarray:
 
 
 def isotope_correct(df: DataFrame, *, areas: str = "areas", carbons: str = "carbons", purity: str = "purity") -> DataFrame:
-    """Corrected mass isotopologue distribution of an array of areas (M+0, M+1, ...) and the enrichment, over the tracer's purity."""
+    """Mass isotopologue distribution of an array of areas (M+0, M+1, ...), corrected for natural isotopes and then for the tracer's purity, and the mean enrichment per carbon."""
 
     @F.pandas_udf("mid array<double>, enrichment double")
     def correct(a: pd.Series, n: pd.Series, p: pd.Series) -> pd.DataFrame:
@@ -407,8 +446,10 @@ def isotope_correct(df: DataFrame, *, areas: str = "areas", carbons: str = "carb
             v = np.asarray(v, float)[: c + 1]
             y[: len(v)] = v
             x = np.clip(np.linalg.lstsq(m, y, rcond=None)[0], 0, None)
+            if q < 1:
+                x = np.clip(np.linalg.lstsq(kept.setdefault((c, q), isotope_matrix(c, 1 - q)), x, rcond=None)[0], 0, None)
             x = x / x.sum() if x.sum() else x
-            out.append((x.tolist(), float((x * np.arange(c + 1)).sum() / c / q) if c else None))
+            out.append((x.tolist(), float((x * np.arange(c + 1)).sum() / c) if c and x.sum() else None))
         return pd.DataFrame(out, columns=["mid", "enrichment"])
 
     return df.withColumn("_c", correct(areas, carbons, purity)).withColumn("mid", F.col("_c.mid")).withColumn("enrichment", F.col("_c.enrichment")).drop("_c")
@@ -509,10 +550,10 @@ def sample_raw_qc(df: DataFrame, samples: DataFrame, *, sample: str = "sample",
 def run_metrics(df: DataFrame, *, run: str = "run", rt: str = "rt", predicted: str = "predicted", width: str = "width", q: str = "q", alpha: float = 0.01) -> DataFrame:
     """Per run: rows at the q cut, r2 of retention time on its prediction, median peak width, flag (r2 below 0.99 or width over 1.25 of the median)."""
     g = df.where((F.col(q) <= alpha) & F.col(rt).isNotNull() & F.col(predicted).isNotNull() & F.col(width).isNotNull()).groupBy(run).agg(F.count(F.lit(1)).alias("rows"), F.pow(F.corr(rt, predicted), 2).alias("r2"), median(width).alias("median_width"))
-    return g.crossJoin(g.agg(median("median_width").alias("_m"))).select(run, "rows", "r2", "median_width", ((F.col("r2") < 0.99) | (F.col("median_width") > 1.25 * F.col("_m"))).alias("flag"))  # one row
+    return g.crossJoin(g.agg(median("median_width").alias("_m"))).select(run, "rows", "r2", "median_width", (F.col("median_width") / F.col("_m")).alias("width_vs_median"), ((F.col("r2") < 0.99) | (F.col("median_width") / F.col("_m") > 1.25)).alias("flag"))  # one row
 
 
-def guide_efficacy_summary(scores: DataFrame, mapping: DataFrame, *, low: float = 0.2) -> DataFrame:
+def guide_efficacy_summary(scores: DataFrame, mapping: DataFrame, *, low: float = 0.3) -> DataFrame:
     """One row: guides, unmapped, share below ``low``, quartiles, genes whose guides are all low. scores: guide, efficacy; mapping: guide, gene."""
     j = scores.join(mapping, "guide", "left")
     g = j.where("gene is not null").groupBy("gene").agg(F.max("efficacy").alias("_m")).agg(F.count_if(F.col("_m") < low).alias("genes_all_low"))
@@ -526,19 +567,19 @@ def cross_validate_hits(a: DataFrame, b: DataFrame, *, key: str = "gene", alpha:
     return x.join(y, key).where(F.signum("effect_a") == F.signum("effect_b"))
 
 
-def call_by_threshold(df: DataFrame, *, score: str, cut: float, margin: float = 0.0, controls: Column | None = None) -> DataFrame:
-    """hit, uncertain (within the margin below the cut) or none, without control rows."""
+def call_by_threshold(df: DataFrame, *, score: str, essential: float = 6.0, suppressor: float | None = None, controls: Column | None = None) -> DataFrame:
+    """essential strictly above one cut, tumor_suppressor strictly below another where an enrichment screen gives one, else neutral; without control rows."""
     d = df if controls is None else df.where(~controls)
-    return d.withColumn("call", F.when(F.col(score) >= cut, "hit").when(F.col(score) >= cut - margin, "uncertain").otherwise("none"))
+    call = F.when(F.col(score) > essential, "essential")
+    if suppressor is not None:
+        call = call.when(F.col(score) < suppressor, "tumor_suppressor")
+    return d.withColumn("call", call.otherwise("neutral"))
 
 
 def edit_pattern_partition(df: DataFrame, *, target: int, bystanders: list[int]) -> DataFrame:
-    """Share of reads by (target edited, bystanders edited) of alleles (aligned, reference, pct)."""
-    differs = lambda k: F.substring("aligned", k + 1, 1) != F.substring("reference", k + 1, 1)
-    other = F.lit(0)
-    for k in bystanders:
-        other = other + differs(k).cast("int")
-    return df.groupBy(differs(target).alias("target_edited"), other.alias("bystanders_edited")).agg(F.sum("pct").alias("pct"), F.count(F.lit(1)).alias("alleles"))
+    """Percent of reads by whether the target and each bystander differ from the reference; positions are 1-based, rows have aligned, reference, pct."""
+    differs = lambda k: F.substring("aligned", k, 1) != F.substring("reference", k, 1)
+    return df.groupBy(differs(target).alias("target_edited"), *[differs(k).alias(f"bystander_{k}_edited") for k in bystanders]).agg(F.sum("pct").alias("pct"))
 
 
 def top_designs(df: DataFrame, *, by: str = "sequence", score: str = "score", cut: float, n: int, tie: str = "design") -> DataFrame:

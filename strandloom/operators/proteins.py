@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import tails
 from strandloom.operators.components import components
-from strandloom.operators.stats import adjust_p, monotone, running
+from strandloom.operators.stats import adjust_p, running_least
+from strandloom.scratch import Scratch
 
 #: Prefixes that mark a decoy, in any case: fixed values.
-DECOY = "^(decoy_|rev_|reverse_|xxx_)"
+DECOY = "^(decoy_|rev_|xxx_)"
 
 
 def is_decoy(protein: str = "protein") -> Column:
@@ -21,11 +22,10 @@ def is_decoy(protein: str = "protein") -> Column:
 def target_decoy_q(df: DataFrame, *, scan: str = "scan", score: str = "score", protein: str = "protein", tie: str = "psm") -> DataFrame:
     """Best match per scan with q: (decoys + 1) / max(targets, 1) at its score or better, then the least from there down. No decoys at all is an error."""
     best = df.withColumn("_r", F.row_number().over(Window.partitionBy(scan).orderBy(F.col(score).desc(), tie))).where("_r = 1").drop("_r").withColumn("decoy", is_decoy(protein))
-    if best.where("decoy").isEmpty():
+    if df.where(is_decoy(protein)).isEmpty():
         raise ValueError("no decoys in the table")
-    d = running(best, score, {"_d": F.col("decoy").cast("int"), "_t": (~F.col("decoy")).cast("int")}, descending=True)
-    d = d.withColumn("fdr", (F.col("_d") + 1) / F.greatest("_t", F.lit(1)))
-    return monotone(d, "fdr", score, out="q", descending=False).drop("_d", "_t")
+    sums = {"_d": F.col("decoy").cast("int"), "_t": (~F.col("decoy")).cast("int")}
+    return running_least(best, score, sums, (F.col("_d") + 1) / F.greatest("_t", F.lit(1)), out="q", value_out="fdr", descending=True).drop("_d", "_t")
 
 
 def separate_search_q(targets: DataFrame, decoys: DataFrame, *, score: str = "score") -> DataFrame:
@@ -34,9 +34,8 @@ def separate_search_q(targets: DataFrame, decoys: DataFrame, *, score: str = "sc
     pi0 = F.least(F.lit(1.0), 2 * F.avg((F.col(score) < F.col("_m")).cast("double")))
     p = targets.crossJoin(mid).agg(pi0.alias("pi0"))  # one row
     both = targets.select(score, F.lit(1).alias("_t"), F.lit(0).alias("_d")).unionByName(decoys.select(score, F.lit(0).alias("_t"), F.lit(1).alias("_d"))).groupBy(score).agg(F.sum("_t").alias("_t"), F.sum("_d").alias("_d"))
-    r = running(both, score, {"t_above": F.col("_t"), "d_above": F.col("_d")}, descending=True).crossJoin(p)  # one row
-    r = r.withColumn("fdr", F.least(F.lit(1.0), F.col("pi0") * F.col("d_above") / F.nullif("t_above", F.lit(0))))
-    q = monotone(r.where("t_above > 0"), "fdr", score, out="q", descending=False)
+    value = F.least(F.lit(1.0), F.col("pi0") * F.col("d_above") / F.nullif("t_above", F.lit(0)))
+    q = running_least(both.crossJoin(p), score, {"t_above": F.col("_t"), "d_above": F.col("_d")}, value, out="q", value_out="fdr", descending=True)  # one row
     return targets.join(q.select(score, "pi0", "fdr", "q"), score)
 
 
@@ -90,20 +89,64 @@ def _cover(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out + [(k, pdf["component"].iloc[0], False, None, 0) for k in sorted(left)], columns=["name", "component", "selected", "pick", "new_peptides"])
 
 
-def parsimony_groups(nodes: DataFrame) -> DataFrame:
-    """Greedy cover per component: the group with most new peptides, then the larger, then by name; the rest is dropped. Components never compete, so each is a task of its own."""
-    c = protein_components(nodes)
-    return nodes.join(c, "name").select("name", "component", "peptides").groupBy("component").applyInPandas(_cover, "name string, component string, selected boolean, pick int, new_peptides int")
+def _cover_in_rounds(s: Scratch, nodes: DataFrame, most_rounds: int = 1_000) -> DataFrame:
+    """The greedy cover by joins: a group that is best among all that share a new peptide with it is picked before any of them, so all such groups are picked at once."""
+    links = s.saved(nodes.select("name", "component", F.size("peptides").alias("size"), F.explode("peptides").alias("peptide")), "links")
+    left, picked = links, None
+    for _ in range(most_rounds):
+        gain = left.groupBy("name", "component", "size").agg(F.count(F.lit(1)).alias("gain"))
+        rank = s.saved(gain.withColumn("rank", F.struct((-F.col("gain")).alias("a"), (-F.col("size")).alias("b"), F.col("name").alias("c"))), "gain")
+        if rank.isEmpty():
+            break
+        own = left.join(rank.select("name", "rank"), "name")
+        best = own.groupBy("peptide").agg(F.min("rank").alias("best"))
+        beaten = own.join(best, "peptide").where("rank <> best").select("name").distinct()
+        now = s.saved(rank.join(beaten, "name", "left_anti").drop("rank"), "picked")
+        picked = now if picked is None else picked.unionByName(now)
+        gone = left.join(now.select("name"), "name", "left_semi").select("peptide").distinct()
+        left = s.saved(left.join(gone, "peptide", "left_anti"), "left")
+    else:
+        raise RuntimeError("the cover did not end")
+    w = Window.partitionBy("component").orderBy(F.col("gain").desc(), F.col("size").desc(), "name")
+    out = nodes.select("name", "component")
+    if picked is None:
+        return out.select("name", "component", F.lit(False).alias("selected"), F.lit(None).cast("int").alias("pick"), F.lit(0).alias("new_peptides"))
+    picked = picked.withColumn("pick", F.row_number().over(w)).select("name", "pick", F.col("gain").cast("int").alias("new_peptides"))
+    j = out.join(picked, "name", "left")
+    return s.saved(j.select("name", "component", F.col("pick").isNotNull().alias("selected"), "pick", F.coalesce("new_peptides", F.lit(0)).alias("new_peptides")), "cover", stays=True)
+
+
+def parsimony_groups(nodes: DataFrame, *, task_links: int = 500_000) -> DataFrame:
+    """Greedy cover per component: the group with most new peptides, then the larger, then by name; the rest is dropped.
+
+    Components never compete: one of at most ``task_links`` peptide links is
+    covered in a task, larger ones in rounds of joins with the same result.
+    """
+    s = Scratch(nodes.sparkSession, "parsimony")
+    x = s.saved(nodes.join(protein_components(nodes), "name").select("name", "component", "peptides"), "nodes", stays=True)
+    size = s.saved(x.groupBy("component").agg(F.sum(F.size("peptides")).alias("links")), "sizes", stays=True)
+    few, many = (x.join(size.where(c).select("component"), "component", "left_semi") for c in (F.col("links") <= task_links, F.col("links") > task_links))
+    out = few.groupBy("component").applyInPandas(_cover, "name string, component string, selected boolean, pick int, new_peptides int")
+    if not size.where(F.col("links") > task_links).isEmpty():
+        out = out.unionByName(_cover_in_rounds(s, many))
+    s.close()
+    return out
 
 
-def picked_group_fdr(df: DataFrame, *, accessions: str = "accessions", score: str = "score") -> DataFrame:
-    """Target groups with q: of a target and its decoy (equal accessions without prefix) the better stays; fdr = decoys / targets (no +1), least from there down."""
-    base = F.array_sort(F.transform(accessions, lambda a: F.regexp_replace(F.lower(a), DECOY, "")))
-    d = df.withColumn("_base", base).withColumn("decoy", F.exists(accessions, lambda a: F.lower(a).rlike(DECOY)))
+def picked_group_fdr(df: DataFrame, *, accessions: str = "accessions", score: str = "score", prefix: str = "DECOY_") -> DataFrame:
+    """Target groups with q: of a target and its decoy (equal accessions without the prefix) the better stays; fdr = decoys / targets (no +1; 1 before the first target), least from there down, 1 at most.
+
+    A group is a decoy if all its accessions are; no decoys at all is an error.
+    """
+    base = F.array_sort(F.array_distinct(F.transform(accessions, lambda a: F.replace(a, F.lit(prefix), F.lit("")))))
+    decoy = F.forall(accessions, lambda a: a.startswith(prefix))
+    d = df.withColumn("_base", base).withColumn("decoy", decoy)
+    if df.where(decoy).isEmpty():
+        raise ValueError(f"no decoy groups with prefix {prefix!r}")
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy("_base").orderBy(F.col(score).desc(), "decoy"))).where("_r = 1").drop("_r", "_base")
-    d = running(d, score, {"_d": F.col("decoy").cast("int"), "_t": (~F.col("decoy")).cast("int")}, descending=True)
-    d = d.withColumn("fdr", F.col("_d") / F.greatest("_t", F.lit(1)))
-    return monotone(d, "fdr", score, out="q", descending=False).where("not decoy").drop("_d", "_t", "decoy")
+    sums = {"_d": F.col("decoy").cast("int"), "_t": (~F.col("decoy")).cast("int")}
+    value = F.when(F.col("_t") > 0, F.col("_d") / F.col("_t")).otherwise(1.0)
+    return running_least(d, score, sums, value, out="q", value_out="fdr", descending=True).withColumn("q", F.least(F.lit(1.0), F.col("q"))).where("not decoy").drop("_d", "_t", "decoy")
 
 
 def merge_libraries(df: DataFrame, *, transition: list[str], precursor: list[str], intensity: str = "intensity", library: str = "library") -> DataFrame:
@@ -114,16 +157,17 @@ def merge_libraries(df: DataFrame, *, transition: list[str], precursor: list[str
 
 
 def motif_enrichment(foreground: DataFrame, background: DataFrame, *, window: str = "window") -> DataFrame:
-    """Per (offset, residue): counts in foreground and background windows (odd length, site in the middle), hypergeometric p, BH. Offset 0 and '_' or 'X' are left out."""
+    """Per (offset, residue) of foreground windows (odd length, site in the middle): counts against all residues at that offset in foreground and background, Fisher's one-sided p, BH. Offset 0 and '_' or 'X' are left out."""
 
     def residues(t: DataFrame, name: str) -> DataFrame:
         x = t.select(F.posexplode(F.split(window, "")).alias("_p", "residue"), F.length(window).alias("_n")).withColumn("offset", F.col("_p") - F.floor(F.col("_n") / 2).cast("int"))
         return x.where((F.col("offset") != 0) & ~F.col("residue").isin("_", "X", "")).groupBy("offset", "residue").agg(F.count(F.lit(1)).alias(name))
 
-    nf, nb = foreground.count(), background.count()
-    j = residues(foreground, "k").join(residues(background, "good"), ["offset", "residue"])
-    p = tails.hypergeom_p("k", F.lit(nb), "good", F.lit(nf))
-    return adjust_p(j.select("offset", "residue", "k", F.lit(nf).cast("long").alias("n"), F.col("good").alias("background"), F.lit(nb).cast("long").alias("total"), p.alias("p")))
+    fg, bg = residues(foreground, "fg"), residues(background, "bg")
+    j = fg.join(bg, ["offset", "residue"], "left").fillna(0, ["bg"])
+    j = j.join(fg.groupBy("offset").agg(F.sum("fg").alias("fg_total")), "offset").join(bg.groupBy("offset").agg(F.sum("bg").alias("bg_total")), "offset", "left").fillna(0, ["bg_total"])
+    p = tails.hypergeom_p("fg", F.col("fg_total") + F.col("bg_total"), F.col("fg") + F.col("bg"), "fg_total")
+    return adjust_p(j.select("offset", "residue", "fg", "fg_total", "bg", "bg_total", p.alias("p")))
 
 
 def match_spectra(query: DataFrame, library: DataFrame, *, tolerance: float = 0.01, least_peaks: int = 6, least_score: float = 0.7, tie: float = 0.02) -> DataFrame:

@@ -73,26 +73,30 @@ def flagstat(df: DataFrame) -> DataFrame:
 
 
 def insert_stats(df: DataFrame, *, tlen: str = "tlen", upper_median: bool = False) -> DataFrame:
-    """n, mean, sd, exact median (or the upper of the two middle values) and grade of insert sizes, from their histogram."""
-    h = df.where(F.col(tlen) > 0).groupBy(F.col(tlen).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    """n, mean, population sd and exact median (or the upper of the two middle values) of the insert sizes of primary, mapped, proper pairs, from their histogram, and a grade of the median."""
+    h = df.where(primary() & ~has(UNMAPPED) & has(PAIRED) & has(PROPER) & (F.col(tlen) > 0)).groupBy(F.col(tlen).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("k"))
     w = Window.orderBy("v")  # one row per insert size
     c = h.withColumn("c", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy(F.lit(1))))
     lo, hi = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     at = lambda r: F.min(F.when(F.col("c") >= r, F.col("v")))
     s1, s2, n = F.sum(F.col("v") * F.col("k")), F.sum(F.col("v").cast("double") * F.col("v") * F.col("k")), F.sum("k")
-    g = c.agg(n.alias("n"), (s1 / n).alias("mean"), F.sqrt((s2 - s1 * s1 / n) / F.nullif(n - 1, F.lit(0))).alias("sd"), (at(hi).cast("double") if upper_median else (at(lo) + at(hi)) / 2).alias("median"))
+    g = c.agg(n.alias("n"), (s1 / n).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), s2 / n - (s1 / n) * (s1 / n))).alias("sd"), (at(hi).cast("double") if upper_median else (at(lo) + at(hi)) / 2).alias("median"))
     return g.withColumn("grade", F.when(F.col("median").between(150, 600), "good").when(F.col("median").between(100, 1000), "borderline").otherwise("bad"))
 
 
-def fragment_size_qc(df: DataFrame, *, length: str = "tlen", most: int = 1000) -> DataFrame:
-    """n, mode (least of tied), median, shares of 90-150 and of over 250, and counts of why records don't count (reasons may overlap)."""
-    used = ~has(UNMAPPED) & ~has(MATE_UNMAPPED) & primary() & has(READ1) & F.col(length).between(1, most)
-    top = df.where(used).groupBy(F.col(length).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("k")).agg(F.min_by("v", F.struct((-F.col("k")).alias("k"), "v")).alias("mode"))
-    x = F.when(used, F.col(length))
-    n = F.count_if(used)
-    g = df.agg(n.alias("n"), F.percentile(x, 0.5).alias("median"), (F.count_if(used & F.col(length).between(90, 150)) / n).alias("short_share"), (F.count_if(used & (F.col(length) > 250)) / n).alias("long_share"),
-               F.count_if(~primary()).alias("not_primary"), F.count_if(~has(READ1)).alias("not_read1"), F.count_if(F.col(length) > most).alias("too_long"), F.count_if(F.col(length) < 1).alias("no_length"))
-    return g.crossJoin(top)  # one row each
+def fragment_size_qc(df: DataFrame, *, length: str = "tlen", most: int = 600) -> DataFrame:
+    """n, mode (least of tied), median, shares of 90-150 and of over 250 of primary proper pairs that aren't duplicates or QC failures, with a length of 1 to ``most``; and counts of the reasons that records don't count for (they may overlap). Without fragments the values are 0."""
+    size = F.col(length)
+    used = has(PROPER) & ~has(UNMAPPED) & primary() & ~has(DUPLICATE) & ~has(QC_FAIL) & size.between(1, most)
+    top = df.where(used).groupBy(size.cast("long").alias("v")).agg(F.count(F.lit(1)).alias("k")).agg(F.min_by("v", F.struct((-F.col("k")).alias("k"), "v")).alias("mode"))
+    n, count = F.count_if(used), F.count_if
+    share = lambda c: count(used & c) / F.nullif(n, F.lit(0))
+    g = df.agg(
+        n.alias("n"), F.percentile(F.when(used, size), 0.5).alias("median"), share(size.between(90, 150)).alias("short_share"), share(size > 250).alias("long_share"),
+        F.count(F.lit(1)).alias("input_records"), count(has(UNMAPPED)).alias("unmapped"), count(~has(PROPER)).alias("not_proper_pair"), count(has(SECONDARY)).alias("secondary"), count(has(SUPPLEMENTARY)).alias("supplementary"),
+        count(has(DUPLICATE)).alias("duplicate"), count(has(QC_FAIL)).alias("qc_fail"), count(size <= 0).alias("nonpositive_length"), count(size > most).alias("over_max_size"),
+    )
+    return g.crossJoin(top).fillna(0, ["mode", "median", "short_share", "long_share"])  # one row each
 
 
 def fragment_histogram_peak(df: DataFrame, *, length: str = "tlen", bin_width: int = 5, low: int = 150, high: int = 250, prominence: float = 0.05) -> DataFrame:
@@ -129,13 +133,11 @@ def cigar_ops(cigar: str = "cigar") -> Column:
 
 
 def with_unclipped_ends(df: DataFrame) -> DataFrame:
-    """Adds u_start and u_stop: where the read would begin and end had nothing been clipped."""
-    ops = cigar_ops()
-    clipped = lambda x: F.when(x["op"].isin("S", "H"), x["n"]).otherwise(0)
-    d = df.withColumn("_ops", ops).withColumn("_ref", F.aggregate(F.filter("_ops", lambda x: F.lit(CONSUMES_REFERENCE).contains(x["op"])), F.lit(0), lambda a, x: a + x["n"]))
-    lead = F.aggregate(F.slice("_ops", 1, F.greatest(F.lit(1), F.size(F.filter(F.slice("_ops", 1, 2), lambda x: x["op"].isin("S", "H"))))), F.lit(0), lambda a, x: a + clipped(x))
-    tail = F.aggregate(F.slice("_ops", -1, 1), F.lit(0), lambda a, x: a + clipped(x))
-    return d.withColumn("u_start", F.col("start") - lead).withColumn("u_stop", F.col("start") + F.col("_ref") + tail).drop("_ops", "_ref")
+    """Adds u_start and u_stop: where the read would begin and end had nothing been clipped (S and H, both where both occur)."""
+    total = lambda text, pattern: F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0).cast("long"), lambda a, n: a + n.cast("long"))
+    clip = r"(\d+)[SH]"
+    lead, tail = F.regexp_extract("cigar", r"^((?:\d+[SH])+)", 1), F.regexp_extract("cigar", r"((?:\d+[SH])+)$", 1)
+    return df.withColumn("u_start", F.col("start") - total(lead, clip)).withColumn("u_stop", F.col("start") + total(F.col("cigar"), r"(\d+)[MDN=X]") + total(tail, clip))
 
 
 def mark_duplicates(df: DataFrame, *, library: str = "library", quality: str = "quality") -> DataFrame:
@@ -232,9 +234,9 @@ def pileup_alleles(df: DataFrame, *, min_mapq: int = 20, min_baseq: int = 20) ->
 
 
 def call_snvs(pileup: DataFrame, reference: DataFrame, *, min_depth: int = 10, min_frequency: float = 0.1) -> DataFrame:
-    """Alleles other than the reference base (contig, pos, ref) at enough depth and frequency; N in the reference is skipped."""
-    j = pileup.join(reference, ["contig", "pos"])
-    return j.where((F.col("ref") != "N") & (F.col("base") != F.col("ref")) & (F.col("base") != "DEL") & (F.col("depth") >= min_depth) & (F.col("frequency") >= min_frequency)).select("contig", "pos", "ref", F.col("base").alias("alt"), "n", "depth", "frequency")
+    """Alleles other than the reference base (contig, pos from 0, ref) at enough depth and frequency, with 1-based positions; N in the reference is skipped."""
+    j = pileup.join(reference.withColumn("ref", F.upper("ref")), ["contig", "pos"])
+    return j.where((F.col("ref") != "N") & (F.col("base") != F.col("ref")) & (F.col("base") != "DEL") & (F.col("depth") >= min_depth) & (F.col("frequency") >= min_frequency)).select("contig", (F.col("pos") + 1).alias("pos"), "ref", F.col("base").alias("alt"), "n", "depth", "frequency")
 
 
 def v_plot(fragments: DataFrame, sites: DataFrame, *, flank: int = 500) -> DataFrame:
@@ -246,10 +248,14 @@ def v_plot(fragments: DataFrame, sites: DataFrame, *, flank: int = 500) -> DataF
     return interval_join(f, s).groupBy(F.col("a_size").alias("size"), off.alias("offset")).agg((F.count(F.lit(1)) / n).alias("per_site"))
 
 
-def tss_enrichment(fragments: DataFrame, sites: DataFrame, *, flank: int = 1000) -> DataFrame:
-    """Mean signal of the central 100 bases over that of the outer 100 at both ends; signal is depth around the sites, strand-aware."""
-    s = sites.where(F.col("at") >= flank).select("contig", (F.col("at") - flank).alias("start"), (F.col("at") + flank).alias("stop"), "at", "strand")
-    skipped, n = sites.where(F.col("at") < flank).count(), s.count()
+def tss_enrichment(fragments: DataFrame, sites: DataFrame, *, flank: int = 2000, contigs: DataFrame | None = None) -> DataFrame:
+    """Mean signal of the central 100 bases over that of the outer 100 at both ends; signal is depth around the sites, strand-aware. Sites whose window leaves the contig (contig, length) are skipped and counted."""
+    fits = F.col("at") >= flank
+    if contigs is not None:
+        sites = sites.join(F.broadcast(contigs.select("contig", F.col("length").alias("_len"))), "contig", "left")
+        fits = fits & F.coalesce(F.col("at") + flank <= F.col("_len"), F.lit(False))
+    s = sites.where(fits).select("contig", (F.col("at") - flank).alias("start"), (F.col("at") + flank).alias("stop"), "at", "strand")
+    skipped, n = sites.where(~fits).count(), s.count()
     j = interval_join(depth_runs(fragments), s)
     x = j.select(F.explode(F.sequence(F.greatest("a_start", "b_start"), F.least("a_stop", "b_stop") - 1)).alias("p"), "b_at", "b_strand", F.col("a_depth").alias("d"))
     off = F.when(F.col("b_strand") == "-", F.col("b_at") - F.col("p") - 1).otherwise(F.col("p") - F.col("b_at"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.scratch import Scratch
+
 #: The standard genetic code in the order TCAG of each base: a fixed value.
 BASES, CODE = "TCAG", "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CODONS = {a + b + c: CODE[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
@@ -202,9 +204,7 @@ def mask_columns(df: DataFrame, *, max_gap: float = 0.5, key: str = "id", seq: s
 
 def codons(seq: str | Column) -> Column:
     """Whole codons of a sequence in order."""
-    s = F.upper(seq)
-    n = F.floor(F.length(s) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(s, i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.upper(seq), F.lit(r"[\s\S]{3}"), F.lit(0))
 
 
 def validate_cds(df: DataFrame, *, seq: str = "seq") -> DataFrame:
@@ -236,15 +236,19 @@ def rscu(usage: DataFrame, *, rare: float = 0.5) -> DataFrame:
 
 def find_pam_sites(df: DataFrame, *, key: str = "id", seq: str = "seq", guide: int = 20, low_gc: float = 0.2, high_gc: float = 0.8) -> DataFrame:
     """Guides before NGG on both strands (overlaps included): id, strand, start in the given strand's coordinates, guide, pam; content within limits, no run of four T."""
-    s = F.upper(seq)
+    more, tile = guide + 2, 1000
 
     def strand(text: Column, name: str) -> DataFrame:
-        n = F.length(text)
-        d = df.select(key, text.alias("_s")).where(n >= guide + 3).withColumn("i", F.explode(F.sequence(F.lit(0), F.length("_s") - guide - 3)))
-        d = d.withColumn("guide", F.substr(F.col("_s"), F.col("i") + 1, F.lit(guide))).withColumn("pam", F.substr(F.col("_s"), F.col("i") + guide + 1, F.lit(3)))
-        start = F.col("i") if name == "+" else F.length("_s") - F.col("i") - guide
-        return d.where(F.col("pam").rlike("^[ACGT]GG$")).select(key, F.lit(name).alias("strand"), start.cast("long").alias("start"), "guide", "pam")
+        #: Tiles with the beginning of the next one, so that the work grows with the length.
+        tiles = F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{tile}}}"), F.lit(0))
+        d = df.select(key, F.length(text).alias("_n"), tiles.alias("_t"))
+        d = d.select(key, "_n", F.posexplode(F.transform("_t", lambda x, i: F.concat(x, F.coalesce(F.left(F.get("_t", i + 1), F.lit(more)), F.lit(""))))).alias("_k", "_s"))
+        d = d.where(F.length("_s") > more).withColumn("i", F.explode(F.sequence(F.lit(0), F.length("_s") - more - 1)))
+        d = d.withColumn("guide", F.substr(F.col("_s"), F.col("i") + 1, F.lit(guide))).withColumn("pam", F.substr(F.col("_s"), F.col("i") + guide + 1, F.lit(3))).withColumn("_at", F.col("_k") * tile + F.col("i"))
+        start = F.col("_at") if name == "+" else F.col("_n") - F.col("_at") - guide
+        return d.where(F.col("pam").rlike("^[ACGT]GG$") & (F.col("i") < tile)).select(key, F.lit(name).alias("strand"), start.cast("long").alias("start"), "guide", "pam")
 
+    s = F.upper(seq)
     both = strand(s, "+").unionByName(strand(F.translate(F.reverse(s), "ACGT", "TGCA"), "-"))
     gc = (F.length("guide") - F.length(F.translate("guide", "GC", ""))) / guide
     return both.withColumn("gc", gc).where(F.col("gc").between(low_gc, high_gc) & ~F.col("guide").contains("TTTT"))
@@ -315,23 +319,60 @@ def similarity_pairs(library: DataFrame, *, threshold: float = 0.7, **how) -> Da
     return tanimoto_pairs(library, library, threshold=threshold, own=True, **how)
 
 
-def butina_clusters(pairs: DataFrame, ids: DataFrame, components: DataFrame, *, key: str = "id") -> DataFrame:
-    """Cluster (its centre) of every id: the largest neighbourhood first (ties by id), its members removed. Components (id, component) of the pair graph never compete and are tasks of their own."""
-    both = pairs.select(F.col("id_a").alias(key), F.col("id_b").alias("o")).unionByName(pairs.select(F.col("id_b").alias(key), F.col("id_a").alias("o")))
-    g = ids.select(key).join(both.groupBy(key).agg(F.collect_list("o").alias("near")), key, "left").join(components, key, "left").withColumn("component", F.coalesce("component", key))
+def _butina_in_rounds(s: Scratch, near: DataFrame, ids: DataFrame, most_rounds: int = 1_000) -> DataFrame:
+    """(id, cluster): a free id before all its free neighbours in the order is a centre, whose neighbours are free no more; each of them goes to its first centre in the order."""
+    free, centres = ids, None
+    for _ in range(most_rounds):
+        if free.isEmpty():
+            break
+        left = near.join(free.select("id", F.col("rank").alias("own")), "id").join(free.select(F.col("id").alias("o"), "rank"), "o")
+        beaten = left.where("rank < own").select("id").distinct()
+        now = s.saved(free.join(beaten, "id", "left_anti"), "centres")
+        centres = now if centres is None else centres.unionByName(now)
+        gone = left.join(now.select(F.col("id").alias("o")), "o", "left_semi").select("id").unionByName(now.select("id")).distinct()
+        free = s.saved(free.join(gone, "id", "left_anti"), "free")
+    else:
+        raise RuntimeError("the clusters did not end")
+    if centres is None:
+        return ids.select("id", F.col("id").alias("cluster"))
+    first = near.join(centres.select(F.col("id").alias("o"), "rank"), "o").groupBy("id").agg(F.min("rank").alias("c")).select("id", F.col("c.id").alias("cluster"))
+    own = centres.select("id", F.col("id").alias("cluster"))
+    return s.saved(own.unionByName(first.join(own, "id", "left_anti")), "members", stays=True)
+
+
+def butina_clusters(pairs: DataFrame, ids: DataFrame, components: DataFrame, *, key: str = "id", task_links: int = 500_000) -> DataFrame:
+    """Cluster (its centre) of every id: the largest neighbourhood first (ties by id), its members removed.
+
+    Components (id, component) of the pair graph never compete: one of at most
+    ``task_links`` links is a task, larger ones go in rounds of joins with the
+    same result.
+    """
+    s = Scratch(ids.sparkSession, "butina")
+    both = s.saved(pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("o")).unionByName(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("o"))), "pairs", stays=True)
+    degree = both.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    x = ids.select(F.col(key).alias("id")).join(degree, "id", "left").join(components.select(F.col(key).alias("id"), "component"), "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("component", "id").alias("component"))
+    x = s.saved(x, "ids", stays=True)
+    many = s.saved(x.groupBy("component").agg(F.sum("k").alias("links")).where(F.col("links") > task_links).select("component"), "large", stays=True)
     kind = ids.schema[key].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = {r[key]: set(r["near"]) if r["near"] is not None else set() for r in pdf.to_dict("records")}
+        near = {r["id"]: set(r["near"]) if r["near"] is not None else set() for r in pdf.to_dict("records")}
         free, out = set(near), []
         for i in sorted(near, key=lambda k: (-len(near[k]), k)):
             if i in free:
                 members = ({i} | near[i]) & free
                 out += [(m, i) for m in members]
                 free -= members
-        return pd.DataFrame(out, columns=[key, "cluster"])
-
-    return g.groupBy("component").applyInPandas(one, f"{key} {kind}, cluster {kind}")
+        return pd.DataFrame(out, columns=["id", "cluster"])
+
+    few = x.join(many, "component", "left_anti")
+    lists = both.join(few.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_list("o").alias("near"))  # of bounded components
+    out = few.join(lists, "id", "left").select("id", "component", "near").groupBy("component").applyInPandas(one, f"id {kind}, cluster {kind}")
+    if not many.isEmpty():
+        own = s.saved(x.join(many, "component", "left_semi").select("id", F.struct((-F.col("k")).alias("k"), "id").alias("rank")), "own")
+        out = out.unionByName(_butina_in_rounds(s, both, own))
+    s.close()
+    return out.withColumnRenamed("id", key)
 
 
 def dedupe_replicates(df: DataFrame, *, compound: str = "compound", value: str = "value", most_range: float = 1.0, policy: str = "flag") -> DataFrame:

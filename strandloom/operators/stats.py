@@ -1,9 +1,10 @@
 """The statistical core: running sums over one long order, p-value adjustment, two-group tests, areas under curves.
 
 A family of tests can be as long as the data. Sums in its order are made in
-two passes: rows are bucketed by quantiles of the ordering value, each bucket
-is summed, the few bucket totals give each bucket's start, and a window runs
-inside a bucket. Ties share a bucket, so results equal those of one window.
+two passes: the rows are written once, bucketed by quantiles of the ordering
+value (as many buckets as the rows need), each bucket is summed, the bucket
+totals give each bucket's start, and a window runs inside a bucket. Ties share
+a bucket, so results equal those of one window.
 """
 
 from __future__ import annotations
@@ -12,18 +13,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import tails
+from strandloom.scratch import Scratch
 
-#: Buckets of a long order; the cut points are the only thing that comes to the driver.
-BUCKETS = 64
+#: Rows of a bucket, and buckets at most; the cut points are the only thing that comes to the driver.
+BUCKET_ROWS, BUCKETS = 200_000, 4_096
 
 
-def bucketed(df: DataFrame, order: str, buckets: int = BUCKETS, out: str = "_b") -> DataFrame:
-    """Adds a bucket number that rises with ``order``; nulls get bucket 0."""
-    cuts = df.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
-    at = F.lit(0)
-    for k, cut in enumerate(sorted(set(cuts)), 1):
-        at = F.when(F.col(order) > F.lit(cut), k).otherwise(at)
-    return df.withColumn(out, at)
+def _written(df: DataFrame) -> DataFrame:
+    return Scratch(df.sparkSession, "ordered").saved(df, "rows", stays=True)
+
+
+def _number(value: Column, cuts: list[float], lo: int, hi: int) -> Column:
+    """How many of the sorted cuts lie below a value, by halving."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(value > F.lit(cuts[mid]), _number(value, cuts, mid + 1, hi)).otherwise(_number(value, cuts, lo, mid))
+
+
+def bucketed(df: DataFrame, order: str, out: str = "_b") -> DataFrame:
+    """Adds a bucket number that rises with ``order``; nulls get bucket 0. ``df`` is read twice: give it a written table."""
+    n = min(BUCKETS, -(-df.count() // BUCKET_ROWS))
+    cuts = df.agg(F.percentile_approx(order, [k / n for k in range(1, n)], 10 * n)).first()[0] or [] if n > 1 else []
+    cuts = sorted(set(cuts))
+    return df.withColumn(out, _number(F.col(order), cuts, 0, len(cuts)))
 
 
 def ranked(df: DataFrame, order: str, *, by: list[str] | None = None, ties: str = "order", out: str = "rank", tie_break: list[str] | None = None) -> DataFrame:
@@ -33,7 +46,7 @@ def ranked(df: DataFrame, order: str, *, by: list[str] | None = None, ties: str
         w = Window.partitionBy(*by).orderBy(order, *(tie_break or []))
         first = F.row_number().over(w) if ties == "order" else F.rank().over(Window.partitionBy(*by).orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, order)) - 1) / 2
         return df.withColumn(out, first)
-    b = bucketed(df, order)
+    b = bucketed(_written(df), order)
     sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     start = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_start"))
     b = b.join(F.broadcast(start), "_b")
@@ -41,68 +54,81 @@ def ranked(df: DataFrame, order: str, *, by: list[str] | None = None, ties: str
     return b.withColumn(out, inner + F.col("_start")).drop("_b", "_start")
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], *, descending: bool = False) -> DataFrame:
-    """Adds running sums of ``sums`` over all rows by ``order``; rows of equal order value share the sum up to their last."""
-    b = bucketed(df, order)
+def _by(c: str, descending: bool) -> Column:
+    return F.col(c).desc() if descending else F.col(c).asc()
+
+
+def _summed(b: DataFrame, order: str, sums: dict[str, Column], descending: bool) -> DataFrame:
     totals = b.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
-    w = Window.orderBy(F.col("_b").desc() if descending else F.col("_b"))
+    w = Window.orderBy(_by("_b", descending))  # one row per bucket
     starts = totals.select("_b", *[(F.sum(f"_t_{k}").over(w) - F.col(f"_t_{k}")).alias(f"_s_{k}") for k in sums])
-    b = b.join(F.broadcast(starts), "_b")
-    inner = Window.partitionBy("_b").orderBy(F.col(order).desc() if descending else F.col(order)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    for k, c in sums.items():
-        b = b.withColumn(k, F.sum(c).over(inner) + F.col(f"_s_{k}"))
-    return b.drop("_b", *[f"_s_{k}" for k in sums])
+    inner = Window.partitionBy("_b").orderBy(_by(order, descending)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.join(F.broadcast(starts), "_b").withColumns({k: F.sum(c).over(inner) + F.col(f"_s_{k}") for k, c in sums.items()})
+    return b.drop(*[f"_s_{k}" for k in sums])
+
+
+def running(df: DataFrame, order: str, sums: dict[str, Column], *, descending: bool = False) -> DataFrame:
+    """Adds running sums of ``sums`` over all rows by ``order``; rows of equal order value share the sum up to their last."""
+    return _summed(bucketed(_written(df), order), order, sums, descending).drop("_b")
 
 
-def monotone(df: DataFrame, value: str, order: str, *, out: str, descending: bool = True) -> DataFrame:
-    """Adds the running minimum of ``value`` over all rows by ``order``, from its largest value down by default."""
-    b = bucketed(df, order)
-    mins = b.groupBy("_b").agg(F.min(value).alias("_m"))
-    w = Window.orderBy(F.col("_b").desc() if descending else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    b = b.join(F.broadcast(mins.select("_b", F.min("_m").over(w).alias("_before"))), "_b")
-    inner = Window.partitionBy("_b").orderBy(F.col(order).desc() if descending else F.col(order)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return b.withColumn(out, F.least(F.min(value).over(inner), F.col("_before"))).drop("_b", "_before")
+def running_least(df: DataFrame, order: str, sums: dict[str, Column], value: Column, *, out: str, value_out: str = "_v", descending: bool = False, back: bool = True) -> DataFrame:
+    """Adds running sums, a value of them, and the least such value from the far end of the order back to each row (``back=False``: from the near end)."""
+    b = _summed(bucketed(_written(df), order), order, sums, descending).withColumn(value_out, value)
+    way = descending != back  # the direction of the minimum
+    w = Window.orderBy(_by("_b", way)).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    before = b.groupBy("_b").agg(F.min(value_out).alias("_m")).select("_b", F.min("_m").over(w).alias("_before"))
+    inner = Window.partitionBy("_b").orderBy(_by(order, way)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return b.join(F.broadcast(before), "_b").withColumn(out, F.least(F.min(value_out).over(inner), F.col("_before"))).drop("_b", "_before")
 
 
 def adjust_p(df: DataFrame, *, p: str = "p", by: list[str] | None = None, method: str = "bh", out: str = "q") -> DataFrame:
     """Adjusted p-values (bh, by, bonferroni, holm). Null p stays null and doesn't count."""
     by = by or []
+    if method not in ("bh", "by", "bonferroni", "holm"):
+        raise ValueError(method)
+    if not by:
+        df = _written(df)
     tested, rest = df.where(F.col(p).isNotNull()), df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
     m = tested.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
-    t = tested.join(F.broadcast(m), by) if by else tested.crossJoin(F.broadcast(m))  # one row without by
+    if method == "by":  # the harmonic sum, once per family
+        exact = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_m"), F.lit(1000)).cast("int")), F.lit(0.0), lambda a, k: a + 1 / k)
+        n = F.col("_m").cast("double")
+        m = m.withColumn("_c", F.when(F.col("_m") <= 1000, exact).otherwise(F.log(n) + 0.57721566490153286 + 1 / (2 * n) - 1 / (12 * n * n)))
+    t = tested.join(m, by) if by else tested.crossJoin(F.broadcast(m))  # one row without by
+    factor = F.col("_m") * F.col("_c") if method == "by" else F.col("_m")
     if method == "bonferroni":
-        return t.withColumn(out, F.least(F.lit(1.0), F.col(p) * F.col("_m"))).drop("_m").unionByName(rest)
+        return t.withColumn(out, F.least(F.lit(1.0), F.col(p) * factor)).drop("_m").unionByName(rest)
+    one = F.lit(1.0)
     if by:
         up, full = Window.partitionBy(*by).orderBy(p), Window.partitionBy(*by).orderBy(F.col(p).desc())
-        t = t.withColumn("_r", F.count(F.lit(1)).over(up.rangeBetween(Window.unboundedPreceding, Window.currentRow)) if method != "holm" else F.rank().over(up))
-    else:
-        t = running(t, p, {"_r": F.lit(1)})
         if method == "holm":
-            t = t.withColumn("_r", F.col("_r") - F.count(F.lit(1)).over(Window.partitionBy(p)) + 1)
-    if method == "holm":
-        t = t.withColumn("_v", F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(p)))
-        if by:
-            t = t.withColumn(out, F.max("_v").over(up))
+            t = t.withColumn("_v", F.least(one, (F.col("_m") - F.rank().over(up) + 1) * F.col(p))).withColumn(out, F.max("_v").over(up))
         else:
-            t = monotone(t.withColumn("_v", -F.col("_v")), "_v", p, out=out, descending=False).withColumn(out, -F.col(out))
-        return t.drop("_m", "_r", "_v").unionByName(rest)
-    if method not in ("bh", "by"):
-        raise ValueError(method)
-    factor = F.col("_m") if method == "bh" else F.col("_m") * F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, k: a + 1 / k)
-    t = t.withColumn("_v", F.least(F.lit(1.0), F.col(p) * factor / F.col("_r")))
-    t = t.withColumn(out, F.min("_v").over(full)) if by else monotone(t, "_v", p, out=out)
-    return t.drop("_m", "_r", "_v").unionByName(rest)
+            r = F.count(F.lit(1)).over(up.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+            t = t.withColumn("_v", F.least(one, F.col(p) * factor / r)).withColumn(out, F.min("_v").over(full))
+    elif method == "holm":
+        same = F.count(F.lit(1)).over(Window.partitionBy("_b", p))
+        t = running_least(t, p, {"_r": F.lit(1)}, -F.least(one, (F.col("_m") - (F.col("_r") - same + 1) + 1) * F.col(p)), out=out, back=False).withColumn(out, -F.col(out))
+    else:
+        t = running_least(t, p, {"_r": F.lit(1)}, F.least(one, F.col(p) * factor / F.col("_r")), out=out)
+    return t.drop("_m", "_c", "_r", "_v").unionByName(rest)
 
 
-def rank_sum_test(df: DataFrame, *, feature: str = "feature", value: str = "value", group: str = "is_case", continuity: bool = False) -> DataFrame:
-    """Two-group rank test per feature: n1, n2, u, z (tie-corrected), p. ``group`` is boolean; null values are left out."""
+def rank_sums(df: DataFrame, *, feature: str = "feature", value: str = "value", group: str = "is_case") -> DataFrame:
+    """Per feature: n1, n2, u and the sum of t^3 - t over ties. ``group`` is boolean; null values are left out."""
     d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     counts = d.groupBy(feature, value).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(group)).alias("t1"))
     before = Window.partitionBy(feature).orderBy(value)
     r = counts.withColumn("avg_rank", F.sum("t").over(before) - F.col("t") + (F.col("t") + 1) / 2)
     g = r.groupBy(feature).agg(F.sum("t1").alias("n1"), F.sum(F.col("t") - F.col("t1")).alias("n2"), F.sum(F.col("t1") * F.col("avg_rank")).alias("w"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    return g.withColumn("u", F.col("w") - F.col("n1") * (F.col("n1") + 1) / 2).drop("w")
+
+
+def rank_sum_test(df: DataFrame, *, feature: str = "feature", value: str = "value", group: str = "is_case", continuity: bool = False) -> DataFrame:
+    """Two-group rank test per feature: n1, n2, u, z (tie-corrected), p. ``group`` is boolean; null values are left out."""
+    g = rank_sums(df, feature=feature, value=value, group=group)
     n = F.col("n1") + F.col("n2")
-    g = g.withColumn("u", F.col("w") - F.col("n1") * (F.col("n1") + 1) / 2)
     var = F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / F.nullif(n * (n - 1), F.lit(0)))
     off = F.col("u") - F.col("n1") * F.col("n2") / 2
     if continuity:
@@ -186,11 +212,18 @@ def cumulative_incidence(df: DataFrame, *, time: str = "time", cause: str = "cau
     return t.withColumn("_step", before * F.col("own") / F.col("at_risk")).select(time, "at_risk", F.sum("_step").over(w).alias("incidence"))
 
 
-def stouffer(df: DataFrame, *, feature: str = "feature", p: str = "p", clip: float = 1e-10) -> DataFrame:
-    """Combined z per feature: k, z, p."""
-    z = df.withColumn("_z", -tails.norm_quantile(F.least(F.greatest(F.col(p), F.lit(clip)), F.lit(1 - clip))))
-    g = z.groupBy(feature).agg(F.count("_z").alias("k"), (F.sum("_z") / F.sqrt(F.count("_z"))).alias("z"))
-    return g.withColumn("p", tails.norm_upper("z"))
+def stouffer_meta(df: DataFrame, *, feature: str = "gene", unit: str = "animal", p: str = "p", least: float = 1e-10, alpha: float = 0.05, consistent: float = 0.5) -> DataFrame:
+    """One-sided p combined per feature over units: meta_z, meta_p, n, n at nominal alpha, BH, and hit or review.
+
+    A hit passes BH and is nominal in at least ``consistent`` of all units;
+    features that pass BH alone are for review.
+    """
+    n_units = df.select(unit).distinct().count()
+    z = df.withColumn("_z", -tails.norm_quantile(F.greatest(F.col(p), F.lit(least))))
+    g = z.groupBy(feature).agg((F.sum("_z") / F.sqrt(F.count("_z"))).alias("meta_z"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(p) < alpha).alias("n_nominal"))
+    q = adjust_p(g.withColumn("meta_p", tails.norm_upper("meta_z")), p="meta_p")
+    steady = F.col("n_nominal") >= consistent * n_units
+    return q.withColumn("call", F.when(~(F.col("q") < alpha), "none").when(steady, "hit").otherwise("review"))
 
 
 def balance_check(df: DataFrame, *, a: str, b: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import tails
+from strandloom.scratch import Scratch
 
 KEY = ["chrom", "pos", "ref", "alt"]
 #: Transitions, as pairs of bases.
@@ -182,21 +183,28 @@ def site_qc(calls: DataFrame) -> DataFrame:
     return g.withColumn("excess_het_p", tails.excess_het("het", "hom_ref", "hom_alt"))
 
 
-def iterative_missingness(calls: DataFrame, *, min_gq: int = 0, sample_rate: float = 0.8, site_rate: float = 0.8, rounds: int = 5) -> DataFrame:
-    """Calls of the samples and sites that stay: low-quality genotypes are missing, then poor samples go, then poor sites, until nothing goes."""
-    d = calls.withColumn("gt", F.when(F.col("gq") >= min_gq, F.col("gt")).otherwise("./."))
+def iterative_missingness(calls: DataFrame, *, min_gq: int = 0, sample_rate: float = 0.8, site_rate: float = 0.8) -> DataFrame:
+    """Calls of the samples and sites that stay: low-quality genotypes are missing, then poor samples go, then poor sites, until nothing goes.
+
+    Each round's names of samples and sites are written, not its calls, so the
+    plan reads the input and two small tables whatever the round.
+    """
+    s = Scratch(calls.sparkSession, "missingness")
+    d = s.saved(calls.withColumn("gt", F.when(F.col("gq") >= min_gq, F.col("gt")).otherwise("./.")), "calls", stays=True)
     rate = F.avg((F.col("gt") != "./.").cast("double"))
-    for _ in range(rounds):
-        n = d.count()
-        good = d.groupBy("sample").agg(rate.alias("_r")).where(F.col("_r") >= sample_rate).select("sample")
-        d = d.join(good, "sample", "left_semi")
-        good = d.groupBy("site").agg(rate.alias("_r")).where(F.col("_r") >= site_rate).select("site")
-        d = d.join(good, "site", "left_semi")
-        if d.sparkSession.sparkContext.getCheckpointDir():
-            d = d.checkpoint()
-        if d.count() == n:
-            break
-    return d
+    samples, sites, n = None, None, None
+
+    def left() -> DataFrame:
+        x = d if samples is None else d.join(samples, "sample", "left_semi")
+        return x if sites is None else x.join(sites, "site", "left_semi")
+
+    while True:
+        samples = s.saved(left().groupBy("sample").agg(rate.alias("_r")).where(F.col("_r") >= sample_rate).select("sample"), "samples", stays=True)
+        sites = s.saved(left().groupBy("site").agg(rate.alias("_r")).where(F.col("_r") >= site_rate).select("site"), "sites", stays=True)
+        now = (samples.count(), sites.count())
+        if now == n:
+            return left()
+        n = now
 
 
 def novel_fraction(variants: DataFrame, known: DataFrame, *, stratum: str, key: list[str] = KEY) -> DataFrame:
@@ -243,19 +251,40 @@ def interval_label(df: DataFrame, bands: list[tuple[float | None, bool, float |
     return df.withColumn(out, c)
 
 
-#: Points of the strength of a criterion: fixed values of the published point scale.
-POINTS = {"PVS": 8, "PS": 4, "PM": 2, "PP": 1, "BP": -1, "BS": -4, "BA": -8}
+#: Points of each criterion at each strength: fixed values of the published point scale. A criterion's family is its name before '_'.
+POINTS = {
+    "PVS1_VeryStrong": 8, "PVS1_Strong": 4, "PVS1_Moderate": 2, "PVS1_Supporting": 1, "PS1": 4, "PS2": 4, "PS3_VeryStrong": 8, "PS3": 4, "PS3_Moderate": 2, "PS3_Supporting": 1, "PS4": 4, "PS4_Moderate": 2, "PS4_Supporting": 1,
+    "PM1": 2, "PM2_Supporting": 1, "PM2": 1, "PM3": 2, "PM3_Strong": 4, "PM3_VeryStrong": 8, "PM4": 2, "PM5": 2, "PM6": 2, "PP1": 1, "PP1_Moderate": 2, "PP1_Strong": 4, "PP2": 1, "PP3_Supporting": 1, "PP3_Moderate": 2, "PP3_3pt": 3, "PP3_Strong": 4, "PP4": 1,
+    "BA1": -100, "BS1": -4, "BS2": -4, "BS3": -4, "BS3_Moderate": -2, "BS3_Supporting": -1, "BS4": -4, "BP1": -1, "BP2": -1, "BP3": -1, "BP4_Supporting": -1, "BP4_Moderate": -2, "BP4_3pt": -3, "BP4_Strong": -4, "BP4_VeryStrong": -8, "BP5": -1, "BP7": -1,
+}
+#: Criteria that are no longer used: fixed values.
+RETIRED = ["PP5", "BP6"]
 
 
 def evidence_points(df: DataFrame, *, criteria: str = "criteria") -> DataFrame:
-    """Sum of points and class of an array of criteria such as PVS1, PM2, BP4. With PVS1, PP3 and PM4 don't count; a repeated criterion is an error (class null, problem set)."""
+    """Sum of points and class of an array of criteria such as PVS1_Strong, PM2, BP4_Moderate.
+
+    Beside any PVS1, PP3 and PM4 don't count; BA1 is always Benign. Retired,
+    unknown or repeated criteria, two of one family, and PP3 beside BP4 are a
+    problem: it is named, and points and class are null.
+    """
     c = F.col(criteria)
-    counted = F.when(F.array_contains(c, "PVS1"), F.filter(c, lambda x: ~x.isin("PP3", "PM4"))).otherwise(c)
+    family = lambda x: F.split(x, "_")[0]
+    families = F.transform(c, family)
+    problem = (
+        F.when(F.exists(c, lambda x: x.isin(RETIRED)), "retired criterion")
+        .when(F.exists(c, lambda x: ~F.coalesce(x.isin(list(POINTS)), F.lit(False))), "unknown criterion")
+        .when(F.size(F.array_distinct(c)) < F.size(c), "repeated criterion")
+        .when(F.size(F.array_distinct(families)) < F.size(c), "several of one family")
+        .when(F.array_contains(families, "PP3") & F.array_contains(families, "BP4"), "conflicting family")
+    )
+    counted = F.when(F.array_contains(families, "PVS1"), F.filter(c, lambda x: ~family(x).isin("PP3") & (x != "PM4"))).otherwise(c)
     table = F.create_map(*[F.lit(x) for kv in POINTS.items() for x in kv])
-    points = F.aggregate(counted, F.lit(0), lambda a, x: a + F.element_at(table, F.regexp_extract(x, "^([A-Z]+)", 1)))
-    problem = F.when(F.size(F.array_distinct(c)) < F.size(c), "repeated criterion").when(F.array_contains(c, "PP3") & F.array_contains(c, "BP4"), "conflicting family")
+    points = F.aggregate(counted, F.lit(0), lambda a, x: a + F.coalesce(F.try_element_at(table, x), F.lit(0)))
     p = F.col("points")
-    return df.withColumn("points", points).withColumn("problem", problem).withColumn("class", F.when(F.col("problem").isNotNull(), F.lit(None)).when(p >= 10, "Pathogenic").when(p >= 6, "Likely pathogenic").when(p >= 0, "Uncertain").when(p >= -6, "Likely benign").otherwise("Benign"))
+    d = df.withColumn("problem", problem).withColumn("points", F.when(F.col("problem").isNull(), points))
+    label = F.when(p.isNull(), F.lit(None)).when(F.array_contains(c, "BA1"), "Benign").when(p >= 10, "Pathogenic").when(p >= 6, "Likely Pathogenic").when(p >= 0, "VUS").when(p >= -6, "Likely Benign").otherwise("Benign")
+    return d.withColumn("class", label)
 
 
 def gene_by_sample_matrix(mutations: DataFrame, cohort: DataFrame, *, top: int = 20) -> DataFrame:
@@ -289,18 +318,24 @@ def gene_burden(carriers: DataFrame, genes: DataFrame, phenotype: DataFrame, *,
     return g.select("gene", "carriers", "score", v.alias("var"), F.when(v > 0, F.col("score") / F.sqrt(v)).alias("z")).withColumn("p", tails.norm_two_sided("z"))
 
 
-def score_concordance(inputs: DataFrame, tools: dict[str, tuple[DataFrame, float]], *, key: list[str] = KEY) -> DataFrame:
-    """Left join of inputs to each tool's score of largest magnitude; how many tools scored it and reached their threshold, and the class."""
+def score_concordance(inputs: DataFrame, tools: dict[str, tuple[DataFrame, float, bool]], *, key: list[str] = KEY) -> DataFrame:
+    """Left join of inputs to each tool's best score per variant; how many tools scored it and reached their threshold, and the class.
+
+    A tool is (table, threshold, whether its score is signed): a signed score
+    is the one of largest magnitude and its magnitude is compared; others are
+    the largest. Fewer than two scores are insufficient.
+    """
     out = inputs.select(*key).distinct()
     scored, above = F.lit(0), F.lit(0)
-    for name, (t, cut) in tools.items():
-        best = t.groupBy(*key).agg(F.max_by("score", F.abs("score")).alias(name))
+    for name, (t, least, signed) in tools.items():
+        best = t.groupBy(*key).agg((F.max_by("score", F.abs("score")) if signed else F.max("score")).alias(name))
         out = out.join(best, key, "left")
         scored = scored + F.col(name).isNotNull().cast("int")
-        above = above + F.coalesce((F.abs(name) >= cut).cast("int"), F.lit(0))
+        above = above + F.coalesce(((F.abs(name) if signed else F.col(name)) >= least).cast("int"), F.lit(0))
     out = out.withColumn("n_scored", scored).withColumn("n_above", above)
     n, a = F.col("n_scored"), F.col("n_above")
-    return out.withColumn("class", F.when(n == 0, "not_scored").when(a == 0, "none").when(a == n, "all").otherwise("some"))
+    label = F.when(n < 2, "insufficient_tools").when(a == 0, "none_predict_disruption").when(a == n, "all_predict_disruption").when(a * 2 > n, "majority_predict_disruption").otherwise("discordant")
+    return out.withColumn("class", label)
 
 
 def unscored_report(inputs: DataFrame, scored: DataFrame, *, key: list[str] = KEY) -> DataFrame:

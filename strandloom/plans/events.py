@@ -13,7 +13,7 @@ R = Registry()
 
 
 @R.add("""
-    WITH d AS (SELECT suppkey AS event, partkey % 20 AS sample, avg(discount) * 10 AS psi FROM {lines} WHERE quantity > 20 GROUP BY ALL), k AS (SELECT event FROM d GROUP BY event HAVING count(psi) >= 10 AND avg(psi) > 0.05 AND avg(psi) < 0.52)
+    WITH d AS (SELECT suppkey AS event, partkey % 20 AS sample, avg(discount) * 10 AS psi FROM {lines} GROUP BY ALL), k AS (SELECT event FROM d GROUP BY event HAVING count(psi) >= 10 AND avg(psi) > 0.05 AND avg(psi) < 0.52)
     SELECT event, sample, round(psi, 6) AS psi FROM d SEMI JOIN k USING (event)""")
 def filter_events(v):
     d = v.lines.groupBy(F.col("suppkey").alias("event"), (F.col("partkey") % 20).alias("sample")).agg((F.avg("discount") * 10).alias("psi"))
@@ -43,7 +43,7 @@ def psi_by_group(v):
 
 
 @R.add("""
-    WITH r AS (SELECT line % 4 AS level, partkey % 5 AS day, quantity AS value, row_number() OVER (PARTITION BY line % 4, partkey % 5 ORDER BY orderkey, partkey, suppkey, line) AS i FROM {lines}), d AS (SELECT level, day, count(*) AS k, avg(value) AS m, var_samp(value) AS v FROM r WHERE i <= 20 GROUP BY ALL),
+    WITH r AS (SELECT line % 4 AS level, partkey % 5 AS day, orderkey % 20 AS replicate, avg(quantity) AS value FROM {lines} GROUP BY ALL), d AS (SELECT level, day, count(*) AS k, avg(value) AS m, var_samp(value) AS v FROM r GROUP BY ALL),
          g AS (SELECT level, min(k) AS k, avg(m) AS mean, avg(v) AS msw, var_samp(m) AS vm FROM d GROUP BY level)
     SELECT level, round(mean, 6) AS mean, round(sqrt(msw) / mean, 6) AS intra_cv, round(sqrt(msw + greatest(0.0, (k * vm - msw) / k)) / mean, 6) AS inter_cv FROM g""")
 def precision_components(v):

@@ -8,7 +8,7 @@ from strandloom.operators import cells as ce
 from strandloom.operators import matrix as mx
 from strandloom.operators import proteins as pr
 from strandloom.operators import stats as st
-from strandloom.plans.core import Registry
+from strandloom.plans.core import Registry, bh, norm_two_sided, t_two_sided
 
 R = Registry()
 
@@ -34,7 +34,7 @@ def adjust_p_by_group(v):
 
 
 @R.add(f"""
-    WITH p AS ({P_SQL}), r AS (SELECT *, count(p) OVER () AS m, rank() OVER (ORDER BY p) AS r FROM p WHERE p IS NOT NULL AND psm % 50 = 0), q AS (SELECT psm, max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY p) AS q FROM r)
+    WITH p AS ({P_SQL}), r AS (SELECT *, count(p) OVER () AS m, rank() OVER (ORDER BY p) AS r FROM p WHERE p IS NOT NULL), q AS (SELECT psm, max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY p) AS q FROM r)
     SELECT psm, round(q, 6) AS q FROM q""")
 def adjust_p_holm(v):
     return st.adjust_p(_p(v).where("p is not null").select("psm", "p"), method="holm").select("psm", "q")
@@ -46,25 +46,26 @@ RANKS = """
     h AS (SELECT *, w - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / nullif((n1 + n2) * (n1 + n2 - 1), 0)) AS var FROM g)"""
 
 
-@R.add(RANKS + "SELECT feature, n1, n2, round(u, 6) AS u, round(CASE WHEN var > 0 THEN (u - n1 * n2 / 2) / sqrt(var) END, 6) AS z FROM h")
+@R.add(RANKS + "SELECT feature, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(" + norm_two_sided("z") + ", 6) AS p FROM (SELECT *, CASE WHEN var > 0 THEN (u - n1 * n2 / 2) / sqrt(var) END AS z FROM h)")
 def rank_sum_test(v):
-    return st.rank_sum_test(v.counts, value="n").select("feature", "n1", "n2", "u", "z")
+    return st.rank_sum_test(v.counts, value="n")
 
 
 @R.add("""
     WITH g AS (SELECT feature, count(*) FILTER (is_case) AS n1, count(*) FILTER (NOT is_case) AS n2, avg(n) FILTER (is_case) AS m1, avg(n) FILTER (NOT is_case) AS m2, var_samp(n) FILTER (is_case) AS v1, var_samp(n) FILTER (NOT is_case) AS v2 FROM {counts} GROUP BY feature),
-         h AS (SELECT *, v1 / n1 AS e1, v2 / n2 AS e2 FROM g)
-    SELECT feature, n1, n2, round(m1 - m2, 6) AS diff, round(CASE WHEN n1 >= 2 AND n2 >= 2 AND e1 + e2 > 0 THEN (m1 - m2) / sqrt(e1 + e2) END, 6) AS t,
-           round(CASE WHEN n1 >= 2 AND n2 >= 2 AND e1 + e2 > 0 THEN (e1 + e2) * (e1 + e2) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)) END, 6) AS df, CASE WHEN n1 < 2 OR n2 < 2 THEN 'too few' WHEN coalesce(e1 + e2, 0) <= 0 THEN 'no variance' ELSE 'tested' END AS status FROM h""")
+         h AS (SELECT *, v1 / n1 AS e1, v2 / n2 AS e2 FROM g),
+         w AS (SELECT feature, n1, n2, m1 - m2 AS diff, CASE WHEN n1 >= 2 AND n2 >= 2 AND e1 + e2 > 0 THEN (m1 - m2) / sqrt(e1 + e2) END AS t,
+           CASE WHEN n1 >= 2 AND n2 >= 2 AND e1 + e2 > 0 THEN (e1 + e2) * (e1 + e2) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)) END AS df, CASE WHEN n1 < 2 OR n2 < 2 THEN 'too few' WHEN coalesce(e1 + e2, 0) <= 0 THEN 'no variance' ELSE 'tested' END AS status FROM h)
+    SELECT feature, n1, n2, round(diff, 6) AS diff, round(t, 6) AS t, round(df, 6) AS df, status, round(""" + t_two_sided("t", "df") + """, 6) AS p FROM w""")
 def welch_test(v):
-    return st.welch_test(v.counts, value="n").select("feature", "n1", "n2", "diff", "t", "df", "status")
+    return st.welch_test(v.counts, value="n")
 
 
 @R.add("""
     WITH b AS (SELECT feature, sample % 6 AS donor, avg(n) FILTER (is_case) AS a, avg(n) FILTER (NOT is_case) AS b FROM {counts} GROUP BY ALL), g AS (SELECT feature, count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS sd FROM b WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY feature)
-    SELECT feature, n, round(m, 6) AS mean_diff, round(CASE WHEN n > 1 AND sd > 0 THEN m / (sd / sqrt(n)) END, 6) AS t, n - 1 AS df FROM g""")
+    SELECT feature, n, round(m, 6) AS mean_diff, round(t, 6) AS t, df, round(""" + t_two_sided("t", "df") + """, 6) AS p FROM (SELECT *, CASE WHEN n > 1 AND sd > 0 THEN m / (sd / sqrt(n)) END AS t, n - 1 AS df FROM g)""")
 def paired_t(v):
-    return st.paired_t(v.counts.withColumn("donor", F.col("sample") % 6), value="n").select("feature", "n", "mean_diff", "t", "df")
+    return st.paired_t(v.counts.withColumn("donor", F.col("sample") % 6), value="n")
 
 
 AUC = """
@@ -195,12 +196,14 @@ def _lfc(v):
     return v.lines.groupBy(F.col("partkey").alias("guide")).agg((F.avg("discount") * 10 - 0.5).alias("lfc")).withColumn("gene", F.col("guide") % 200)
 
 
+GENE_Z = f"(SELECT gene, avg(lfc) AS mean, stddev_samp(lfc) AS sd, count(*) AS n FROM ({LFC}) GROUP BY gene)"
+
+
 @R.add(f"""
-    WITH d AS ({LFC}), n AS (SELECT quantile_cont(lfc, 0.5) AS m, stddev_samp(lfc) AS s FROM d WHERE gene < 20), g AS (SELECT gene, avg(lfc) AS mean, stddev_samp(lfc) AS sd, count(*) AS n FROM d GROUP BY gene)
-    SELECT gene, round(mean, 6) AS mean, round(sd, 6) AS sd, g.n AS n, round((mean - m) / (s / sqrt(g.n)), 6) AS z FROM g CROSS JOIN n""")
+    WITH g AS {GENE_Z}, c AS (SELECT quantile_cont(mean, 0.5) AS m, stddev_samp(mean) AS s FROM g WHERE gene < 20), z AS (SELECT gene, mean, sd, n, (mean - m) / s AS z FROM g CROSS JOIN c), p AS (SELECT *, {norm_two_sided("z")} AS p FROM z)
+    SELECT gene, round(mean, 6) AS mean, round(sd, 6) AS sd, n, round(z, 6) AS z, round(p, 6) AS p, round(q, 6) AS q FROM {bh("p")}""")
 def gene_zscore(v):
-    d = _lfc(v)
-    return mx.gene_zscore(d, d.where("gene < 20")).select("gene", "mean", "sd", "n", "z")
+    return mx.gene_zscore(_lfc(v), controls=F.col("gene") < 20)
 
 
 @R.add(f"""
@@ -255,10 +258,10 @@ def pqn_normalize(v):
 
 
 @R.add("""
-    WITH s AS (SELECT partkey % 20 AS analyte, quantity AS x, price / 1000 AS y FROM {lines} WHERE quantity > 0 AND line <= 3), g AS (SELECT analyte, sum(1 / (x * x)) AS w, sum(1 / x) AS wx, sum(y / (x * x)) AS wy, count(*)::DOUBLE AS wxx, sum(y / x) AS wxy, min(x) AS lo FROM s GROUP BY analyte),
+    WITH s AS (SELECT partkey % 20 AS analyte, concat_ws(':', orderkey, line) AS sample, quantity AS x, price / 1000 AS y FROM {lines} WHERE quantity > 0), g AS (SELECT analyte, sum(1 / (x * x)) AS w, sum(1 / x) AS wx, sum(y / (x * x)) AS wy, count(*)::DOUBLE AS wxx, sum(y / x) AS wxy, min(x) AS lo FROM s GROUP BY analyte),
          f AS (SELECT analyte, lo, (w * wxy - wx * wy) / (w * wxx - wx * wx) AS b, (wy - (w * wxy - wx * wy) / (w * wxx - wx * wx) * wx) / w AS a FROM g),
          l AS (SELECT analyte, min(x) AS lloq FROM s JOIN f USING (analyte) WHERE abs((y - a) / b / x - 1) <= CASE WHEN x = lo THEN 0.2 ELSE 0.15 END GROUP BY analyte)
-    SELECT f.analyte, round(b, 4) AS slope, round(a, 4) AS intercept, lloq FROM f LEFT JOIN l USING (analyte)""")
+    SELECT s.analyte, s.sample, round(b, 4) AS slope, round(a, 4) AS intercept, lloq, round(CASE WHEN (y - a) / b >= lloq THEN (y - a) / b END, 4) AS concentration FROM s JOIN f USING (analyte) LEFT JOIN l USING (analyte)""")
 def weighted_calibration(v):
     s = v.lines.where("quantity > 0").select((F.col("partkey") % 20).alias("analyte"), F.concat_ws(":", "orderkey", "line").alias("sample"), F.col("quantity").alias("x"), (F.col("price") / 1000).alias("y"))
     out = mx.weighted_calibration(s, s.select("analyte", "sample", "y"))
@@ -398,7 +401,7 @@ def separate_search_q(v):
 
 
 @R.add("""
-    WITH s AS (SELECT protein, list_sort(list_distinct(list(peptide % 40))) AS p FROM {peptides} WHERE line = 1 AND partkey % 50 = 0 GROUP BY protein)
+    WITH s AS (SELECT protein, list_sort(list_distinct(list(peptide % 40))) AS p FROM {peptides} GROUP BY protein)
     SELECT min(protein) AS name, count(*)::INT AS n_members, any_value(len(p))::INT AS n_peptides FROM s GROUP BY p""")
 def collapse_proteins(v):
     x = v.peptides.withColumn("peptide", F.col("peptide") % 40)
@@ -413,7 +416,7 @@ def parsimony_groups(v):
 @R.add("""
     WITH g AS (SELECT protein, max(intensity) AS score, regexp_replace(protein, 'DECOY_', '') AS b, starts_with(protein, 'DECOY_') AS decoy FROM (SELECT CASE WHEN peptide % 3 = 0 THEN 'DECOY_' ELSE '' END || replace(protein, 'DECOY_', '') AS protein, intensity FROM {peptides}) GROUP BY protein),
          k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, decoy) AS r FROM g), c AS (SELECT *, count(*) FILTER (decoy) OVER w AS nd, count(*) FILTER (NOT decoy) OVER w AS nt FROM k WHERE r = 1 WINDOW w AS (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-         q AS (SELECT *, min(nd / greatest(nt, 1)) OVER (ORDER BY score RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM c)
+         q AS (SELECT *, min(least(1.0, CASE WHEN nt > 0 THEN nd / nt ELSE 1.0 END)) OVER (ORDER BY score RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM c)
     SELECT protein AS name, score, round(q, 6) AS q FROM q WHERE NOT decoy""")
 def picked_group_fdr(v):
     x = v.peptides.select(F.concat(F.when(F.col("peptide") % 3 == 0, "DECOY_").otherwise(""), F.regexp_replace("protein", "DECOY_", "")).alias("name"), "intensity")
@@ -433,12 +436,12 @@ def merge_libraries(v):
 @R.add("""
     WITH f AS (SELECT DISTINCT partkey % 500 AS gene, partkey % 3 AS residue, size_ AS v FROM (SELECT partkey, discount AS size_ FROM {lines})), s AS (SELECT gene, residue, avg(v) AS value FROM f GROUP BY ALL), p AS (SELECT gene % 12 AS kinase, gene, residue FROM s WHERE (gene + residue) % 2 = 0),
          g AS (SELECT kinase, count(*) AS m, avg(value) AS mean FROM s JOIN p USING (gene, residue) GROUP BY kinase HAVING count(*) >= 2)
-    SELECT kinase, m, round(mean, 6) AS mean, round((mean - (SELECT avg(value) FROM s)) * sqrt(m) / (SELECT stddev_samp(value) FROM s), 6) AS z FROM g""")
+    SELECT kinase, m, round(mean, 6) AS mean, round(z, 6) AS z, round(""" + norm_two_sided("z") + """, 6) AS p FROM (SELECT *, (mean - (SELECT avg(value) FROM s)) * sqrt(m) / (SELECT stddev_samp(value) FROM s) AS z FROM g)""")
 def kinase_activity(v):
     f = v.lines.select((F.col("partkey") % 500).alias("gene"), (F.col("partkey") % 3).alias("residue"), F.col("discount").alias("v")).distinct()
     s = f.groupBy("gene", "residue").agg(F.avg("v").alias("value"))
     p = s.where("(gene + residue) % 2 = 0").select((F.col("gene") % 12).alias("kinase"), "gene", "residue")
-    return pr.kinase_activity(s, p).select("kinase", "m", "mean", "z")
+    return pr.kinase_activity(s, p).select("kinase", "m", "mean", "z", "p")
 
 
 @R.add("""

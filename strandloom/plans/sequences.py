@@ -8,7 +8,7 @@ from strandloom.operators import gwas as gw
 from strandloom.operators import matrix as mx
 from strandloom.operators import sequences as sq
 from strandloom.operators.components import components
-from strandloom.plans.core import Registry
+from strandloom.plans.core import Registry, norm_two_sided
 
 R = Registry()
 
@@ -34,10 +34,10 @@ def select_instruments(v):
 
 @R.add(f"""
     WITH {HARM}, g AS (SELECT locus, count(*) AS snps, sum(beta * beta_2 / (se_2 * se_2)) AS xy, sum(beta * beta / (se_2 * se_2)) AS xx, sum(beta_2 * beta_2 / (se_2 * se_2)) AS yy FROM h WHERE beta <> 0 GROUP BY locus)
-    SELECT locus, snps, round(xy / xx, 6) AS estimate, round(1 / sqrt(xx), 6) AS se, round(yy - xy / xx * xy, 4) AS q, snps - 1 AS q_df FROM g""")
+    SELECT locus, snps, round(xy / xx, 6) AS estimate, round(1 / sqrt(xx), 6) AS se, round(yy - xy / xx * xy, 4) AS q, snps - 1 AS q_df, round({norm_two_sided("(xy / xx * sqrt(xx))")}, 6) AS p FROM g""")
 def mr_ivw(v):
     d = gw.mr_ivw(_harmonised(v), by=["locus"])
-    return d.select("locus", "snps", "estimate", "se", F.round("q", 4).alias("q"), "q_df")
+    return d.select("locus", "snps", "estimate", "se", F.round("q", 4).alias("q"), "q_df", "p")
 
 
 @R.add(f"""
@@ -87,12 +87,20 @@ def single_causal_credible_set(v):
     return gw.single_causal_credible_set(v.gwas1, by=["locus"]).select("locus", "snp", "pip", "cumulative")
 
 
-@R.add("""
-    WITH x AS (SELECT id, CASE WHEN size % 4 = 0 THEN NULL ELSE size END AS a, price AS b, CASE WHEN size % 3 = 0 THEN NULL ELSE id % 100 END AS c FROM {parts}), y AS (SELECT id, coalesce(a >= 25, false)::INT + coalesce(b > 950, false)::INT + coalesce(c < 50, false)::INT AS n, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT AS k FROM x)
-    SELECT id, n AS n_passed, k AS n_available, CASE WHEN n >= 4 THEN 'high' WHEN n >= 2 THEN 'moderate' WHEN n >= 1 THEN 'low' ELSE 'none' END AS tier FROM y""")
+STREAMS = {
+    "pip_top_variant": ("size / 50.0", 4), "credible_set_purity": ("(id % 10) / 10.0", 7), "coloc_pph4": ("(id % 100) / 100.0", 3), "distance_to_tss": ("id * 1000.0", 5),
+    "pops_decile_rank": ("id % 3", 11), "l2g_score": ("size / 60.0", 6), "abc_score": ("(id % 7) / 100.0", 2), "encode_re2g_score": ("(id % 9) / 10.0", 9),
+}
+STREAM_SQL = ", ".join(f"CASE WHEN size % {k} <> 0 THEN {x} END AS {c}" for c, (x, k) in STREAMS.items())
+
+
+@R.add(f"""
+    WITH x AS (SELECT id, {STREAM_SQL} FROM {{parts}}), y AS (SELECT id, coalesce(pip_top_variant > 0.5 AND credible_set_purity > 0.5, false)::INT + coalesce(coloc_pph4 >= 0.7, false)::INT + coalesce(distance_to_tss <= 100000, false)::INT + coalesce(pops_decile_rank = 1, false)::INT + coalesce(l2g_score >= 0.5, false)::INT + coalesce(abc_score >= 0.02 OR encode_re2g_score >= 0.5, false)::INT AS n,
+         (pip_top_variant IS NOT NULL AND credible_set_purity IS NOT NULL)::INT + (coloc_pph4 IS NOT NULL)::INT + (distance_to_tss IS NOT NULL)::INT + (pops_decile_rank IS NOT NULL)::INT + (l2g_score IS NOT NULL)::INT + (abc_score IS NOT NULL OR encode_re2g_score IS NOT NULL)::INT AS k FROM x)
+    SELECT id, n AS concordance, k AS n_streams_available, CASE WHEN n >= 5 THEN 'near_certain' WHEN n >= 4 THEN 'strong' WHEN n >= 3 THEN 'high' WHEN n >= 2 THEN 'suggestive' ELSE 'associational_only' END AS tier FROM y""")
 def concordance_tier(v):
-    x = v.parts.select("id", F.when(F.col("size") % 4 != 0, F.col("size")).alias("a"), F.col("price").alias("b"), F.when(F.col("size") % 3 != 0, F.col("id") % 100).alias("c"))
-    return gw.concordance_tier(x, {"a": (">=", 25), "b": (">", 950), "c": ("<", 50)}).select("id", "n_passed", "n_available", "tier")
+    x = v.parts.select("id", *[F.expr(f"CASE WHEN size % {k} <> 0 THEN {x} END").alias(c) for c, (x, k) in STREAMS.items()])
+    return gw.concordance_tier(x).select("id", "concordance", "n_streams_available", "tier")
 
 
 @R.add("""SELECT suppkey % 30 AS gene, round(sum(discount), 6) AS score, count(DISTINCT partkey) AS snps FROM {lines} WHERE partkey % 2 = 0 GROUP BY 1""")
@@ -110,12 +118,12 @@ def loci_evidence_count(v):
     return gw.loci_evidence_count(c, ["R", "A"], g)
 
 
-SETS = "(SELECT brand AS \"set\", id AS gene FROM {parts})"
+SETS = "(SELECT CASE WHEN id // 2000 > 0 THEN brand || '/' || (id // 2000) ELSE brand END AS \"set\", id AS gene FROM {parts})"
 HITS = "(SELECT partkey AS gene FROM {lines} GROUP BY partkey HAVING round(avg(discount), 9) > 0.052)"
 
 
 def _sets(v):
-    """Brands, cut by every 2,000 part keys: the number of sets grows with the table and their sizes don't. Keys below 2,000 keep the brand's name, as in SETS."""
+    """Brands, cut by every 2,000 part keys: the number of sets grows with the table and their sizes don't."""
     bucket = F.floor(F.col("id") / 2000)
     return v.parts.select(F.when(bucket > 0, F.concat_ws("/", "brand", bucket)).otherwise(F.col("brand")).alias("set"), F.col("id").alias("gene"))
 
@@ -140,7 +148,8 @@ def gsea_running_sum(v):
 
 
 DNA = "(SELECT id, lang, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM {texts})"
-ALN = "(SELECT id, rpad(upper(regexp_replace(substr(text, 1, 60), '[^A-Za-z]', '-', 'g')), 60, '-') AS seq FROM {texts})"
+SHOWN = "(SELECT id, upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')) AS s FROM {texts})"
+ALN = f"(SELECT row || ':' || id AS id, rpad(substr(s, row * 60 + 1, 60), 60, '-') AS seq FROM (SELECT *, unnest(range(greatest((len(s) + 59) // 60, 1))) AS row FROM {SHOWN}))"
 COLS = f"(SELECT id, i AS col, substr(seq, i + 1, 1) AS residue FROM (SELECT *, unnest(range(60))::INT AS i FROM {ALN}))"
 
 
@@ -149,7 +158,7 @@ def _dna(v):
 
 
 def _aln(v):
-    """Whole texts as aligned rows of 60 characters, the last one filled up with gaps; the id is "row:id" of the text's consecutive rows, from 0. (ALN holds the rows 0 only.)"""
+    """Whole texts as aligned rows of 60 characters, the last one filled up with gaps; the id is "row:id" of the text's consecutive rows, from 0."""
     s = F.upper(F.regexp_replace("text", "[^A-Za-z]", "-"))
     rows = F.greatest(F.ceil(F.length(s) / 60), F.lit(1)).cast("int")
     d = v.texts.select("id", F.posexplode(F.regexp_extract_all(F.rpad(s, rows * 60, "-"), F.lit(".{60}"), F.lit(0))).alias("row", "seq"))
@@ -201,7 +210,12 @@ def pssm(v):
     return sq.pssm(_aln(v), BACK)
 
 
-@R.add()
+@R.add(f"""
+    WITH l AS (SELECT chr(65 + i::INT) AS residue FROM range(26) t(i)), k AS (SELECT col, residue, count(*) AS k FROM {COLS} GROUP BY ALL), n AS (SELECT col, count(*) AS rows, count(*) FILTER (residue = '-') AS gaps, count(*) FILTER (residue <> '-') AS n FROM {COLS} GROUP BY col),
+         p AS (SELECT n.col, rows, gaps, coalesce(k, 0) / nullif(n, 0) AS p, 1 / 26.0::DOUBLE AS q FROM n CROSS JOIN l LEFT JOIN k ON k.col = n.col AND k.residue = l.residue),
+         j AS (SELECT col, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + q * log2(q / ((p + q) / 2))) / 2 * (1 - any_value(gaps) / any_value(rows)) AS jsd FROM p GROUP BY col),
+         s AS (SELECT *, coalesce(sum(jsd) OVER a, 0) + coalesce(sum(jsd) OVER b, 0) AS t, count(jsd) OVER a + count(jsd) OVER b AS c FROM j WINDOW a AS (ORDER BY col ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), b AS (ORDER BY col ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))
+    SELECT col, round(jsd, 6) AS jsd, round(0.5 * jsd + 0.5 * coalesce(t / nullif(c, 0), jsd), 6) AS smoothed FROM s""")
 def jsd_conservation(v):
     return sq.jsd_conservation(_aln(v), BACK)
 
@@ -220,7 +234,7 @@ def position_map(v):
 
 
 @R.add(f"""
-    WITH b AS (SELECT col FROM {COLS} GROUP BY col HAVING avg((residue = '-')::INT) >= 0.2) SELECT id, coalesce(string_agg(residue, '' ORDER BY col), '') AS seq FROM {COLS} ANTI JOIN b USING (col) GROUP BY id""")
+    WITH b AS (SELECT col FROM {COLS} GROUP BY col HAVING avg((residue = '-')::INT) >= 0.2) SELECT c.id, coalesce(string_agg(residue, '' ORDER BY c.col) FILTER (b.col IS NULL), '') AS seq FROM {COLS} c LEFT JOIN b ON b.col = c.col GROUP BY c.id""")
 def mask_columns(v):
     return sq.mask_columns(_aln(v), max_gap=0.2)
 

@@ -126,7 +126,7 @@ def site_qc(v):
          t3 AS (SELECT site FROM c5 GROUP BY site HAVING avg((gt <> './.')::INT) >= 0.6)
     SELECT site, sample, gt FROM c5 SEMI JOIN t3 USING (site)""")
 def iterative_missingness(v):
-    return va.iterative_missingness(v.calls, min_gq=10, sample_rate=0.5, site_rate=0.6, rounds=3).select("site", "sample", "gt")
+    return va.iterative_missingness(v.calls, min_gq=10, sample_rate=0.5, site_rate=0.6).select("site", "sample", "gt")
 
 
 @R.add("""
@@ -157,11 +157,11 @@ def interval_label(v):
 
 
 @R.add("""
-    WITH x AS (SELECT id, (CASE WHEN size % 3 = 0 THEN 8 ELSE 0 END) + (CASE WHEN size % 2 = 0 THEN 2 ELSE 0 END) + (CASE WHEN size % 5 = 0 AND size % 3 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN size % 7 = 0 THEN -1 ELSE 0 END) AS p, size % 5 = 0 AND size % 7 = 0 AS bad FROM {parts})
-    SELECT id, p AS points, CASE WHEN bad THEN 'conflicting family' END AS problem,
-           CASE WHEN bad THEN NULL WHEN p >= 10 THEN 'Pathogenic' WHEN p >= 6 THEN 'Likely pathogenic' WHEN p >= 0 THEN 'Uncertain' WHEN p >= -6 THEN 'Likely benign' ELSE 'Benign' END AS class FROM x""")
+    WITH x AS (SELECT id, CASE WHEN size % 3 = 0 THEN 4 ELSE 0 END + CASE WHEN size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN size % 5 = 0 AND size % 3 <> 0 THEN 4 ELSE 0 END + CASE WHEN size % 7 = 0 THEN -2 ELSE 0 END + CASE WHEN size % 11 = 0 THEN -100 ELSE 0 END + CASE WHEN size % 4 = 0 THEN 8 ELSE 0 END AS p, size % 11 = 0 AS ba,
+               CASE WHEN size % 13 = 0 THEN 'retired criterion' WHEN size % 17 = 0 THEN 'unknown criterion' WHEN size % 19 = 0 THEN 'repeated criterion' WHEN size % 23 = 0 THEN 'several of one family' WHEN size % 5 = 0 AND size % 7 = 0 THEN 'conflicting family' END AS problem FROM {parts})
+    SELECT id, CASE WHEN problem IS NULL THEN p END AS points, problem, CASE WHEN problem IS NOT NULL THEN NULL WHEN ba THEN 'Benign' WHEN p >= 10 THEN 'Pathogenic' WHEN p >= 6 THEN 'Likely Pathogenic' WHEN p >= 0 THEN 'VUS' WHEN p >= -6 THEN 'Likely Benign' ELSE 'Benign' END AS class FROM x""")
 def evidence_points(v):
-    c = F.filter(F.array(*[F.when(F.col("size") % k == 0, name) for k, name in ((3, "PVS1"), (2, "PM2"), (5, "PP3"), (7, "BP4"))]), lambda x: x.isNotNull())
+    c = F.filter(F.array(*[F.when(F.col("size") % k == 0, name) for k, name in ((3, "PVS1_Strong"), (2, "PM2"), (5, "PP3_Strong"), (7, "BP4_Moderate"), (11, "BA1"), (4, "PM3_VeryStrong"), (13, "PP5"), (17, "XX1"), (19, "PS1"), (19, "PS1"), (23, "PP1"), (23, "PP1_Strong"))]), lambda x: x.isNotNull())
     return va.evidence_points(v.parts.withColumn("criteria", c)).select("id", "points", "problem", "class")
 
 
@@ -196,13 +196,13 @@ def gene_burden(v):
 
 @R.add(f"""
     WITH v AS (SELECT DISTINCT chrom, pos, ref, alt FROM {SPLIT} WHERE ref <> alt), s AS (SELECT *, qual / 1000 AS sc FROM {SPLIT} WHERE ref <> alt),
-         a AS (SELECT chrom, pos, ref, alt, arg_max(sc, abs(sc)) AS a FROM s WHERE tenth < 7 GROUP BY ALL), b AS (SELECT chrom, pos, ref, alt, arg_max(1 - sc, abs(1 - sc)) AS b FROM s WHERE tenth >= 3 GROUP BY ALL),
-         j AS (SELECT v.*, a.a, b.b, (a.a IS NOT NULL)::INT + (b.b IS NOT NULL)::INT AS n_scored, coalesce((abs(a.a) >= 0.95)::INT, 0) + coalesce((abs(b.b) >= 0.02)::INT, 0) AS n_above FROM v LEFT JOIN a USING (chrom, pos, ref, alt) LEFT JOIN b USING (chrom, pos, ref, alt))
-    SELECT class, n_scored, n_above, count(*) AS n FROM (SELECT *, CASE WHEN n_scored = 0 THEN 'not_scored' WHEN n_above = 0 THEN 'none' WHEN n_above = n_scored THEN 'all' ELSE 'some' END AS class FROM j) GROUP BY ALL""")
+         a AS (SELECT chrom, pos, ref, alt, max(sc) AS a FROM s WHERE tenth < 7 GROUP BY ALL), c AS (SELECT chrom, pos, ref, alt, max(sc * 0.9) AS c FROM s WHERE tenth >= 2 GROUP BY ALL), b AS (SELECT chrom, pos, ref, alt, arg_max(1 - sc, abs(1 - sc)) AS b FROM s WHERE tenth >= 3 GROUP BY ALL),
+         j AS (SELECT v.*, a.a, b.b, (a.a IS NOT NULL)::INT + (b.b IS NOT NULL)::INT + (c.c IS NOT NULL)::INT AS n_scored, coalesce((a.a >= 0.95)::INT, 0) + coalesce((abs(b.b) >= 0.02)::INT, 0) + coalesce((c.c >= 0.85)::INT, 0) AS n_above FROM v LEFT JOIN a USING (chrom, pos, ref, alt) LEFT JOIN b USING (chrom, pos, ref, alt) LEFT JOIN c USING (chrom, pos, ref, alt))
+    SELECT class, n_scored, n_above, count(*) AS n FROM (SELECT *, CASE WHEN n_scored < 2 THEN 'insufficient_tools' WHEN n_above = 0 THEN 'none_predict_disruption' WHEN n_above = n_scored THEN 'all_predict_disruption' WHEN n_above * 2 > n_scored THEN 'majority_predict_disruption' ELSE 'discordant' END AS class FROM j) GROUP BY ALL""")
 def score_concordance(v):
     x = va.split_multiallelic(v.variants).where("ref <> alt").withColumn("score", F.col("qual") / 1000)
     y = x.withColumn("score", 1 - F.col("score"))
-    out = va.score_concordance(x, {"a": (x.where("tenth < 7"), 0.95), "b": (y.where("tenth >= 3"), 0.02)})
+    out = va.score_concordance(x, {"a": (x.where("tenth < 7"), 0.95, False), "b": (y.where("tenth >= 3"), 0.02, True), "c": (x.where("tenth >= 2").withColumn("score", F.col("score") * 0.9), 0.85, False)})
     return out.groupBy("class", "n_scored", "n_above").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -252,20 +252,20 @@ def flagstat(v):
     return rd.flagstat(v.reads)
 
 
-@R.add("""SELECT count(*) AS n, round(avg(tlen), 6) AS mean, round(stddev_samp(tlen), 6) AS sd, quantile_cont(tlen, 0.5) AS median, CASE WHEN quantile_cont(tlen, 0.5) BETWEEN 150 AND 600 THEN 'good' WHEN quantile_cont(tlen, 0.5) BETWEEN 100 AND 1000 THEN 'borderline' ELSE 'bad' END AS grade FROM {reads} WHERE tlen > 0""")
+@R.add("""SELECT count(*) AS n, round(avg(tlen), 6) AS mean, round(stddev_pop(tlen), 6) AS sd, quantile_cont(tlen, 0.5) AS median, CASE WHEN quantile_cont(tlen, 0.5) BETWEEN 150 AND 600 THEN 'good' WHEN quantile_cont(tlen, 0.5) BETWEEN 100 AND 1000 THEN 'borderline' ELSE 'bad' END AS grade FROM {reads} WHERE tlen > 0 AND (flag & 256) = 0 AND (flag & 2048) = 0 AND (flag & 4) = 0 AND (flag & 1) > 0 AND (flag & 2) > 0""")
 def insert_stats(v):
     return rd.insert_stats(v.reads)
 
 
-USED = f"((flag & 4) = 0 AND (flag & 8) = 0 AND {PRIMARY} AND (flag & 64) > 0 AND tlen BETWEEN 1 AND 600)"
+USED = f"((flag & 4) = 0 AND (flag & 2) > 0 AND {PRIMARY} AND (flag & 1024) = 0 AND (flag & 512) = 0 AND tlen BETWEEN 1 AND 600)"
 
 
 @R.add(f"""
     WITH m AS (SELECT tlen AS mode FROM {{reads}} WHERE {USED} GROUP BY tlen ORDER BY count(*) DESC, tlen LIMIT 1)
     SELECT count(*) FILTER ({USED}) AS n, quantile_cont(tlen, 0.5) FILTER ({USED}) AS median, round(count(*) FILTER ({USED} AND tlen BETWEEN 90 AND 150) / count(*) FILTER ({USED}), 6) AS short_share, round(count(*) FILTER ({USED} AND tlen > 250) / count(*) FILTER ({USED}), 6) AS long_share,
-           count(*) FILTER (NOT ({PRIMARY})) AS not_primary, count(*) FILTER ((flag & 64) = 0) AS not_read1, count(*) FILTER (tlen > 600) AS too_long, count(*) FILTER (tlen < 1) AS no_length, any_value(m.mode)::BIGINT AS mode FROM {{reads}} CROSS JOIN m""")
+           count(*) AS input_records, count(*) FILTER ((flag & 4) > 0) AS unmapped, count(*) FILTER ((flag & 2) = 0) AS not_proper_pair, count(*) FILTER ((flag & 256) > 0) AS secondary, count(*) FILTER ((flag & 2048) > 0) AS supplementary, count(*) FILTER ((flag & 1024) > 0) AS duplicate, count(*) FILTER ((flag & 512) > 0) AS qc_fail, count(*) FILTER (tlen <= 0) AS nonpositive_length, count(*) FILTER (tlen > 600) AS over_max_size, any_value(m.mode)::BIGINT AS mode FROM {{reads}} CROSS JOIN m""")
 def fragment_size_qc(v):
-    return rd.fragment_size_qc(v.reads, most=600)
+    return rd.fragment_size_qc(v.reads)
 
 
 @R.add("""
@@ -282,9 +282,7 @@ EVENTS = """
 
 @R.add(f"""WITH {EVENTS} SELECT contig, sum(stop - start)::BIGINT AS covered, sum((stop - start) * depth)::BIGINT AS bases, max(depth)::BIGINT AS deepest FROM c WHERE depth > 0 AND stop IS NOT NULL GROUP BY contig""")
 def depth(v):
-    d = rd.depth_runs(v.reads)
-    n = F.col("stop") - F.col("start")
-    return d.groupBy("contig").agg(F.sum(n).alias("covered"), F.sum(n * F.col("depth")).alias("bases"), F.max("depth").alias("deepest"))
+    return rd.depth(v.reads).groupBy("contig").agg(F.count(F.lit(1)).alias("covered"), F.sum("depth").alias("bases"), F.max("depth").alias("deepest"))
 
 
 @R.add(f"""
@@ -296,9 +294,11 @@ def coverage_summary(v):
     return rd.coverage_summary(v.reads, contigs)
 
 
-@R.add(f"""SELECT contig, count(*) AS mapped, 0.0 AS mito_share, 0.0 AS x_to_y FROM {{reads}} WHERE (flag & 4) = 0 AND {PRIMARY} GROUP BY contig""")
+@R.add(f"""
+    WITH g AS (SELECT contig, count(*) AS mapped FROM {{reads}} WHERE (flag & 4) = 0 AND {PRIMARY} GROUP BY contig), t AS (SELECT sum(mapped) AS t, sum(mapped) FILTER (contig = 'c0') AS m, sum(mapped) FILTER (contig = 'c1') AS x, sum(mapped) FILTER (contig = 'c2') AS y FROM g)
+    SELECT contig, mapped, round(m / t, 6) AS mito_share, round(x / (y + 1), 6) AS x_to_y FROM g CROSS JOIN t""")
 def contig_counts(v):
-    return rd.contig_counts(v.reads)
+    return rd.contig_counts(v.reads, mito="c0", x="c1", y="c2")
 
 
 @R.add(f"""SELECT count(*) AS n, round(avg((tlen % 3 = 0)::INT), 6) AS plus_share FROM {{reads}} WHERE {PRIMARY} AND (flag & 4) = 0 AND tlen % 5 <> 0""")
@@ -342,7 +342,7 @@ def merge_intervals(v):
 
 
 @R.add("""
-    SELECT i.id, s.copy_number FROM (SELECT id, contig, (start + stop) // 2 AS at FROM {intervals}) i LEFT JOIN {segments} s ON i.contig = s.contig AND i.at >= s.start AND i.at < s.stop""")
+    SELECT id, copy_number FROM (SELECT i.id, s.copy_number, row_number() OVER (PARTITION BY i.id ORDER BY s.start, s.copy_number) AS r FROM (SELECT id, contig, (start + stop) // 2 AS at FROM {intervals}) i LEFT JOIN {segments} s ON i.contig = s.contig AND i.at >= s.start AND i.at <= s.stop) WHERE r = 1""")
 def point_in_segment(v):
     x = v.intervals.select("id", "contig", F.floor((F.col("start") + F.col("stop")) / 2).cast("long").alias("at"))
     return iv.point_in_segment(x, v.segments).select("id", "copy_number")
@@ -403,7 +403,28 @@ def fragment_histogram_peak(v):
     return rd.fragment_histogram_peak(v.reads)
 
 
-@R.add()
+CIGARS = """
+    c AS (SELECT *, line % 3 AS ls, orderkey_ % 4 AS lh, (orderkey_ + line) % 3 AS ts, line % 2 AS th FROM (SELECT *, qname AS orderkey_ FROM {reads})),
+    u AS (SELECT *, start - ls - lh AS us, start + 50 + ts + th AS ue FROM c)"""
+
+
+def _clipped(v):
+    """Reads with CIGARs of H, S, M, S, H; without a clip where its length is 0."""
+    part = lambda n, op: F.when(n > 0, F.concat(n.cast("string"), F.lit(op))).otherwise("")
+    ls, lh, ts, th = F.col("line") % 3, F.col("qname") % 4, (F.col("qname") + F.col("line")) % 3, F.col("line") % 2
+    return v.reads.withColumn("cigar", F.concat(part(lh, "H"), part(ls, "S"), F.lit("50M"), part(ts, "S"), part(th, "H")))
+
+
+@R.add(f"""
+    WITH {CIGARS}, p AS (SELECT sample % 3 AS library, qname, list_sort(list({{{{'c': contig, 'a': (CASE WHEN reverse THEN ue ELSE us END) // 20, 'r': reverse}}}})) AS ends, sum(mapq) AS q FROM u WHERE {PRIMARY} AND (flag & 4) = 0 GROUP BY ALL),
+         k AS (SELECT *, row_number() OVER (PARTITION BY library, ends ORDER BY q DESC, qname) AS r FROM p)
+    SELECT r.sample % 3 AS library, coalesce(k.r > 1, false) AS duplicate, count(*) AS n FROM {{reads}} r LEFT JOIN k ON k.library = r.sample % 3 AND k.qname = r.qname GROUP BY ALL""")
 def mark_duplicates(v):
-    r = v.reads.withColumn("library", F.col("sample")).withColumn("quality", F.col("mapq")).withColumn("u_start", F.col("start") - F.col("start") % 50).withColumn("u_stop", F.col("u_start") + 100)
+    r = rd.with_unclipped_ends(_clipped(v)).withColumn("library", F.col("sample") % 3).withColumn("quality", F.col("mapq"))
+    r = r.withColumn("u_start", F.floor(F.col("u_start") / 20)).withColumn("u_stop", F.floor(F.col("u_stop") / 20))
     return rd.mark_duplicates(r).groupBy("library", "duplicate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add(f"""WITH {CIGARS} SELECT qname, line, us AS u_start, ue AS u_stop FROM u""")
+def unclipped_ends(v):
+    return rd.with_unclipped_ends(_clipped(v)).select("qname", "line", "u_start", "u_stop")

@@ -56,12 +56,16 @@ def read_mtx(spark: SparkSession, matrix: str, features: str, barcodes: str) ->
     def lines(path: str, name: str) -> DataFrame:
         return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("_p", "_v")).select((F.col("_p") + 1).cast("long").alias(f"_{name}"), F.split("_v", "\t")[0].alias(name))
 
-    t = spark.read.text(matrix).where(~F.col("value").startswith("%")).select(F.split("value", r"\s+").alias("f"))
-    size = F.array(*[F.get("f", F.lit(i)).cast("long") for i in range(3)])
+    line = spark.read.text(matrix).select("value", "_metadata.file_block_start")
+    #: The size line is the first that is no comment, in the file's first block.
+    head = line.where(~F.col("value").startswith("%") & (F.col("file_block_start") == 0) & (F.length(F.trim("value")) > 0)).limit(1).first()
+    t = line.where(~F.col("value").startswith("%") & (F.length(F.trim("value")) > 0)).select("value")
+    same = F.col("value") == F.lit(head[0] if head else "")
+    #: Entries that read like it stay: of equal lines, one goes.
+    more = t.where(same).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.explode(F.sequence(F.lit(2).cast("long"), "k"))).select(F.lit(head[0] if head else "").alias("value"))
+    f = t.where(~same).unionByName(more).select(F.split(F.trim("value"), r"\s+").alias("f"))
     g, b = lines(features, "gene"), lines(barcodes, "cell")
-    head = spark.read.text(matrix).where(~F.col("value").startswith("%")).limit(1).first()
-    rows = t.select(size.alias("x")).where(F.concat_ws(" ", F.transform("x", lambda v: v.cast("string"))) != F.lit(" ".join(head[0].split()) if head else ""))
-    r = rows.select(F.col("x")[0].alias("_gene"), F.col("x")[1].alias("_cell"), F.col("x")[2].alias("n"))
+    r = f.select(*[F.get("f", F.lit(i)).cast("long").alias(c) for i, c in enumerate(("_gene", "_cell", "n"))])
     return r.join(g, "_gene").join(b, "_cell").select("cell", "gene", "n")
 
 

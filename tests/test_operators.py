@@ -56,7 +56,9 @@ def test_intervals_at_bin_edges(spark):
 def test_consensus_peaks_is_the_greedy_choice(spark):
     rng = np.random.default_rng(0)
     rows = [("c", int(s), float(v), i) for i, (s, v) in enumerate(zip(rng.integers(300, 5000, 60), rng.integers(0, 20, 60)))]
-    got = sorted((r.start, r.id) for r in intervals.consensus_peaks(spark.createDataFrame(rows, "contig string, summit long, score double, id long"), half=100).collect())
+    peaks = spark.createDataFrame(rows, "contig string, summit long, score double, id long")
+    got = sorted((r.start, r.id) for r in intervals.consensus_peaks(peaks, half=100).collect())
+    assert got == sorted((r.start, r.id) for r in intervals.consensus_peaks(peaks, half=100, tile=512).collect())
     kept: list = []
     for _, s, v, i in sorted(rows, key=lambda r: (-r[2], r[1], r[3])):
         if all(abs(s - k[0] - 100) > 200 for k in kept):
@@ -74,7 +76,8 @@ def test_pileup_and_junctions(spark):
     assert reads.junction_support(j, min_overhang=4).first().reads == 2
 
 
-def test_adjust_p_equals_one_window(spark):
+def test_adjust_p_equals_one_window(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BUCKET_ROWS", 100)
     rng = np.random.default_rng(1)
     p = np.round(rng.random(3000), 3)
     got = {r.i: r.q for r in stats.adjust_p(spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "i long, p double")).collect()}
@@ -84,6 +87,17 @@ def test_adjust_p_equals_one_window(spark):
     want = np.empty(len(p))
     want[order] = np.minimum.accumulate(q[order][::-1])[::-1]
     assert all(abs(got[i] - want[i]) < 1e-12 for i in got)
+    d = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "i long, p double")
+    harmonic = sum(1 / k for k in range(1, len(p) + 1))
+    by = {r.i: r.q for r in stats.adjust_p(d, method="by").collect()}
+    q = np.minimum(1, p * len(p) * harmonic / rank)
+    want[order] = np.minimum.accumulate(q[order][::-1])[::-1]
+    assert all(abs(by[i] - want[i]) < 1e-9 for i in by)
+    low = np.searchsorted(np.sort(p), p, "left")
+    holm = np.minimum(1, (len(p) - low) * p)
+    want[order] = np.maximum.accumulate(holm[order])
+    got = {r.i: r.q for r in stats.adjust_p(d, method="holm").collect()}
+    assert all(abs(got[i] - want[i]) < 1e-12 for i in got)
 
 
 def test_least_squares_and_shrinkage(spark):
@@ -104,6 +118,11 @@ def test_protein_groups(spark):
     nodes = proteins.collapse_proteins(spark.createDataFrame(rows, "peptide string, protein string"))
     got = {r.name: r.selected for r in proteins.parsimony_groups(nodes).collect()}
     assert got == {"A": True, "B": True, "C": False, "D": True}
+    rng = np.random.default_rng(4)
+    rows = sorted({(f"p{rng.integers(60)}", f"G{rng.integers(40):02d}") for _ in range(220)})
+    nodes = proteins.collapse_proteins(spark.createDataFrame(rows, "peptide string, protein string"))
+    one, two = (sorted((*r,) for r in proteins.parsimony_groups(nodes, task_links=k).select("name", "component", "selected", F.coalesce("pick", F.lit(0)), "new_peptides").collect()) for k in (10_000, 0))
+    assert one == two and any(r[2] for r in one)
     with pytest.raises(ValueError):
         proteins.target_decoy_q(spark.createDataFrame([(1, 2.0, "P", 1)], "scan long, score double, protein string, psm long"))
 
@@ -163,3 +182,49 @@ def test_sources(spark, tmp_path):
         text.write_by_key(d, str(tmp_path / "out"), key="k")
     text.write_in_chunks(d.coalesce(1), str(tmp_path / "chunks"), records=10)
     assert len(list((tmp_path / "chunks").glob("*.parquet"))) == 3
+
+
+def test_clusters_in_rounds_equal_those_of_tasks(spark):
+    rng = np.random.default_rng(5)
+    ids = spark.range(60).select("id")
+    pairs = spark.createDataFrame(sorted({tuple(sorted(map(int, rng.choice(60, 2, replace=False)))) for _ in range(110)}), "id_a long, id_b long")
+    from strandloom.operators.components import components
+
+    c = components(pairs, ids)
+    one, two = (sorted((r.id, r.cluster) for r in sequences.butina_clusters(pairs, ids, c, task_links=k).collect()) for k in (10_000, 0))
+    assert one == two and len(one) == 60
+
+
+def test_rules_of_evidence_and_clips(spark):
+    cases = {
+        ("PP3_Strong",): (4, "VUS", None), ("PM3_VeryStrong", "PM2"): (9, "Likely Pathogenic", None), ("BA1", "PS1"): (-96, "Benign", None), ("PVS1_Strong", "PP3_Strong", "PM4"): (4, "VUS", None),
+        ("PP3_Strong", "BP4_Moderate"): (None, None, "conflicting family"), ("PP5",): (None, None, "retired criterion"), ("QQ1",): (None, None, "unknown criterion"), ("PS1", "PS1"): (None, None, "repeated criterion"), ("PP1", "PP1_Strong"): (None, None, "several of one family"), (): (0, "VUS", None),
+    }
+    d = spark.createDataFrame([(k, list(c)) for k, c in enumerate(cases)], "id int, criteria array<string>")
+    got = {r.id: (r.points, r["class"], r.problem) for r in variants.evidence_points(d).collect()}
+    assert got == dict(enumerate(cases.values()))
+    r = spark.createDataFrame([(100, "10M3S5H"), (100, "2H4S10M"), (100, "5M2D5M"), (100, "5S5M100N5M1S")], "start long, cigar string")
+    assert [(x.u_start, x.u_stop) for x in reads.with_unclipped_ends(r).collect()] == [(100, 118), (94, 110), (100, 112), (95, 211)]
+
+
+def test_repeated_points_stay(spark):
+    p = spark.createDataFrame([("c", 5, {"a": 1})] * 2 + [("c", 10, {}), ("c", 11, {})], "contig string, at long, m map<string,int>")
+    s = spark.createDataFrame([("c", 0, 10, 2.0), ("c", 10, 20, 3.0)], "contig string, start long, stop long, copy_number double")
+    assert sorted((r.at, r.copy_number) for r in intervals.point_in_segment(p, s).collect()) == [(5, 2.0), (5, 2.0), (10, 2.0), (11, 3.0)]
+    a = p.withColumn("start", F.col("at")).withColumn("stop", F.col("at") + 1)
+    assert intervals.interval_anti(a, s.where("start = 10")).count() == 2
+
+
+def test_entries_that_read_like_the_size_line(spark, tmp_path):
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket\n2 2 2\n1 1 5\n2 2 2\n")
+    (tmp_path / "f.tsv").write_text("g1\ng2\n")
+    (tmp_path / "b.tsv").write_text("c1\nc2\n")
+    got = text.read_mtx(spark, *[str(tmp_path / x) for x in ("m.mtx", "f.tsv", "b.tsv")])
+    assert sorted((r.gene, r.cell, r.n) for r in got.collect()) == [("g1", "c1", 5), ("g2", "c2", 2)]
+
+
+def test_exact_rank_p():
+    assert tails.rank_less(0, 3, 5, 0) == pytest.approx(1 / 56)
+    assert tails.rank_less(4, 2, 4, 0) == pytest.approx(9 / 15)
+    assert tails.rank_less(15, 3, 5, 0) == 1.0
+    assert tails.rank_less(30.0, 10, 12, 0) == pytest.approx(tails.norm_sf((60 - 30.5) / math.sqrt(10 * 12 * 23 / 12)))

@@ -226,3 +226,12 @@ def test_packed_ids_are_the_library_s(spark):
     n = 1 + max(r.sequence_id for r in rows)
     assert sum(r.length for r in rows) >= 0.99 * 4096 * n
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
+
+
+def test_unlike_texts_of_one_id(spark):
+    random.seed(15)
+    vocabulary = [f"w{i}" for i in range(300)]
+    a, b, c = (" ".join(random.choices(vocabulary, k=80)) for _ in range(3))
+    d = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (5, c + " z")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in shingle_join.jaccard_components(d).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}

@@ -48,7 +48,7 @@ class Scratch:
         self.paths: list[tuple[DataFrame, str]] = []
 
     def saved(self, df: DataFrame, name: str, *, stays: bool = False) -> DataFrame:
-        path = f"{self.root}/{'out' if stays else 'tmp'}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{'out' if stays else 'tmp'}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         got = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append((got, path))
@@ -60,5 +60,15 @@ class Scratch:
             if got is df:
                 remove(self.spark, path)
 
+    def clear(self, *kept: DataFrame) -> None:
+        """Removes the tables of this run so far but ``kept`` and those that stay."""
+        left = []
+        for df, path in self.paths:
+            if "/tmp/" in path.removeprefix(self.root) and not any(df is k for k in kept):
+                remove(self.spark, path)
+            else:
+                left.append((df, path))
+        self.paths = left
+
     def close(self) -> None:
         remove(self.spark, f"{self.root}/tmp")

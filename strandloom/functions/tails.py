@@ -67,6 +67,17 @@ def f_sf(f: float, a: float, b: float) -> float:
     return beta_cdf(b / (b + a * f), b / 2, a / 2) if f > 0 else 1.0
 
 
+def f_quantile(p: float, a: float, b: float) -> float:
+    """The value that F exceeds with chance 1 - p, by halving."""
+    lo, hi = 0.0, 1.0
+    while f_sf(hi, a, b) > 1 - p:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if f_sf(mid, a, b) > 1 - p else (lo, mid)
+    return (lo + hi) / 2
+
+
 def log_choose(n: float, k: float) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import tails
+from strandloom.scratch import Scratch
 
 
 def harmonise_alleles(a: DataFrame, b: DataFrame, *, key: str = "snp", ambiguous: float = 0.42) -> DataFrame:
@@ -33,27 +34,39 @@ def select_instruments(df: DataFrame, *, p: str | None = "p", cut: float = 5e-8,
 
 
 def ld_pairs(genotypes: DataFrame, *, window: int = 1_000_000, variant: str = "snp") -> DataFrame:
-    """r2 of variants of one locus within a distance: genotypes (locus, snp, pos, sample, dosage)."""
-    a, b = (genotypes.select("locus", "sample", F.col(variant).alias(f"snp_{k}"), F.col("pos").alias(f"_p{k}"), F.col("dosage").alias(f"_d{k}")) for k in "ab")
-    j = a.join(b, ["locus", "sample"]).where((F.col("snp_a") < F.col("snp_b")) & (F.abs(F.col("_pa") - F.col("_pb")) <= window))
-    return j.groupBy("locus", "snp_a", "snp_b").agg(F.pow(F.corr("_da", "_db"), 2).alias("r2"))
-
-
-def ld_clump(df: DataFrame, ld: DataFrame, *, r2: float = 0.1) -> DataFrame:
-    """Instruments (locus, snp, p) kept in order of p, those in LD with a kept one dropped; loci are independent tasks."""
-    kind = df.schema["snp"].dataType.simpleString()
-    near = ld.where(F.col("r2") >= r2).select(F.col("snp_a").alias("snp"), F.col("snp_b").alias("o")).unionByName(ld.where(F.col("r2") >= r2).select(F.col("snp_b").alias("snp"), F.col("snp_a").alias("o")))
-    near = near.groupBy("snp").agg(F.collect_list("o").alias("near"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone, keep = set(), []
-        for r in pdf.sort_values(["p", "snp"]).itertuples(index=False):
-            if r.snp not in gone:
-                keep.append((r.locus, r.snp, r.p))
-                gone.update(r.near if r.near is not None else ())
-        return pd.DataFrame(keep, columns=["locus", "snp", "p"])
-
-    return df.select("locus", "snp", "p").join(near, "snp", "left").groupBy("locus").applyInPandas(one, f"locus {df.schema['locus'].dataType.simpleString()}, snp {kind}, p double")
+    """r2 of variants of one locus within a distance: genotypes (locus, snp, pos, sample, dosage). Variants meet in bins of the window and the next one."""
+    d = genotypes.select("locus", "sample", F.col(variant).alias("snp"), "pos", "dosage").withColumn("_b", F.floor(F.col("pos") / window))
+    a = d.select("locus", "sample", "_b", *[F.col(c).alias(f"{c}_1") for c in ("snp", "pos", "dosage")])
+    b = d.select("locus", "sample", F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b"), *[F.col(c).alias(f"{c}_2") for c in ("snp", "pos", "dosage")])
+    after = F.struct("pos_1", "snp_1") < F.struct(F.col("pos_2").alias("pos_1"), F.col("snp_2").alias("snp_1"))
+    j = a.join(b, ["locus", "sample", "_b"]).where(after & (F.col("pos_2") - F.col("pos_1") <= window))
+    return j.groupBy("locus", F.least("snp_1", "snp_2").alias("snp_a"), F.greatest("snp_1", "snp_2").alias("snp_b")).agg(F.pow(F.corr("dosage_1", "dosage_2"), 2).alias("r2"))
+
+
+def ld_clump(df: DataFrame, ld: DataFrame, *, r2: float = 0.1, most_rounds: int = 1_000) -> DataFrame:
+    """Instruments (locus, snp, p) kept in order of p, those of the locus in LD with a kept one dropped; a null p comes last.
+
+    A round keeps all that come first among their neighbours and drops what is
+    in LD with them, which is the choice in order.
+    """
+    s = Scratch(df.sparkSession, "clump")
+    rank = F.struct(F.col("p").isNull().alias("none"), F.col("p").cast("double").alias("p"), F.col("snp").alias("snp"))
+    x = df.groupBy("locus", "snp").agg(F.min("p").alias("p")).select("locus", "snp", rank.alias("rank"))
+    pairs = ld.where((F.col("r2") >= r2) & (F.col("snp_a") != F.col("snp_b")))
+    pairs = pairs.select(F.col("snp_a").alias("snp"), F.col("snp_b").alias("o")).unionByName(pairs.select(F.col("snp_b").alias("snp"), F.col("snp_a").alias("o"))).distinct()
+    near = s.saved(x.join(pairs, "snp").join(x.select("locus", F.col("snp").alias("o"), F.col("rank").alias("rank_o")), ["locus", "o"]), "near")
+    left, out = s.saved(x, "left", stays=True), None
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            out = left if out is None else out
+            s.close()
+            return out.select("locus", "snp", F.col("rank.p").alias("p"))
+        now = s.saved(left.join(near.where("rank_o < rank").select("locus", "snp"), ["locus", "snp"], "left_anti"), "kept", stays=True)
+        out = now if out is None else out.unionByName(now)
+        gone = near.join(now.select("locus", F.col("snp").alias("o")), ["locus", "o"], "left_semi").select("locus", "snp")
+        left = s.saved(left.join(now, ["locus", "snp"], "left_anti").join(gone, ["locus", "snp"], "left_anti"), "left", stays=True)
+        near = s.saved(near.join(left, ["locus", "snp"], "left_semi").join(left.select("locus", F.col("snp").alias("o")), ["locus", "o"], "left_semi"), "near")
+    raise RuntimeError("the clumps did not end")
 
 
 def mr_ivw(df: DataFrame, *, by: list[str], bx: str = "beta", by_: str = "beta_2", sy: str = "se_2") -> DataFrame:

@@ -166,9 +166,9 @@ def cn_bias(df: DataFrame, *, value: str = "lfc", cn: str = "copy_number", bins:
     are lower (with three on each side), and the flag. Bins are quantiles of
     copy number, closed on the right.
     """
-    r = ranked(ranked(df.select(value, cn), value, ties="average", out="_a"), cn, ties="average", out="_b")
+    r = ranked(ranked(df.select(value, cn), value, ties="average", out="rank_v"), cn, ties="average", out="rank_cn")
     amp, dip = F.col(cn) > 4, F.col(cn).between(1.5, 2.5)
-    g = r.agg(F.corr("_a", "_b").alias("rho"), F.count(F.lit(1)).alias("n"), F.count_if(amp).alias("amplified"), F.count_if(dip).alias("diploid"), F.avg(F.when(amp, F.col(value))).alias("amplified_mean"), F.avg(F.when(dip, F.col(value))).alias("diploid_mean"))
+    g = r.agg(F.corr("rank_v", "rank_cn").alias("rho"), F.count(F.lit(1)).alias("n"), F.count_if(amp).alias("amplified"), F.count_if(dip).alias("diploid"), F.avg(F.when(amp, F.col(value))).alias("amplified_mean"), F.avg(F.when(dip, F.col(value))).alias("diploid_mean"))
     t = rank_sums(df.where(amp | dip).select(F.lit(1).alias("feature"), F.col(value).alias("value"), amp.alias("is_case"))).withColumn("_p", tails.rank_less_p("u", "n1", "n2", "ties")).select("_p")
     j = g.join(t, F.lit(True), "left")  # one row each
     enough = (F.col("amplified") >= 3) & (F.col("diploid") >= 3)
@@ -645,3 +645,66 @@ def feature_level_filter(df: DataFrame, *, fill: str = "fill", tag: str = "tag",
 def bin_labels(values: list[float]) -> list[str]:
     """Names of the intervals between edges."""
     return [f"{a:g}-{b:g}" for a, b in pairwise(values)]
+
+
+def sample_scores(df: DataFrame, *, components: int = 5, feature: str = "feature", sample: str = "sample", value: str = "n", most_samples: int = 2_000) -> DataFrame:
+    """Principal components of samples over log10(value + 1), features centred, missing cells 0: sample, pc, score, explained.
+
+    Tasks sum the products of samples over their features; the samples' matrix
+    is solved in one task, so more than ``most_samples`` are an error. A
+    component's sign makes its largest score positive.
+    """
+    names = [r[0] for r in df.select(sample).distinct().orderBy(sample).limit(most_samples + 1).collect()]
+    if len(names) > most_samples:
+        raise ValueError(f"more than {most_samples} samples")
+    n, at, kind = len(names), {x: i for i, x in enumerate(names)}, df.schema[sample].dataType.simpleString()
+    rows = df.groupBy(feature, sample).agg(F.log10(F.sum(value).cast("double") + 1).alias("x")).groupBy(feature).agg(F.collect_list(F.struct(F.col(sample).alias("s"), "x")).alias("v"))
+
+    def products(batches):
+        c = np.zeros((n, n))
+        for pdf in batches:
+            m = np.zeros((len(pdf), n))
+            for i, v in enumerate(pdf["v"]):
+                for r in v:
+                    m[i, at[r["s"]]] = r["x"]
+            c += m.T @ m
+        yield pd.DataFrame({"i": range(n), "row": list(c)})
+
+    cells = rows.select("v").mapInPandas(products, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "c")).groupBy("i", "j").agg(F.sum("c").alias("c"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = np.zeros((n, n))
+        c[pdf["i"], pdf["j"]] = pdf["c"]
+        h = np.eye(n) - 1.0 / n
+        values, vectors = np.linalg.eigh(h @ c @ h)
+        values = np.clip(values[::-1], 0, None)
+        out = []
+        for k in range(min(components, n)):
+            v = vectors[:, ::-1][:, k] * values[k] ** 0.5
+            v = v if v[np.abs(v).argmax()] >= 0 else -v
+            out += [(s, k + 1, float(x), float(values[k] / values.sum()) if values.sum() else None) for s, x in zip(names, v)]
+        return pd.DataFrame(out, columns=[sample, "pc", "score", "explained"])
+
+    return cells.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(solve, f"{sample} {kind}, pc int, score double, explained double")
+
+
+def pca_batch_diagnostic(scores: DataFrame, samples: DataFrame, *, factors: tuple[str, ...] = ("batch", "condition"), sample: str = "sample") -> DataFrame:
+    """One-way F and p of each factor of the samples on each component: pc, factor, levels, f, p; null without freedom. Samples in one table only are left out."""
+    x = scores.join(samples, sample)
+    d = x.select("pc", "score", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors])).alias("_f")).select("pc", "score", "_f.*")
+    g = d.groupBy("pc", "factor", "level").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("m"), F.var_pop("score").alias("v"))
+    mean = F.sum(F.col("n") * F.col("m")).over(Window.partitionBy("pc", "factor")) / F.sum("n").over(Window.partitionBy("pc", "factor"))
+    g = g.withColumn("_d", F.col("m") - mean).groupBy("pc", "factor").agg(F.count(F.lit(1)).alias("levels"), F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("_d") * F.col("_d")).alias("_b"), F.sum(F.col("n") * F.col("v")).alias("_w"))
+    a, b = F.col("levels") - 1, F.col("_n") - F.col("levels")
+    f = F.when((a > 0) & (b > 0) & (F.col("_w") > 0), F.col("_b") / F.nullif(a, F.lit(0)) / (F.col("_w") / F.nullif(b, F.lit(0))))
+    g = g.withColumn("f", f)
+    return g.select("pc", "factor", "levels", "f", F.when(F.col("f").isNotNull(), tails.f_p("f", a.cast("double"), b.cast("double"))).alias("p"))
+
+
+def hotelling_t2(scores: DataFrame, *, alpha: float = 0.05, sample: str = "sample") -> DataFrame:
+    """T2 per sample over its component scores, the critical value and whether it is beyond: sample, t2, crit, outlier; crit is null where the components leave no freedom."""
+    v = scores.groupBy("pc").agg((F.sum(F.col("score") * F.col("score")) / (F.count(F.lit(1)) - 1)).alias("_v"))
+    a, n = scores.agg(F.count_distinct("pc"), F.count_distinct(sample)).first()
+    crit = a * (n - 1) / (n - a) * tails.f_quantile(1 - alpha, a, n - a) if n > a > 0 else None
+    t = scores.join(F.broadcast(v), "pc").groupBy(sample).agg(F.sum(F.col("score") * F.col("score") / F.nullif("_v", F.lit(0.0))).alias("t2"))  # a row per component
+    return t.select(sample, "t2", F.lit(crit).cast("double").alias("crit"), (F.col("t2") > F.lit(crit).cast("double")).alias("outlier"))

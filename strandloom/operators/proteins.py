@@ -173,19 +173,24 @@ def motif_enrichment(foreground: DataFrame, background: DataFrame, *, window: st
 def match_spectra(query: DataFrame, library: DataFrame, *, tolerance: float = 0.01, least_peaks: int = 6, least_score: float = 0.7, tie: float = 0.02) -> DataFrame:
     """Cosine of long peak tables (spectrum, mz, intensity) over peaks within the tolerance, one to one; matches near the best are kept.
 
-    Peaks meet in buckets of the tolerance and their neighbours; of several
-    partners a peak keeps the product-largest that also chose it.
+    Peaks meet in buckets of the tolerance and their neighbours. Pairs of peaks
+    are taken by their product, largest first, each peak once; a pair of
+    spectra has at most their peaks as candidates.
     """
     q = query.select(F.col("spectrum").alias("q"), F.col("mz").alias("qm"), F.col("intensity").alias("qi")).withColumn("_b", F.floor(F.col("qm") / tolerance))
-    x = library.select(F.col("spectrum").alias("l"), F.col("mz").alias("lm"), F.col("intensity").alias("li")).withColumn("_b", F.explode(F.array(*[F.floor(F.col("mz") / tolerance) + k for k in (-1, 0, 1)])))
-    j = q.join(x, "_b").where(F.abs(F.col("qm") - F.col("lm")) <= tolerance).withColumn("_w", F.col("qi") * F.col("li"))
-    j = j.withColumn("_r", F.row_number().over(Window.partitionBy("q", "l", "qm").orderBy(F.col("_w").desc(), "lm"))).where("_r = 1")
-    j = j.withColumn("_r", F.row_number().over(Window.partitionBy("q", "l", "lm").orderBy(F.col("_w").desc(), "qm"))).where("_r = 1")
+    x = library.select(F.col("spectrum").alias("l"), F.col("mz").alias("lm"), F.col("intensity").alias("li")).withColumn("_b", F.explode(F.array(*[F.floor(F.col("lm") / tolerance) + k for k in (-1, 0, 1)])))
+    j = q.join(x, "_b").where(F.abs(F.col("qm") - F.col("lm")) <= tolerance)
+    j = j.groupBy("q", "l").agg(F.array_sort(F.collect_list(F.struct((-F.col("qi") * F.col("li")).alias("w"), "lm", "qm"))).alias("_p"))
+    none = F.array().cast("array<struct<w:double,lm:double,qm:double>>")
+    free = lambda kept, x: ~F.exists(kept, lambda k: (k["lm"] == x["lm"]) | (k["qm"] == x["qm"]))
+    pair = lambda x: F.struct(x["w"].cast("double").alias("w"), x["lm"].cast("double").alias("lm"), x["qm"].cast("double").alias("qm"))
+    j = j.withColumn("_k", F.aggregate("_p", none, lambda kept, x: F.when(free(kept, x), F.array_append(kept, pair(x))).otherwise(kept)))
+    j = j.select("q", "l", F.size("_k").cast("long").alias("peaks"), F.aggregate("_k", F.lit(0.0), lambda a, k: a - k["w"]).alias("_s"))
     nq = query.groupBy(F.col("spectrum").alias("q")).agg(F.sqrt(F.sum(F.col("intensity") * F.col("intensity"))).alias("_nq"))
     nl = library.groupBy(F.col("spectrum").alias("l")).agg(F.sqrt(F.sum(F.col("intensity") * F.col("intensity"))).alias("_nl"))
-    s = j.groupBy("q", "l").agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("peaks")).join(nq, "q").join(nl, "l")
+    s = j.join(nq, "q").join(nl, "l")
     s = s.select("q", "l", "peaks", (F.col("_s") / (F.col("_nq") * F.col("_nl"))).alias("score")).where((F.col("peaks") >= least_peaks) & (F.col("score") >= least_score))
-    return s.where(F.col("score") >= F.max("score").over(Window.partitionBy("q")) - tie)
+    return s.withColumn("_m", F.max("score").over(Window.partitionBy("q"))).where(F.col("score") >= F.col("_m") - tie).drop("_m")
 
 
 def kinase_activity(sites: DataFrame, prior: DataFrame, *, least: int = 2) -> DataFrame:

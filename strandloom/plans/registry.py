@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandloom.plans import events, matrices, more, sequences, tables
+from strandloom.plans import events, further, matrices, more, sequences, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for family in (tables, matrices, sequences, events, more):
+for family in (tables, matrices, sequences, events, more, further):
     QUERIES |= family.R.queries
     ORACLES |= family.R.oracles

@@ -106,7 +106,8 @@ def marker_genes(df: DataFrame, cells: DataFrame, *, cluster: str = "cluster", t
 
 
 def label_marker_check(reference: DataFrame, query: DataFrame, markers: DataFrame, *, least_cells: int = 20, cut: float = 0.5) -> DataFrame:
-    """Per label: mean over its markers of min(1, detection in query / in reference); labels with few cells or no markers are skipped. Tables have label, cell, gene (detected); markers label, gene."""
+    """Per label: mean over its markers of min(1, detection in query / in reference); markers that the reference lacks are left out, labels with few cells or no marker are skipped, and cells of label Unknown aren't looked at. Tables have label, cell, gene (detected); markers label, gene."""
+    query = query.where("label <> 'Unknown'")
 
     def detection(t: DataFrame, name: str) -> DataFrame:
         n = t.groupBy("label").agg(F.count_distinct("cell").alias(f"{name}_cells"))
@@ -114,7 +115,7 @@ def label_marker_check(reference: DataFrame, query: DataFrame, markers: DataFram
         return markers.join(n, "label").join(k, ["label", "gene"], "left").select("label", "gene", f"{name}_cells", (F.coalesce("_k", F.lit(0)) / F.col(f"{name}_cells")).alias(f"{name}_share"))
 
     j = detection(reference, "ref").join(detection(query, "query"), ["label", "gene"])
-    g = j.groupBy("label").agg(F.avg(F.least(F.lit(1.0), F.col("query_share") / F.nullif("ref_share", F.lit(0.0)))).alias("retained"), F.min("query_cells").alias("cells"))
+    g = j.groupBy("label").agg(F.avg(F.when(F.col("ref_share") > 0, F.least(F.lit(1.0), F.col("query_share") / F.nullif("ref_share", F.lit(0.0))))).alias("retained"), F.min("query_cells").alias("cells"))
     labels = query.groupBy("label").agg(F.count_distinct("cell").alias("n"))
     return labels.join(g, "label", "left").select("label", "n", "retained", F.when(F.col("retained").isNull(), "skipped: no markers").when(F.col("n") < least_cells, "skipped: few cells").when(F.col("retained") < cut, "flagged").otherwise("ok").alias("status"))
 
@@ -151,10 +152,10 @@ def psi_by_group(df: DataFrame, *, least_cells: int = 50) -> DataFrame:
 
 
 def psi_test(df: DataFrame, *, least: int = 20, group: str = "is_case") -> DataFrame:
-    """Rank test of PSI between two groups per event with values enough on both sides: delta, u, z, p, BH."""
+    """Rank test of PSI (with continuity correction) between two groups per event with values enough on both sides: delta, u, z, p, BH."""
     d = df.where("psi is not null")
     n = d.groupBy("event").agg(F.count_if(F.col(group)).alias("_a"), F.count_if(~F.col(group)).alias("_b"), (F.avg(F.when(F.col(group), F.col("psi"))) - F.avg(F.when(~F.col(group), F.col("psi")))).alias("delta")).where((F.col("_a") >= least) & (F.col("_b") >= least)).select("event", "delta")
-    t = rank_sum_test(d.join(n.select("event"), "event", "left_semi"), feature="event", value="psi", group=group)
+    t = rank_sum_test(d.join(n.select("event"), "event", "left_semi"), feature="event", value="psi", group=group, continuity=True)
     return adjust_p(t.join(n, "event"))
 
 

@@ -193,11 +193,12 @@ def genetic_interaction(pairs: DataFrame, singles: DataFrame) -> DataFrame:
 
 
 def dose_consistent(df: DataFrame, *, gene: str = "gene", dose: str = "dose", effect: str = "effect", fdr: str = "fdr", alpha: float = 0.05) -> DataFrame:
-    """Genes of one sign at all doses and significant at the top dose, with whether the effect grows with every step."""
+    """Genes with an effect at every dose of the table, of one sign, and significant at the top dose, with whether the effect grows with every step."""
+    doses = df.agg(F.count_distinct(dose).alias("_doses"))
     w = Window.partitionBy(gene).orderBy(dose)
     d = df.where(F.col(effect).isNotNull()).withColumn("_step", F.abs(effect) >= F.coalesce(F.abs(F.lag(effect).over(w)), F.lit(0.0)))
-    g = d.groupBy(gene).agg(F.min(F.signum(effect)).alias("_a"), F.max(F.signum(effect)).alias("_b"), F.max_by(fdr, dose).alias("top_fdr"), F.max_by(effect, dose).alias("top_effect"), F.min("_step").alias("monotonic"))
-    return g.where((F.col("_a") == F.col("_b")) & (F.col("_a") != 0) & (F.col("top_fdr") < alpha)).select(gene, "top_effect", "top_fdr", "monotonic")
+    g = d.groupBy(gene).agg(F.min(F.signum(effect)).alias("_a"), F.max(F.signum(effect)).alias("_b"), F.max_by(fdr, dose).alias("top_fdr"), F.max_by(effect, dose).alias("top_effect"), F.min("_step").alias("monotonic"), F.count_distinct(dose).alias("_k"))
+    return g.crossJoin(doses).where((F.col("_k") == F.col("_doses")) & (F.col("_a") == F.col("_b")) & (F.col("_a") != 0) & (F.col("top_fdr") < alpha)).select(gene, "top_effect", "top_fdr", "monotonic")  # one row
 
 
 def variant_scores(scores: DataFrame, annotation: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -229,12 +229,15 @@ RESIDUE_MASS = {
 WATER, PROTON = 18.010565, 1.007276
 
 
-def fragment_transitions(peptides: DataFrame, *, sequence: str = "sequence") -> DataFrame:
-    """One row per singly charged y-ion of a peptide: series number, fragment, m/z, group id. Unknown residues give null m/z."""
+def fragment_transitions(peptides: DataFrame, *, sequence: str = "sequence", charge: str = "charge", most: int = 6) -> DataFrame:
+    """One row per singly charged y-ion, y1 to y6 at most, of a peptide and its precursor charge: series number, fragment, m/z, precursor m/z, intensity, group id and annotation. Unknown residues give null m/z, empty sequences no row."""
     mass = F.create_map(*[F.lit(x) for kv in RESIDUE_MASS.items() for x in kv])
-    d = peptides.withColumn("number", F.explode(F.sequence(F.lit(1), F.length(sequence)))).withColumn("fragment", F.right(sequence, F.col("number")))
-    mz = F.aggregate(F.filter(F.split("fragment", ""), lambda r: r != ""), F.lit(WATER + PROTON), lambda a, r: a + F.element_at(mass, r))
-    return d.withColumn("mz", mz).withColumn("group_id", F.concat_ws("_", sequence, F.length(sequence)))
+    total = lambda s: F.aggregate(F.filter(F.split(s, ""), lambda r: r != ""), F.lit(WATER), lambda a, r: a + F.element_at(mass, r))
+    numbers = F.sequence(F.lit(1), F.least(F.lit(most), F.length(sequence)))
+    d = peptides.where(F.length(sequence) > 0).withColumn("precursor_mz", (total(sequence) + F.col(charge) * PROTON) / F.col(charge))
+    d = d.withColumn("number", F.explode(numbers)).withColumn("fragment", F.right(sequence, F.col("number")))
+    d = d.withColumn("mz", total("fragment") + PROTON).withColumn("intensity", 1000.0 / F.col("number"))
+    return d.withColumn("group_id", F.concat_ws("_", sequence, charge)).withColumn("annotation", F.concat(F.lit("y"), F.col("number"), F.lit("^1")))
 
 
 def reciprocal_best_hits(forward: DataFrame, backward: DataFrame) -> DataFrame:

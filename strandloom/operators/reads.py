@@ -290,15 +290,17 @@ def junction_support(df: DataFrame, *, min_overhang: int = 8, min_mapq: int = 25
 
 
 def junction_class_summary(junctions: DataFrame, known_junctions: DataFrame, *, classes: tuple[str, ...] = ("known", "partial", "novel")) -> DataFrame:
-    """Per class (both ends known together, one end known, none): share of junctions and of reads, median support; an absent class has 0."""
-    k = known_junctions.select("contig", "i_start", "i_stop").distinct()
-    j = junctions.join(k.withColumn("_both", F.lit(1)), ["contig", "i_start", "i_stop"], "left")
-    j = j.join(k.select("contig", "i_start").distinct().withColumn("_a", F.lit(1)), ["contig", "i_start"], "left").join(k.select("contig", "i_stop").distinct().withColumn("_z", F.lit(1)), ["contig", "i_stop"], "left")
-    j = j.withColumn("class", F.when(F.col("_both") == 1, "known").when((F.col("_a") == 1) | (F.col("_z") == 1), "partial").otherwise("novel"))
+    """Per class (both ends known, in whatever pairing, one end known, none): share of junctions and of reads, median support, and the verdict by the share of known reads; an absent class has 0."""
+    k = known_junctions.select("contig", "i_start", "i_stop")
+    j = junctions.join(k.select("contig", "i_start").distinct().withColumn("_a", F.lit(1)), ["contig", "i_start"], "left").join(k.select("contig", "i_stop").distinct().withColumn("_z", F.lit(1)), ["contig", "i_stop"], "left")
+    ends = F.coalesce("_a", F.lit(0)) + F.coalesce("_z", F.lit(0))
+    j = j.withColumn("class", F.when(ends == 2, "known").when(ends == 1, "partial").otherwise("novel"))
     g = j.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("reads").alias("r"), F.percentile("reads", 0.5).alias("median_reads"))
     every = junctions.sparkSession.createDataFrame([(c,) for c in classes], "class string").join(g, "class", "left").fillna(0)
     w = Window.partitionBy(F.lit(1))
-    return every.select("class", F.col("n").alias("junctions"), (F.col("n") / F.nullif(F.sum("n").over(w), F.lit(0))).alias("junction_share"), (F.col("r") / F.nullif(F.sum("r").over(w), F.lit(0))).alias("read_share"), "median_reads")
+    known = F.sum(F.when(F.col("class") == "known", F.col("r"))).over(w) / F.nullif(F.sum("r").over(w), F.lit(0))
+    status = F.when(known >= 0.8, "Healthy").when(known >= 0.6, "Acceptable").when(known.isNotNull(), "Suspect or interesting")
+    return every.select("class", F.col("n").alias("junctions"), (F.col("n") / F.nullif(F.sum("n").over(w), F.lit(0))).alias("junction_share"), (F.col("r") / F.nullif(F.sum("r").over(w), F.lit(0))).alias("read_share"), "median_reads", status.alias("status"))
 
 
 def junction_saturation(reads: DataFrame, *, steps: int = 20, plateau: float = 0.02, seed: int = 0) -> DataFrame:
@@ -326,17 +328,22 @@ def orientation_share(df: DataFrame, *, tag: str = "ts") -> DataFrame:
 
 
 def ase_per_peak(snps: DataFrame, haplotypes: DataFrame, peaks: DataFrame, *, min_depth: int = 30, min_snps: int = 2) -> DataFrame:
-    """Haplotype totals per peak coordinates and phase set, with a binomial p and its BH value where there are SNPs enough.
+    """Haplotype totals per peak coordinates and phase set, the share of the first, a binomial p and its BH value where there are SNPs enough, and the status.
 
     snps: contig, pos (0-based), ref, alt, ref_count, alt_count; haplotypes: contig, pos, ref, alt, phase_set, hap1; peaks: contig, start, stop.
+    A SNP of enough depth that the haplotypes lack is an error.
     """
     from strandloom.functions import tails
     from strandloom.operators.stats import adjust_p
 
-    s = snps.where(F.col("ref_count") + F.col("alt_count") >= min_depth).join(haplotypes, ["contig", "pos", "ref", "alt"])
+    s = snps.where(F.col("ref_count") + F.col("alt_count") >= min_depth).join(haplotypes, ["contig", "pos", "ref", "alt"], "left")
+    s = s.withColumn("hap1", F.coalesce("hap1", F.raise_error(F.concat_ws(" ", F.lit("no haplotype for"), "contig", F.col("pos").cast("string"), "ref", "alt"))))
     one = F.when(F.col("hap1") == F.col("ref"), F.col("ref_count")).otherwise(F.col("alt_count"))
     s = s.withColumn("h1", one).withColumn("h2", F.col("ref_count") + F.col("alt_count") - one).withColumn("start", F.col("pos")).withColumn("stop", F.col("pos") + 1)
     j = interval_join(s, peaks.select("contig", "start", "stop").distinct())
     g = j.groupBy(F.col("b_contig").alias("contig"), F.col("b_start").alias("start"), F.col("b_stop").alias("stop"), F.col("a_phase_set").alias("phase_set")).agg(F.count(F.lit(1)).alias("snps"), F.sum("a_h1").alias("hap1"), F.sum("a_h2").alias("hap2"))
-    g = g.withColumn("status", F.when(F.col("snps") >= min_snps, "tested").otherwise("too few SNPs")).withColumn("p", F.when(F.col("snps") >= min_snps, tails.binom_p("hap1", F.col("hap1") + F.col("hap2"))))
-    return adjust_p(g)
+    total = F.col("hap1") + F.col("hap2")
+    g = g.withColumn("hap1_share", F.col("hap1") / F.nullif(total, F.lit(0)))
+    q = adjust_p(g.withColumn("p", F.when((F.col("snps") >= min_snps) & (total > 0), tails.binom_p("hap1", total))))
+    sure, wide = F.coalesce(F.col("q") < 0.05, F.lit(False)), F.abs(F.col("hap1_share") - 0.5) >= 0.2
+    return q.withColumn("status", F.when(F.col("snps") < min_snps, "underpowered_snp_count").when(sure & wide, "significant_imbalance").when(sure, "below_effect_threshold").otherwise("non_significant"))

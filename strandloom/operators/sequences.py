@@ -160,13 +160,20 @@ def sequence_weights(df: DataFrame, *, key: str = "id", seq: str = "seq") -> Dat
     return w.select(key, (F.col("_w") / F.sum("_w").over(Window.partitionBy(F.lit(1)))).alias("weight"))
 
 
-def neff(df: DataFrame, *, identity: float = 0.8, key: str = "id", seq: str = "seq") -> DataFrame:
+def neff(df: DataFrame, *, identity: float = 0.62, key: str = "id", seq: str = "seq") -> DataFrame:
     """Effective number of sequences: sum of 1 / (1 + neighbours at the identity over common columns)."""
     near = pairwise_identity(df, key=key, seq=seq).where(F.col("pid2") >= identity)
     k = near.select(F.col("id_a").alias(key)).unionByName(near.select(F.col("id_b").alias(key))).groupBy(key).agg(F.count(F.lit(1)).alias("_k"))
     return df.select(key).join(k, key, "left").agg(F.sum(1 / (1 + F.coalesce("_k", F.lit(0)))).alias("neff"), F.count(F.lit(1)).alias("rows"))
 
 
+def apc_applicable(df: DataFrame, *, identity: float = 0.62, columns_over: int = 100, rows_over: float = 1.0, key: str = "id", seq: str = "seq") -> DataFrame:
+    """One row: alignment width, neff over it, and whether both are large enough for the product correction of ``mutual_information_apc``; else its mi is the column to read."""
+    width = df.agg(F.max(F.length(seq)).alias("width"))
+    per = F.col("neff") / F.col("width")
+    return neff(df, identity=identity, key=key, seq=seq).crossJoin(width).select("width", per.alias("neff_per_column"), ((F.col("width") > columns_over) & (per > rows_over)).alias("ok"))  # one row each
+
+
 def mutual_information_apc(df: DataFrame, *, least_rows: int = 20, key: str = "id", seq: str = "seq") -> DataFrame:
     """Mutual information (bits) of column pairs over rows with both residues, less the product of the columns' means over the overall mean."""
     c = columns(df, key=key, seq=seq).where("residue <> '-'")

@@ -105,7 +105,7 @@ def stouffer_meta(v):
 
 @R.add("""
     WITH d AS (SELECT partkey AS gene, line AS dose, avg(price) - 30000 AS effect, partkey * 31 % 97 / 970.0 AS fdr FROM {lines} WHERE line <= 3 OR partkey % 2 = 0 GROUP BY ALL), s AS (SELECT *, abs(effect) >= coalesce(abs(lag(effect) OVER (PARTITION BY gene ORDER BY dose)), 0) AS step FROM d)
-    SELECT gene, round(arg_max(effect, dose), 6) AS top_effect, round(arg_max(fdr, dose), 6) AS top_fdr, bool_and(step) AS monotonic FROM s GROUP BY gene HAVING min(sign(effect)) = max(sign(effect)) AND min(sign(effect)) <> 0 AND arg_max(fdr, dose) < 0.05""")
+    SELECT gene, round(arg_max(effect, dose), 6) AS top_effect, round(arg_max(fdr, dose), 6) AS top_fdr, bool_and(step) AS monotonic FROM s GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT dose) FROM d) AND min(sign(effect)) = max(sign(effect)) AND min(sign(effect)) <> 0 AND arg_max(fdr, dose) < 0.05""")
 def dose_consistent(v):
     d = v.lines.where("line <= 3 or partkey % 2 = 0").groupBy(F.col("partkey").alias("gene"), F.col("line").alias("dose")).agg((F.avg("price") - 30000).alias("effect"))
     return mx.dose_consistent(d.withColumn("fdr", F.col("gene") * 31 % 97 / 970.0))
@@ -131,12 +131,12 @@ def expand_site_multiplicity(v):
 
 
 @R.add("""
-    WITH d AS (SELECT cell, gene, cell % 2 AS side, 'L' || (cell % 7) AS label FROM {cells} WHERE n > 30), m AS (SELECT DISTINCT 'L' || (gene % 5) AS label, gene FROM {lines} WHERE gene % 4 = 0),
+    WITH d AS (SELECT cell, gene, cell % 2 AS side, CASE WHEN cell % 7 = 6 THEN 'Unknown' ELSE 'L' || (cell % 7) END AS label FROM {cells} WHERE n > 30), m AS (SELECT DISTINCT 'L' || (gene % 5) AS label, gene FROM {lines} WHERE gene % 4 = 0),
          n AS (SELECT label, side, count(DISTINCT cell) AS n FROM d GROUP BY ALL), k AS (SELECT m.label, m.gene, n.side, n.n, count(DISTINCT d.cell) AS k FROM m JOIN n ON n.label = m.label LEFT JOIN d ON d.label = m.label AND d.gene = m.gene AND d.side = n.side GROUP BY ALL),
-         g AS (SELECT r.label, avg(least(1.0, (q.k / q.n) / nullif(r.k / r.n, 0))) AS retained FROM k r JOIN k q ON r.label = q.label AND r.gene = q.gene AND r.side = 0 AND q.side = 1 GROUP BY r.label)
-    SELECT label, n, round(retained, 6) AS retained, CASE WHEN retained IS NULL THEN 'skipped: no markers' WHEN n < 20 THEN 'skipped: few cells' WHEN retained < 0.5 THEN 'flagged' ELSE 'ok' END AS status FROM n LEFT JOIN g USING (label) WHERE side = 1""")
+         g AS (SELECT r.label, avg(least(1.0, (q.k / q.n) / (r.k / r.n))) FILTER (r.k > 0) AS retained FROM k r JOIN k q ON r.label = q.label AND r.gene = q.gene AND r.side = 0 AND q.side = 1 GROUP BY r.label)
+    SELECT label, n, round(retained, 6) AS retained, CASE WHEN retained IS NULL THEN 'skipped: no markers' WHEN n < 20 THEN 'skipped: few cells' WHEN retained < 0.5 THEN 'flagged' ELSE 'ok' END AS status FROM n LEFT JOIN g USING (label) WHERE side = 1 AND label <> 'Unknown'""")
 def label_marker_check(v):
-    d = v.cells.where("n > 30").select("cell", "gene", F.concat(F.lit("L"), F.col("cell") % 7).alias("label"))
+    d = v.cells.where("n > 30").select("cell", "gene", F.when(F.col("cell") % 7 == 6, "Unknown").otherwise(F.concat(F.lit("L"), F.col("cell") % 7)).alias("label"))
     m = v.lines.where("gene % 4 = 0").select(F.concat(F.lit("L"), F.col("gene") % 5).alias("label"), "gene").distinct()
     return ce.label_marker_check(d.where("cell % 2 = 0"), d.where("cell % 2 = 1"), m)
 
@@ -154,7 +154,7 @@ def highly_variable(v):
 @R.add(f"""
     WITH d AS (SELECT gene AS event, discount * 10 AS v, status = 'F' AS is_case FROM {{lines}} WHERE discount > 0), r AS (SELECT *, rank() OVER (PARTITION BY event ORDER BY v) + (count(*) OVER (PARTITION BY event, v) - 1) / 2 AS r, count(*) OVER (PARTITION BY event, v) AS t FROM d),
          g AS (SELECT event, count(*) FILTER (is_case) AS n1, count(*) FILTER (NOT is_case) AS n2, sum(r) FILTER (is_case) AS w, sum(t * t - 1.0) AS ties, avg(v) FILTER (is_case) - avg(v) FILTER (NOT is_case) AS delta FROM r GROUP BY event),
-         h AS (SELECT *, w - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / nullif((n1 + n2) * (n1 + n2 - 1), 0)) AS var FROM g WHERE n1 >= 20 AND n2 >= 20), z AS (SELECT *, CASE WHEN var > 0 THEN (u - n1 * n2 / 2) / sqrt(var) END AS z FROM h), p AS (SELECT *, {norm_two_sided("z")} AS p FROM z)
+         h AS (SELECT *, w - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / nullif((n1 + n2) * (n1 + n2 - 1), 0)) AS var FROM g WHERE n1 >= 20 AND n2 >= 20), z AS (SELECT *, CASE WHEN var > 0 THEN sign(u - n1 * n2 / 2) * greatest(0.0, abs(u - n1 * n2 / 2) - 0.5) / sqrt(var) END AS z FROM h), p AS (SELECT *, {norm_two_sided("z")} AS p FROM z)
     SELECT event, n1, n2, round(delta, 6) AS delta, round(u, 6) AS u, round(z, 6) AS z, round(p, 6) AS p, round(q, 6) AS q FROM {bh("p")}""")
 def psi_test(v):
     d = v.lines.select(F.col("gene").alias("event"), F.when(F.col("discount") > 0, F.col("discount") * 10).alias("psi"), (F.col("status") == "F").alias("is_case"))
@@ -240,6 +240,11 @@ def neff(v):
     return sq.neff(_wide(v), identity=0.37)
 
 
+@R.add(PAIRS + ", k AS (SELECT id_a AS id FROM p WHERE same / both_ >= 0.62 UNION ALL SELECT id_b FROM p WHERE same / both_ >= 0.62), c AS (SELECT r.id, count(k.id) AS k FROM n r LEFT JOIN k USING (id) GROUP BY r.id), w AS (SELECT max(i)::INT AS width FROM r), e AS (SELECT sum(1 / (1 + k)) AS n FROM c) SELECT width, round(n / width, 6) AS neff_per_column, width > 100 AND n / width > 1 AS ok FROM e CROSS JOIN w")
+def apc_applicable(v):
+    return sq.apc_applicable(_wide(v))
+
+
 CELLS = f"r AS (SELECT id, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) - 1 AS i FROM {LONG})"
 
 
@@ -315,11 +320,12 @@ MASSES = ", ".join(f"'{k}': {m}" for k, m in pr.RESIDUE_MASS.items())
 
 
 @R.add(f"""
-    WITH p AS (SELECT id, translate(substr(md5(id::VARCHAR), 1, 12), '0123456789abcdef', 'ACDEFGHIKLMNPQR_') AS s FROM {{parts}}), f AS (SELECT id, s, i, right(s, i) AS f FROM (SELECT *, unnest(range(1, 13)) AS i FROM p))
-    SELECT id, i::INT AS number, f AS fragment, CASE WHEN f NOT LIKE '%\\_%' ESCAPE '\\' THEN round({pr.WATER + pr.PROTON} + list_sum(list_transform(string_split(f, ''), lambda r: (MAP {{{{{MASSES}}}}})[r]))::DOUBLE, 5) END AS mz, s || '_12' AS group_id FROM f""")
+    WITH p AS (SELECT id, 2 + id % 2 AS z, translate(substr(md5(id::VARCHAR), 1, 4 + size % 9), '0123456789abcdef', 'ACDEFGHIKLMNPQR_') AS s FROM {{parts}}), f AS (SELECT id, s, z, i, right(s, i) AS f FROM (SELECT *, unnest(range(1, least(6, len(s)) + 1)) AS i FROM p)),
+         m AS (SELECT *, CASE WHEN NOT contains(f, '_') THEN {pr.WATER} + list_sum(list_transform(string_split(f, ''), lambda r: (MAP {{{{{MASSES}}}}})[r]))::DOUBLE END AS m, CASE WHEN NOT contains(s, '_') THEN {pr.WATER} + list_sum(list_transform(string_split(s, ''), lambda r: (MAP {{{{{MASSES}}}}})[r]))::DOUBLE END AS w FROM f)
+    SELECT id, i::INT AS number, f AS fragment, round(m + {pr.PROTON}, 5) AS mz, round((w + z * {pr.PROTON}) / z, 5) AS precursor_mz, round(1000.0 / i, 6) AS intensity, s || '_' || z AS group_id, 'y' || i || '^1' AS annotation FROM m""")
 def fragment_transitions(v):
-    d = pr.fragment_transitions(v.parts.select("id", _md5(v, 12).alias("sequence")))
-    return d.select("id", "number", "fragment", F.round("mz", 5).alias("mz"), "group_id")
+    p = v.parts.select("id", (2 + F.col("id") % 2).alias("charge"), F.expr("translate(substr(md5(cast(id as string)), 1, cast(4 + size % 9 as int)), '0123456789abcdef', 'ACDEFGHIKLMNPQR_')").alias("sequence"))
+    return pr.fragment_transitions(p).select("id", "number", "fragment", F.round("mz", 5).alias("mz"), F.round("precursor_mz", 5).alias("precursor_mz"), "intensity", "group_id", "annotation")
 
 
 EXONS = "(SELECT id // 5 AS transcript, 'c' || (id // 5 % 3) AS contig, CASE WHEN id // 5 % 2 = 0 THEN '+' ELSE '-' END AS strand, id * 50 AS start, id * 50 + 20 + size % 20 AS stop FROM {parts})"
@@ -342,7 +348,7 @@ def transcript_to_genome(v):
     WITH s AS (SELECT contig, id, start AS pos, size + 20 AS r, id % 37 + 5 AS a, id % 2 AS h, id // 40 % 2 AS ps FROM {{intervals}} WHERE size + 25 + id % 37 >= 30), k AS (SELECT DISTINCT contig, start // 4000 * 4000 AS start, start // 4000 * 4000 + 3000 AS stop FROM {{intervals}}),
          g AS (SELECT k.contig, k.start, k.stop, ps AS phase_set, count(*) AS snps, sum(CASE WHEN h = 0 THEN r ELSE a END)::BIGINT AS hap1, sum(CASE WHEN h = 0 THEN a ELSE r END)::BIGINT AS hap2 FROM s JOIN k ON k.contig = s.contig AND pos >= k.start AND pos < k.stop GROUP BY ALL),
          p AS (SELECT *, CASE WHEN snps >= 2 THEN least(1.0, CASE WHEN hap1 = hap2 THEN 1.0 ELSE 2 * list_sum(list_transform(range(0, least(hap1, hap2) + 1), lambda i: exp(lgamma(hap1 + hap2 + 1) - lgamma(i + 1) - lgamma(hap1 + hap2 - i + 1) - (hap1 + hap2) * ln(2)))) END) END AS p FROM g)
-    SELECT contig, start, stop, phase_set, snps, hap1, hap2, CASE WHEN snps >= 2 THEN 'tested' ELSE 'too few SNPs' END AS status, round(p, 6) AS p, round(q, 6) AS q FROM {bh("p")}""")
+    SELECT contig, start, stop, phase_set, snps, hap1, hap2, round(hap1 / (hap1 + hap2), 6) AS hap1_share, CASE WHEN snps < 2 THEN 'underpowered_snp_count' WHEN q >= 0.05 THEN 'non_significant' WHEN abs(hap1 / (hap1 + hap2) - 0.5) < 0.2 THEN 'below_effect_threshold' ELSE 'significant_imbalance' END AS status, round(p, 6) AS p, round(q, 6) AS q FROM {bh("p")}""")
 def ase_per_peak(v):
     i = v.intervals
     s = i.select("contig", F.col("start").alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), (F.col("size") + 20).cast("long").alias("ref_count"), (F.col("id") % 37 + 5).alias("alt_count"))
@@ -355,9 +361,9 @@ JUNCTIONS = "(SELECT contig, start // 300 * 300 AS i_start, stop // 300 * 300 +
 
 
 @R.add(f"""
-    WITH j AS (SELECT * FROM {JUNCTIONS}), k AS (SELECT * FROM j WHERE reads >= 4), c AS (SELECT j.reads, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.contig = j.contig AND k.i_start = j.i_start AND k.i_stop = j.i_stop) THEN 'known'
+    WITH j AS (SELECT * FROM {JUNCTIONS}), k AS (SELECT * FROM j WHERE reads >= 4), c AS (SELECT j.reads, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.contig = j.contig AND k.i_start = j.i_start) AND EXISTS (SELECT 1 FROM k WHERE k.contig = j.contig AND k.i_stop = j.i_stop) THEN 'known'
       WHEN EXISTS (SELECT 1 FROM k WHERE k.contig = j.contig AND k.i_start = j.i_start) OR EXISTS (SELECT 1 FROM k WHERE k.contig = j.contig AND k.i_stop = j.i_stop) THEN 'partial' ELSE 'novel' END AS class FROM j)
-    SELECT l.class, count(reads) AS junctions, round(count(reads) / (SELECT count(*) FROM j), 6) AS junction_share, round(coalesce(sum(reads), 0) / (SELECT sum(reads) FROM j), 6) AS read_share, coalesce(median(reads), 0.0) AS median_reads FROM (SELECT unnest(['known', 'partial', 'novel']) AS class) l LEFT JOIN c USING (class) GROUP BY l.class""")
+    SELECT l.class, count(reads) AS junctions, round(count(reads) / (SELECT count(*) FROM j), 6) AS junction_share, round(coalesce(sum(reads), 0) / (SELECT sum(reads) FROM j), 6) AS read_share, coalesce(median(reads), 0.0) AS median_reads, CASE WHEN (SELECT sum(reads) FILTER (class = 'known') / sum(reads) FROM c) >= 0.8 THEN 'Healthy' WHEN (SELECT sum(reads) FILTER (class = 'known') / sum(reads) FROM c) >= 0.6 THEN 'Acceptable' ELSE 'Suspect or interesting' END AS status FROM (SELECT unnest(['known', 'partial', 'novel']) AS class) l LEFT JOIN c USING (class) GROUP BY l.class""")
 def junction_class_summary(v):
     a, z = F.floor(F.col("start") / 300) * 300, F.floor(F.col("stop") / 300) * 300 + 500
     j = v.reads.groupBy("contig", a.alias("i_start"), z.alias("i_stop")).agg(F.count(F.lit(1)).alias("reads"))

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 
 from strandloom.functions import tails
+from strandloom.operators import cells as ce
 from strandloom.operators import gwas as gw
 from strandloom.operators import matrix as mx
 from strandloom.operators import proteins as pr
+from strandloom.operators import reads as rd
 from strandloom.operators import stats as st
 
 
@@ -118,3 +120,52 @@ def test_combined_p(spark):
     assert r["a"].meta_z == pytest.approx((2.3263479 + 2.0537489) / 2**0.5, abs=1e-6)
     assert r["b"].meta_z == pytest.approx(6.3613409 / 2**0.5, abs=1e-6)
     assert (r["a"].n_nominal, r["b"].n_nominal) == (2, 1)
+
+
+def test_doses_that_lack_an_effect(spark):
+    rows = [("a", d, x, 0.01) for d, x in ((1, 1.0), (2, 2.0), (3, 3.0))] + [("b", 1, 1.0, 0.01), ("b", 3, 2.0, 0.01)] + [("c", 1, -3.0, 0.5), ("c", 2, -2.0, 0.5), ("c", 3, -4.0, 0.01)]
+    r = {x.gene: x.monotonic for x in mx.dose_consistent(spark.createDataFrame(rows, "gene string, dose long, effect double, fdr double")).collect()}
+    assert r == {"a": True, "c": False}
+
+
+def test_marker_shares(spark):
+    t = "label string, cell long, gene string"
+    ref = spark.createDataFrame([("x", c, "g") for c in range(10)] + [("x", c, "other") for c in range(10)], t)
+    query = spark.createDataFrame([("x", c, "g" if c < 5 else "other") for c in range(20)] + [("Unknown", 99, "g"), ("y", 1, "g")], t)
+    markers = spark.createDataFrame([("x", "g"), ("x", "absent")], "label string, gene string")
+    r = {x.label: x for x in ce.label_marker_check(ref, query, markers).collect()}
+    assert set(r) == {"x", "y"}
+    assert r["x"].retained == pytest.approx(0.25) and r["x"].status == "flagged"
+    assert r["y"].retained is None and r["y"].status == "skipped: no markers"
+
+
+def test_y_ions(spark):
+    d = spark.createDataFrame([("PEPTIDEK", 2), ("GK", 1), ("AXK", 2), ("", 2), (None, 2)], "sequence string, charge int")
+    r = {(x.sequence, x.number): x for x in pr.fragment_transitions(d).collect()}
+    assert sorted(n for s, n in r if s == "PEPTIDEK") == [1, 2, 3, 4, 5, 6]
+    assert r["PEPTIDEK", 1].mz == pytest.approx(147.1128, abs=1e-3) and r["PEPTIDEK", 1].group_id == "PEPTIDEK_2"
+    assert r["PEPTIDEK", 2].precursor_mz == pytest.approx(464.7347, abs=1e-3) and r["PEPTIDEK", 2].annotation == "y2^1"
+    assert r["GK", 2].mz == pytest.approx(r["GK", 2].precursor_mz)
+    assert r["AXK", 1].mz is not None and r["AXK", 2].mz is None and len(r) == 11
+
+
+def test_imbalance_of_haplotypes(spark):
+    h = spark.createDataFrame([("c", p, "A", "C", 1, "A" if p != 12 else "C") for p in (10, 12, 30, 50, 52)], "contig string, pos long, ref string, alt string, phase_set long, hap1 string")
+    cols = "contig string, pos long, ref string, alt string, ref_count long, alt_count long"
+    s = [("c", 10, "A", "C", 90, 10), ("c", 12, "A", "C", 5, 95), ("c", 30, "A", "C", 50, 0), ("c", 50, "A", "C", 600, 400), ("c", 52, "A", "C", 20, 25), ("c", 52, "A", "C", 1, 2)]
+    peaks = spark.createDataFrame([("c", 0, 20), ("c", 20, 40), ("c", 40, 60)], "contig string, start long, stop long")
+    r = {x.start: x for x in rd.ase_per_peak(spark.createDataFrame(s, cols), h, peaks).collect()}
+    assert (r[0].hap1, r[0].hap2, r[0].status) == (185, 15, "significant_imbalance")
+    assert r[20].status == "underpowered_snp_count" and r[20].p is None and r[20].hap1_share == 1.0
+    assert (r[40].snps, r[40].status) == (2, "below_effect_threshold")
+    with pytest.raises(Exception, match="no haplotype"):
+        rd.ase_per_peak(spark.createDataFrame([*s, ("c", 13, "A", "C", 40, 0)], cols), h, peaks).collect()
+
+
+def test_classes_of_junctions(spark):
+    t = "contig string, i_start long, i_stop long, reads long"
+    known = spark.createDataFrame([("c", 1, 10, 1), ("c", 20, 30, 1)], t)
+    j = spark.createDataFrame([("c", 1, 10, 6), ("c", 1, 30, 2), ("c", 1, 40, 2)], t)  # the second skips between two known ends
+    r = {x["class"]: x for x in rd.junction_class_summary(j, known).collect()}
+    assert (r["known"].junctions, r["partial"].junctions, r["novel"].junctions) == (2, 1, 0)
+    assert r["known"].read_share == pytest.approx(0.8) and r["novel"].median_reads == 0 and r["novel"].status == "Healthy"

@@ -248,6 +248,30 @@ def apc_applicable(v):
 CELLS = f"r AS (SELECT id, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) - 1 AS i FROM {LONG})"
 
 
+@R.add(f"""
+    WITH {CELLS}, k AS (SELECT i, c, count(*) AS k FROM r WHERE c <> '-' GROUP BY ALL), n AS (SELECT i, count(*) AS n FROM r GROUP BY i), b AS (SELECT i, max(k) AS m FROM k GROUP BY i)
+    SELECT i::INT AS col, min(c) AS residue, round(any_value(m / n), 6) AS share FROM b JOIN n USING (i) JOIN k USING (i) WHERE k = m AND m / n >= 0.12 GROUP BY i""")
+def conserved_positions(v):
+    return sq.conserved_positions(_long(v), least=0.12)
+
+
+BACKGROUND = dict.fromkeys("ACDEFGHIKL", 0.1)
+
+
+@R.add(f"""
+    WITH {CELLS}, k AS (SELECT i, c, count(*) AS k FROM r WHERE c <> '-' GROUP BY ALL), n AS (SELECT i, sum(k) AS n FROM k GROUP BY i)
+    SELECT id, round(sum(log2((k + 0.1) / (n + 1) / 0.1)), 6) AS score FROM r JOIN k USING (i, c) JOIN n USING (i) GROUP BY id""")
+def score_site(v):
+    rows = _long(v)
+    return sq.score_site(rows, sq.pssm(rows, BACKGROUND))
+
+
+@R.add("SELECT snp, round((beta * 0.4 + size / 500.0) / beta, 6) AS wald, round(se / abs(beta), 6) AS wald_se FROM {gwas1} WHERE beta <> 0")
+def wald_ratio(v):
+    d = v.gwas1.select("snp", "beta", (F.col("beta") * 0.4 + F.col("size") / 500.0).alias("beta_2"), F.col("se").alias("se_2"))
+    return gw.wald_ratio(d).select("snp", "wald", "wald_se")
+
+
 @R.add(f"""
     WITH {CELLS.replace(LONG, WIDE)}, f AS (SELECT i, count(DISTINCT c) AS k FROM r GROUP BY i HAVING count(*) FILTER (c = '-') = 0), n AS (SELECT i, c, count(*) AS n FROM r GROUP BY ALL), w AS (SELECT id, sum(1 / (k * n)) AS w FROM r JOIN f USING (i) JOIN n USING (i, c) GROUP BY id)
     SELECT id, round(w / sum(w) OVER (), 6) AS weight FROM w""")

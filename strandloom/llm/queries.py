@@ -81,7 +81,15 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language, op3_quality, op4_packing, op5_toxicity, op6_near_vectors, op7_warc, op8_shingle_join, op9_phrase_prints, op10_pieces)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.middle_fill import fill_in_middle, restored
+
+    d = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(f"{n}_sha256") for n, c in (("output", F.col("output")), ("restored", restored()))]
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language, op3_quality, op4_packing, op5_toxicity, op6_near_vectors, op7_warc, op8_shingle_join, op9_phrase_prints, op10_pieces, op13_fill_in_middle)}
 
 ORACLES: dict[str, str] = {
     "op7_warc": """
@@ -125,4 +133,14 @@ ORACLES: dict[str, str] = {
         SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(c.c, s.doc_id) AS component_id
         FROM s LEFT JOIN comp c ON c.v = s.doc_id
     """,
+    "op13_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+             t AS (SELECT doc_id, x, regexp_extract_all(x, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+             c AS (SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+                          CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+             p AS (SELECT doc_id, x, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256
+        FROM p
+    """,
 }

@@ -81,6 +81,12 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.weak_rules import judged
+
+    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.middle_fill import fill_in_middle, restored
 
@@ -89,7 +95,50 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language, op3_quality, op4_packing, op5_toxicity, op6_near_vectors, op7_warc, op8_shingle_join, op9_phrase_prints, op10_pieces, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language, op3_quality, op4_packing, op5_toxicity, op6_near_vectors, op7_warc, op8_shingle_join, op9_phrase_prints, op10_pieces, op12_quality_rules, op13_fill_in_middle)}
+
+def _weak_rules_sql() -> str:
+    """Counts, votes, and expectation-maximisation over the patterns of votes as a recursive query with a column for each chance."""
+    from strandloom.llm import weak_rules as w
+
+    ks, s = range(len(w.RULES)), w.PRIOR_TEXTS
+    log_odds = "ln(share / (1 - share))" + "".join(f" + CASE v{k} WHEN 1 THEN ln(g{k} / (1 - b{k})) WHEN -1 THEN ln((1 - g{k}) / b{k}) ELSE 0 END" for k in ks)
+    total = lambda k, v, q: f"sum(CASE WHEN v{k} = {v} THEN n * {q} ELSE 0 END)"
+    good = [f"({total(k, 1, 'q')} + {s * w.RIGHT_GOOD}) / ({total(k, 1, 'q')} + {total(k, -1, 'q')} + {s})" for k in ks]
+    bad = [f"({total(k, -1, '(1 - q)')} + {s * w.RIGHT_BAD}) / ({total(k, 1, '(1 - q)')} + {total(k, -1, '(1 - q)')} + {s})" for k in ks]
+    return f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, x, list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') AS ws,
+                   list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\\x20\\x09-\\x0D]')) AS ls FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)
+        ),
+        f AS (
+            SELECT doc_id, ws, len(ws) AS n_words, length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                   len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines, len(list_distinct(ws)) AS n_distinct, length(regexp_replace(x, '[^\\p{{L}}]+', '', 'g')) AS n_letters,
+                   len(list_filter(ws, lambda y: regexp_matches(y, '\\p{{L}}'))) AS n_lettered, length(regexp_replace(x, '[^.!?]+', '', 'g')) AS n_ends, row_number() OVER () AS k
+            FROM w
+        ),
+        p AS (SELECT k, ws, unnest(range(len(ws) - {w.WINDOW - 1})) AS i FROM f WHERE len(ws) > {w.WINDOW}),
+        u AS (SELECT k, i, ws[i + 1:i + {w.WINDOW}] AS t FROM p),
+        r AS (SELECT k, i, count(*) OVER (PARTITION BY k, t) AS same FROM u),
+        e AS (SELECT k, count(DISTINCT j) AS n_repeat_words FROM (SELECT k, unnest(range(i, i + {w.WINDOW})) AS j FROM r WHERE same > 1) GROUP BY k),
+        c AS MATERIALIZED (SELECT f.* EXCLUDE (ws, k), coalesce(n_repeat_words, 0) AS n_repeat_words FROM f LEFT JOIN e USING (k)),
+        v AS MATERIALIZED (SELECT *, {', '.join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{k}" for k, (_, good, bad) in enumerate(w.RULES))} FROM c),
+        pat AS MATERIALIZED (SELECT {', '.join(f'v{k}' for k in ks)}, count(*)::DOUBLE AS n FROM v GROUP BY ALL),
+        em AS (
+            SELECT 0 AS it, {w.SHARE}::DOUBLE AS share, {', '.join(f'{w.RIGHT_GOOD}::DOUBLE AS g{k}, {w.RIGHT_BAD}::DOUBLE AS b{k}' for k in ks)}
+            UNION ALL
+            SELECT it + 1, share, {', '.join(f'g{k}, greatest(b{k}, 1 - g{k})' for k in ks)} FROM (
+                SELECT any_value(it) AS it, (sum(n * q) + {s * w.SHARE}) / (sum(n) + {s}) AS share, {', '.join(f'{good[k]} AS g{k}, {bad[k]} AS b{k}' for k in ks)}
+                FROM (SELECT it, n, {', '.join(f'v{k}' for k in ks)}, 1 / (1 + exp(-({log_odds}))) AS q FROM em, pat WHERE it < {w.ROUNDS}) HAVING count(*) > 0)
+        ),
+        j AS (SELECT v.*, 1 / (1 + exp(-({log_odds}))) AS q, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v, em WHERE it = {w.ROUNDS})
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+               base_failed, NOT base_failed AND q >= 0.5 AS kept
+        FROM j
+    """
+
+
+_WEAK_RULES = _weak_rules_sql()
 
 ORACLES: dict[str, str] = {
     "op7_warc": """
@@ -143,4 +192,5 @@ ORACLES: dict[str, str] = {
                sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256
         FROM p
     """,
+    "op12_quality_rules": _WEAK_RULES,
 }

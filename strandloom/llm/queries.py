@@ -81,6 +81,12 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.lexical import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.weak_rules import judged
 
@@ -95,7 +101,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language, op3_quality, op4_packing, op5_toxicity, op6_near_vectors, op7_warc, op8_shingle_join, op9_phrase_prints, op10_pieces, op12_quality_rules, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language, op3_quality, op4_packing, op5_toxicity, op6_near_vectors, op7_warc, op8_shingle_join, op9_phrase_prints, op10_pieces, op11_lexical_search, op12_quality_rules, op13_fill_in_middle)}
 
 def _weak_rules_sql() -> str:
     """Counts, votes, and expectation-maximisation over the patterns of votes as a recursive query with a column for each chance."""
@@ -193,4 +199,17 @@ ORACLES: dict[str, str] = {
         FROM p
     """,
     "op12_quality_rules": _WEAK_RULES,
+    "op11_lexical_search": """
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+             h AS MATERIALIZED (SELECT doc_id, r, ts, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+             a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM h),
+             i AS (SELECT item_id, row_number() OVER () AS x, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+             q AS MATERIALIZED (SELECT x, item_id, t, count(*)::BIGINT AS c FROM (SELECT x, item_id, unnest(ts) AS t FROM i) GROUP BY ALL),
+             p AS MATERIALIZED (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(ts) AS t FROM h) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+             f AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*)::BIGINT AS df FROM p GROUP BY t), a),
+             g AS (SELECT p.*, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))) AS g FROM p JOIN f USING (t), a),
+             s AS (SELECT x, item_id, r, doc_id, sum(c * g)::BIGINT AS score FROM q JOIN g USING (t) WHERE doc_id IS NOT NULL GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY x ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY x ORDER BY score DESC, doc_id) <= 10
+    """,
 }

@@ -1,9 +1,15 @@
 """Interval tables: joins, coverage of one table by another, merging, flanks, fixed-width consensus.
 
-Half-open coordinates. Overlap joins put both sides into bins of a contig and
-join on (contig, bin); a pair is emitted from the first bin that both share,
-so it comes once. Bin width should be near the usual interval length: wide
-intervals then fall into few bins, and a hot contig spreads over many keys.
+Half-open coordinates. Overlap joins put both sides into bins of a contig.
+Bins have levels, each eight times as wide as the one below; an interval is at
+home in the level whose bins are just as long as it or longer, so that it lies
+in two bins at most. An interval also stands in the bins of the higher levels
+where the other side has intervals at home, again in two at most. Two
+intervals therefore meet at the home level of the longer one, however long it
+is, and a pair is emitted from the bin that holds the greater start, so it
+comes once. Which levels a side uses is one small aggregate of its own columns
+(a row of at most ``LEVELS`` numbers, broadcast), so short intervals aren't
+repeated for levels that nobody uses.
 """
 
 from __future__ import annotations
@@ -13,24 +19,70 @@ from pyspark.sql import functions as F
 
 from strandloom.scratch import Scratch
 
+#: Bins of a level are so many times as wide as those below; levels reach from ``width`` to ``width * STEP ** (LEVELS - 1)`` bases.
+STEP, LEVELS = 8, 13
+_PLACE = ["_kind", "_level", "_bin"]
 
-def _bins(start: Column, stop: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor((F.greatest(stop, start + 1) - 1) / width).cast("long")))
+
+def _home(start: Column, stop: Column, width: int) -> Column:
+    """The lowest level whose bins are as long as the interval."""
+    length = stop - start
+    return sum(((length > F.lit(width * STEP**k)).cast("int") for k in range(LEVELS - 1)), F.lit(0))
+
+
+def _bins(start: Column, stop: Column, width: int, level: Column) -> Column:
+    """The one or two bins of an interval at its home level or above (intervals longer than the top level: all that they span)."""
+    w = F.get(F.array(*[F.lit(width * STEP**k) for k in range(LEVELS)]), level)
+    return F.sequence(F.floor(start / w).cast("long"), F.floor((F.greatest(stop, start + 1) - 1) / w).cast("long"))
+
+
+def _levels(df: DataFrame, start: Column, stop: Column, width: int) -> DataFrame:
+    """One row: the home levels that occur in a table."""
+    return df.agg(F.collect_set(_home(start, stop, width)).alias("_levels"))
+
+
+def _placed(df: DataFrame, start: Column, stop: Column, width: int, other: DataFrame, *, second: bool = False) -> DataFrame:
+    """A row for each bin in which an interval can meet one of the other side, whose home levels are ``other``.
+
+    Kind 0 are meetings at the home level of the second side, kind 1 those at a
+    higher home level of the first; a side has home rows of a kind only where
+    the other has intervals as short as that. A row that can meet nothing stays
+    once, with nulls.
+    """
+    d = df.withColumn("_at", _home(start, stop, width)).crossJoin(F.broadcast(other))  # one row
+    at = F.col("_at")
+    above = F.filter("_levels", lambda x: x > at if second else x >= at)
+    below = F.exists("_levels", lambda x: x <= at if second else x < at)
+    place = lambda kind, level: F.transform(_bins(start, stop, width, level), lambda b: F.struct(F.lit(kind).alias("_kind"), level.alias("_level"), b.alias("_bin")))
+    up = F.flatten(F.transform(above, lambda x: place(int(second), x)))
+    own = F.when(below, place(int(not second), at)).otherwise(F.slice(place(0, at), 1, 0))
+    return d.withColumn("_place", F.explode_outer(F.concat(up, own))).select(*[F.col(f"`{c}`") for c in df.columns], "_place.*")
+
+
+def _meet(left: DataFrame, right: DataFrame, ends: tuple[str, str], others: tuple[str, str], width: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables by the bins where they meet; the columns of the second one's bins begin with ``__``."""
+    (s, e), (t, f) = (tuple(map(F.col, x)) for x in (ends, others))
+    a = _placed(left, s, e, width, _levels(right, t, f, width))
+    b = _placed(right, t, f, width, _levels(left, s, e, width), second=True)
+    return a, b.withColumnsRenamed({c: f"_{c}" for c in _PLACE})
+
+
+_SAME = " and ".join(f"{c} = _{c}" for c in _PLACE)
 
 
 def interval_join(a: DataFrame, b: DataFrame, *, contig: str = "contig", start: str = "start", stop: str = "stop", width: int = 1024, prefixes: tuple[str, str] = ("a", "b"), condition: Column | None = None) -> DataFrame:
-    """All overlapping pairs; columns of both sides with prefixes (``a_start``, ``b_start``, ...)."""
+    """All overlapping pairs; columns of both sides with prefixes (``a_start``, ``b_start``, ...). ``width`` is the bin width of the lowest level."""
     x, y = prefixes
     left = a.select(*[F.col(c).alias(f"{x}_{c}") for c in a.columns]).where(F.col(f"{x}_{start}") < F.col(f"{x}_{stop}"))
     right = b.select(*[F.col(c).alias(f"{y}_{c}") for c in b.columns]).where(F.col(f"{y}_{start}") < F.col(f"{y}_{stop}"))
-    left = left.withColumn("_bin", _bins(F.col(f"{x}_{start}"), F.col(f"{x}_{stop}"), width))
-    right = right.withColumn("_bin2", _bins(F.col(f"{y}_{start}"), F.col(f"{y}_{stop}"), width))
-    on = (F.col(f"{x}_{contig}") == F.col(f"{y}_{contig}")) & (F.col("_bin") == F.col("_bin2")) & (F.col(f"{x}_{start}") < F.col(f"{y}_{stop}")) & (F.col(f"{y}_{start}") < F.col(f"{x}_{stop}"))
-    first = F.floor(F.greatest(f"{x}_{start}", f"{y}_{start}") / width).cast("long")
+    left, right = _meet(left, right, (f"{x}_{start}", f"{x}_{stop}"), (f"{y}_{start}", f"{y}_{stop}"), width)
+    greater = F.greatest(f"{x}_{start}", f"{y}_{start}")
+    on = (F.col(f"{x}_{contig}") == F.col(f"{y}_{contig}")) & F.expr(_SAME) & (F.col(f"{x}_{start}") < F.col(f"{y}_{stop}")) & (F.col(f"{y}_{start}") < F.col(f"{x}_{stop}"))
+    first = F.get(_bins(greater, greater + 1, width, F.col("_level")), F.lit(0))
     out = left.join(right, on & (F.col("_bin") == first))
     if condition is not None:
         out = out.where(condition)
-    return out.drop("_bin", "_bin2")
+    return out.drop(*_PLACE, *[f"_{c}" for c in _PLACE])
 
 
 def merge_intervals(df: DataFrame, *, contig: str = "contig", start: str = "start", stop: str = "stop", tile: int = 1 << 20) -> DataFrame:
@@ -53,10 +105,9 @@ def merge_intervals(df: DataFrame, *, contig: str = "contig", start: str = "star
 
 def interval_semi(a: DataFrame, regions: DataFrame, *, contig: str = "contig", start: str = "start", stop: str = "stop", width: int = 1024, anti: bool = False) -> DataFrame:
     """Rows of ``a`` that overlap a region, each once (``anti``: those that overlap none). Rows of ``a`` need not be unique."""
-    r = merge_intervals(regions, contig=contig, start=start, stop=stop).select(F.col(contig).alias("_c"), F.col(start).alias("_s"), F.col(stop).alias("_e"))
-    r = r.withColumn("_b", _bins(F.col("_s"), F.col("_e"), width)).withColumn("_hit", F.lit(1))
-    x = a.withColumn("_id", F.monotonically_increasing_id()).withColumn("_bin", _bins(F.col(start), F.col(stop), width))
-    on = (F.col(contig) == F.col("_c")) & (F.col("_bin") == F.col("_b")) & (F.col(start) < F.col("_e")) & (F.col("_s") < F.col(stop))
+    r = merge_intervals(regions, contig=contig, start=start, stop=stop).select(F.col(contig).alias("_c"), F.col(start).alias("_s"), F.col(stop).alias("_e")).withColumn("_hit", F.lit(1))
+    x, r = _meet(a.withColumn("_id", F.monotonically_increasing_id()), r, (start, stop), ("_s", "_e"), width)
+    on = (F.col(contig) == F.col("_c")) & F.expr(_SAME) & (F.col(start) < F.col("_e")) & (F.col("_s") < F.col(stop))
     if not anti:
         return x.join(r, on, "left_semi").dropDuplicates(["_id"]).select(*a.columns)
     row = F.any_value(F.struct(*[F.col(f"`{c}`") for c in a.columns])).alias("_row")
@@ -69,9 +120,10 @@ def interval_anti(a: DataFrame, regions: DataFrame, **how) -> DataFrame:
 
 def point_in_segment(points: DataFrame, segments: DataFrame, *, contig: str = "contig", at: str = "at", start: str = "start", stop: str = "stop", value: str = "copy_number", width: int = 1024) -> DataFrame:
     """Left join of points to the segment that holds them, both its ends included; of several, the one that starts first (then the least value). Repeated points stay as they are."""
-    s = segments.select(F.col(contig).alias("_c"), F.col(start).alias("_s"), F.col(stop).alias("_e"), F.col(value).alias("_v")).withColumn("_b", _bins(F.col("_s"), F.col("_e") + 1, width))
-    p = points.select(F.col(contig).alias("_pc"), F.col(at).alias("_pa")).distinct()
-    on = (F.col("_pc") == F.col("_c")) & (F.floor(F.col("_pa") / width).cast("long") == F.col("_b")) & (F.col("_pa") >= F.col("_s")) & (F.col("_pa") <= F.col("_e"))
+    s = segments.select(F.col(contig).alias("_c"), F.col(start).alias("_s"), F.col(stop).alias("_e"), F.col(value).alias("_v"), (F.col(stop) + 1).alias("_z"))
+    p = points.select(F.col(contig).alias("_pc"), F.col(at).alias("_pa"), (F.col(at) + 1).alias("_pz")).distinct()
+    p, s = _meet(p, s, ("_pa", "_pz"), ("_s", "_z"), width)
+    on = (F.col("_pc") == F.col("_c")) & F.expr(_SAME) & (F.col("_pa") >= F.col("_s")) & (F.col("_pa") <= F.col("_e"))
     found = p.join(s, on).groupBy("_pc", "_pa").agg(F.min(F.struct("_s", "_v")).alias("_m"))
     j = points.join(found, (F.col(contig) == F.col("_pc")) & (F.col(at) == F.col("_pa")), "left")
     return j.select(*[F.col(f"`{c}`") for c in points.columns], F.col("_m._v").alias(value))
@@ -111,13 +163,14 @@ def end_in_footprint(reads: DataFrame, sites: DataFrame, *, width: int = 1024) -
     five = F.when(F.col("reverse"), F.col("stop") - 1).otherwise(F.col("start"))
     three = F.when(F.col("reverse"), F.col("start")).otherwise(F.col("stop") - 1)
     own = F.when(F.col("reverse"), "-").otherwise("+")
-    s = sites.select(F.col("contig").alias("_c"), F.col("start").alias("_s"), F.col("stop").alias("_e"), F.col("strand").alias("_t")).withColumn("_b", _bins(F.col("_s"), F.col("_e"), width))
+    s = sites.select(F.col("contig").alias("_c"), F.col("start").alias("_s"), F.col("stop").alias("_e"), F.col("strand").alias("_t"))
 
     def hits(end: Column, same: bool) -> DataFrame:
-        d = reads.withColumn("_p", end).withColumn("_o", own)
+        d = reads.select("contig", end.alias("_p"), (end + 1).alias("_q"), own.alias("_o")).withColumn("_id", F.monotonically_increasing_id())
+        d, t = _meet(d, s, ("_p", "_q"), ("_s", "_e"), width)
         strand = F.col("_t") == F.col("_o") if same else F.col("_t") != F.col("_o")
-        on = (F.col("contig") == F.col("_c")) & (F.floor(F.col("_p") / width).cast("long") == F.col("_b")) & (F.col("_p") >= F.col("_s")) & (F.col("_p") < F.col("_e")) & strand
-        return d.join(s, on, "left_semi").groupBy("contig").agg(F.count(F.lit(1)).alias("five_prime" if same else "three_prime"))
+        on = (F.col("contig") == F.col("_c")) & F.expr(_SAME) & (F.col("_p") >= F.col("_s")) & (F.col("_p") < F.col("_e")) & strand
+        return d.join(t, on, "left_semi").select("contig", "_id").distinct().groupBy("contig").agg(F.count(F.lit(1)).alias("five_prime" if same else "three_prime"))
 
     total = reads.groupBy("contig").agg(F.count(F.lit(1)).alias("reads"))
     return total.join(hits(five, True), "contig", "left").join(hits(three, False), "contig", "left").fillna(0, ["five_prime", "three_prime"])

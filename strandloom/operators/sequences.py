@@ -470,6 +470,8 @@ def gsea_running_sum(ranking: DataFrame, sets: DataFrame, *, least: int = 10, mo
     w = Window.partitionBy("set").orderBy("r")
     m = m.withColumn("_k", F.row_number().over(w)).withColumn("_c", F.sum("_w").over(w)).withColumn("_s", F.sum("_w").over(Window.partitionBy("set"))).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("set"))).crossJoin(total)  # one row
     m = m.where(F.col("size").between(least, most))
+    plain = F.col("_s") > 0  # a set of scores 0 counts its genes alike
+    m = m.withColumn("_c", F.when(plain, F.col("_c")).otherwise(F.col("_k"))).withColumn("_w", F.when(plain, F.col("_w")).otherwise(1.0)).withColumn("_s", F.when(plain, F.col("_s")).otherwise(F.col("size")))
     miss = F.col("total") - F.col("size")
     after = F.col("_c") / F.col("_s") - (F.col("r") - F.col("_k")) / F.nullif(miss, F.lit(0))
     before = (F.col("_c") - F.col("_w")) / F.col("_s") - (F.col("r") - F.col("_k")) / F.nullif(miss, F.lit(0))

@@ -8,7 +8,7 @@ from strandloom.operators import gwas as gw
 from strandloom.operators import matrix as mx
 from strandloom.operators import sequences as sq
 from strandloom.operators.components import components
-from strandloom.plans.core import Registry, norm_two_sided
+from strandloom.plans.core import Registry, bh, norm_two_sided
 
 R = Registry()
 
@@ -147,6 +147,25 @@ def gsea_running_sum(v):
     return sq.gsea_running_sum(r, _sets(v)).select("set", "size", "es")
 
 
+@R.add(f"""
+    WITH d AS (SELECT partkey AS gene, round(avg(discount) - 0.05, 9) AS score FROM {{lines}} GROUP BY partkey), r AS MATERIALIZED (SELECT gene, abs(score) AS w, row_number() OVER (ORDER BY -score, gene) AS r, count(*) OVER () AS total FROM d), s AS (SELECT * FROM {SETS}),
+         z AS MATERIALIZED (SELECT "set", count(*) AS size FROM s SEMI JOIN r USING (gene) GROUP BY "set" HAVING count(*) BETWEEN 10 AND 500),
+         g AS MATERIALIZED (SELECT draw, r, w, total, row_number() OVER (PARTITION BY draw ORDER BY md5('0:' || draw || ':' || gene)) AS o FROM r, range(200) t(draw)),
+         m AS (SELECT 'set ' || z."set" AS k, size, r, w, total FROM z JOIN s USING ("set") JOIN r USING (gene) UNION ALL SELECT 'draw ' || draw || ' ' || size, size, r, w, total FROM g JOIN (SELECT DISTINCT size FROM z) ON o <= size),
+         x AS (SELECT *, row_number() OVER a AS j, sum(w) OVER a AS c, sum(w) OVER (PARTITION BY k) AS t FROM m WINDOW a AS (PARTITION BY k ORDER BY r ROWS UNBOUNDED PRECEDING)),
+         e AS MATERIALIZED (SELECT k, size, CASE WHEN abs(max(c / t - (r - j) / (total - size))) >= abs(min((c - w) / t - (r - j) / (total - size))) THEN max(c / t - (r - j) / (total - size)) ELSE min((c - w) / t - (r - j) / (total - size)) END AS es FROM x GROUP BY k, size),
+         n AS (SELECT size, es AS v FROM e WHERE k LIKE 'draw %'),
+         y AS (SELECT k[5:] AS "set", e.size, es, avg(v) FILTER (v >= 0) AS up, avg(v) FILTER (v <= 0) AS down, count(*) FILTER (v >= 0) AS n_up, count(*) FILTER (v <= 0) AS n_down, count(*) FILTER (v >= es) AS above, count(*) FILTER (v <= es) AS below
+               FROM e JOIN n USING (size) WHERE k LIKE 'set %' GROUP BY ALL),
+         o AS (SELECT "set", size, es, es / CASE WHEN es > 0 THEN up ELSE -down END AS nes, least((above + 1) / (n_up + 1), (below + 1) / (n_down + 1)) AS p FROM y)
+    SELECT "set", size, round(es, 6) AS es, round(nes, 6) AS nes, round(p, 6) AS p, round(q, 6) AS q FROM {bh('o', 'p', '"set", size, es, nes, p')}""")
+def gsea(v):
+    from strandloom.operators.enrichment import gsea as run
+
+    r = v.lines.groupBy(F.col("partkey").alias("gene")).agg(F.round(F.avg("discount") - 0.05, 9).alias("score"))
+    return run(r, _sets(v), draws=200).select("set", "size", "es", "nes", "p", "q")
+
+
 DNA = "(SELECT id, lang, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM {texts})"
 SHOWN = "(SELECT id, upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')) AS s FROM {texts})"
 ALN = f"(SELECT row || ':' || id AS id, rpad(substr(s, row * 60 + 1, 60), 60, '-') AS seq FROM (SELECT *, unnest(range(greatest((len(s) + 59) // 60, 1))) AS row FROM {SHOWN}))"

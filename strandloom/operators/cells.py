@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import tails
-from strandloom.operators.stats import adjust_p, rank_sum_test
+from strandloom.operators.stats import adjust_p, quantiles, rank_sum_test
+from strandloom.scratch import Scratch
 
 
 def cell_qc(df: DataFrame, *, mito: Column, ribo: Column, top: int = 20) -> DataFrame:
@@ -18,26 +19,44 @@ def cell_qc(df: DataFrame, *, mito: Column, ribo: Column, top: int = 20) -> Data
 
 
 def mad_outliers(df: DataFrame, *, metric: str, nmads: float = 5.0, by: list[str] | None = None) -> DataFrame:
-    """Flags values beyond median +- nmads MADs (per group); a MAD of 0 gives null. Adds the group's survival and a warning below 80 %."""
-    by = by or []
-    one = [F.lit(1).alias("_one")] if not by else by
-    m = df.groupBy(*one).agg(F.percentile(metric, 0.5).alias("_m"))
-    on = by or None
-    d = df.join(m, on) if on else df.crossJoin(m.drop("_one"))  # one row without groups
-    a = d.groupBy(*one).agg(F.percentile(F.abs(F.col(metric) - F.col("_m")), 0.5).alias("mad"))
-    d = d.join(a, on) if on else d.crossJoin(a.drop("_one"))
-    out = F.when(F.col("mad") > 0, F.abs(F.col(metric) - F.col("_m")) > nmads * F.col("mad"))
-    d = d.withColumn("outlier", out).drop("_m")
-    kept = F.avg((~F.coalesce("outlier", F.lit(False))).cast("double")).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
-    return d.withColumn("survival", kept).withColumn("warning", F.col("survival") < 0.8)
+    """Adds the MAD (per group) and flags values beyond median +- nmads MADs. A MAD of 0 can't tell outliers and is an error; use fixed cutoffs then."""
+    if by:
+        m = df.groupBy(*by).agg(F.percentile(metric, 0.5).alias("_m"))
+        d = df.join(m, by)
+        a = d.groupBy(*by).agg(F.percentile(F.abs(F.col(metric) - F.col("_m")), 0.5).alias("mad"))
+        flat = not a.where("mad = 0").isEmpty()
+        d = d.join(a, by)
+    else:
+        mid = quantiles(df, metric, [0.5])[0]
+        d = df.withColumn("_m", F.lit(mid).cast("double"))
+        mad = quantiles(d.select(F.abs(F.col(metric) - F.col("_m")).alias("x")), "x", [0.5])[0]
+        flat, d = mad == 0, d.withColumn("mad", F.lit(mad).cast("double"))
+    if flat:
+        raise ValueError(f"the MAD of {metric} is 0: use fixed cutoffs")
+    mid, reach = F.col("_m"), nmads * F.col("mad")
+    return d.withColumn("outlier", (F.col(metric) < mid - reach) | (F.col(metric) > mid + reach)).drop("_m")
+
+
+def mad_filter(df: DataFrame, *, metrics: dict[str, float], by: list[str] | None = None, hard: Column | None = None, least: float = 0.8) -> DataFrame:
+    """Rows that are no outlier in any of ``metrics`` ({column: MADs}) nor beyond the fixed limit ``hard``. A group of which less than ``least`` would stay is an error."""
+    s, d, bad = Scratch(df.sparkSession, "mad_filter"), df, F.coalesce(hard, F.lit(False)) if hard is not None else F.lit(False)
+    for k, (metric, nmads) in enumerate(metrics.items()):
+        d = mad_outliers(d, metric=metric, nmads=nmads, by=by).drop("mad").withColumnRenamed("outlier", f"_out{k}")
+        bad = bad | F.coalesce(f"_out{k}", F.lit(False))
+    d = s.saved(d.withColumn("_bad", bad), "flagged", stays=True)
+    low = d.groupBy(*(by or [])).agg(F.avg((~F.col("_bad")).cast("double")).alias("share")).where(F.col("share") < least).first()
+    if low is not None:
+        raise ValueError(f"only {low.share:.1%} of the rows of a group would stay: inspect the MADs and use fixed cutoffs")
+    return d.where("not _bad").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def filter_cells_genes(df: DataFrame, *, mito: Column, min_genes: int = 200, max_genes: int = 5000, max_mito: float = 20.0, min_cells: int = 3) -> DataFrame:
-    """Triplets of cells within the limits, then of genes seen in enough of those cells."""
-    c = df.where("n > 0").groupBy("cell").agg(F.count(F.lit(1)).alias("_g"), (100 * F.sum(F.when(mito, F.col("n")).otherwise(0)) / F.sum("n")).alias("_m"))
-    d = df.join(c.where(F.col("_g").between(min_genes, max_genes) & (F.col("_m") < max_mito)).select("cell"), "cell", "left_semi")
+    """Triplets of genes that ``min_cells`` cells of ``min_genes`` genes or more have, in those of these cells with fewer than ``max_genes`` genes and less than ``max_mito`` percent. Both counts of a cell are of all its genes."""
+    c = df.where("n > 0").groupBy("cell").agg(F.count(F.lit(1)).alias("_g"), (100 * F.sum(F.when(mito, F.col("n")).otherwise(0)) / F.sum("n")).alias("_m")).where(F.col("_g") >= min_genes)
+    d = df.join(c, "cell")
     g = d.where("n > 0").groupBy("gene").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_cells).select("gene")
-    return d.join(g, "gene", "left_semi")
+    d = d.where((F.col("_g") < max_genes) & (F.col("_m") < max_mito)).join(g, "gene", "left_semi")
+    return d.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def log_normalize(df: DataFrame, *, scale: float = 1e4) -> DataFrame:

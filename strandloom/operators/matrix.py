@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import tails
 from strandloom.operators.intervals import point_in_segment
-from strandloom.operators.stats import adjust_p, rank_sums, ranked
+from strandloom.operators.stats import adjust_p, quantiles, rank_sums, ranked
 
 
 def median(c: str | Column) -> Column:
@@ -118,14 +118,15 @@ def guide_lfc(df: DataFrame, *, late: list, plasmid, controls: Column, feature:
     g = g.fillna(0, ["_p", *[f"_l{i}" for i in range(len(late))]])
     lfc = sum((F.log2((F.col(f"_l{i}") + pseudo) / (F.col("_p") + pseudo)) for i in range(len(late))), F.lit(0.0)) / len(late)
     g = g.select(feature, lfc.alias("lfc"))
-    return g.crossJoin(g.where(controls).agg(median("lfc").alias("_m"))).select(feature, (F.col("lfc") - F.coalesce("_m", F.lit(0.0))).alias("lfc"))  # one row
+    mid = quantiles(g.where(controls), "lfc", [0.5])[0] or 0.0
+    return g.select(feature, (F.col("lfc") - F.lit(mid)).alias("lfc"))
 
 
 def gene_zscore(df: DataFrame, *, controls: Column | None = None, gene: str = "gene", value: str = "lfc") -> DataFrame:
     """Per gene: mean, sd, n, z of its mean against the median and sd of the control genes' means (of all genes without controls), p and BH."""
     g = df.groupBy(gene).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
-    null = (g if controls is None else g.where(controls)).agg(median("mean").alias("_m"), F.stddev_samp("mean").alias("_s"))
-    g = g.crossJoin(null).withColumn("z", (F.col("mean") - F.col("_m")) / F.nullif("_s", F.lit(0.0))).drop("_m", "_s")  # one row
+    own = g if controls is None else g.where(controls)
+    g = g.crossJoin(own.agg(F.lit(quantiles(own, "mean", [0.5])[0]).cast("double").alias("_m"), F.stddev_samp("mean").alias("_s"))).withColumn("z", (F.col("mean") - F.col("_m")) / F.nullif("_s", F.lit(0.0))).drop("_m", "_s")  # one row
     return adjust_p(g.withColumn("p", tails.norm_two_sided("z")))
 
 
@@ -175,8 +176,8 @@ def cn_bias(df: DataFrame, *, value: str = "lfc", cn: str = "copy_number", bins:
     j = j.withColumn("p", tails.t_p(F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0))), (F.col("n") - 2).cast("double")))
     j = j.withColumn("gap", F.when(enough, F.col("amplified_mean") - F.col("diploid_mean"))).withColumn("p_gap", F.when(enough, F.col("_p")))
     flag = ((F.col("rho") < -0.1) & (F.col("p") < 0.01)) | F.coalesce((F.col("gap") < -0.5) & (F.col("p_gap") < 0.01), F.lit(False))
-    e = df.agg(F.array_distinct(F.percentile(cn, F.array(*[F.lit(k / bins) for k in range(1, bins)]))).alias("_e"))
-    d = df.crossJoin(F.broadcast(e)).withColumn("bin", F.size(F.filter("_e", lambda x: x < F.col(cn))))  # one row
+    edges = sorted({x for x in quantiles(df, cn, [k / bins for k in range(1, bins)]) if x is not None})
+    d = df.withColumn("bin", sum(((F.lit(x) < F.col(cn)).cast("int") for x in edges), F.lit(0)))
     per = d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), median(value).alias("median"), F.stddev_samp(value).alias("sd"))
     return j.select("rho", "p", "n", "amplified", "diploid", "amplified_mean", "diploid_mean", "gap", "p_gap", F.coalesce(flag, F.lit(False)).alias("cn_bias")), per
 

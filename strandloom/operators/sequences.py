@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions import tails
+from strandloom.operators.stats import adjust_p, quantiles, ranked
 from strandloom.scratch import Scratch
 
 #: The standard genetic code in the order TCAG of each base: a fixed value.
@@ -435,7 +437,7 @@ def knn_label_transfer(reference: DataFrame, query: DataFrame, *, k: int = 15, g
         w = Window.partitionBy("q").orderBy("d", "label")
         return c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
 
-    limit = mean_of(reference).groupBy("q").agg(F.avg("d").alias("m")).agg(F.percentile("m", gate)).first()[0]
+    limit = quantiles(mean_of(reference).groupBy("q").agg(F.avg("d").alias("m")), "m", [gate])[0]
     n = mean_of(query)
     v = n.groupBy("q", "label").agg(F.count(F.lit(1)).alias("votes")).groupBy("q").agg(F.min(F.struct((-F.col("votes")).alias("v"), "label")).alias("_b"), F.sum("votes").alias("_n"))
     out = v.join(n.groupBy("q").agg(F.avg("d").alias("distance")), "q")
@@ -444,9 +446,6 @@ def knn_label_transfer(reference: DataFrame, query: DataFrame, *, k: int = 15, g
 
 def hypergeom_enrichment(hits: DataFrame, universe: DataFrame, sets: DataFrame, *, least: int = 10, most: int = 500) -> DataFrame:
     """Over-representation per set: members in the universe, hits in it, p and BH; hits and sets are cut to the universe first."""
-    from strandloom.functions import tails
-    from strandloom.operators.stats import adjust_p
-
     u = universe.select("gene").distinct()
     h = hits.select("gene").distinct().join(u, "gene", "left_semi")
     s = sets.select("set", "gene").distinct().join(u, "gene", "left_semi")
@@ -462,8 +461,6 @@ def gsea_running_sum(ranking: DataFrame, sets: DataFrame, *, least: int = 10, mo
     evenly, so its extremes lie at members.
     """
     d = ranking.where("score is not null").groupBy("gene").agg(F.max("score").alias("score"))
-    from strandloom.operators.stats import ranked
-
     r = ranked(d.withColumn("_n", -F.col("score")), "_n", tie_break=["gene"], out="r")
     total = d.agg(F.count(F.lit(1)).alias("total"))
     m = sets.select("set", "gene").distinct().join(r, "gene").withColumn("_w", F.pow(F.abs("score"), weight))

@@ -9,6 +9,9 @@ a bucket, so results equal those of one window.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +26,19 @@ def _written(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession, "ordered").saved(df, "rows", stays=True)
 
 
-def _number(value: Column, cuts: list[float], lo: int, hi: int) -> Column:
-    """How many of the sorted cuts lie below a value, by halving."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(value > F.lit(cuts[mid]), _number(value, cuts, mid + 1, hi)).otherwise(_number(value, cuts, lo, mid))
+def _number(value: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts lie below a value, by halving an array of them; nulls lie above none."""
+    if not cuts:
+        return F.lit(0)
+    held, at = F.array(*[F.lit(float(x)) for x in cuts]), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.floor((s.lo + s.hi) / 2).cast("int")
+        up = (s.lo < s.hi) & F.coalesce(F.get(held, mid) < value, F.lit(False))
+        return F.struct(F.when(up, mid + 1).otherwise(s.lo).alias("lo"), F.when(up, s.hi).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return F.aggregate(steps, at, halved, lambda s: s.lo)
 
 
 def bucketed(df: DataFrame, order: str, out: str = "_b") -> DataFrame:
@@ -36,7 +46,7 @@ def bucketed(df: DataFrame, order: str, out: str = "_b") -> DataFrame:
     n = min(BUCKETS, -(-df.count() // BUCKET_ROWS))
     cuts = df.agg(F.percentile_approx(order, [k / n for k in range(1, n)], 10 * n)).first()[0] or [] if n > 1 else []
     cuts = sorted(set(cuts))
-    return df.withColumn(out, _number(F.col(order), cuts, 0, len(cuts)))
+    return df.withColumn(out, _number(F.col(order).cast("double"), cuts))
 
 
 def ranked(df: DataFrame, order: str, *, by: list[str] | None = None, ties: str = "order", out: str = "rank", tie_break: list[str] | None = None) -> DataFrame:
@@ -54,6 +64,89 @@ def ranked(df: DataFrame, order: str, *, by: list[str] | None = None, ties: str
     return b.withColumn(out, inner + F.col("_start")).drop("_b", "_start")
 
 
+#: Values that may come to the driver at once, and the accuracy of the estimates that narrow a search.
+FEW_VALUES, ACCURACY = 20_000, 10_000
+
+
+def order_statistics(df: DataFrame, column: str, ranks: Callable[[int], list[int]], *, few: int = FEW_VALUES, accuracy: int = ACCURACY) -> tuple[int, dict[int, float]]:
+    """How many values a column has, and those of the 0-based ``ranks`` (a function of that number) in rising order. Nulls don't count.
+
+    A rank's search begins with the whole range of values. An approximate
+    percentile, whose error in ranks is known, gives a lower and an upper
+    candidate; exact counts below, at and above them tell where the rank lies:
+    at a candidate (however many ties it has), or between them, or, should the
+    estimate be off, beyond. Each pass leaves less than a thousandth of the
+    values; the last few come to the driver. So no task holds more than a
+    summary, and the answer is exact. The column is written once and read per pass.
+    """
+    s = Scratch(df.sparkSession, "order")
+    d = s.saved(df.select(F.col(column).cast("double").alias("x")).where("x is not null"), "values")
+    n = d.count()
+    x, found = F.col("x"), {}
+    #: rank: (values below the open interval, values in it, its ends or None)
+    todo = {r: (0, n, None, None) for r in sorted(set(ranks(n))) if 0 <= r < n}
+
+    def inside(lo, hi):
+        return (F.lit(True) if lo is None else x > F.lit(lo)) & (F.lit(True) if hi is None else x < F.lit(hi))
+
+    while todo:
+        small = {k: v for k, v in todo.items() if v[1] <= few}
+        spans = sorted({v[2:] for v in small.values()}, key=str)
+        for lo, hi in spans:
+            got = sorted((r[0] for r in d.where(inside(lo, hi)).collect()), key=lambda v: (math.isnan(v), v))
+            found |= {k: got[k - v[0]] for k, v in small.items() if v[2:] == (lo, hi)}
+        todo = {k: v for k, v in todo.items() if k not in small}
+        if not todo:
+            break
+        ask = []
+        for k, (below, held, lo, hi) in todo.items():
+            slack = 2 * held // accuracy + 1
+            shares = [max(0.0, (k - below - slack) / held), min(1.0, (k - below + 1 + slack) / held)]
+            ask.append(F.percentile_approx(F.when(inside(lo, hi), x), shares, accuracy))
+        guesses = dict(zip(todo, d.agg(*[a.alias(f"g{i}") for i, a in enumerate(ask)]).first()))
+        sums = []
+        for i, (k, (_, _, lo, hi)) in enumerate(todo.items()):
+            a, z = guesses[k]
+            apart = a != z and not math.isnan(a)  # NaN comes last and equals itself, as Spark has it
+            where = {"under": x < F.lit(a), "low": x == F.lit(a), "mid": (x > F.lit(a)) & (x < F.lit(z)), "high": (x == F.lit(z)) & F.lit(apart)}
+            sums += [F.count_if(inside(lo, hi) & c).alias(f"{name}{i}") for name, c in where.items()]
+        counts = d.agg(*sums).first()
+        left = {}
+        for i, (k, (below, held, lo, hi)) in enumerate(todo.items()):
+            a, z = guesses[k]
+            at = k - below
+            under, low, mid, high = (counts[f"{c}{i}"] for c in ("under", "low", "mid", "high"))
+            if at < under:
+                left[k] = (below, under, lo, a)
+            elif at < under + low:
+                found[k] = a
+            elif at < under + low + mid:
+                left[k] = (below + under + low, mid, a, z)
+            elif at < under + low + mid + high:
+                found[k] = z
+            else:
+                gone = under + low + mid + high
+                left[k] = (below + gone, held - gone, z, hi)
+        todo = left
+    s.close()
+    return n, found
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float], **how) -> list[float | None]:
+    """Exact quantiles of a whole column with linear interpolation, as ``percentile`` gives them; null where there are no values."""
+
+    def ranks(n: int) -> list[int]:
+        return [r for q in shares for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))]
+
+    n, v = order_statistics(df, column, ranks, **how)
+    out = []
+    for q in shares if n else []:
+        at = q * (n - 1)
+        lo, hi = math.floor(at), math.ceil(at)
+        out.append(v[lo] if v[lo] == v[hi] else (hi - at) * v[lo] + (at - lo) * v[hi])
+    return out or [None] * len(shares)
+
+
 def _by(c: str, descending: bool) -> Column:
     return F.col(c).desc() if descending else F.col(c).asc()
 
@@ -182,10 +275,9 @@ def binned_auc(df: DataFrame, *, score: str = "score", label: str = "label", by:
 
 def calibration_table(df: DataFrame, *, label: str = "label", p: str = "p", bins: int = 10) -> DataFrame:
     """Mean prediction and observed share per quantile bin of p; bins are open on the right, the last is closed."""
-    edges = df.agg(F.percentile(p, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("e"))
-    d = df.crossJoin(F.broadcast(edges))  # one row
-    at = F.size(F.filter("e", lambda x: x <= F.col(p)))
-    return d.withColumn("bin", at).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"), F.avg(F.col(label).cast("double")).alias("observed"))
+    edges = [x for x in quantiles(df, p, [k / bins for k in range(1, bins)]) if x is not None]
+    at = sum(((F.col(p) >= F.lit(x)).cast("int") for x in edges), F.lit(0))
+    return df.withColumn("bin", at).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"), F.avg(F.col(label).cast("double")).alias("observed"))
 
 
 def survival_curve(df: DataFrame, *, time: str = "time", event: str = "event", by: list[str] | None = None) -> DataFrame:

@@ -328,16 +328,27 @@ def cell_qc(v):
     return ce.cell_qc(v.cells, mito=F.col("gene") < 10, ribo=F.col("gene").between(10, 30))
 
 
-@R.add("""
-    WITH m AS (SELECT donor, quantile_cont(score, 0.5) AS m FROM {customers} GROUP BY donor), d AS (SELECT c.*, m FROM {customers} c JOIN m USING (donor)), a AS (SELECT donor, quantile_cont(abs(score - m), 0.5) AS mad FROM d GROUP BY donor)
-    SELECT cell, round(mad, 6) AS mad, CASE WHEN mad > 0 THEN abs(score - m) > 1.5 * mad END AS outlier FROM d JOIN a USING (donor)""")
+MAD = """WITH m AS (SELECT donor, quantile_cont(score, 0.5) AS m FROM {customers} GROUP BY donor), d AS (SELECT c.*, m FROM {customers} c JOIN m USING (donor)),
+              a AS (SELECT donor, quantile_cont(abs(score - m), 0.5) AS mad FROM d GROUP BY donor)"""
+
+
+@R.add(MAD + """ SELECT cell, round(mad, 6) AS mad, score < m - 1.8 * mad OR score > m + 1.8 * mad AS outlier FROM d JOIN a USING (donor)""")
 def mad_outliers(v):
-    return ce.mad_outliers(v.customers, metric="score", nmads=1.5, by=["donor"]).select("cell", "mad", "outlier")
+    return ce.mad_outliers(v.customers, metric="score", nmads=1.8, by=["donor"]).select("cell", "mad", "outlier")
+
+
+@R.add("""
+    WITH c AS (SELECT cell, sum(n)::DOUBLE AS total, count(*)::DOUBLE AS genes FROM {cells} GROUP BY cell), m AS (SELECT quantile_cont(total, 0.5) AS mt, quantile_cont(genes, 0.5) AS mg FROM c),
+         a AS (SELECT quantile_cont(abs(total - mt), 0.5) AS dt, quantile_cont(abs(genes - mg), 0.5) AS dg FROM c, m)
+    SELECT cell, total, genes FROM c, m, a WHERE abs(total - mt) <= 3 * dt AND abs(genes - mg) <= 3 * dg AND total <= 100000""")
+def mad_filter(v):
+    c = v.cells.groupBy("cell").agg(F.sum("n").cast("double").alias("total"), F.count(F.lit(1)).cast("double").alias("genes"))
+    return ce.mad_filter(c, metrics={"total": 3.0, "genes": 3.0}, hard=F.col("total") > 100_000)
 
 
 @R.add("""
-    WITH c AS (SELECT cell FROM {cells} WHERE n > 0 GROUP BY cell HAVING count(*) BETWEEN 20 AND 100 AND 100 * sum(CASE WHEN gene < 10 THEN n ELSE 0 END) / sum(n) < 8), d AS (SELECT * FROM {cells} SEMI JOIN c USING (cell)), g AS (SELECT gene FROM d WHERE n > 0 GROUP BY gene HAVING count(*) >= 100)
-    SELECT cell, gene, n FROM d SEMI JOIN g USING (gene)""")
+    WITH c AS (SELECT cell, count(*) AS k, 100 * sum(CASE WHEN gene < 10 THEN n ELSE 0 END) / sum(n) AS m FROM {cells} WHERE n > 0 GROUP BY cell HAVING count(*) >= 20), d AS (SELECT * FROM {cells} JOIN c USING (cell)), g AS (SELECT gene FROM d WHERE n > 0 GROUP BY gene HAVING count(*) >= 100)
+    SELECT cell, gene, n FROM d SEMI JOIN g USING (gene) WHERE k < 100 AND m < 8""")
 def filter_cells_genes(v):
     return ce.filter_cells_genes(v.cells, mito=F.col("gene") < 10, min_genes=20, max_genes=100, max_mito=8, min_cells=100).select("cell", "gene", "n")
 
@@ -397,7 +408,8 @@ def target_decoy_q(v):
          f AS (SELECT score, least(1.0, (SELECT pi0 FROM p) * nd / nullif(nt, 0)) AS fdr FROM c WHERE nt > 0), q AS (SELECT score, fdr, min(fdr) OVER (ORDER BY score) AS q FROM f)
     SELECT psm, round((SELECT pi0 FROM p), 6) AS pi0, round(fdr, 6) AS fdr, round(q, 6) AS q FROM t JOIN q USING (score)""")
 def separate_search_q(v):
-    return pr.separate_search_q(v.psms.where("kind <> 'error'").select("psm", "score"), v.psms.where("kind = 'error'").select("score")).select("psm", "pi0", "fdr", "q")
+    x = v.psms.withColumn("scan", F.col("psm"))
+    return pr.separate_search_q(x.where("kind <> 'error'").select("scan", "psm", "score"), x.where("kind = 'error'").select("scan", "score")).select("psm", "pi0", "fdr", "q")
 
 
 @R.add("""
@@ -493,6 +505,10 @@ def drift_correct(v):
     return mx.drift_correct(x, order="sample")
 
 
-@R.add()
+@R.add("""
+    WITH b AS (SELECT psm, score, lower(protein) LIKE 'decoy\\_%' ESCAPE '\\' AS decoy FROM {psms} QUALIFY row_number() OVER (PARTITION BY scan ORDER BY score DESC, psm) = 1),
+         c AS (SELECT score, count(*) FILTER (decoy) AS d, count(*) FILTER (NOT decoy) AS t FROM b GROUP BY score),
+         e AS (SELECT x.score, sum(y.d * exp(-(x.score - y.score) * (x.score - y.score) / 0.18)) AS d, sum(y.t * exp(-(x.score - y.score) * (x.score - y.score) / 0.18)) AS t FROM c x JOIN c y ON y.score BETWEEN x.score - 12 AND x.score + 12 GROUP BY x.score)
+    SELECT psm, round(least(1.0, d / greatest(t, 1e-9)), 6) AS pep FROM b JOIN e USING (score)""")
 def posterior_error(v):
-    return pr.posterior_error(v.psms).select("psm", "pep")
+    return pr.posterior_error(pr.target_decoy_q(v.psms)).select("psm", "pep")

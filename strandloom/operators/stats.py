@@ -151,18 +151,19 @@ def _by(c: str, descending: bool) -> Column:
     return F.col(c).desc() if descending else F.col(c).asc()
 
 
-def _summed(b: DataFrame, order: str, sums: dict[str, Column], descending: bool) -> DataFrame:
-    totals = b.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
-    w = Window.orderBy(_by("_b", descending))  # one row per bucket
-    starts = totals.select("_b", *[(F.sum(f"_t_{k}").over(w) - F.col(f"_t_{k}")).alias(f"_s_{k}") for k in sums])
-    inner = Window.partitionBy("_b").orderBy(_by(order, descending)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    b = b.join(F.broadcast(starts), "_b").withColumns({k: F.sum(c).over(inner) + F.col(f"_s_{k}") for k, c in sums.items()})
+def _summed(b: DataFrame, order: str, sums: dict[str, Column], descending: bool, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    totals = b.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
+    w = Window.partitionBy(*by).orderBy(_by("_b", descending))  # one row per bucket
+    starts = totals.select(*by, "_b", *[(F.sum(f"_t_{k}").over(w) - F.col(f"_t_{k}")).alias(f"_s_{k}") for k in sums])
+    inner = Window.partitionBy(*by, "_b").orderBy(_by(order, descending)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.join(starts if by else F.broadcast(starts), [*by, "_b"]).withColumns({k: F.sum(c).over(inner) + F.col(f"_s_{k}") for k, c in sums.items()})
     return b.drop(*[f"_s_{k}" for k in sums])
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], *, descending: bool = False) -> DataFrame:
-    """Adds running sums of ``sums`` over all rows by ``order``; rows of equal order value share the sum up to their last."""
-    return _summed(bucketed(_written(df), order), order, sums, descending).drop("_b")
+def running(df: DataFrame, order: str, sums: dict[str, Column], *, by: list[str] | None = None, descending: bool = False) -> DataFrame:
+    """Adds running sums of ``sums`` over all rows, or within ``by``, by ``order``; rows of equal order value share the sum up to their last. A large group is spread over the buckets of the whole order."""
+    return _summed(bucketed(_written(df), order), order, sums, descending, by).drop("_b")
 
 
 def running_least(df: DataFrame, order: str, sums: dict[str, Column], value: Column, *, out: str, value_out: str = "_v", descending: bool = False, back: bool = True) -> DataFrame:
@@ -256,13 +257,9 @@ def binned_auc(df: DataFrame, *, score: str = "score", label: str = "label", by:
     by = by or []
     d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     g = d.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("tp"), F.sum(1 - F.col(label).cast("long")).alias("fp"))
-    if by:
-        w = Window.partitionBy(*by).orderBy(F.col(score).desc())
-        c = g.withColumn("ctp", F.sum("tp").over(w)).withColumn("cfp", F.sum("fp").over(w))
-    else:
-        c = running(g, score, {"ctp": F.col("tp"), "cfp": F.col("fp")}, descending=True)
+    c = running(g, score, {"ctp": F.col("tp"), "cfp": F.col("fp")}, by=by, descending=True)
     total = g.groupBy(*by).agg(F.sum("tp").alias("pos"), F.sum("fp").alias("neg"))
-    c = c.join(F.broadcast(total), by) if by else c.crossJoin(F.broadcast(total))
+    c = c.join(total, by) if by else c.crossJoin(F.broadcast(total))
     r1, p1 = F.col("ctp") / F.nullif("pos", F.lit(0)), F.col("ctp") / (F.col("ctp") + F.col("cfp"))
     before_tp, before_all = F.col("ctp") - F.col("tp"), F.col("ctp") + F.col("cfp") - F.col("tp") - F.col("fp")
     p0 = F.when(before_all > 0, before_tp / before_all).otherwise(F.lit(1.0))

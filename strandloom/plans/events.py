@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from strandloom.operators import cells as ce
 from strandloom.operators import events as ev
 from strandloom.operators import matrix as mx
+from strandloom.operators import validation as vl
 from strandloom.plans.core import Registry
+from strandloom.plans.matrices import AUC
 
 R = Registry()
 
@@ -58,7 +60,12 @@ def grade_metrics(v):
     return mx.grade_metrics(d, {"price": (980, 920, True), "size": (20, 40, False)}).select("sample", "metric", "grade")
 
 
-@R.add()
+@R.add("""
+    WITH d AS (SELECT x.cell AS sample, gene AS feature, ln(1 + n) AS v, (segment = 'BUILDING')::INT AS y, ('0x' || md5('1:' || donor)[1:8])::BIGINT % 5 AS fold FROM {cells} x JOIN {customers} USING (cell)),
+         t AS (SELECT f.fold, feature, avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0) AS diff, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, var_samp(v) FILTER (y = 1) AS v1, var_samp(v) FILTER (y = 0) AS v0 FROM d JOIN range(5) f(fold) ON d.fold <> f.fold GROUP BY ALL),
+         b AS (SELECT fold, feature, sign(diff) AS s FROM t WHERE n1 >= 2 AND n0 >= 2 AND v1 / n1 + v0 / n0 > 0 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY abs(diff) / sqrt(v1 / n1 + v0 / n0) DESC, feature) <= 20),
+         s AS (SELECT fold, sample, y AS label, avg(v * s) AS score FROM d JOIN b USING (fold, feature) GROUP BY ALL),
+         """ + AUC.replace("{by}", "fold,").replace("{part}", "(PARTITION BY fold)").replace("{pw}", "PARTITION BY fold").replace("{end}", "GROUP BY fold").replace("SELECT fold,", "SELECT fold::INT AS fold,", 2).replace("SELECT fold::INT AS fold, score", "SELECT fold, score", 1))
 def grouped_cv_auc(v):
     d = v.cells.join(v.customers, "cell").select("cell", "gene", F.log1p("n").alias("x"), F.col("donor").alias("patient"), (F.col("segment") == "BUILDING").cast("int").alias("label"))
-    return ev.grouped_cv_auc(d, feature="gene", sample="cell")
+    return vl.grouped_cv_auc(d, feature="gene", sample="cell")

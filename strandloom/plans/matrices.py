@@ -8,6 +8,7 @@ from strandloom.operators import cells as ce
 from strandloom.operators import matrix as mx
 from strandloom.operators import proteins as pr
 from strandloom.operators import stats as st
+from strandloom.operators import validation as va
 from strandloom.plans.core import Registry, bh, norm_two_sided, t_two_sided
 
 R = Registry()
@@ -80,10 +81,26 @@ def binned_auc(v):
 
 
 @R.add("WITH s AS (SELECT * FROM {scored}), " + AUC.replace("{by}", "lang,").replace("{part}", "(PARTITION BY lang)").replace("{pw}", "PARTITION BY lang").replace("{end}", "GROUP BY lang"))
-def leave_one_batch_out_auc(v):
+def auc_by_language(v):
     return st.binned_auc(v.scored, by=["lang"])
 
 
+@R.add("""
+    WITH d AS (SELECT lang, quality AS y, ln(n_chars + 1) AS a, (length(text) - length(replace(text, ' ', '')))::DOUBLE / greatest(length(text), 1) AS b FROM {texts} JOIN {labels} USING (id) WHERE lang IS NOT NULL AND quality IS NOT NULL AND n_chars IS NOT NULL AND text IS NOT NULL),
+         f AS (SELECT l.lang AS held, count(*) AS n, avg(y) AS y, avg(a) AS a, avg(b) AS b, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab FROM d JOIN (SELECT DISTINCT lang FROM d) l ON d.lang <> l.lang GROUP BY l.lang),
+         w AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM f WHERE y > 0 AND y < 1),
+         s AS (SELECT d.lang AS g, d.y AS label, w.y + wa * (d.a - w.a) + wb * (d.b - w.b) AS score FROM d JOIN w ON d.lang = w.held),
+         k AS (SELECT g, avg(label) AS p, sum(CASE WHEN label = 1 THEN r END) AS r, sum(label) AS n1, count(*) - sum(label) AS n0 FROM (SELECT *, rank() OVER (PARTITION BY g ORDER BY score) + (count(*) OVER (PARTITION BY g, score) - 1) / 2 AS r FROM s) GROUP BY g),
+         z AS (SELECT (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS pooled FROM (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM s))
+    SELECT d.lang AS held_out_batch, count(*) AS n, round(any_value(CASE WHEN n1 > 0 AND n0 > 0 THEN (r - n1 * (n1 + 1) / 2) / (n1 * n0) END), 6) AS auc,
+           any_value(CASE WHEN k.g IS NULL THEN 'skipped: training batches hold one class' WHEN n1 = 0 OR n0 = 0 THEN 'AUC undefined: one class in this batch' ELSE '' END) AS note, round(any_value(pooled), 6) AS pooled_auc
+    FROM d LEFT JOIN k ON k.g = d.lang CROSS JOIN z GROUP BY d.lang""")
+def leave_one_batch_out_auc(v):
+    spaces = (F.char_length("text") - F.char_length(F.replace("text", F.lit(" "), F.lit("")))) / F.greatest(F.char_length("text"), F.lit(1))
+    d = v.texts.join(v.labels, "id").select("lang", "quality", F.log(F.col("n_chars") + 1).alias("length"), spaces.alias("spaces"))
+    return va.leave_one_batch_out(d, features=["length", "spaces"], label="quality", batch="lang")
+
+
 @R.add("""
     WITH s AS (SELECT label, score / (score + 1000.0) AS p FROM {scored}), e AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM s)
     SELECT len(list_filter(e, lambda x: x <= p))::INT AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(label), 6) AS observed FROM s CROSS JOIN e GROUP BY 1""")

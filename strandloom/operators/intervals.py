@@ -186,19 +186,21 @@ def variant_near_outlier(variants: DataFrame, outliers: DataFrame, *, distance:
     return j.select(F.col("a_chrom").alias("chrom"), F.col("a_pos").alias("pos"), F.col("a_sample").alias("sample"), F.col("b_event_start").alias("event_start"), F.col("b_event_stop").alias("event_stop")).distinct()
 
 
-def consensus_peaks(peaks: DataFrame, *, half: int = 250, blacklist: DataFrame | None = None, tile: int = 1 << 16, most_rounds: int = 1_000) -> DataFrame:
+def consensus_peaks(peaks: DataFrame, *, half: int = 250, blacklist: DataFrame | None = None, contigs: DataFrame | None = None, tile: int = 1 << 16, most_rounds: int = 1_000) -> DataFrame:
     """Fixed-width peaks around summits (contig, summit, score, id), kept greedily by score so that none overlap: contig, start, stop, score, id.
 
     A peak that is best among all that overlap it is kept before any of them,
     so a round keeps all such peaks at once and drops what they overlap; that
     is the greedy choice. Of peaks at one start only the best can be kept.
+    Peaks that would begin before a contig are left out, those that would end
+    after it (``contigs``: contig, length) are cut there. The blacklist takes
+    away from what was chosen, so a peak that lost against a blacklisted one
+    stays out.
     Windows run over the width of a peak within tiles, whose rows near a border
     also go to the neighbouring tile, so none spans a contig.
     """
     width = 2 * half + 1
     p = peaks.select("contig", (F.col("summit") - half).alias("start"), (F.col("summit") + half + 1).alias("stop"), F.col("score").cast("double").alias("score"), "id").where("start >= 0")
-    if blacklist is not None:
-        p = interval_anti(p, blacklist)
     s = Scratch(peaks.sparkSession, "peaks")
     rank = F.struct((-F.col("score")).alias("a"), F.col("id").alias("b"))
     p = p.groupBy("contig", "start").agg(F.min(rank).alias("r")).withColumn("rank", F.struct(F.col("r.a").alias("a"), F.col("start").alias("s"), F.col("r.b").alias("b"))).select("contig", "start", "rank")
@@ -216,7 +218,11 @@ def consensus_peaks(peaks: DataFrame, *, half: int = 250, blacklist: DataFrame |
             if out is None:
                 out = left
             s.close()
-            return out.select("contig", "start", (F.col("start") + width).alias("stop"), (-F.col("rank.a")).alias("score"), F.col("rank.b").alias("id"))
+            out = out.select("contig", "start", (F.col("start") + width).alias("stop"), (-F.col("rank.a")).alias("score"), F.col("rank.b").alias("id"))
+            if contigs is not None:
+                ends = contigs.select("contig", F.col("length").alias("_end"))
+                out = out.join(ends, "contig", "left").withColumn("stop", F.least("stop", F.coalesce("_end", "stop"))).drop("_end")
+            return out if blacklist is None else interval_anti(out, blacklist)
         now = s.saved(tiled(left).withColumn("best", F.min("rank").over(w)).where("own and rank = best").select("contig", "start", "rank"), "kept", stays=True)
         out = now if out is None else out.unionByName(now)
         marked = left.join(now.select("contig", "start", F.lit(True).alias("won")), ["contig", "start"], "left").withColumn("won", F.coalesce("won", F.lit(False)))
@@ -226,4 +232,4 @@ def consensus_peaks(peaks: DataFrame, *, half: int = 250, blacklist: DataFrame |
 
 def to_saf(peaks: DataFrame) -> DataFrame:
     """Peaks as (GeneID, Chr, Start, End, Strand), starts 1-based."""
-    return peaks.select(F.concat_ws("_", "contig", "start", "stop").alias("GeneID"), F.col("contig").alias("Chr"), (F.col("start") + 1).alias("Start"), F.col("stop").alias("End"), F.lit(".").alias("Strand"))
+    return peaks.select(F.concat_ws("_", "contig", "start", "stop").alias("GeneID"), F.col("contig").alias("Chr"), (F.col("start") + 1).alias("Start"), F.col("stop").alias("End"), F.lit("+").alias("Strand"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import pairwise
 
 import numpy as np
@@ -350,7 +351,7 @@ def qc_feature_filter(df: DataFrame, *, feature: str = "feature", value: str = "
 
 def loess_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.75) -> np.ndarray:
     """Local quadratic fit with tricube weights over the nearest share of points."""
-    n = max(4, int(np.ceil(span * len(x))))
+    n = max(3, int(np.floor(span * len(x) + 1e-5)))
     out = []
     for a in at:
         d = np.abs(x - a)
@@ -395,10 +396,12 @@ def unit_hash(*parts, seed: int = 1) -> Column:
 
 
 def impute_left_censored(df: DataFrame, *, feature: str = "feature", sample: str = "sample", value: str = "x", seed: int = 1) -> DataFrame:
-    """Missing log values drawn near the feature's 1 % quantile (0.1 sd), not below half its minimum on the linear scale (1 on log2)."""
+    """Missing intensities drawn from a normal at the feature's 1 % quantile with a tenth of its sd, not below half its minimum. Draws depend on seed, feature and sample alone."""
     s = df.groupBy(feature).agg(F.percentile(value, 0.01).alias("_q"), F.stddev_samp(value).alias("_s"), F.min(value).alias("_m"))
-    draw = F.col("_q") + 0.1 * F.coalesce("_s", F.lit(0.0)) * tails.norm_quantile(unit_hash(feature, sample, seed=seed))
-    return df.join(s, feature).withColumn("imputed", F.coalesce(F.col(value), F.greatest(draw, F.col("_m") - 1))).drop("_q", "_s", "_m")
+    u, v = unit_hash(feature, sample, seed=seed), unit_hash(sample, feature, seed=seed + 1)
+    normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+    draw = F.col("_q") + 0.1 * F.coalesce("_s", F.lit(0.0)) * normal
+    return df.join(s, feature).withColumn("imputed", F.coalesce(F.col(value), F.greatest(draw, 0.5 * F.col("_m")))).drop("_q", "_s", "_m")
 
 
 def factor_group_permutation(df: DataFrame, *, sample: str = "sample", factor: str = "factor", group: str = "is_case", times: int = 999, seed: int = 1) -> DataFrame:
@@ -485,11 +488,23 @@ def rarefaction_curve(df: DataFrame, depths: list[int], *, sample: str = "sample
     return d.groupBy(sample, "depth").agg(F.sum(1 - gone).alias("expected"))
 
 
-def pick_depth(totals: DataFrame, curve: DataFrame, *, sample: str = "sample", kept: float = 0.85) -> DataFrame:
-    """The deepest depth that keeps enough of the samples (sample, total), with the share kept and the mean expected features there."""
+def pick_depth(totals: DataFrame, curve: DataFrame, *, sample: str = "sample", kept: float = 0.85, gain: float = 0.01) -> DataFrame:
+    """One row (depth, kept, mean_expected, gain_per_1000, plateau): the shallowest plateau among the depths that keep enough of the samples (``totals``: a row each), else the deepest of them.
+
+    A depth's gain is the growth of the mean expected features to the next depth
+    of the curve, over the samples that reach that one, relative and per 1,000
+    reads; it is a plateau below ``gain``.
+    """
     n = totals.count()
-    k = curve.groupBy("depth").agg((F.count(F.lit(1)) / n).alias("kept"), F.avg("expected").alias("mean_expected"))
-    return k.where(F.col("kept") >= kept).orderBy(F.col("depth").desc()).limit(1)
+    steps = curve.select("depth").distinct().withColumn("next", F.lead("depth").over(Window.orderBy("depth")))  # one row per depth
+    c = curve.join(F.broadcast(steps), "depth")
+    on = curve.select(sample, F.col("depth").alias("next"), F.col("expected").alias("_then"))
+    j = c.join(on, [sample, "next"], "left")
+    both = F.when(F.col("_then").isNotNull(), F.col("expected"))
+    g = j.groupBy("depth", "next").agg((F.count(F.lit(1)) / n).alias("kept"), F.avg("expected").alias("mean_expected"), (F.avg(F.col("_then") - both) / F.avg(both)).alias("_g"))
+    g = g.withColumn("gain_per_1000", F.col("_g") / ((F.col("next") - F.col("depth")) / 1000)).where(F.col("kept") >= kept)
+    g = g.withColumn("plateau", F.coalesce(F.col("gain_per_1000") < gain, F.lit(False)))
+    return g.orderBy(F.col("plateau").desc(), F.when(F.col("plateau"), F.col("depth")).otherwise(-F.col("depth"))).limit(1).select("depth", "kept", "mean_expected", "gain_per_1000", "plateau")
 
 
 def rarefy(df: DataFrame, *, depth: int, seed: int = 1, feature: str = "feature", sample: str = "sample", value: str = "n") -> DataFrame:
@@ -537,16 +552,21 @@ def reads_dropped_share(nsti: DataFrame, counts: DataFrame, *, cut: float = 2.0,
     return j.agg(F.count_distinct(F.when(gone, F.col(feature))).alias("dropped_taxa"), (F.sum(F.when(gone, F.col(value)).otherwise(0)) / F.sum(value)).alias("dropped_share"))
 
 
-def sample_raw_qc(df: DataFrame, samples: DataFrame, *, sample: str = "sample", group: str = "grp", value: str = "value", feature: str = "feature", contaminant: Column | None = None, features: int | None = None, fold: float = 3.0) -> DataFrame:
-    """Per sample: total, ids, missing percent, fold to its group's median total (to all samples for a group of one), flag, contaminant share."""
+def sample_raw_qc(df: DataFrame, samples: DataFrame, *, sample: str = "sample", group: str = "grp", value: str = "value", feature: str = "feature", contaminant: Column | None = None, features: int | None = None, least_fold: float = 0.5, least_ids: float = 0.8) -> DataFrame:
+    """Per sample: total, median, ids, missing percent, both against its group's medians (those of all samples for a group of one), flag, contaminant share.
+
+    A sample is flagged for half its baseline's total or less, or for less than
+    0.8 of its identified features; more than the baseline is no fault.
+    """
     n = features or df.select(feature).distinct().count()
     con = F.sum(F.when(contaminant, F.col(value)).otherwise(0.0)) if contaminant is not None else F.lit(0.0)
-    s = df.where(F.col(value) > 0).groupBy(sample).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("ids"), con.alias("_c")).join(samples, sample)
-    g = s.groupBy(group).agg(median("total").alias("_g"), F.count(F.lit(1)).alias("_k"))
-    j = s.join(g, group).crossJoin(s.agg(median("total").alias("_all")))  # one row
-    base = F.when(F.col("_k") > 1, F.col("_g")).otherwise(F.col("_all"))
-    f = F.col("total") / base
-    return j.select(sample, group, "total", "ids", (100 * (1 - F.col("ids") / n)).alias("missing_pct"), f.alias("fold"), F.when(F.col("_k") > 1, "group").otherwise("all samples").alias("baseline"), ((f > fold) | (f < 1 / fold)).alias("flag"), (F.col("_c") / F.col("total")).alias("contaminant_share"))
+    s = df.where(F.col(value) > 0).groupBy(sample).agg(F.sum(value).alias("total"), median(value).alias("median"), F.count(F.lit(1)).alias("ids"), con.alias("_c")).join(samples, sample)
+    g = s.groupBy(group).agg(median("total").alias("_g"), median("ids").alias("_i"), F.count(F.lit(1)).alias("_k"))
+    j = s.join(g, group).crossJoin(s.agg(median("total").alias("_all"), median("ids").alias("_all_i")))  # one row
+    own = F.col("_k") > 1
+    fold = F.col("total") / F.when(own, F.col("_g")).otherwise(F.col("_all"))
+    ids = F.col("ids") / F.when(own, F.col("_i")).otherwise(F.col("_all_i"))
+    return j.select(sample, group, "total", "median", "ids", (100 * (1 - F.col("ids") / n)).alias("missing_pct"), fold.alias("fold"), ids.alias("ids_fold"), F.when(own, "group").otherwise("all samples").alias("baseline"), ((fold <= least_fold) | (ids < least_ids)).alias("flag"), (F.col("_c") / F.col("total")).alias("contaminant_share"))
 
 
 def run_metrics(df: DataFrame, *, run: str = "run", rt: str = "rt", predicted: str = "predicted", width: str = "width", q: str = "q", alpha: float = 0.01) -> DataFrame:
@@ -597,14 +617,20 @@ def reference_set_check(df: DataFrame, essential: DataFrame, other: DataFrame, *
     return j.withColumn("verdict", F.when((F.col("essential_present") < least) | (F.col("other_present") < least), "too few").when(F.col("essential_mean") < F.col("other_mean"), "ok").otherwise("not separated"))
 
 
-def precision_components(df: DataFrame, *, lowest_cut: float = 0.20, cut: float = 0.15) -> DataFrame:
-    """Intra- and inter-day CV per level from replicates (level, day, value), by one-way variance components; unequal counts give null."""
+def precision_components(df: DataFrame, *, lowest: str = "LLOQ", lowest_cut: float = 0.20, cut: float = 0.15) -> DataFrame:
+    """Per level, from replicates (level, day, value): mean, the greatest CV of a day, the inter-day CV by one-way variance components, and whether every day's and the inter-day one are within the cut (that of the level named ``lowest`` is wider).
+
+    A level needs two days or more with equal numbers of replicates; another is an error.
+    """
     d = df.groupBy("level", "day").agg(F.count("value").alias("k"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
-    g = d.groupBy("level").agg(F.min("k").alias("_a"), F.max("k").alias("_b"), F.avg("m").alias("mean"), F.avg("v").alias("msw"), F.var_samp("m").alias("_vm"))
-    even = F.col("_a") == F.col("_b")
-    g = g.withColumn("intra_cv", F.when(even, F.sqrt("msw") / F.col("mean"))).withColumn("inter_cv", F.when(even, F.sqrt(F.col("msw") + F.greatest(F.lit(0.0), (F.col("_a") * F.col("_vm") - F.col("msw")) / F.col("_a"))) / F.col("mean")))
-    low = F.col("level") == F.min("level").over(Window.partitionBy(F.lit(1)))
-    return g.select("level", "mean", "intra_cv", "inter_cv", (F.greatest("intra_cv", "inter_cv") <= F.when(low, lowest_cut).otherwise(cut)).alias("pass"))
+    g = d.groupBy("level").agg(F.min("k").alias("k"), F.max("k").alias("_b"), F.count(F.lit(1)).alias("_days"), F.avg("m").alias("mean"), F.avg("v").alias("msw"), F.var_samp("m").alias("vm"), F.max(F.sqrt("v") / F.col("m")).alias("intra_cv"))
+    bad = g.where("k <> _b or _days < 2").first()
+    if bad is not None:
+        raise ValueError(f"level {bad.level}: two days or more with equal numbers of replicates are needed")
+    between = F.greatest(F.lit(0.0), F.col("vm") - F.col("msw") / F.col("k"))
+    g = g.withColumn("inter_cv", F.sqrt(F.col("msw") + between) / F.col("mean"))
+    limit = F.when(F.col("level").cast("string") == lowest, lowest_cut).otherwise(cut)
+    return g.select("level", "mean", "intra_cv", "inter_cv", F.coalesce((F.col("intra_cv") <= limit) & (F.col("inter_cv") <= limit), F.lit(False)).alias("pass"))
 
 
 def matrix_factor(df: DataFrame, *, least_lots: int = 6, cut: float = 0.15) -> DataFrame:

@@ -63,12 +63,13 @@ def hash_subsample(df: DataFrame, *, key: str, fraction: float, seed: int = 0) -
 
 
 def flagstat(df: DataFrame) -> DataFrame:
-    """One row of counters; all but the first three are of primary records."""
+    """One row of counters; all but the first three are of primary records, and those after qc_fail of ones that passed QC."""
     n, p = F.count_if, primary()
+    ok = p & ~has(QC_FAIL)
     return df.agg(
         F.count(F.lit(1)).alias("records"), n(has(SECONDARY)).alias("secondary"), n(has(SUPPLEMENTARY)).alias("supplementary"), n(p).alias("primary"), n(p & has(QC_FAIL)).alias("qc_fail"),
-        n(p & ~has(UNMAPPED)).alias("mapped"), n(p & has(PAIRED)).alias("paired"), n(p & has(PROPER)).alias("proper"), n(p & has(DUPLICATE)).alias("duplicate"),
-        (n(p & has(DUPLICATE)) / F.nullif(n(p & ~has(UNMAPPED)), F.lit(0))).alias("duplicate_rate"),
+        n(ok & ~has(UNMAPPED)).alias("mapped"), n(ok & has(PAIRED)).alias("paired"), n(ok & has(PROPER)).alias("proper"), n(ok & has(DUPLICATE)).alias("duplicate"),
+        (n(ok & has(DUPLICATE)) / F.nullif(n(ok & ~has(UNMAPPED)), F.lit(0))).alias("duplicate_rate"),
     )
 
 
@@ -99,31 +100,86 @@ def fragment_size_qc(df: DataFrame, *, length: str = "tlen", most: int = 600) ->
     return g.crossJoin(top).fillna(0, ["mode", "median", "short_share", "long_share"])  # one row each
 
 
-def fragment_histogram_peak(df: DataFrame, *, length: str = "tlen", bin_width: int = 5, low: int = 150, high: int = 250, prominence: float = 0.05) -> DataFrame:
-    """The tallest peak of the fragment histogram in a window: peak, height; no row without one. The histogram is a few hundred rows."""
-    h = df.where(F.col(length) > 0).groupBy((F.floor(F.col(length) / bin_width) * bin_width).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+def histogram_peaks(y: list[int], distance: int, prominence: float) -> list[int]:
+    """Positions of local maxima (the middle of a flat top), none nearer than ``distance`` to a higher one that stays (of equal ones the later stays), of at least that prominence."""
+    tops, i = [], 1
+    while i < len(y) - 1:
+        j = i
+        while j < len(y) - 1 and y[j + 1] == y[i]:
+            j += 1
+        if y[i - 1] < y[i] and j < len(y) - 1 and y[j + 1] < y[i]:
+            tops.append((i + j) // 2)
+        i = j + 1
+    kept: list[int] = []
+    for p in sorted(tops, key=lambda p: (-y[p], -p)):
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+
+    def base(p: int, step: int) -> int:
+        low, i = y[p], p
+        while 0 <= i < len(y) and y[i] <= y[p]:
+            low, i = min(low, y[i]), i + step
+        return low
+
+    return sorted(p for p in kept if y[p] - max(base(p, -1), base(p, 1)) >= prominence)
+
+
+def fragment_histogram_peak(df: DataFrame, *, length: str = "tlen", bin_width: int = 5, limit: int = 1500, low: float = 150, high: float = 250, separation: int = 50, prominence: float = 0.05) -> DataFrame:
+    """The tallest peak of the fragment lengths between ``low`` and ``high``: peak (a bin's centre), height; no row without one.
+
+    Lengths are those of read 1 of proper pairs, below ``limit``. Peaks are at
+    least ``separation`` bases apart and rise by a share of the tallest bin over
+    what surrounds them. The histogram has ``limit / bin_width`` bins.
+    """
+    n, size = limit // bin_width, F.abs(F.col(length))
+    h = df.where(has(PROPER) & has(READ1) & (size > 0) & (size < limit)).groupBy(F.floor(size / bin_width).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("k"))
 
     def peak(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.set_index("v")["k"]
-        d = d.reindex(range(0, int(d.index.max()) + bin_width, bin_width), fill_value=0)
-        y, x = d.to_numpy(), d.index.to_numpy()
-        best = None
-        for i in range(1, len(y) - 1):
-            if low <= x[i] <= high and y[i] >= y[i - 1] and y[i] > y[i + 1]:
-                left, right = y[: i + 1][::-1], y[i:]
-                base = max(min(side[: next((k for k, v in enumerate(side) if v > y[i]), len(side))]) for side in (left, right))
-                if y[i] - base >= prominence * y.max() and (best is None or y[i] > best[1]):
-                    best = (int(x[i]), int(y[i]))
-        return pd.DataFrame([best] if best else [], columns=["peak", "height"])
+        y = [0] * n
+        for v, k in zip(pdf["v"], pdf["k"]):
+            y[int(v)] = int(k)
+        found = [(p + 0.5) * bin_width for p in histogram_peaks(y, separation // bin_width, prominence * max(y))]
+        inside = [(-y[int(c // bin_width)], c) for c in found if low < c < high]
+        return pd.DataFrame([(c, -k) for k, c in sorted(inside)[:1]], columns=["peak", "height"])
+
+    return h.groupBy(F.lit(1).alias("_")).applyInPandas(peak, "peak double, height long")
+
 
-    return h.groupBy(F.lit(1).alias("_")).applyInPandas(peak, "peak long, height long")
+#: Contigs that don't count for the complexity of a library: fixed values.
+MITOCHONDRIAL = ("chrM", "MT", "M", "chrMT")
 
 
-def library_complexity(df: DataFrame, *, key: list[str]) -> DataFrame:
-    """NRF, PBC1 and PBC2 from how often each position occurs."""
-    c = df.groupBy(*key).agg(F.count(F.lit(1)).alias("k"))
-    g = c.agg(F.sum("k").alias("reads"), F.count(F.lit(1)).alias("positions"), F.count_if(F.col("k") == 1).alias("once"), F.count_if(F.col("k") == 2).alias("twice"))
-    return g.select("reads", "positions", (F.col("positions") / F.col("reads")).alias("nrf"), (F.col("once") / F.col("positions")).alias("pbc1"), (F.col("once") / F.nullif("twice", F.lit(0))).alias("pbc2"))
+def library_complexity(df: DataFrame, *, mode: str = "auto", min_mapq: int = 30, exclude: tuple[str, ...] = MITOCHONDRIAL) -> DataFrame:
+    """One row: mode, total, distinct, nrf, pbc1, pbc2, excluded_contig, below_mapq, flagged_duplicates, warning.
+
+    Mapped primary records count unless on an excluded contig or below
+    ``min_mapq``. In paired mode ('auto': where any such record is paired) a
+    fragment counts once, by read 1 of a proper pair with a length, at (contig,
+    leftmost start of the pair, that plus the length); in single mode a read at
+    (contig, 5' end, strand). Flagged duplicates count. The columns are contig,
+    start, stop, mapq, flag and, in paired mode, mate_start and tlen.
+    """
+    base = primary() & ~has(UNMAPPED)
+    if mode == "auto":
+        mode = "paired" if df.where(base & has(PAIRED)).limit(1).count() else "single"
+    off, low = F.col("contig").isin(*exclude), F.col("mapq") < min_mapq
+    use = base & ~off & ~low
+    if mode == "paired":
+        use = use & has(PAIRED) & has(READ1) & has(PROPER) & (F.col("tlen") != 0)
+        first = F.least("start", "mate_start")
+        key = F.struct("contig", first.alias("a"), (first + F.abs("tlen")).alias("z"))
+    else:
+        key = F.struct("contig", F.when(has(REVERSE), F.col("stop")).otherwise(F.col("start")).alias("a"), has(REVERSE).alias("z"))
+    n = F.count_if
+    seen = df.agg(n(base & off).alias("excluded_contig"), n(base & ~off & low).alias("below_mapq"), n(use & has(DUPLICATE)).alias("flagged_duplicates"))
+    c = df.where(use).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("k_n"))
+    g = c.agg(F.coalesce(F.sum("k_n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct"), n(F.col("k_n") == 1).alias("_1"), n(F.col("k_n") == 2).alias("_2")).crossJoin(seen)  # one row each
+    unique = (F.col("total") > 0) & (F.col("flagged_duplicates") == 0) & (F.col("_1") == F.col("distinct"))
+    zero = F.lit(0)
+    return g.select(
+        F.lit(mode).alias("mode"), "total", "distinct", (F.col("distinct") / F.nullif("total", zero)).alias("nrf"), (F.col("_1") / F.nullif("distinct", zero)).alias("pbc1"), (F.col("_1") / F.nullif("_2", zero)).alias("pbc2"),
+        "excluded_contig", "below_mapq", "flagged_duplicates", F.when(unique, "every position is unique: the reads look deduplicated").alias("warning"),
+    )
 
 
 def cigar_ops(cigar: str = "cigar") -> Column:
@@ -239,13 +295,28 @@ def call_snvs(pileup: DataFrame, reference: DataFrame, *, min_depth: int = 10, m
     return j.where((F.col("ref") != "N") & (F.col("base") != F.col("ref")) & (F.col("base") != "DEL") & (F.col("depth") >= min_depth) & (F.col("frequency") >= min_frequency)).select("contig", (F.col("pos") + 1).alias("pos"), "ref", F.col("base").alias("alt"), "n", "depth", "frequency")
 
 
-def v_plot(fragments: DataFrame, sites: DataFrame, *, flank: int = 500) -> DataFrame:
-    """(size, offset, per_site): fragment centres around stranded sites (contig, at, strand), mirrored on the minus strand, over the number of sites."""
-    f = fragments.withColumn("size", F.col("stop") - F.col("start")).withColumn("_c", F.floor((F.col("start") + F.col("stop")) / 2).cast("long")).select("contig", F.col("_c").alias("start"), (F.col("_c") + 1).alias("stop"), "size")
-    s = sites.select("contig", (F.col("at") - flank).alias("start"), (F.col("at") + flank + 1).alias("stop"), "at", "strand")
-    off = F.when(F.col("b_strand") == "-", F.col("b_at") - F.col("a_start")).otherwise(F.col("a_start") - F.col("b_at"))
+def v_plot(df: DataFrame, sites: DataFrame, *, flank: int = 1000, max_size: int = 600, contigs: DataFrame | None = None) -> DataFrame:
+    """(size, offset, per_site): centres of fragments around stranded sites (contig, at, strand), mirrored on the minus strand, over the number of sites.
+
+    A fragment is read 1 of a proper pair (contig, start, stop, mate_start,
+    tlen, flag) with a length below ``max_size``, and is met where the read
+    itself overlaps the flanks. Offsets run from -flank to flank - 1. Sites of
+    contigs that aren't in ``contigs`` don't count; no site at all is an error.
+    """
+    if contigs is not None:
+        sites = sites.join(contigs.select("contig").distinct(), "contig", "left_semi")
     n = sites.count()
-    return interval_join(f, s).groupBy(F.col("a_size").alias("size"), off.alias("offset")).agg((F.count(F.lit(1)) / n).alias("per_site"))
+    if not n:
+        raise ValueError("no sites on known contigs")
+    size = F.abs(F.col("tlen")).cast("long")
+    f = df.where(has(PROPER) & has(READ1) & (size > 0) & (size < max_size)).withColumn("size", size)
+    f = f.select("contig", F.col("start").alias("read_start"), F.col("stop").alias("read_stop"), "size", (F.least("start", "mate_start") + F.floor(F.col("size") / 2)).alias("start"))
+    f = f.withColumn("stop", F.col("start") + 1)
+    minus = (F.col("strand") == "-").cast("int")
+    s = sites.select("contig", (F.col("at") - flank + minus).alias("start"), (F.col("at") + flank + minus).alias("stop"), "at", "strand")
+    met = (F.col("a_read_start") < F.col("b_at") + flank) & (F.col("a_read_stop") > F.greatest(F.lit(0), F.col("b_at") - flank))
+    off = F.when(F.col("b_strand") == "-", F.col("b_at") - F.col("a_start")).otherwise(F.col("a_start") - F.col("b_at"))
+    return interval_join(f, s, condition=met).groupBy(F.col("a_size").alias("size"), off.alias("offset")).agg((F.count(F.lit(1)) / n).alias("per_site"))
 
 
 def tss_enrichment(fragments: DataFrame, sites: DataFrame, *, flank: int = 2000, contigs: DataFrame | None = None) -> DataFrame:

@@ -45,11 +45,11 @@ def filter_sequences(df: DataFrame, *, pattern: str = ".*", max_gap: float = 0.5
 
 
 def consensus_sequence(df: DataFrame, *, least: float = 0.5, ambiguous: str = "X", key: str = "id", seq: str = "seq") -> DataFrame:
-    """Per column: the commonest residue (the first in order of ties), its share of all rows, and the consensus letter ('ambiguous' below the share). Gaps are in the denominator only."""
+    """Per column: the commonest residue (of equal ones that of the row with the least key), its share of all rows, and the consensus letter ('ambiguous' below the share). Gaps are in the denominator only."""
     c = columns(df, key=key, seq=seq)
     n = c.groupBy("col").agg(F.count(F.lit(1)).alias("rows"))
-    r = c.where("residue <> '-'").groupBy("col", "residue").agg(F.count(F.lit(1)).alias("k"))
-    best = r.groupBy("col").agg(F.min(F.struct((-F.col("k")).alias("k"), "residue")).alias("_b"))
+    r = c.where("residue <> '-'").groupBy("col", "residue").agg(F.count(F.lit(1)).alias("k"), F.min(key).alias("first"))
+    best = r.groupBy("col").agg(F.min(F.struct((-F.col("k")).alias("k"), "first", "residue")).alias("_b"))
     d = n.join(best, "col", "left").select("col", F.col("_b.residue").alias("residue"), (F.coalesce(-F.col("_b.k"), F.lit(0)) / F.col("rows")).alias("share"))
     return d.withColumn("consensus", F.when(F.col("residue").isNull(), "-").when(F.col("share") >= least, F.col("residue")).otherwise(ambiguous))
 
@@ -95,10 +95,10 @@ def _grid(df: DataFrame, background: dict[str, float], **how) -> DataFrame:
 
 
 def jsd_conservation(df: DataFrame, background: dict[str, float], *, half: int = 3, weight: float = 0.5, **how) -> DataFrame:
-    """Divergence of each column from the background (bits), times the share of rows without a gap, mixed with the mean of its neighbours."""
+    """Divergence of each column from the background (bits), times the share of rows without a gap, mixed with the mean of its neighbours. A column without letters of the background has 0."""
     d = _grid(df, background, **how).withColumn("p", F.col("k") / F.nullif("n", F.lit(0))).withColumn("m", (F.col("p") + F.col("q")) / 2)
     t = lambda x: F.when(x > 0, x * F.log2(x / F.col("m"))).otherwise(0.0)
-    g = d.groupBy("col", "rows", "gaps").agg((F.sum(t(F.col("p")) + t(F.col("q"))) / 2).alias("_j")).select("col", (F.col("_j") * (1 - F.col("gaps") / F.col("rows"))).alias("jsd"))
+    g = d.groupBy("col", "rows", "gaps", "n").agg((F.sum(t(F.col("p")) + t(F.col("q"))) / 2).alias("_j")).select("col", F.when(F.col("n") > 0, F.col("_j") * (1 - F.col("gaps") / F.col("rows"))).otherwise(0.0).alias("jsd"))
     w = Window.orderBy("col")  # one row per column
     s = lambda a, b: F.coalesce(F.sum("jsd").over(w.rowsBetween(a, b)), F.lit(0.0))
     n = lambda a, b: F.count("jsd").over(w.rowsBetween(a, b))
@@ -216,20 +216,66 @@ def codons(seq: str | Column) -> Column:
     return F.regexp_extract_all(F.upper(seq), F.lit(r"[\s\S]{3}"), F.lit(0))
 
 
-def validate_cds(df: DataFrame, *, seq: str = "seq") -> DataFrame:
-    """Adds codons that are read, and flags: whole codons, start, stop, internal stop, other letters; accepted if all are right."""
-    c = codons(F.col(seq))
-    stops = [k for k, v in CODONS.items() if v == "*"]
-    d = df.withColumn("codons", c).withColumn("whole", F.length(seq) % 3 == 0).withColumn("start_ok", F.coalesce(F.get("codons", F.lit(0)) == "ATG", F.lit(False)))
-    d = d.withColumn("stop_ok", F.coalesce(F.get("codons", F.size("codons") - 1).isin(stops), F.lit(False)))
-    d = d.withColumn("internal_stop", F.exists(F.slice("codons", 1, F.greatest(F.size("codons") - 1, F.lit(0))), lambda x: x.isin(stops))).withColumn("other_letters", ~F.upper(seq).rlike("^[ACGT]*$"))
-    return d.withColumn("accepted", F.col("whole") & F.col("start_ok") & F.col("stop_ok") & ~F.col("internal_stop") & ~F.col("other_letters"))
+#: Published genetic codes: codons that differ from the standard one, and start codons. Fixed values.
+GENETIC_CODES: dict[int, tuple[dict[str, str], tuple[str, ...]]] = {
+    1: ({}, ("TTG", "CTG", "ATG")),
+    2: ({"AGA": "*", "AGG": "*", "ATA": "M", "TGA": "W"}, ("ATT", "ATC", "ATA", "ATG", "GTG")),
+    4: ({"TGA": "W"}, ("TTA", "TTG", "CTG", "ATT", "ATC", "ATA", "ATG", "GTG")),
+    11: ({}, ("TTG", "CTG", "ATT", "ATC", "ATA", "ATG", "GTG")),
+}
 
 
-def codon_usage(df: DataFrame, *, seq: str = "seq", by: list[str] | None = None) -> DataFrame:
-    """Counts and frequencies of codons of the standard code."""
+def genetic_code(table: int) -> tuple[dict[str, str], list[str], list[str]]:
+    """Amino acids by codon, start codons and stop codons of a numbered code."""
+    if table not in GENETIC_CODES:
+        raise ValueError(f"unknown genetic code {table}: known are {sorted(GENETIC_CODES)}")
+    other, starts = GENETIC_CODES[table]
+    code = CODONS | other
+    return code, list(starts), [k for k, v in code.items() if v == "*"]
+
+
+def validate_cds(df: DataFrame, *, seq: str = "seq", table: int = 1, policy: str = "strict", require_start: bool = True, require_terminal_stop: bool = True, allow_internal_stops: bool = False) -> DataFrame:
+    """Adds what a coding sequence is admitted with, or why it is refused.
+
+    codons: those admitted, in order. discarded: (offset, segment, reason) of
+    triplets with letters other than ACGT and of a remainder of one or two
+    bases, which ``policy='permissive'`` leaves out and 'strict' refuses.
+    start_ok, stop_ok, internal_stops (numbers of admitted codons from 0).
+    refused: the first reason, null where ``accepted``. Null counts as empty;
+    case doesn't matter.
+    """
+    if policy not in ("strict", "permissive"):
+        raise ValueError("policy must be 'strict' or 'permissive'")
+    _, starts, stops = genetic_code(table)
+    d = df.withColumn("_raw", F.coalesce(F.upper(seq), F.lit(""))).withColumn("_all", codons(F.col("_raw")))
+    pure = lambda c: c.rlike("^[ACGT]{3}$")
+    part = lambda at, text, why: F.struct(at.cast("int").alias("offset"), text.alias("segment"), F.lit(why).alias("reason"))
+    odd = F.filter(F.transform("_all", lambda c, i: part(i * 3, c, "codon contains non-ACGT symbols")), lambda x: ~pure(x.segment))
+    rest = F.length("_raw") % 3
+    tail = F.when(rest > 0, F.array(part(F.length("_raw") - rest, F.right("_raw", rest), "incomplete trailing codon"))).otherwise(F.slice(odd, 1, 0))
+    d = d.withColumn("codons", F.filter("_all", pure)).withColumn("discarded", F.concat(odd, tail))
+    last = F.size("codons") - 1
+    d = d.withColumn("start_ok", F.coalesce(F.get("codons", F.lit(0)).isin(starts), F.lit(False))).withColumn("stop_ok", F.coalesce(F.get("codons", last).isin(stops), F.lit(False)))
+    at = F.transform("codons", lambda c, i: F.when(c.isin(stops) & (i < last), i))
+    d = d.withColumn("internal_stops", F.filter(at, lambda i: i.isNotNull()))
+    strict = F.lit(policy == "strict")
+    why = (
+        F.when(F.col("_raw") == "", "empty")
+        .when(F.col("_raw").rlike(r"\s"), "white space")
+        .when(strict & (rest > 0), "length is not divisible by three")
+        .when(strict & (F.size(odd) > 0), "invalid codon")
+        .when(F.size("codons") == 0, "no complete codons")
+        .when(F.lit(require_start) & ~F.col("start_ok"), "no start codon")
+        .when(F.lit(require_terminal_stop) & ~F.col("stop_ok"), "no stop codon")
+        .when(F.lit(not allow_internal_stops) & (F.size("internal_stops") > 0), "internal stop")
+    )
+    return d.withColumn("refused", why).withColumn("accepted", F.col("refused").isNull()).drop("_raw", "_all")
+
+
+def codon_usage(df: DataFrame, *, seq: str = "seq", by: list[str] | None = None, **validation) -> DataFrame:
+    """Counts and frequencies of the admitted codons of the sequences that ``validate_cds`` accepts with these options; refused ones count for nothing."""
     by = by or []
-    c = df.select(*by, F.explode(codons(F.col(seq))).alias("codon")).where(F.col("codon").isin(list(CODONS)))
+    c = validate_cds(df.select(*by, F.col(seq).alias("_seq")), seq="_seq", **validation).where("accepted").select(*by, F.explode("codons").alias("codon"))
     g = c.groupBy(*by, "codon").agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))))
 
@@ -243,24 +289,33 @@ def rscu(usage: DataFrame, *, rare: float = 0.5) -> DataFrame:
     return d.select("codon", "amino_acid", "n", r.alias("rscu")).withColumn("rare", F.col("rscu") < rare)
 
 
-def find_pam_sites(df: DataFrame, *, key: str = "id", seq: str = "seq", guide: int = 20, low_gc: float = 0.2, high_gc: float = 0.8) -> DataFrame:
-    """Guides before NGG on both strands (overlaps included): id, strand, start in the given strand's coordinates, guide, pam; content within limits, no run of four T."""
+def find_pam_sites(df: DataFrame, *, key: str = "id", seq: str = "seq", guide: int = 20, least_gc: int = 6, most_gc: int = 14) -> DataFrame:
+    """Guides of ACGT before NGG on both strands (overlaps included), with ``least_gc`` to ``most_gc`` G or C and no run of four T.
+
+    id, strand, start (of guide and PAM together, from the left of the given
+    strand), n (length of the sequence), guide, pam, gc (share).
+    """
     more, tile = guide + 2, 1000
 
     def strand(text: Column, name: str) -> DataFrame:
         #: Tiles with the beginning of the next one, so that the work grows with the length.
         tiles = F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{tile}}}"), F.lit(0))
-        d = df.select(key, F.length(text).alias("_n"), tiles.alias("_t"))
-        d = d.select(key, "_n", F.posexplode(F.transform("_t", lambda x, i: F.concat(x, F.coalesce(F.left(F.get("_t", i + 1), F.lit(more)), F.lit(""))))).alias("_k", "_s"))
+        d = df.select(key, F.length(text).cast("long").alias("n"), tiles.alias("_t"))
+        d = d.select(key, "n", F.posexplode(F.transform("_t", lambda x, i: F.concat(x, F.coalesce(F.left(F.get("_t", i + 1), F.lit(more)), F.lit(""))))).alias("_k", "_s"))
         d = d.where(F.length("_s") > more).withColumn("i", F.explode(F.sequence(F.lit(0), F.length("_s") - more - 1)))
         d = d.withColumn("guide", F.substr(F.col("_s"), F.col("i") + 1, F.lit(guide))).withColumn("pam", F.substr(F.col("_s"), F.col("i") + guide + 1, F.lit(3))).withColumn("_at", F.col("_k") * tile + F.col("i"))
-        start = F.col("_at") if name == "+" else F.col("_n") - F.col("_at") - guide
-        return d.where(F.col("pam").rlike("^[ACGT]GG$") & (F.col("i") < tile)).select(key, F.lit(name).alias("strand"), start.cast("long").alias("start"), "guide", "pam")
+        start = F.col("_at") if name == "+" else F.col("n") - F.col("_at") - guide - 3
+        return d.where(F.col("pam").rlike("^[ACGT]GG$") & F.col("guide").rlike("^[ACGT]+$") & (F.col("i") < tile)).select(key, F.lit(name).alias("strand"), start.cast("long").alias("start"), "n", "guide", "pam")
 
     s = F.upper(seq)
     both = strand(s, "+").unionByName(strand(F.translate(F.reverse(s), "ACGT", "TGCA"), "-"))
-    gc = (F.length("guide") - F.length(F.translate("guide", "GC", ""))) / guide
-    return both.withColumn("gc", gc).where(F.col("gc").between(low_gc, high_gc) & ~F.col("guide").contains("TTTT"))
+    gc = F.length("guide") - F.length(F.translate("guide", "GC", ""))
+    return both.where(gc.between(least_gc, most_gc) & ~F.col("guide").contains("TTTT")).withColumn("gc", gc / guide)
+
+
+def within_cds(sites: DataFrame, *, start: str = "start", length: str = "n", low: float = 0.05, high: float = 0.65) -> DataFrame:
+    """Guides that start within a share of the coding sequence, ends included."""
+    return sites.where((F.col(start) >= low * F.col(length)) & (F.col(start) <= high * F.col(length)))
 
 
 def spaced_top_k(df: DataFrame, *, gene: str = "gene", start: str = "start", score: str = "score", k: int = 4, spacing: int = 5) -> DataFrame:

@@ -49,51 +49,77 @@ def atomize_mnp(df: DataFrame, *, pos: str = "pos", ref: str = "ref", alt: str =
     return x.withColumn(pos, F.col("_x.p")).withColumn(ref, F.col("_x.r")).withColumn(alt, F.col("_x.a")).drop("_x")
 
 
-def left_align(pos: int, ref: str, alt: str, window: str, window_start: int) -> tuple[int, str, str] | None:
-    """Trimmed and left-aligned (pos, ref, alt); positions are 1-based, ``window`` holds the reference from ``window_start`` on. None where the window is too short."""
-    if ref == alt:
-        return pos, ref, alt
-    while True:
-        if ref and alt and ref[-1] == alt[-1] and (len(ref) > 1 or len(alt) > 1):
-            ref, alt = ref[:-1], alt[:-1]
-        elif ref and alt:
-            break
-        if not ref or not alt:
-            pos -= 1
-            if pos < 1:
-                return 1, ref, alt  # at the start of a contig there is no base to anchor on
-            at = pos - window_start
-            if at < 0:
-                return None
-            ref, alt = window[at] + ref, window[at] + alt
-    while len(ref) > 1 and len(alt) > 1 and ref[0] == alt[0]:
-        ref, alt, pos = ref[1:], alt[1:], pos + 1
-    return pos, ref, alt
-
-
-def normalize_variant(variants: DataFrame, reference: DataFrame, *, chunk: int = 10_000) -> DataFrame:
-    """Rows of one ALT each, trimmed and left-aligned against ``reference`` (chrom, chunk, seq: consecutive stretches of ``chunk`` bases).
-
-    A variant is joined to its own stretch and the one before; one whose roll
-    would run past both keeps ``aligned`` false.
+def _shared(a: Column, b: Column) -> Column:
+    """How many first characters two strings share."""
+    same = lambda n, i: F.when((n == i - 1) & (F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))), i).otherwise(n)
+    return F.aggregate(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), F.lit(0), lambda n, i: F.when(i == 0, n).otherwise(same(n, i)))
+
+
+def _trimmed(df: DataFrame) -> DataFrame:
+    """Last, then first bases that both alleles share are cut off, down to one base each."""
+    shortest = F.least(F.length("ref"), F.length("alt")) - 1
+    cut = F.when(F.col("ref") != F.col("alt"), F.least(_shared(F.reverse("ref"), F.reverse("alt")), shortest)).otherwise(0)
+    d = df.withColumn("_k", cut).withColumn("ref", F.expr("left(ref, length(ref) - _k)")).withColumn("alt", F.expr("left(alt, length(alt) - _k)"))
+    d = d.withColumn("_k", F.when(F.col("ref") != F.col("alt"), F.least(_shared(F.col("ref"), F.col("alt")), F.least(F.length("ref"), F.length("alt")) - 1)).otherwise(0))
+    return d.withColumn("pos", F.col("pos") + F.col("_k")).withColumn("ref", F.expr("substring(ref, _k + 1)")).withColumn("alt", F.expr("substring(alt, _k + 1)")).drop("_k")
+
+
+def roll_left(unit: str, before: str) -> int:
+    """How many bases an inserted or deleted ``unit`` can move to the left through the bases ``before`` it."""
+    s = 0
+    while s < len(before) and before[-1 - s] == unit[-1 - s % len(unit)]:
+        s += 1
+    return s
+
+
+def _rolls(unit: pd.Series, before: pd.Series) -> pd.Series:
+    return pd.Series([roll_left(u, b) for u, b in zip(unit, before)], dtype="int32")
+
+
+def normalize_variant(variants: DataFrame, reference: DataFrame, *, chunk: int = 10_000, look: int = 64) -> DataFrame:
+    """Rows of one ALT each, trimmed and left-aligned against ``reference`` (chrom, chunk, seq: consecutive stretches of ``chunk`` bases); positions are 1-based.
+
+    Substitutions never need the reference: they are trimmed by built-ins. An
+    insertion or deletion, where one allele ends with the other, is joined to
+    the stretch with the base before it and moves left through the ``look``
+    bases there; those that reach the end of what they see go into another
+    round, from where they are and through whole stretches, until none is left.
+    At the start of a contig there is no base to anchor on and an allele stays
+    empty. A stretch that a variant needs and ``reference`` lacks is an error.
+    Rows with a null allele or position stay as they are.
     """
-    v = variants.withColumn("_chunk", F.floor((F.col("pos") - 1) / chunk).cast("long"))
-    own = reference.select("chrom", F.col("chunk").alias("_chunk"), F.col("seq").alias("_own"))
-    before = reference.select("chrom", (F.col("chunk") + 1).alias("_chunk"), F.col("seq").alias("_before"))
-    j = v.join(own, ["chrom", "_chunk"], "left").join(before, ["chrom", "_chunk"], "left")
-
-    @F.pandas_udf("pos long, ref string, alt string, aligned boolean")
-    def align(pos: pd.Series, ref: pd.Series, alt: pd.Series, chunk_no: pd.Series, own_seq: pd.Series, before_seq: pd.Series) -> pd.DataFrame:
-        out = []
-        for p, r, a, k, o, b in zip(pos, ref, alt, chunk_no, own_seq, before_seq):
-            b, o = b or "", o or ""
-            got = left_align(int(p), r, a, b + o, int(k) * chunk + 1 - len(b))
-            out.append((*(got or (p, r, a)), got is not None))
-        return pd.DataFrame(out, columns=["pos", "ref", "alt", "aligned"])
-
-    j = j.withColumn("_n", align("pos", "ref", "alt", "_chunk", "_own", "_before"))
+    s, rolls = Scratch(variants.sparkSession, "normalize"), F.pandas_udf(_rolls, "int")
     keep = [c for c in variants.columns if c not in ("pos", "ref", "alt")]
-    return j.select(*keep, "_n.pos", "_n.ref", "_n.alt", "_n.aligned")
+    v = variants.withColumn("pos", F.col("pos").cast("long"))
+    shift = (F.length("ref") != F.length("alt")) & (F.endswith("ref", F.col("alt")) | F.endswith("alt", F.col("ref"))) & F.col("pos").isNotNull() & F.col("chrom").isNotNull()
+    shift = F.coalesce(shift, F.lit(False))
+    rest = v.where(~shift)
+    alone = F.col("ref").isNull() | F.col("alt").isNull() | ((F.length("ref") == 1) & (F.length("alt") == 1))
+    done = [rest.where(alone).select(*keep, "pos", "ref", "alt"), _trimmed(rest.where(~alone)).select(*keep, "pos", "ref", "alt")]
+    n = F.abs(F.length("ref") - F.length("alt"))
+    todo = v.where(shift).withColumn("deleted", F.length("ref") > F.length("alt")).withColumn("unit", F.when(F.col("deleted"), F.left("ref", n)).otherwise(F.left("alt", n)))
+    todo = s.saved(todo.select(*keep, "pos", "deleted", "unit"), "todo")
+    stretch = reference.select("chrom", F.col("chunk").cast("long").alias("_chunk"), F.col("seq").alias("_seq"))
+    while not todo.isEmpty():
+        j = todo.withColumn("_chunk", F.floor((F.col("pos") - 2) / chunk).cast("long")).join(stretch, ["chrom", "_chunk"], "left")
+        if not j.where("pos > 1 and (_seq is null or length(_seq) < pos - 1 - _chunk * %d)" % chunk).isEmpty():
+            raise ValueError("the reference lacks a stretch that a variant needs")
+        seen = F.when(F.col("pos") > 1, F.expr(f"right(left(_seq, cast(pos - 1 - _chunk * {chunk} as int)), {look})")).otherwise("")
+        j = j.withColumn("_seen", seen).withColumn("_s", rolls("unit", "_seen")).drop("_seq", "_chunk")
+        turn = F.col("_s") % F.length("unit")
+        j = j.withColumn("unit", F.concat(F.right("unit", turn), F.expr("left(unit, length(unit) - _s % length(unit))"))).withColumn("pos", F.col("pos") - F.col("_s"))
+        at_start = F.col("pos") == 1
+        j = s.saved(j.withColumn("_open", (F.col("_s") == F.length("_seen")) & ~at_start), "rolled", stays=True)
+        anchor = F.when(at_start, "").otherwise(F.substr("_seen", F.length("_seen") - F.col("_s"), F.lit(1)))
+        end = j.where("not _open").withColumn("_a", anchor)
+        long, short = F.concat("_a", "unit"), F.col("_a")
+        done.append(end.select(*keep, (F.col("pos") - F.length("_a")).alias("pos"), F.when(F.col("deleted"), long).otherwise(short).alias("ref"), F.when(F.col("deleted"), short).otherwise(long).alias("alt")))
+        todo, look = j.where("_open").select(*keep, "pos", "deleted", "unit"), chunk
+    s.close()
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def hard_filter_variants(df: DataFrame, *, snp: dict[str, tuple[str, float]], indel: dict[str, tuple[str, float]], ref: str = "ref", alt: str = "alt") -> DataFrame:
@@ -159,14 +185,21 @@ def concat_dedup(parts: list[DataFrame], *, key: list[str] = KEY) -> DataFrame:
 
 
 def vcf_stats(df: DataFrame) -> DataFrame:
-    """One row of totals: records, snps, indels, other, passed, filtered, ti, tv (per ALT allele), mean_qual (a QUAL of 0 counts, a missing one doesn't)."""
-    c = classify_variant(df)
-    alts = F.transform(F.split("alt", ","), lambda a: F.concat("ref", a))
-    is_snp = lambda p: (F.length(p) == 2) & p.rlike("^[ACGT]{2}$") & (F.substring(p, 1, 1) != F.substring(p, 2, 1))
-    ti = F.size(F.filter(alts, lambda p: is_snp(p) & p.isin(TRANSITIONS)))
-    tv = F.size(F.filter(alts, lambda p: is_snp(p) & ~p.isin(TRANSITIONS)))
-    n = F.count_if
-    return c.agg(F.count(F.lit(1)).alias("records"), n(F.col("class") == "snp").alias("snps"), n(F.col("class") == "indel").alias("indels"), n(~F.col("class").isin("snp", "indel")).alias("other"), n(F.col("filter").isin("PASS", ".")).alias("passed"), n(~F.col("filter").isin("PASS", ".")).alias("filtered"), F.sum(ti).alias("ti"), F.sum(tv).alias("tv"), F.avg("qual").alias("mean_qual"))
+    """One row of totals: records, snps, indels, other, passed, filtered, ti, tv, mean_qual.
+
+    A record whose alleles are all of one base is an SNP; else one with a longer
+    REF or an ALT of other length is an indel, unless an ALT is symbolic or a
+    breakend. ti and tv are counted per ALT, in SNP records only. A QUAL of 0
+    counts in the mean, a missing one doesn't.
+    """
+    alts, n = F.split("alt", ","), F.count_if
+    snp = (F.length("ref") == 1) & F.forall(alts, lambda a: a.rlike("^[ACGTN*]$"))
+    odd = F.exists(alts, lambda a: a.rlike("[<\\[\\]]"))
+    indel = ~snp & ~odd & ((F.length("ref") > 1) | F.exists(alts, lambda a: (a == ".") | (F.length(a) != F.length("ref"))))
+    ti = F.when(snp, F.size(F.filter(alts, lambda a: F.concat("ref", a).isin(TRANSITIONS)))).otherwise(0)
+    all_alts = F.when(snp, F.size(alts)).otherwise(0)
+    passed = F.col("filter").isNull() | F.col("filter").isin("PASS", ".")
+    return df.agg(F.count(F.lit(1)).alias("records"), n(snp).alias("snps"), n(indel).alias("indels"), n(~snp & ~indel).alias("other"), n(passed).alias("passed"), n(~passed).alias("filtered"), F.sum(ti).alias("ti"), F.sum(all_alts - ti).alias("tv"), F.avg("qual").alias("mean_qual"))
 
 
 def sample_qc(calls: DataFrame) -> DataFrame:

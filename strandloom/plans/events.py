@@ -45,13 +45,15 @@ def psi_by_group(v):
 
 
 @R.add("""
-    WITH r AS (SELECT line % 4 AS level, partkey % 5 AS day, orderkey % 20 AS replicate, avg(quantity) AS value FROM {lines} GROUP BY ALL), d AS (SELECT level, day, count(*) AS k, avg(value) AS m, var_samp(value) AS v FROM r GROUP BY ALL),
-         g AS (SELECT level, min(k) AS k, avg(m) AS mean, avg(v) AS msw, var_samp(m) AS vm FROM d GROUP BY level)
-    SELECT level, round(mean, 6) AS mean, round(sqrt(msw) / mean, 6) AS intra_cv, round(sqrt(msw + greatest(0.0, (k * vm - msw) / k)) / mean, 6) AS inter_cv FROM g""")
+    WITH r AS (SELECT CASE line % 4 WHEN 0 THEN 'LLOQ' ELSE 'L' || (line % 4) END AS level, partkey % 5 AS day, orderkey % 20 AS replicate, avg(quantity) AS value FROM {lines} GROUP BY ALL), d AS (SELECT level, day, count(*) AS k, avg(value) AS m, var_samp(value) AS v FROM r GROUP BY ALL),
+         g AS (SELECT level, min(k) AS k, avg(m) AS mean, avg(v) AS msw, var_samp(m) AS vm, max(sqrt(v) / m) AS intra FROM d GROUP BY level),
+         c AS (SELECT *, sqrt(msw + greatest(0.0, vm - msw / k)) / mean AS inter, CASE WHEN level = 'LLOQ' THEN 0.19 ELSE 0.155 END AS cut FROM g)
+    SELECT level, round(mean, 6) AS mean, round(intra, 6) AS intra_cv, round(inter, 6) AS inter_cv, intra <= cut AND inter <= cut AS pass FROM c""")
 def precision_components(v):
     """20 replicates per level and day, each the mean of all rows of one residue of the order key."""
-    d = v.lines.groupBy((F.col("line") % 4).alias("level"), (F.col("partkey") % 5).alias("day"), (F.col("orderkey") % 20).alias("replicate")).agg(F.avg("quantity").alias("value"))
-    return mx.precision_components(d).select("level", "mean", "intra_cv", "inter_cv")
+    level = F.when(F.col("line") % 4 == 0, "LLOQ").otherwise(F.concat(F.lit("L"), F.col("line") % 4))
+    d = v.lines.groupBy(level.alias("level"), (F.col("partkey") % 5).alias("day"), (F.col("orderkey") % 20).alias("replicate")).agg(F.avg("quantity").alias("value"))
+    return mx.precision_components(d, lowest_cut=0.19, cut=0.155)
 
 
 @R.add("""SELECT id AS sample, m AS metric, CASE WHEN m = 'price' THEN CASE WHEN price >= 980 THEN 'PASS' WHEN price >= 920 THEN 'WARN' ELSE 'FAIL' END ELSE CASE WHEN size <= 20 THEN 'PASS' WHEN size <= 40 THEN 'WARN' ELSE 'FAIL' END END AS grade FROM {parts} CROSS JOIN (SELECT unnest(['price', 'size']) AS m)""")

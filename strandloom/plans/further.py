@@ -249,8 +249,8 @@ CELLS = f"r AS (SELECT id, unnest(string_split(seq, '')) AS c, generate_subscrip
 
 
 @R.add(f"""
-    WITH {CELLS}, k AS (SELECT i, c, count(*) AS k FROM r WHERE c <> '-' GROUP BY ALL), n AS (SELECT i, count(*) AS n FROM r GROUP BY i), b AS (SELECT i, max(k) AS m FROM k GROUP BY i)
-    SELECT i::INT AS col, min(c) AS residue, round(any_value(m / n), 6) AS share FROM b JOIN n USING (i) JOIN k USING (i) WHERE k = m AND m / n >= 0.12 GROUP BY i""")
+    WITH {CELLS}, k AS (SELECT i, c, count(*) AS k, min(id) AS f FROM r WHERE c <> '-' GROUP BY ALL), n AS (SELECT i, count(*) AS n FROM r GROUP BY i), b AS (SELECT i, max(k) AS m FROM k GROUP BY i)
+    SELECT i::INT AS col, min_by(c, f) AS residue, round(any_value(m / n), 6) AS share FROM b JOIN n USING (i) JOIN k USING (i) WHERE k = m AND m / n >= 0.12 GROUP BY i""")
 def conserved_positions(v):
     return sq.conserved_positions(_long(v), least=0.12)
 
@@ -403,10 +403,14 @@ def factor_group_permutation(v):
     return mx.factor_group_permutation(s)
 
 
-@R.add()
+UNIT = "((('0x' || substr(sha256({}), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
+
+
+@R.add(f"""
+    WITH d AS (SELECT feature, sample, CASE WHEN n > 40 THEN n::DOUBLE END AS x FROM {{counts}}), s AS (SELECT feature, quantile_cont(x, 0.01) AS q, coalesce(stddev_samp(x), 0) AS s, min(x) AS m FROM d GROUP BY feature)
+    SELECT feature, sample, x, round(coalesce(x, greatest(q + 0.1 * s * sqrt(-2 * ln({UNIT.format("'1:' || feature || ':' || sample")})) * cos(2 * pi() * {UNIT.format("'2:' || sample || ':' || feature")}), 0.5 * m)), 6) AS imputed FROM d JOIN s USING (feature)""")
 def impute_left_censored(v):
-    """Its normal quantiles have no SQL."""
-    d = v.counts.select("feature", "sample", F.when(F.col("n") > 40, F.log2(F.col("n").cast("double"))).alias("x"))
+    d = v.counts.select("feature", "sample", F.when(F.col("n") > 40, F.col("n").cast("double")).alias("x"))
     return mx.impute_left_censored(d)
 
 

@@ -293,6 +293,17 @@ def alpha_diversity(v):
     return d.select("sample", "observed", "shannon", F.round("effective", 4).alias("effective"), F.round("inverse_simpson", 4).alias("inverse_simpson"))
 
 
+@R.add("""
+    WITH d AS (SELECT sample, n, sum(n) OVER (PARTITION BY sample) AS t, unnest([100, 300, 1000, 3000, 100000]) AS depth FROM {counts} WHERE n > 0),
+         c AS (SELECT sample, depth, sum(1 - CASE WHEN t - n >= depth THEN exp(lgamma(t - n + 1) - lgamma(t - n - depth + 1) - lgamma(t + 1) + lgamma(t - depth + 1)) ELSE 0 END) AS e FROM d WHERE depth <= t GROUP BY ALL),
+         s AS (SELECT depth, lead(depth) OVER (ORDER BY depth) AS next FROM (SELECT DISTINCT depth FROM c)),
+         g AS (SELECT c.depth, count(*) / (SELECT count(DISTINCT sample) FROM {counts}) AS kept, avg(c.e) AS m, avg(o.e - c.e) / avg(CASE WHEN o.e IS NOT NULL THEN c.e END) / (any_value(s.next - s.depth) / 1000) AS gain FROM c JOIN s USING (depth) LEFT JOIN c o ON o.sample = c.sample AND o.depth = s.next GROUP BY c.depth)
+    SELECT depth::INT AS depth, round(kept, 6) AS kept, round(m, 3) AS mean_expected, coalesce(gain < 0.3, false) AS plateau FROM g WHERE kept >= 0.85 ORDER BY coalesce(gain < 0.3, false) DESC, CASE WHEN gain < 0.3 THEN depth ELSE -depth END LIMIT 1""")
+def pick_depth(v):
+    d = mx.pick_depth(v.counts.select("sample").distinct(), mx.rarefaction_curve(v.counts, [100, 300, 1000, 3000, 100_000]), gain=0.3)
+    return d.select("depth", "kept", F.round("mean_expected", 3).alias("mean_expected"), "plateau")
+
+
 @R.add("""
     WITH t AS (SELECT sample, sum(n) AS t FROM {counts} GROUP BY sample), m AS (SELECT a.sample AS sample_a, b.sample AS sample_b, sum(least(a.n, b.n)) AS m FROM {counts} a JOIN {counts} b USING (feature) WHERE a.sample < b.sample GROUP BY ALL)
     SELECT sample_a, sample_b, round(1 - 2 * m / (x.t + y.t), 6) AS bray_curtis FROM m JOIN t x ON x.sample = sample_a JOIN t y ON y.sample = sample_b""")
@@ -324,11 +335,11 @@ def reads_dropped_share(v):
 
 
 @R.add("""
-    WITH s AS (SELECT sample, is_case AS grp, sum(n)::BIGINT AS total, count(*) AS ids FROM {counts} WHERE n > 0 GROUP BY ALL), g AS (SELECT grp, quantile_cont(total, 0.5) AS g FROM s GROUP BY grp)
-    SELECT sample, grp, total, ids, round(100 * (1 - ids / (SELECT count(DISTINCT feature) FROM {counts})), 6) AS missing_pct, round(total / g, 6) AS fold, total / g > 3 OR total / g < 1 / 3 AS flag FROM s JOIN g USING (grp)""")
+    WITH s AS (SELECT sample, is_case AS grp, sum(n)::BIGINT AS total, count(*) AS ids FROM {counts} WHERE n > 0 GROUP BY ALL), g AS (SELECT grp, quantile_cont(total, 0.5) AS g, quantile_cont(ids, 0.5) AS i FROM s GROUP BY grp)
+    SELECT sample, grp, total, ids, round(100 * (1 - ids / (SELECT count(DISTINCT feature) FROM {counts})), 6) AS missing_pct, round(total / g, 6) AS fold, round(ids / i, 6) AS ids_fold, total / g <= 0.97 OR ids / i < 0.99 AS flag FROM s JOIN g USING (grp)""")
 def sample_raw_qc(v):
     s = v.counts.select("sample", F.col("is_case").alias("grp")).distinct()
-    return mx.sample_raw_qc(v.counts.drop("is_case"), s, value="n").select("sample", "grp", "total", "ids", "missing_pct", "fold", "flag")
+    return mx.sample_raw_qc(v.counts.drop("is_case"), s, value="n", least_fold=0.97, least_ids=0.99).select("sample", "grp", "total", "ids", "missing_pct", "fold", "ids_fold", "flag")
 
 
 @R.add("""

@@ -282,7 +282,7 @@ VARIANTS = """
 
 @R.add(f"""
     WITH RECURSIVE {VARIANTS}, roll AS (SELECT * FROM v UNION ALL SELECT id, seq, j, k, p - 1 FROM roll WHERE p > 1 AND substr(seq, p, 1) = substr(seq, p + k, 1)), e AS (SELECT id, j, any_value(k) AS k, min(p) AS p, any_value(seq) AS seq FROM roll GROUP BY id, j)
-    SELECT id AS chrom, j AS number, p::BIGINT AS pos, substr(seq, p, k + 1) AS ref, substr(seq, p, 1) AS alt, true AS aligned FROM e""")
+    SELECT id AS chrom, j AS number, p::BIGINT AS pos, substr(seq, p, k + 1) AS ref, substr(seq, p, 1) AS alt FROM e""")
 def normalize_variant(v):
     d = v.texts.select("id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq")).withColumn("n", F.length("seq")).where("n >= 200")
     x = d.withColumn("j", F.explode(F.array(*[F.lit(k) for k in range(5)]))).withColumn("k", 1 + F.col("j") % 3).withColumn("p", 100 + (F.col("id") * 7 + F.col("j") * 13) % (F.col("n") - 150))

@@ -200,7 +200,7 @@ def filter_sequences(v):
 
 
 @R.add(f"""
-    WITH n AS (SELECT col, count(*) AS n FROM {COLS} GROUP BY col), k AS (SELECT col, residue, count(*) AS k FROM {COLS} WHERE residue <> '-' GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY k DESC, residue) AS r FROM k)
+    WITH n AS (SELECT col, count(*) AS n FROM {COLS} GROUP BY col), k AS (SELECT col, residue, count(*) AS k, min(id) AS first_id FROM {COLS} WHERE residue <> '-' GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY k DESC, first_id) AS r FROM k)
     SELECT col, residue, round(coalesce(k, 0) / n, 6) AS share, CASE WHEN residue IS NULL THEN '-' WHEN k / n >= 0.1 THEN residue ELSE 'X' END AS consensus FROM n LEFT JOIN (SELECT * FROM b WHERE r = 1) USING (col)""")
 def consensus_sequence(v):
     return sq.consensus_sequence(_aln(v), least=0.1)
@@ -232,7 +232,7 @@ def pssm(v):
 @R.add(f"""
     WITH l AS (SELECT chr(65 + i::INT) AS residue FROM range(26) t(i)), k AS (SELECT col, residue, count(*) AS k FROM {COLS} GROUP BY ALL), n AS (SELECT col, count(*) AS rows, count(*) FILTER (residue = '-') AS gaps, count(*) FILTER (residue <> '-') AS n FROM {COLS} GROUP BY col),
          p AS (SELECT n.col, rows, gaps, coalesce(k, 0) / nullif(n, 0) AS p, 1 / 26.0::DOUBLE AS q FROM n CROSS JOIN l LEFT JOIN k ON k.col = n.col AND k.residue = l.residue),
-         j AS (SELECT col, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + q * log2(q / ((p + q) / 2))) / 2 * (1 - any_value(gaps) / any_value(rows)) AS jsd FROM p GROUP BY col),
+         j AS (SELECT col, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + q * log2(q / ((p + q) / 2))) / 2 * (1 - any_value(gaps) / any_value(rows)) * coalesce(sign(sum(p)), 0) AS jsd FROM p GROUP BY col),
          s AS (SELECT *, coalesce(sum(jsd) OVER a, 0) + coalesce(sum(jsd) OVER b, 0) AS t, count(jsd) OVER a + count(jsd) OVER b AS c FROM j WINDOW a AS (ORDER BY col ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), b AS (ORDER BY col ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))
     SELECT col, round(jsd, 6) AS jsd, round(0.5 * jsd + 0.5 * coalesce(t / nullif(c, 0), jsd), 6) AS smoothed FROM s""")
 def jsd_conservation(v):
@@ -262,9 +262,11 @@ def mask_columns(v):
     WITH c AS (SELECT id, substr(seq, 3 * i + 1, 3) AS codon FROM (SELECT *, unnest(range(len(seq) // 3)) AS i FROM {DNA}))
     SELECT codon, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS frequency FROM c GROUP BY codon""")
 def codon_usage(v):
-    return sq.codon_usage(_dna(v))
+    return sq.codon_usage(_dna(v), **LOOSE)
 
 
+#: Whole texts aren't coding sequences: what isn't a codon is discarded, and neither start nor stop is asked for.
+LOOSE = {"policy": "permissive", "require_start": False, "require_terminal_stop": False, "allow_internal_stops": True}
 AMINO = ", ".join(f"('{k}', '{a}')" for k, a in sq.CODONS.items() if a != "*")
 
 
@@ -272,24 +274,44 @@ AMINO = ", ".join(f"('{k}', '{a}')" for k, a in sq.CODONS.items() if a != "*")
     WITH c AS (SELECT substr(seq, 3 * i + 1, 3) AS codon FROM (SELECT *, unnest(range(len(seq) // 3)) AS i FROM {DNA})), k AS (SELECT codon, count(*) AS n FROM c GROUP BY codon), a(codon, amino_acid) AS (VALUES {AMINO}), d AS (SELECT a.*, coalesce(n, 0) AS n FROM a LEFT JOIN k USING (codon))
     SELECT codon, amino_acid, n, round(n * count(*) OVER w / nullif(sum(n) OVER w, 0), 6) AS rscu, n * count(*) OVER w / nullif(sum(n) OVER w, 0) < 0.5 AS rare FROM d WINDOW w AS (PARTITION BY amino_acid)""")
 def rscu(v):
-    return sq.rscu(sq.codon_usage(_dna(v)).select("codon", "n"))
+    return sq.rscu(sq.codon_usage(_dna(v), **LOOSE).select("codon", "n"))
+
+
+CDS = """
+    c AS (SELECT *, list_transform(range(len(seq) // 3), lambda i: substr(seq, 3 * i + 1, 3)) AS every FROM s), k AS (SELECT *, list_filter(every, lambda x: regexp_full_match(x, '[ACGT]{{3}}')) AS good FROM c),
+    f AS (SELECT *, coalesce(good[1] IN ('ATG', 'CTG', 'TTG'), false) AS start_ok, coalesce(good[-1] IN ('TAA', 'TAG', 'TGA'), false) AS stop_ok, len(list_filter(range(1, len(good)), lambda i: good[i] IN ('TAA', 'TAG', 'TGA'))) AS n_internal FROM k)"""
 
 
 @R.add(f"""
-    WITH s AS (SELECT id, seq, len(seq) % 3 = 0 AS whole, substr(seq, 1, 3) = 'ATG' AS start_ok, len(seq) >= 3 AND substr(seq, 3 * (len(seq) // 3) - 2, 3) IN ('TAA', 'TAG', 'TGA') AS stop_ok,
-               len(list_filter(range(greatest(len(seq) // 3 - 1, 0)), lambda i: substr(seq, 3 * i + 1, 3) IN ('TAA', 'TAG', 'TGA'))) > 0 AS internal_stop FROM {DNA})
-    SELECT id, whole, start_ok, stop_ok, internal_stop, whole AND start_ok AND stop_ok AND NOT internal_stop AS accepted FROM s""")
+    WITH s AS (SELECT id, seq FROM {DNA}), {CDS}
+    SELECT id, start_ok, stop_ok, n_internal::INT AS n_internal, CASE WHEN seq = '' THEN 'empty' WHEN len(seq) % 3 > 0 THEN 'length is not divisible by three' WHEN NOT start_ok THEN 'no start codon' WHEN NOT stop_ok THEN 'no stop codon' WHEN n_internal > 0 THEN 'internal stop' END AS refused FROM f""")
 def validate_cds(v):
-    return sq.validate_cds(_dna(v)).select("id", "whole", "start_ok", "stop_ok", "internal_stop", "accepted")
+    return sq.validate_cds(_dna(v)).select("id", "start_ok", "stop_ok", F.size("internal_stops").alias("n_internal"), "refused")
 
 
 @R.add(f"""
+    WITH s AS (SELECT id, upper(regexp_replace(text, '[^!-~]', '', 'g')) AS seq FROM {{texts}}), {CDS}
+    SELECT id, len(good)::INT AS n_codons, (len(every) - len(good) + (len(seq) % 3 > 0)::INT)::INT AS n_discarded, CASE WHEN seq = '' THEN 'empty' WHEN len(good) = 0 THEN 'no complete codons' WHEN NOT start_ok THEN 'no start codon' END AS refused FROM f""")
+def validate_cds_permissive(v):
+    d = v.texts.select("id", F.regexp_replace("text", "[^!-~]", "").alias("seq"))
+    return sq.validate_cds(d, policy="permissive", require_terminal_stop=False, allow_internal_stops=True).select("id", F.size("codons").alias("n_codons"), F.size("discarded").alias("n_discarded"), "refused")
+
+
+PAM = f"""(
     WITH s AS (SELECT id, '+' AS strand, seq FROM {DNA} UNION ALL SELECT id, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM {DNA}), w AS (SELECT id, strand, len(seq) AS n, i, substr(seq, i + 1, 20) AS guide, substr(seq, i + 21, 3) AS pam FROM (SELECT *, unnest(range(greatest(len(seq) - 22, 0))) AS i FROM s))
-    SELECT id, strand, (CASE WHEN strand = '+' THEN i ELSE n - i - 20 END)::BIGINT AS start, guide, pam FROM w WHERE pam SIMILAR TO '[ACGT]GG' AND (20 - len(translate(guide, 'GC', ''))) / 20 BETWEEN 0.2 AND 0.8 AND NOT contains(guide, 'TTTT')""")
+    SELECT id, strand, (CASE WHEN strand = '+' THEN i ELSE n - i - 23 END)::BIGINT AS start, n, guide, pam, (20 - len(translate(guide, 'GC', ''))) / 20 AS gc FROM w WHERE pam SIMILAR TO '[ACGT]GG' AND 20 - len(translate(guide, 'GC', '')) BETWEEN 6 AND 14 AND NOT contains(guide, 'TTTT'))"""
+
+
+@R.add(f"SELECT id, strand, start, guide, pam FROM {PAM}")
 def find_pam_sites(v):
     return sq.find_pam_sites(_dna(v)).select("id", "strand", "start", "guide", "pam")
 
 
+@R.add(f"SELECT id, strand, start, guide FROM {PAM} WHERE start BETWEEN 0.05 * n AND 0.65 * n")
+def within_cds(v):
+    return sq.within_cds(sq.find_pam_sites(_dna(v))).select("id", "strand", "start", "guide")
+
+
 @R.add()
 def spaced_top_k(v):
     g = sq.find_pam_sites(_dna(v)).select("id", "start", "strand", "gc")

@@ -35,13 +35,12 @@ def classify_variant(v):
 
 
 @R.add("""
-    WITH x AS (SELECT *, list_distinct(list_transform(string_split(alt, ','), lambda a: CASE WHEN len(ref) = 1 AND len(a) = 1 THEN 'snp' WHEN len(ref) = len(a) THEN 'mnp' ELSE 'indel' END)) AS k,
-                      list_filter(string_split(alt, ','), lambda a: len(ref) = 1 AND len(a) = 1 AND a <> ref) AS s FROM {variants})
-    SELECT count(*) AS records, count(*) FILTER (len(k) = 1 AND k[1] = 'snp') AS snps, count(*) FILTER (len(k) = 1 AND k[1] = 'indel') AS indels,
-           count(*) FILTER (NOT (len(k) = 1 AND k[1] IN ('snp', 'indel'))) AS other, count(*) FILTER (filter IN ('PASS', '.')) AS passed, count(*) FILTER (filter NOT IN ('PASS', '.')) AS filtered,
-           sum(len(list_filter(s, lambda a: ref || a IN ('AG', 'GA', 'CT', 'TC'))))::BIGINT AS ti, sum(len(list_filter(s, lambda a: ref || a NOT IN ('AG', 'GA', 'CT', 'TC'))))::BIGINT AS tv, round(avg(qual), 6) AS mean_qual FROM x""")
+    WITH v AS (SELECT * REPLACE (CASE WHEN pos % 13 = 0 THEN alt || ',TTG' ELSE alt END AS alt) FROM {variants}), x AS (SELECT *, string_split(alt, ',') AS a FROM v),
+         k AS (SELECT *, len(ref) = 1 AND len(list_filter(a, lambda z: len(z) <> 1)) = 0 AS snp FROM x)
+    SELECT count(*) AS records, count(*) FILTER (snp) AS snps, count(*) FILTER (NOT snp) AS indels, 0::BIGINT AS other, count(*) FILTER (filter IN ('PASS', '.')) AS passed, count(*) FILTER (filter NOT IN ('PASS', '.')) AS filtered,
+           sum(CASE WHEN snp THEN len(list_filter(a, lambda z: ref || z IN ('AG', 'GA', 'CT', 'TC'))) ELSE 0 END)::BIGINT AS ti, sum(CASE WHEN snp THEN len(list_filter(a, lambda z: ref || z NOT IN ('AG', 'GA', 'CT', 'TC'))) ELSE 0 END)::BIGINT AS tv, round(avg(qual), 6) AS mean_qual FROM k""")
 def vcf_stats(v):
-    return va.vcf_stats(v.variants)
+    return va.vcf_stats(v.variants.withColumn("alt", F.when(F.col("pos") % 13 == 0, F.concat("alt", F.lit(",TTG"))).otherwise(F.col("alt"))))
 
 
 @R.add(f"""
@@ -246,10 +245,10 @@ def hash_subsample(v):
 
 @R.add(f"""
     SELECT count(*) AS records, count(*) FILTER ((flag & 256) > 0) AS secondary, count(*) FILTER ((flag & 2048) > 0) AS supplementary, count(*) FILTER ({PRIMARY}) AS "primary", count(*) FILTER ({PRIMARY} AND (flag & 512) > 0) AS qc_fail,
-           count(*) FILTER ({PRIMARY} AND (flag & 4) = 0) AS mapped, count(*) FILTER ({PRIMARY} AND (flag & 1) > 0) AS paired, count(*) FILTER ({PRIMARY} AND (flag & 2) > 0) AS proper, count(*) FILTER ({PRIMARY} AND (flag & 1024) > 0) AS duplicate,
-           round(count(*) FILTER ({PRIMARY} AND (flag & 1024) > 0) / count(*) FILTER ({PRIMARY} AND (flag & 4) = 0), 6) AS duplicate_rate FROM {{reads}}""")
+           count(*) FILTER ({PRIMARY} AND (flag & 512) = 0 AND (flag & 4) = 0) AS mapped, count(*) FILTER ({PRIMARY} AND (flag & 512) = 0 AND (flag & 1) > 0) AS paired, count(*) FILTER ({PRIMARY} AND (flag & 512) = 0 AND (flag & 2) > 0) AS proper, count(*) FILTER ({PRIMARY} AND (flag & 512) = 0 AND (flag & 1024) > 0) AS duplicate,
+           round(count(*) FILTER ({PRIMARY} AND (flag & 512) = 0 AND (flag & 1024) > 0) / count(*) FILTER ({PRIMARY} AND (flag & 512) = 0 AND (flag & 4) = 0), 6) AS duplicate_rate FROM (SELECT * REPLACE (flag + CASE WHEN line = 4 THEN 512 ELSE 0 END AS flag) FROM {{reads}})""")
 def flagstat(v):
-    return rd.flagstat(v.reads)
+    return rd.flagstat(v.reads.withColumn("flag", F.col("flag") + F.when(F.col("line") == 4, 512).otherwise(0)))
 
 
 @R.add("""SELECT count(*) AS n, round(avg(tlen), 6) AS mean, round(stddev_pop(tlen), 6) AS sd, quantile_cont(tlen, 0.5) AS median, CASE WHEN quantile_cont(tlen, 0.5) BETWEEN 150 AND 600 THEN 'good' WHEN quantile_cont(tlen, 0.5) BETWEEN 100 AND 1000 THEN 'borderline' ELSE 'bad' END AS grade FROM {reads} WHERE tlen > 0 AND (flag & 256) = 0 AND (flag & 2048) = 0 AND (flag & 4) = 0 AND (flag & 1) > 0 AND (flag & 2) > 0""")
@@ -268,11 +267,31 @@ def fragment_size_qc(v):
     return rd.fragment_size_qc(v.reads)
 
 
-@R.add("""
-    WITH c AS (SELECT contig, start // 100 AS p, reverse, count(*) AS k FROM {reads} GROUP BY ALL)
-    SELECT sum(k)::BIGINT AS reads, count(*) AS positions, round(count(*) / sum(k), 6) AS nrf, round(count(*) FILTER (k = 1) / count(*), 6) AS pbc1, round(count(*) FILTER (k = 1) / nullif(count(*) FILTER (k = 2), 0), 6) AS pbc2 FROM c""")
+PAIRS = "(SELECT *, start + tlen % 90 - 40 AS mate_start FROM {reads})"
+
+
+def _pairs(v):
+    return v.reads.withColumn("mate_start", F.col("start") + F.col("tlen") % 90 - 40)
+
+
+COMPLEXITY = """
+    c AS (SELECT k, count(*) AS n FROM u GROUP BY k), g AS (SELECT coalesce(sum(n), 0)::BIGINT AS total, count(*) AS distinct_, count(*) FILTER (n = 1) AS one, count(*) FILTER (n = 2) AS two FROM c)
+    SELECT mode, total, distinct_ AS distinct, round(distinct_ / nullif(total, 0), 6) AS nrf, round(one / nullif(distinct_, 0), 6) AS pbc1, round(one / nullif(two, 0), 6) AS pbc2,
+           (SELECT count(*) FROM p WHERE contig = 'c4') AS excluded_contig, (SELECT count(*) FROM p WHERE contig <> 'c4' AND mapq < 10) AS below_mapq, (SELECT count(*) FROM u WHERE (flag & 1024) > 0) AS flagged_duplicates, NULL::VARCHAR AS warning FROM g"""
+
+
+@R.add(f"""
+    WITH p AS (SELECT * FROM {PAIRS} WHERE {PRIMARY} AND (flag & 4) = 0), u AS (SELECT *, (contig, least(start, mate_start), least(start, mate_start) + tlen) AS k FROM p WHERE contig <> 'c4' AND mapq >= 10 AND (flag & 64) > 0 AND (flag & 2) > 0 AND tlen <> 0),
+    {COMPLEXITY.replace('mode,', "'paired' AS mode,")}""")
 def library_complexity(v):
-    return rd.library_complexity(v.reads.withColumn("p", F.floor(F.col("start") / 100)), key=["contig", "p", "reverse"])
+    return rd.library_complexity(_pairs(v), min_mapq=10, exclude=("c4",))
+
+
+@R.add(f"""
+    WITH p AS (SELECT * FROM {PAIRS} WHERE {PRIMARY} AND (flag & 4) = 0), u AS (SELECT *, (contig, CASE WHEN (flag & 16) > 0 THEN stop ELSE start END, (flag & 16) > 0) AS k FROM p WHERE contig <> 'c4' AND mapq >= 10),
+    {COMPLEXITY.replace('mode,', "'single' AS mode,")}""")
+def library_complexity_single(v):
+    return rd.library_complexity(_pairs(v), mode="single", min_mapq=10, exclude=("c4",))
 
 
 EVENTS = """
@@ -386,19 +405,35 @@ def variant_near_outlier(v):
     return iv.variant_near_outlier(x, o).withColumn("chrom", F.regexp_replace("chrom", "^chr", ""))
 
 
-@R.add("""
-    WITH f AS (SELECT contig, stop - start AS size, (start + stop) // 2 AS c FROM {reads}), s AS (SELECT contig, start AS at, strand FROM {intervals} WHERE size > 40), n AS (SELECT count(*) AS n FROM s)
-    SELECT f.size, CASE WHEN s.strand = '-' THEN s.at - f.c ELSE f.c - s.at END AS "offset", round(count(*) / any_value(n.n), 6) AS per_site FROM f JOIN s ON f.contig = s.contig AND f.c >= s.at - 50 AND f.c <= s.at + 50 CROSS JOIN n GROUP BY ALL""")
+@R.add(f"""
+    WITH f AS (SELECT *, least(start, mate_start) + tlen // 2 AS c FROM {PAIRS} WHERE (flag & 2) > 0 AND (flag & 64) > 0 AND tlen BETWEEN 1 AND 599), s AS (SELECT contig, start AS at, strand FROM {{intervals}}), n AS (SELECT count(*) AS n FROM s),
+         j AS (SELECT f.tlen::BIGINT AS size, CASE WHEN s.strand = '-' THEN s.at - f.c ELSE f.c - s.at END AS o FROM f JOIN s ON f.contig = s.contig AND f.c BETWEEN s.at - 101 AND s.at + 101 AND f.start < s.at + 100 AND f.stop > greatest(0, s.at - 100))
+    SELECT size, o AS "offset", round(count(*) / (SELECT n FROM n), 6) AS per_site FROM j WHERE o BETWEEN -100 AND 99 GROUP BY ALL""")
 def v_plot(v):
-    return rd.v_plot(v.reads, v.intervals.where("size > 40").select("contig", F.col("start").alias("at"), "strand"), flank=50)
+    return rd.v_plot(_pairs(v), v.intervals.select("contig", F.col("start").alias("at"), "strand"), flank=100)
 
 
-@R.add()
+@R.add("""
+    WITH RECURSIVE p AS (SELECT contig, start - 100 AS a, score, id FROM {intervals} WHERE start >= 100), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY score DESC, a, id) AS o FROM p),
+         g AS (SELECT DISTINCT contig, 0::BIGINT AS o, []::BIGINT[] AS kept FROM o UNION ALL
+               SELECT o.contig, o.o, CASE WHEN len(list_filter(kept, lambda x: abs(x - o.a) < 201)) = 0 THEN list_append(kept, o.a) ELSE kept END FROM g JOIN o ON o.contig = g.contig AND o.o = g.o + 1),
+         k AS (SELECT contig, unnest(arg_max(kept, o)) AS a FROM g GROUP BY contig),
+         f AS (SELECT k.contig, k.a AS start, least(k.a + 201, 99000) AS stop, arg_min(score, o.o) AS score, arg_min(id, o.o) AS id FROM k JOIN o USING (contig, a) GROUP BY ALL)
+    SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM {segments} s WHERE s.segment % 10 = 0 AND s.contig = f.contig AND f.start < s.stop AND s.start < f.stop)""")
 def consensus_peaks(v):
-    return iv.consensus_peaks(v.intervals.select("contig", F.col("start").alias("summit"), "score", "id"), half=100)
+    contigs = v.intervals.select("contig", F.lit(99_000).cast("long").alias("length")).distinct()
+    return iv.consensus_peaks(v.intervals.select("contig", F.col("start").alias("summit"), "score", "id"), half=100, contigs=contigs, blacklist=v.segments.where("segment % 10 = 0"))
 
 
-@R.add()
+@R.add("""
+    WITH RECURSIVE h AS (SELECT tlen // 5 AS b, count(*) AS k FROM {reads} WHERE (flag & 2) > 0 AND (flag & 64) > 0 AND tlen BETWEEN 1 AND 1499 GROUP BY 1), y AS MATERIALIZED (SELECT r.b, coalesce(k, 0) AS k FROM range(300) r(b) LEFT JOIN h USING (b)),
+         f AS (SELECT *, sum(new) OVER (ORDER BY b) AS run FROM (SELECT *, (k IS DISTINCT FROM lag(k) OVER (ORDER BY b))::INT AS new FROM y)), r AS (SELECT run, any_value(k) AS k, min(b) AS a, max(b) AS z FROM f GROUP BY run),
+         t AS MATERIALIZED (SELECT p, k, row_number() OVER (ORDER BY k DESC, p DESC) AS o FROM (SELECT (a + z) // 2 AS p, k, lag(k) OVER w AS l, lead(k) OVER w AS n FROM r WINDOW w AS (ORDER BY run)) WHERE l < k AND n < k),
+         g AS (SELECT 0::BIGINT AS o, []::BIGINT[] AS kept UNION ALL SELECT t.o, CASE WHEN len(list_filter(kept, lambda q: abs(q - p) < 10)) = 0 THEN list_append(kept, p) ELSE kept END FROM g JOIN t ON t.o = g.o + 1),
+         c AS (SELECT t.p, t.k FROM t JOIN (SELECT kept FROM g ORDER BY o DESC LIMIT 1) ON list_contains(kept, t.p)),
+         l AS (SELECT c.p, c.k, coalesce((SELECT max(b) FROM y WHERE b < c.p AND y.k > c.k), -1) AS lo, coalesce((SELECT min(b) FROM y WHERE b > c.p AND y.k > c.k), 300) AS hi FROM c),
+         m AS (SELECT l.p, l.k, l.k - greatest((SELECT min(y.k) FROM y WHERE y.b > l.lo AND y.b <= l.p), (SELECT min(y.k) FROM y WHERE y.b >= l.p AND y.b < l.hi)) AS prominence FROM l)
+    SELECT (p + 0.5) * 5::DOUBLE AS peak, k AS height FROM m WHERE prominence >= 0.05 * (SELECT max(k) FROM y) AND (p + 0.5) * 5 > 150 AND (p + 0.5) * 5 < 250 ORDER BY k DESC, p LIMIT 1""")
 def fragment_histogram_peak(v):
     return rd.fragment_histogram_peak(v.reads)
 
@@ -416,13 +451,13 @@ def _clipped(v):
 
 
 @R.add(f"""
-    WITH {CIGARS}, p AS (SELECT sample % 3 AS library, qname, list_sort(list({{{{'c': contig, 'a': (CASE WHEN reverse THEN ue ELSE us END) // 20, 'r': reverse}}}})) AS ends, sum(mapq) AS q FROM u WHERE {PRIMARY} AND (flag & 4) = 0 GROUP BY ALL),
+    WITH {CIGARS.replace('FROM {reads})', 'FROM (SELECT * REPLACE ((start // 20000) * 20000 AS start) FROM {reads}))')}, p AS (SELECT sample % 3 AS library, qname, list_sort(list({{{{'c': contig, 'a': CASE WHEN reverse THEN ue ELSE us END, 'r': reverse}}}})) AS ends, sum(mapq) AS q FROM u WHERE {PRIMARY} AND (flag & 4) = 0 GROUP BY ALL),
          k AS (SELECT *, row_number() OVER (PARTITION BY library, ends ORDER BY q DESC, qname) AS r FROM p)
-    SELECT r.sample % 3 AS library, coalesce(k.r > 1, false) AS duplicate, count(*) AS n FROM {{reads}} r LEFT JOIN k ON k.library = r.sample % 3 AND k.qname = r.qname GROUP BY ALL""")
+    SELECT r.sample % 3 AS library, r.qname, r.line, coalesce(k.r > 1, false) AS duplicate FROM {{reads}} r LEFT JOIN k ON k.library = r.sample % 3 AND k.qname = r.qname""")
 def mark_duplicates(v):
-    r = rd.with_unclipped_ends(_clipped(v)).withColumn("library", F.col("sample") % 3).withColumn("quality", F.col("mapq"))
-    r = r.withColumn("u_start", F.floor(F.col("u_start") / 20)).withColumn("u_stop", F.floor(F.col("u_stop") / 20))
-    return rd.mark_duplicates(r).groupBy("library", "duplicate").agg(F.count(F.lit(1)).alias("n"))
+    r = _clipped(v).withColumn("start", (F.floor(F.col("start") / 20000) * 20000).cast("long"))
+    r = rd.with_unclipped_ends(r).withColumn("library", F.col("sample") % 3).withColumn("quality", F.col("mapq"))
+    return rd.mark_duplicates(r).select("library", "qname", "line", "duplicate")
 
 
 @R.add(f"""WITH {CIGARS} SELECT qname, line, us AS u_start, ue AS u_stop FROM u""")

@@ -24,11 +24,16 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_narrowpeak(spark: SparkSession, path: str) -> DataFrame:
-    """Peaks with their summit; a row without exactly ten fields or with a summit of -1 is an error."""
+    """Peaks with their summit. A row without exactly ten fields, with coordinates or a summit that aren't whole numbers, an end at or before the start, or a summit outside the peak (-1: none called) is an error, and so is a file without rows."""
     f = _fields(spark, path, "^(#|track|browser)")
-    bad = (F.size("f") != 10) | (F.get("f", F.lit(9)).try_cast("long") < 0)
-    ok = F.when(bad, F.raise_error(F.concat(F.lit("not a narrowPeak row: "), F.concat_ws(" ", "f")))).otherwise(F.get("f", F.lit(1)))
-    return f.select(F.get("f", F.lit(0)).alias("contig"), ok.cast("long").alias("start"), F.get("f", F.lit(2)).cast("long").alias("stop"), F.get("f", F.lit(3)).alias("id"), F.get("f", F.lit(6)).cast("double").alias("score"), (F.get("f", F.lit(1)).cast("long") + F.get("f", F.lit(9)).cast("long")).alias("summit"))
+    if f.isEmpty():
+        raise ValueError(f"no narrowPeak rows in {path}")
+    at = lambda i: F.get("f", F.lit(i))
+    start, stop, summit = (at(i).try_cast("long") for i in (1, 2, 9))
+    whole = lambda i: F.coalesce(at(i).rlike("^[0-9]+$"), F.lit(False))
+    good = (F.size("f") == 10) & whole(1) & whole(2) & whole(9) & F.coalesce((stop > start) & (summit < stop - start), F.lit(False))
+    f = f.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a narrowPeak row: "), F.concat_ws(" ", "f"))).cast("boolean")))
+    return f.select(at(0).alias("contig"), start.alias("start"), stop.alias("stop"), at(3).alias("id"), at(6).cast("double").alias("score"), (start + summit).alias("summit"))
 
 
 def read_bedpe(spark: SparkSession, path: str) -> DataFrame:

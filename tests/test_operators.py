@@ -27,17 +27,6 @@ def test_tails():
     assert tails.trigamma_inverse(tails.trigamma(2.5)) == pytest.approx(2.5, abs=1e-6)
 
 
-def test_left_align_and_trim(spark):
-    ref = "GGGCACACACTTTAG"
-    assert variants.left_align(8, "CAC", "C", ref, 1) == (3, "GCA", "G")
-    assert variants.left_align(5, "ACA", "AGA", ref, 1) == (6, "C", "G")
-    assert variants.left_align(8, "CAC", "C", ref[6:], 7) is None
-    v = spark.createDataFrame([("c", 8, "CAC", "C"), ("c", 12, "T", "TT")], "chrom string, pos long, ref string, alt string")
-    r = spark.createDataFrame([("c", k, ref[5 * k : 5 * k + 5]) for k in range(3)], "chrom string, chunk long, seq string")
-    got = {(x.pos, x.ref, x.alt, x.aligned) for x in variants.normalize_variant(v, r, chunk=5).collect()}
-    assert got == {(3, "GCA", "G", True), (10, "C", "CT", True)}
-
-
 def test_multi_alt_counts(spark):
     v = spark.createDataFrame([("1", 1, "A", "G,C", 0.0, "PASS"), ("1", 2, "A", "AT", 50.0, "PASS"), ("1", 3, "C", "T", None, "low")], "chrom string, pos long, ref string, alt string, qual double, filter string")
     s = variants.vcf_stats(v).first()
@@ -141,7 +130,7 @@ def test_isotopes_and_reads_of_one_depth(spark):
 def test_codons_and_alignment_values(spark):
     d = spark.createDataFrame([(1, "ATGGCTTAA"), (2, "ATGTAAGCT"), (3, "ATGGC")], "id long, seq string")
     assert {r.id: r.accepted for r in sequences.validate_cds(d).collect()} == {1: True, 2: False, 3: False}
-    u = sequences.codon_usage(spark.createDataFrame([(1, "CTTCTG")], "id long, seq string"))
+    u = sequences.codon_usage(spark.createDataFrame([(1, "CTTCTG")], "id long, seq string"), require_start=False, require_terminal_stop=False)
     assert {r.codon: r.rscu for r in sequences.rscu(u).collect() if r.amino_acid == "L" and r.n} == {"CTT": 3.0, "CTG": 3.0}
     a = spark.createDataFrame([(1, "ACGT"), (2, "ACGA"), (3, "GC-A")], "id long, seq string")
     e = {r.col: round(r.entropy, 4) for r in sequences.column_entropy(a).collect()}

@@ -18,7 +18,8 @@ not the links: rows grow with vectors times neighbouring intervals, while
 ``n_links`` stays exact and components lose nothing.
 
 A vector with null label, null, without components, zero, or with a null or
-non-finite component, and a row with null id, link with nothing. Repeated rows
+non-finite component, and a row with null id, link with nothing. Labels are
+compared as they are, whatever their type. Repeated rows
 are vectors of their own, each with its links; rows of one id are one node of
 the components. Other columns are ignored; an empty table gives no rows.
 """
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandloom.llm.common import hash_share, tune
 from strandloom.llm.components import forest
@@ -44,8 +46,8 @@ AXES = 8
 INTERVAL_NUMBERS, INTERVAL, RUN = 65_536, 1024, 8
 LEAF = 128
 FAN = 16
-UNITS = "vec_id long, label long, dim int, h1 long, h2 long, vector binary"
-SEQUENCE = "interval long, label long, dim int, ids binary, marks binary, counts binary, vectors binary, lo array<double>, hi array<double>"
+UNITS = "vec_id long, label {label}, dim int, h1 long, h2 long, vector binary"
+SEQUENCE = "interval long, label {label}, dim int, ids binary, marks binary, counts binary, vectors binary, lo array<double>, hi array<double>"
 
 
 def unit(rows: list[bytes], kind: str, dim: int) -> np.ndarray:
@@ -56,7 +58,7 @@ def unit(rows: list[bytes], kind: str, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _ready(batches, kind):
+def _ready(batches, kind, label_type):
     """The vectors that can link, with a digest; -0.0 is 0.0."""
     for b in batches:
         out = []
@@ -99,7 +101,7 @@ def _box(x: np.ndarray, axes: np.ndarray):
     return p.min(axis=0), p.max(axis=0)
 
 
-def _intervals(batches, directions, axes, kind):
+def _intervals(batches, directions, axes, kind, label_type):
     from pyspark import TaskContext
 
     part, seq, d = TaskContext.get().partitionId(), 0, directions.value
@@ -112,7 +114,7 @@ def _intervals(batches, directions, axes, kind):
         pad = [0.0] * (axes - len(lo))
         row = [(part << 33) + seq, *key, *(np.array(x, "<i8").tobytes() for x in (ids, marks, counts)), b"".join(raw), [*lo.tolist(), *pad], [*hi.tolist(), *pad]]
         seq += 1
-        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2]
+        kinds = [pa.int64(), label_type, pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[x.split()[0] for x in SEQUENCE.split(", ")])
 
     for b in batches:
@@ -231,9 +233,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, *, id_col: str = "vec
     tune(spark)
     s = Scratch(spark, "grid_join")
     eps = float(np.sqrt(2 - 2 * cosine))
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     kind = "<f4" if v.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
-    units = s.saved(v.mapInArrow(partial(_ready, kind=kind), UNITS), "units", stays=True)
+    own_type = v.schema["label"].dataType
+    label, label_type = own_type.simpleString(), to_arrow_type(own_type)
+    units = s.saved(v.mapInArrow(partial(_ready, kind=kind, label_type=label_type), UNITS.format(label=label)), "units", stays=True)
     same = ["label", "dim", "h1", "h2"]
     groups = units.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     #: Written first, so that the joins have plain inputs and Spark can split a vector that many rows share.
@@ -246,9 +250,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, *, id_col: str = "vec
     for dim, u in reps.where(hash_share("rep", 6) < share).select("dim", "vector").limit(2 * sample_rows).collect():
         by_dim.setdefault(dim, []).append(bytes(u))
     directions = spark.sparkContext.broadcast({dim: principal(unit(x, kind, dim), axes) for dim, x in by_dim.items() if len(x) > axes})
-    celled = reps.mapInArrow(partial(_cells, directions=directions, eps=eps, axes=axes, kind=kind), "label long, dim int, rep long, n long, h1 long, vector binary, cell array<long>")
+    celled = reps.mapInArrow(partial(_cells, directions=directions, eps=eps, axes=axes, kind=kind), f"label {label}, dim int, rep long, n long, h1 long, vector binary, cell array<long>")
     order = ["label", "dim", "cell", "rep"]
-    leaves = s.saved(celled.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_intervals, directions=directions, axes=axes, kind=kind), SEQUENCE), "intervals")
+    leaves = s.saved(celled.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_intervals, directions=directions, axes=axes, kind=kind, label_type=label_type), SEQUENCE.format(label=label)), "intervals")
     p = s.saved(_tree_pairs(s, leaves.select("interval", "label", "dim", "lo", "hi"), eps), "interval_pairs")
     run = lambda c: F.floor(F.col(c) / F.lit(RUN)).cast("long")
     each = p.select(run("a").alias("x"), run("b").alias("y"), "a", "b")

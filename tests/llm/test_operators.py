@@ -180,6 +180,13 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("kind,labels", [("string", ["a", "b", None]), ("double", [1.2, 1.7, None]), ("boolean", [True, False, None])])
+def test_near_vectors_of_labels_of_any_type(spark, kind, labels):
+    rows = [(k, [1.0, 0.01 * (k % 2), 0.0], labels[k % 3]) for k in range(30)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in grid_join.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+    assert got == {k: (9, k % 3) if k % 3 < 2 else (0, k) for k in range(30)}
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(1)
     rows, base = [], rng.normal(size=(12, 6))

@@ -71,7 +71,7 @@ def _ready(batches, kind, label_type):
             raw = x.tobytes()
             out.append((i, label, len(x), *struct.unpack("<qq", hashlib.blake2b(raw, digest_size=16).digest()), raw))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=[x.split()[0] for x in UNITS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), label_type, pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=[x.split()[0] for x in UNITS.split(", ")])
 
 
 def principal(x: np.ndarray, axes: int) -> np.ndarray:

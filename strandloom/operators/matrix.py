@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import tails
 from strandloom.operators.intervals import point_in_segment
+from strandloom.operators.principal import leading_components
 from strandloom.operators.stats import adjust_p, quantiles, rank_sums, ranked
 
 
@@ -675,16 +676,18 @@ def bin_labels(values: list[float]) -> list[str]:
     return [f"{a:g}-{b:g}" for a, b in pairwise(values)]
 
 
-def sample_scores(df: DataFrame, *, components: int = 5, feature: str = "feature", sample: str = "sample", value: str = "n", most_samples: int = 2_000) -> DataFrame:
+def sample_scores(df: DataFrame, *, components: int = 5, feature: str = "feature", sample: str = "sample", value: str = "n", dense_samples: int = 2_000) -> DataFrame:
     """Principal components of samples over log10(value + 1), features centred, missing cells 0: sample, pc, score, explained.
 
-    Tasks sum the products of samples over their features; the samples' matrix
-    is solved in one task, so more than ``most_samples`` are an error. A
-    component's sign makes its largest score positive.
+    Up to ``dense_samples`` samples, tasks sum the products of samples over
+    their features and the samples' matrix is solved in one task; of more, the
+    leading components are found without it (``leading_components``), with the
+    same result. A component's sign makes its largest score positive.
     """
-    names = [r[0] for r in df.select(sample).distinct().orderBy(sample).limit(most_samples + 1).collect()]
-    if len(names) > most_samples:
-        raise ValueError(f"more than {most_samples} samples")
+    names = [r[0] for r in df.select(sample).distinct().orderBy(sample).limit(dense_samples + 1).collect()]
+    if len(names) > dense_samples:
+        x = df.groupBy(F.col(feature).alias("feature"), F.col(sample).alias("sample")).agg(F.log10(F.sum(value).cast("double") + 1).alias("x"))
+        return leading_components(x, components=components).withColumnRenamed("sample", sample)
     n, at, kind = len(names), {x: i for i, x in enumerate(names)}, df.schema[sample].dataType.simpleString()
     rows = df.groupBy(feature, sample).agg(F.log10(F.sum(value).cast("double") + 1).alias("x")).groupBy(feature).agg(F.collect_list(F.struct(F.col(sample).alias("s"), "x")).alias("v"))
 

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandloom.functions import tails
 from strandloom.operators.components import components
@@ -97,7 +98,7 @@ def posterior_error(df: DataFrame, *, score: str = "score", protein: str = "prot
     sums = [F.sum(F.when(side, F.col("w") * F.pow("v", F.lit(k)) / float(math.factorial(k))).otherwise(0.0)).alias(f"{name}{k}") for name, side in (("d", F.col("decoy")), ("t", ~F.col("decoy"))) for k in range(_TERMS)]
     cells = s.saved(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *sums), "cells")
     total, occupied = cells.agg(F.sum("n"), F.count(F.lit(1))).first()
-    schema = d.schema.add("pep", "double")
+    schema = StructType([*d.schema.fields, StructField("pep", DoubleType())])
     if not occupied:
         return d.withColumn("pep", F.lit(None).cast("double"))
     reach = math.ceil(_CELLS * math.sqrt(2 * math.log(total / _TAIL))) + 1

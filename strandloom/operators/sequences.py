@@ -446,19 +446,6 @@ def dedupe_replicates(df: DataFrame, *, compound: str = "compound", value: str =
     return g.where("not disagree") if policy == "drop" else g
 
 
-def group_aware_split(df: DataFrame, *, group: str = "scaffold", test: float = 0.2) -> DataFrame:
-    """Whole groups to train or test, the largest first to the side further below its share; adds ``split``. Only group sizes come to the driver."""
-    sizes = [(r[0], r[1]) for r in df.groupBy(group).count().orderBy(F.col("count").desc(), group).collect()]
-    total = sum(n for _, n in sizes) or 1
-    want, have, where = {"train": (1 - test) * total, "test": test * total}, {"train": 0, "test": 0}, []
-    for g, n in sizes:
-        side = max(want, key=lambda s: ((want[s] - have[s]) / max(want[s], 1e-9), s))
-        have[side] += n
-        where.append((g, side))
-    kind = df.schema[group].dataType.simpleString()
-    return df.join(df.sparkSession.createDataFrame(where, f"{group} {kind}, split string"), group)
-
-
 def series_detect(df: DataFrame, *, group: str = "scaffold", least: int = 3) -> DataFrame:
     """Groups of at least ``least`` rows."""
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import gwas as gw
 from strandloom.operators import matrix as mx
 from strandloom.operators import sequences as sq
+from strandloom.operators import splits as sl
 from strandloom.operators.components import components
 from strandloom.plans.core import Registry, bh, norm_two_sided
 
@@ -358,9 +359,24 @@ def series_detect(v):
     return sq.series_detect(v.parts.withColumnRenamed("size", "scaffold"))
 
 
-@R.add()
+DEALT = """
+    WITH RECURSIVE g AS (SELECT size AS scaffold, count(*) AS n FROM {parts} GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS total, floor(sum(n) * (1 - 0.2))::BIGINT AS a FROM g), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, scaffold) AS o FROM g),
+         d AS (SELECT 0::BIGINT AS o, 0::BIGINT AS train, 0::BIGINT AS test, false AS up, 0::BIGINT AS n UNION ALL
+               SELECT o.o, train + CASE WHEN up_ THEN o.n ELSE 0 END, test + CASE WHEN up_ THEN 0 ELSE o.n END, up_, o.n FROM (SELECT d.train, d.test, x.*, d.train * (t.total - t.a) <= d.test * t.a AS up_ FROM d JOIN o x ON x.o = d.o + 1 CROSS JOIN t) o),
+         k AS (SELECT n, count(*) FILTER (up) AS k FROM d WHERE o > 0 GROUP BY n), h AS (SELECT (SELECT max(train) FROM d) AS have, (SELECT count(*) FROM g WHERE n = 1) AS ones),
+         m AS (SELECT k.n, CASE WHEN k.n > 1 THEN k WHEN have < a THEN k + least(a - have, ones - k) WHEN have > a THEN k - least(have - a, k) ELSE k END AS k FROM k CROSS JOIN h CROSS JOIN t),
+         s AS (SELECT g.scaffold, g.n, CASE WHEN row_number() OVER (PARTITION BY g.n ORDER BY md5('42:' || g.scaffold), g.scaffold) <= m.k THEN 'train' ELSE 'test' END AS split FROM g JOIN m ON m.n = g.n)"""
+
+
+@R.add(DEALT + " SELECT p.id, p.size AS scaffold, split FROM {parts} p JOIN s ON s.scaffold = p.size")
 def group_aware_split(v):
-    return sq.group_aware_split(v.parts.select("id", F.col("size").alias("scaffold")))
+    return sl.group_aware_split(v.parts.select("id", F.col("size").alias("scaffold")))
+
+
+@R.add(DEALT + """ SELECT sum(n)::BIGINT AS rows, round(sum(CASE WHEN split = 'train' THEN n END) / sum(n), 6) AS train_share, 0::BIGINT AS shared_groups, round(sum(CASE WHEN split = 'train' AND n = 1 THEN 1 ELSE 0 END) / sum(CASE WHEN split = 'train' THEN n END), 6) AS train_single_share,
+    round(sum(CASE WHEN split = 'test' AND n = 1 THEN 1 ELSE 0 END) / sum(CASE WHEN split = 'test' THEN n END), 6) AS test_single_share FROM s""")
+def split_diagnostics(v):
+    return sl.split_diagnostics(sl.group_aware_split(v.parts.select("id", F.col("size").alias("scaffold"))))
 
 
 @R.add()

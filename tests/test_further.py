@@ -29,8 +29,16 @@ def test_components_of_samples_by_plain_svd(spark):
         want *= np.sign(want[np.abs(want).argmax()])
         assert np.allclose([got[f"s{i}", k + 1].score for i in range(7)], want, atol=1e-8)
         assert got["s0", k + 1].explained == pytest.approx(sv[k] ** 2 / (sv**2).sum())
-    with pytest.raises(ValueError):
-        mx.sample_scores(d, most_samples=6)
+
+
+def test_components_without_the_samples_matrix_equal_the_dense_ones(spark):
+    rng = np.random.default_rng(6)
+    x = rng.poisson(np.exp(2 + rng.normal(size=(60, 3)) @ rng.normal(size=(3, 90)) * 0.4))
+    d = spark.createDataFrame([(f, f"s{s:02d}", int(x[f, s])) for f in range(60) for s in range(90) if x[f, s]], "feature long, sample string, n long").repartition(3)
+    dense, free = ({(r.sample, r.pc): (r.score, r.explained) for r in mx.sample_scores(d, components=4, dense_samples=k).collect()} for k in (2_000, 10))
+    assert set(dense) == set(free) and len(free) == 360
+    for k, (score, share) in dense.items():
+        assert free[k] == (pytest.approx(score, abs=1e-6), pytest.approx(share, abs=1e-9))
 
 
 def test_one_way_f_and_t2(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from itertools import pairwise
 
 import numpy as np
@@ -14,6 +15,7 @@ from strandloom.functions import tails
 from strandloom.operators.intervals import point_in_segment
 from strandloom.operators.principal import leading_components
 from strandloom.operators.stats import adjust_p, quantiles, rank_sums, ranked
+from strandloom.scratch import Scratch
 
 
 def median(c: str | Column) -> Column:
@@ -508,22 +510,39 @@ def pick_depth(totals: DataFrame, curve: DataFrame, *, sample: str = "sample", k
     return g.orderBy(F.col("plateau").desc(), F.when(F.col("plateau"), F.col("depth")).otherwise(-F.col("depth"))).limit(1).select("depth", "kept", "mean_expected", "gain_per_1000", "plateau")
 
 
-def rarefy(df: DataFrame, *, depth: int, seed: int = 1, feature: str = "feature", sample: str = "sample", value: str = "n") -> DataFrame:
-    """Counts drawn without replacement to one depth; shallower samples go. The draw depends on seed and sample alone."""
-    fk, sk = (df.schema[c].dataType.simpleString() for c in (feature, sample))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import zlib
+def rarefy(df: DataFrame, *, depth: int, seed: int = 1, feature: str = "feature", sample: str = "sample", value: str = "n", bucket_features: int = 50_000) -> DataFrame:
+    """Counts drawn without replacement to one depth; shallower samples go. Rerun with the same table and seed, the draw is the same.
 
-        d = pdf.sort_values(feature)
-        c = d[value].to_numpy(np.int64)
-        if c.sum() < depth:
-            return d.iloc[:0][[sample, feature, value]]
-        rng = np.random.default_rng([seed, zlib.crc32(str(d[sample].iloc[0]).encode())])
-        d = d.assign(**{value: rng.multivariate_hypergeometric(c, depth)})
-        return d[d[value] > 0][[sample, feature, value]]
-
-    return df.groupBy(sample).applyInPandas(one, f"{sample} {sk}, {feature} {fk}, {value} long")
+    A sample's features are dealt by hash to buckets of about ``bucket_features``.
+    The buckets' totals share the depth by one multivariate hypergeometric draw,
+    then each bucket draws its share from its own features; both together are
+    one draw without replacement. No task holds more of a sample than a bucket,
+    or than its buckets' totals. A sample may have up to 10^9 reads in all.
+    """
+    s = Scratch(df.sparkSession, "rarefy")
+    fk, sk = (df.schema[c].dataType.simpleString() for c in (feature, sample))
+    d = df.where(F.col(value) > 0).select(sample, feature, F.col(value).cast("long").alias(value))
+    size = d.groupBy(sample).agg(F.count(F.lit(1)).alias("k"), F.sum(value).alias("t"))
+    most, deepest = size.agg(F.max("k"), F.max("t")).first()
+    if (deepest or 0) >= 10**9:
+        raise ValueError("a sample has 10^9 reads or more")
+    buckets = max(1, -(-(most or 1) // bucket_features))
+    d = s.saved(d.join(size.where(F.col("t") >= depth).select(sample), sample).withColumn("_b", F.pmod(F.xxhash64(feature, F.lit(seed)), F.lit(buckets))), "rows", stays=True)
+
+    def rng(*parts) -> np.random.Generator:
+        return np.random.default_rng([seed, zlib.crc32(":".join(map(str, parts)).encode())])
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_b")
+        return pdf.assign(_d=rng(pdf[sample].iloc[0]).multivariate_hypergeometric(pdf["_t"].to_numpy(np.int64), depth))[[sample, "_b", "_d"]]
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(feature)
+        pdf = pdf.assign(**{value: rng(pdf[sample].iloc[0], pdf["_b"].iloc[0]).multivariate_hypergeometric(pdf[value].to_numpy(np.int64), int(pdf["_d"].iloc[0]))})
+        return pdf[pdf[value] > 0][[sample, feature, value]]
+
+    shares = s.saved(d.groupBy(sample, "_b").agg(F.sum(value).alias("_t")).groupBy(sample).applyInPandas(share, f"{sample} {sk}, _b long, _d long"), "shares", stays=True)
+    return d.join(shares.where("_d > 0"), [sample, "_b"]).groupBy(sample, "_b").applyInPandas(draw, f"{sample} {sk}, {feature} {fk}, {value} long")
 
 
 def complete_grid(df: DataFrame, *, feature: str = "feature", sample: str = "sample", value: str = "n") -> DataFrame:

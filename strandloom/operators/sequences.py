@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,14 +179,70 @@ def apc_applicable(df: DataFrame, *, identity: float = 0.62, columns_over: int =
     return neff(df, identity=identity, key=key, seq=seq).crossJoin(width).select("width", per.alias("neff_per_column"), ((F.col("width") > columns_over) & (per > rows_over)).alias("ok"))  # one row each
 
 
-def mutual_information_apc(df: DataFrame, *, least_rows: int = 20, key: str = "id", seq: str = "seq") -> DataFrame:
+#: Columns times letters of a block whose joint counts a task holds.
+JOINT_CELLS = 4096
+
+
+def _joint(batches, spans, codes):
+    """(i, j, ri, rj, k): how often two columns of two blocks hold two letters in the rows of a task, i < j."""
+    alphabet, total = np.array(codes, np.int64), None
+
+    def one_hot(seqs: list[str], lo: int, hi: int) -> np.ndarray:
+        text = "".join([s[lo:hi].ljust(hi - lo, "-") for s in seqs])
+        x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(seqs), hi - lo)
+        at = np.minimum(np.searchsorted(alphabet, x), len(alphabet) - 1)
+        row, col = np.nonzero(alphabet[at] == x)
+        m = np.zeros((len(seqs), (hi - lo) * len(alphabet)), np.float32)
+        m[row, col * len(alphabet) + at[row, col]] = 1
+        return m
+
+    for b in batches:
+        seqs = [s for s in b.column(0).to_pylist() if s]
+        for k in range(0, len(seqs), 1024):
+            x = one_hot(seqs[k : k + 1024], *spans[0])
+            y = x if spans[0] == spans[1] else one_hot(seqs[k : k + 1024], *spans[1])
+            c = (x.T @ y).astype(np.int64)
+            total = c if total is None else total + c
+    if total is None:
+        return
+    u, v = np.nonzero(total)
+    n, chars = len(alphabet), np.array([chr(c) for c in codes])
+    i, j = spans[0][0] + u // n, spans[1][0] + v // n
+    keep = np.flatnonzero(i < j)
+    for k in range(0, len(keep), 100_000):
+        t = keep[k : k + 100_000]
+        cols = [pa.array(i[t], pa.int32()), pa.array(j[t], pa.int32()), pa.array(chars[u[t] % n].tolist()), pa.array(chars[v[t] % n].tolist()), pa.array(total[u[t], v[t]], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["i", "j", "ri", "rj", "k"])
+
+
+def joint_counts(df: DataFrame, *, seq: str = "seq", cells: int = JOINT_CELLS) -> DataFrame:
+    """(i, j, ri, rj, k): rows with residue ri in column i and rj in column j, for all i < j and residues that occur together.
+
+    Tasks multiply blocks of one-hot rows, so a task sends the counts of its
+    column pairs once, not a row for each pair of columns of each sequence.
+    Blocks of columns are as wide as ``cells`` allows; each pair of blocks is a
+    pass over the rows.
+    """
+    d = df.select(F.translate(F.upper(seq), ".", "-").alias("s"))
+    found = d.select(F.explode(F.array_distinct(F.split("s", ""))).alias("c")).distinct().where("c not in ('', '-')")
+    codes = sorted(ord(r[0]) for r in found.collect())
+    width = d.agg(F.max(F.length("s"))).first()[0] or 0
+    out = df.sparkSession.createDataFrame([], "i int, j int, ri string, rj string, k long")
+    step = max(1, cells // max(1, len(codes)))
+    blocks = [(a, min(width, a + step)) for a in range(0, width, step)] if codes else []
+    for x, one in enumerate(blocks):
+        for other in blocks[x:]:
+            out = out.unionByName(d.mapInArrow(partial(_joint, spans=(one, other), codes=codes), "i int, j int, ri string, rj string, k long"))
+    return out.groupBy("i", "j", "ri", "rj").agg(F.sum("k").alias("k"))
+
+
+def mutual_information_apc(df: DataFrame, *, least_rows: int = 20, seq: str = "seq", cells: int = JOINT_CELLS) -> DataFrame:
     """Mutual information (bits) of column pairs over rows with both residues, less the product of the columns' means over the overall mean."""
-    c = columns(df, key=key, seq=seq).where("residue <> '-'")
-    a, b = (c.select(key, F.col("col").alias(f"{x}"), F.col("residue").alias(f"r{x}")) for x in "ij")
-    p = a.join(b, key).where("i < j").groupBy("i", "j", "ri", "rj").agg(F.count(F.lit(1)).alias("k"))
+    s = Scratch(df.sparkSession, "mutual")
+    p = joint_counts(df, seq=seq, cells=cells)
     w = lambda *cols: Window.partitionBy("i", "j", *cols)
     p = p.withColumn("n", F.sum("k").over(w())).withColumn("ki", F.sum("k").over(w("ri"))).withColumn("kj", F.sum("k").over(w("rj"))).where(F.col("n") >= least_rows)
-    mi = p.groupBy("i", "j", "n").agg(F.sum(F.col("k") / F.col("n") * F.log2(F.col("k") * F.col("n") / (F.col("ki") * F.col("kj")))).alias("mi"))
+    mi = s.saved(p.groupBy("i", "j", "n").agg(F.sum(F.col("k") / F.col("n") * F.log2(F.col("k") * F.col("n") / (F.col("ki") * F.col("kj")))).alias("mi")), "pairs", stays=True)
     one = mi.select(F.col("i").alias("c"), "mi").unionByName(mi.select(F.col("j").alias("c"), "mi")).groupBy("c").agg(F.avg("mi").alias("m"))
     x = mi.join(one.select(F.col("c").alias("i"), F.col("m").alias("mi_i")), "i").join(one.select(F.col("c").alias("j"), F.col("m").alias("mi_j")), "j").crossJoin(mi.agg(F.avg("mi").alias("_all")))  # one row
     return x.select("i", "j", "n", "mi", (F.col("mi") - F.col("mi_i") * F.col("mi_j") / F.nullif("_all", F.lit(0.0))).alias("mi_apc"))
@@ -319,19 +378,25 @@ def within_cds(sites: DataFrame, *, start: str = "start", length: str = "n", low
 
 
 def spaced_top_k(df: DataFrame, *, gene: str = "gene", start: str = "start", score: str = "score", k: int = 4, spacing: int = 5) -> DataFrame:
-    """Up to k guides per gene, best first, none closer than the spacing to a better one."""
+    """Up to k guides per gene, best first (ties by start), none closer than the spacing to a better one.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        rows = []
-        for r in pdf.sort_values([score, start], ascending=[False, True]).itertuples():
-            at = getattr(r, start)
-            if len(kept) < k and all(abs(at - x) >= spacing for x in kept):
-                kept.append(at)
-                rows.append(r.Index)
-        return pdf.loc[rows]
-
-    return df.groupBy(gene).applyInPandas(one, df.schema)
+    ``k`` rounds take the best of what is left of every gene and drop what is
+    too near to it, so a gene of any size is aggregated like others.
+    """
+    s = Scratch(df.sparkSession, "spaced")
+    name = lambda c: F.col(f"`{c}`")
+    row = F.struct(*[name(c) for c in df.columns])
+    #: The best first: rising order of (minus score, start, rest), nulls last.
+    rank = F.struct(name(score).isNull().alias("n"), (-name(score)).alias("s"), name(start).alias("a"), F.xxhash64(*[name(c) for c in df.columns]).alias("h"))
+    left, out = s.saved(df.select(name(gene).alias("_g"), name(start).alias("_at"), rank.alias("_r"), row.alias("_row")), "left"), None
+    for _ in range(k):
+        best = s.saved(left.groupBy("_g").agg(F.min_by(F.struct("_at", "_row"), "_r").alias("_b")).select("_g", F.col("_b._at").alias("_taken"), F.col("_b._row").alias("_best")), "best", stays=True)
+        out = best if out is None else out.unionByName(best)
+        left = s.saved(left.join(best.drop("_best"), "_g").where(F.abs(F.col("_at") - F.col("_taken")) >= spacing).drop("_taken"), "left")
+        if left.isEmpty():
+            break
+    s.close()
+    return (out.select("_best.*") if out is not None else df.limit(0))
 
 
 def transcript_to_genome(sites: DataFrame, exons: DataFrame) -> DataFrame:

@@ -104,20 +104,24 @@ def stouffer_meta(v):
 
 
 @R.add("""
-    WITH d AS (SELECT partkey AS gene, line AS dose, avg(price) - 30000 AS effect, partkey * 31 % 97 / 970.0 AS fdr FROM {lines} WHERE line <= 3 OR partkey % 2 = 0 GROUP BY ALL), s AS (SELECT *, abs(effect) >= coalesce(abs(lag(effect) OVER (PARTITION BY gene ORDER BY dose)), 0) AS step FROM d)
+    WITH d AS (SELECT partkey AS gene, line AS dose, avg(price) - 30000 AS effect, partkey * 31 % 97 / 970.0 AS fdr FROM {lines} GROUP BY ALL HAVING dose <= 3 OR gene % 2 = 0), s AS (SELECT *, abs(effect) >= coalesce(abs(lag(effect) OVER (PARTITION BY gene ORDER BY dose)), 0) AS step FROM d)
     SELECT gene, round(arg_max(effect, dose), 6) AS top_effect, round(arg_max(fdr, dose), 6) AS top_fdr, bool_and(step) AS monotonic FROM s GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT dose) FROM d) AND min(sign(effect)) = max(sign(effect)) AND min(sign(effect)) <> 0 AND arg_max(fdr, dose) < 0.05""")
 def dose_consistent(v):
-    d = v.lines.where("line <= 3 or partkey % 2 = 0").groupBy(F.col("partkey").alias("gene"), F.col("line").alias("dose")).agg((F.avg("price") - 30000).alias("effect"))
+    """Genes of odd parts have no effect above dose 3: null there, which the operator leaves out."""
+    d = v.lines.groupBy(F.col("partkey").alias("gene"), F.col("line").alias("dose")).agg((F.avg("price") - 30000).alias("effect"))
+    d = d.withColumn("effect", F.when((F.col("dose") <= 3) | (F.col("gene") % 2 == 0), F.col("effect")))
     return mx.dose_consistent(d.withColumn("fdr", F.col("gene") * 31 % 97 / 970.0))
 
 
 @R.add("""
     WITH d AS (SELECT feature AS prey, sample AS run, sample >= 9 AS c, n AS value FROM {counts} WHERE NOT (sample = 10 AND feature % 3 = 0)), r AS (SELECT run, log2(min(value)) AS f FROM d WHERE c GROUP BY run),
-         k AS (SELECT p.prey, count(d.value) AS n_ctrl, avg(coalesce(log2(d.value), f)) AS m, max(coalesce(log2(d.value), f)) AS x, count(*) AS alive FROM (SELECT DISTINCT prey FROM d) p CROSS JOIN r LEFT JOIN d ON d.prey = p.prey AND d.run = r.run GROUP BY p.prey),
+         k AS (SELECT p.prey, count(d.value) AS n_ctrl, avg(coalesce(log2(d.value), f)) AS m, max(coalesce(log2(d.value), f)) AS x, count(*) AS alive FROM (SELECT DISTINCT feature AS prey FROM {counts}) p CROSS JOIN r LEFT JOIN d ON d.prey = p.prey AND d.run = r.run GROUP BY p.prey),
          b AS (SELECT prey, count(*) AS n_bait, avg(log2(value)) AS b, min(log2(value)) AS low FROM d WHERE NOT c GROUP BY prey)
     SELECT prey, coalesce(n_bait, 0) AS n_bait, n_ctrl, alive AS n_ctrl_runs_used, round(b - m, 6) AS log2_enrichment, round(low - x, 6) AS worst_case_log2, coalesce(n_bait, 0) >= 6 AND (n_ctrl = 0 OR coalesce(b - m >= 0.5, false)) AS interactor FROM k LEFT JOIN b USING (prey)""")
 def apms_score(v):
-    d = v.counts.where("not (sample = 10 and feature % 3 = 0)").select(F.col("feature").alias("prey"), F.col("sample").alias("run"), (F.col("sample") >= 9).alias("is_control"), F.col("n").alias("value"))
+    """A third of the preys of run 10 have the value 0: not detected."""
+    value = F.when((F.col("sample") == 10) & (F.col("feature") % 3 == 0), 0).otherwise(F.col("n"))
+    d = v.counts.select(F.col("feature").alias("prey"), F.col("sample").alias("run"), (F.col("sample") >= 9).alias("is_control"), value.alias("value"))
     return mx.apms_score(d, cut=0.5, least_baits=6)
 
 
@@ -131,12 +135,12 @@ def expand_site_multiplicity(v):
 
 
 @R.add("""
-    WITH d AS (SELECT cell, gene, cell % 2 AS side, CASE WHEN cell % 7 = 6 THEN 'Unknown' ELSE 'L' || (cell % 7) END AS label FROM {cells} WHERE n > 30), m AS (SELECT DISTINCT 'L' || (gene % 5) AS label, gene FROM {lines} WHERE gene % 4 = 0),
+    WITH d AS (SELECT cell, gene, cell % 2 AS side, CASE WHEN cell % 7 = 6 THEN 'Unknown' ELSE 'L' || (cell % 7) END AS label FROM {cells}), m AS (SELECT DISTINCT 'L' || (gene % 5) AS label, gene FROM {lines} WHERE gene % 4 = 0),
          n AS (SELECT label, side, count(DISTINCT cell) AS n FROM d GROUP BY ALL), k AS (SELECT m.label, m.gene, n.side, n.n, count(DISTINCT d.cell) AS k FROM m JOIN n ON n.label = m.label LEFT JOIN d ON d.label = m.label AND d.gene = m.gene AND d.side = n.side GROUP BY ALL),
          g AS (SELECT r.label, avg(least(1.0, (q.k / q.n) / (r.k / r.n))) FILTER (r.k > 0) AS retained FROM k r JOIN k q ON r.label = q.label AND r.gene = q.gene AND r.side = 0 AND q.side = 1 GROUP BY r.label)
     SELECT label, n, round(retained, 6) AS retained, CASE WHEN retained IS NULL THEN 'skipped: no markers' WHEN n < 20 THEN 'skipped: few cells' WHEN retained < 0.5 THEN 'flagged' ELSE 'ok' END AS status FROM n LEFT JOIN g USING (label) WHERE side = 1 AND label <> 'Unknown'""")
 def label_marker_check(v):
-    d = v.cells.where("n > 30").select("cell", "gene", F.when(F.col("cell") % 7 == 6, "Unknown").otherwise(F.concat(F.lit("L"), F.col("cell") % 7)).alias("label"))
+    d = v.cells.select("cell", "gene", F.when(F.col("cell") % 7 == 6, "Unknown").otherwise(F.concat(F.lit("L"), F.col("cell") % 7)).alias("label"))
     m = v.lines.where("gene % 4 = 0").select(F.concat(F.lit("L"), F.col("gene") % 5).alias("label"), "gene").distinct()
     return ce.label_marker_check(d.where("cell % 2 = 0"), d.where("cell % 2 = 1"), m)
 

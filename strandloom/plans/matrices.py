@@ -41,6 +41,19 @@ def adjust_p_holm(v):
     return st.adjust_p(_p(v).where("p is not null").select("psm", "p"), method="holm").select("psm", "q")
 
 
+@R.add(f"""
+    WITH p AS ({P_SQL}), r AS (SELECT *, count(p) OVER () AS m, count(*) OVER (ORDER BY p) AS r FROM p WHERE p IS NOT NULL), h AS (SELECT m, CASE WHEN m <= 1000 THEN list_sum(list_transform(range(1, m + 1), lambda k: 1.0::DOUBLE / k)) ELSE ln(m) + 0.5772156649015329 + 1 / (2.0::DOUBLE * m) - 1 / (12.0::DOUBLE * m * m) END AS c FROM (SELECT count(p) AS m FROM p)),
+         q AS (SELECT psm, min(least(1.0, p * m * (SELECT c FROM h) / r)) OVER (ORDER BY p DESC) AS q FROM r)
+    SELECT psm, round(q, 6) AS q FROM q""")
+def adjust_p_by(v):
+    return st.adjust_p(_p(v).where("p is not null").select("psm", "p"), method="by").select("psm", "q")
+
+
+@R.add(f"SELECT psm, CASE WHEN p IS NOT NULL THEN round(least(1.0, p * count(p) OVER ()), 6) END AS q FROM ({P_SQL})")
+def adjust_p_bonferroni(v):
+    return st.adjust_p(_p(v).select("psm", "p"), method="bonferroni").select("psm", "q")
+
+
 RANKS = """
     WITH d AS (SELECT feature, n AS v, is_case FROM {counts}), r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2 AS r, count(*) OVER (PARTITION BY feature, v) AS t FROM d),
     g AS (SELECT feature, count(*) FILTER (is_case) AS n1, count(*) FILTER (NOT is_case) AS n2, coalesce(sum(r) FILTER (is_case), 0) AS w, sum(t * t - 1.0) AS ties FROM r GROUP BY feature),
@@ -522,6 +535,13 @@ def feature_ols(v):
     return mx.moderated_t(mx.feature_ols(x, design=["case", "b"], term="case"))
 
 
+@R.add()
+def isotope_correct(v):
+    """Least squares with clipping has no SQL."""
+    x = v.lines.groupBy("partkey").agg(*[F.sum(F.when(F.col("line") % 4 == k, F.col("quantity")).otherwise(0.0)).alias(f"m{k}") for k in range(4)])
+    return mx.isotope_correct(x.select("partkey", F.array(*[f"m{k}" for k in range(4)]).alias("areas"), F.lit(3).alias("carbons"), F.lit(0.99).alias("purity"))).select("partkey", "enrichment", F.transform("mid", lambda x: F.round(x, 6)).alias("mid"))
+
+
 @R.add()
 def rarefy(v):
     return mx.rarefy(v.counts, depth=500)

@@ -121,12 +121,12 @@ def _spliced(v):
 
 
 @R.add("""
-    WITH s AS (SELECT contig, start AS w FROM {intervals} WHERE size > 40 AND start >= 500), k AS (SELECT count(*) AS n FROM s), o AS (SELECT count(*) AS k FROM {intervals} WHERE size > 40 AND start < 500),
+    WITH s AS (SELECT contig, start AS w FROM {intervals} WHERE start >= 500), k AS (SELECT count(*) AS n FROM s), o AS (SELECT count(*) AS k FROM {intervals} WHERE start < 500),
          x AS (SELECT s.w, r.start AS a, r.stop AS z FROM s JOIN {reads} r ON r.contig = s.contig AND r.start < s.w + 500 AND r.stop > s.w - 500),
          t AS (SELECT sum(greatest(0, least(z, w + 50) - greatest(a, w - 50))) AS c, sum(greatest(0, least(z, w - 400) - greatest(a, w - 500)) + greatest(0, least(z, w + 500) - greatest(a, w + 400))) AS o FROM x)
     SELECT n AS sites, o.k AS skipped, round(c / 100.0 / (t.o / 200.0), 6) AS score FROM t CROSS JOIN k CROSS JOIN o""")
 def tss_enrichment(v):
-    return rd.tss_enrichment(v.reads, v.intervals.where("size > 40").select("contig", F.col("start").alias("at"), "strand"), flank=500)
+    return rd.tss_enrichment(v.reads, v.intervals.select("contig", F.col("start").alias("at"), "strand"), flank=500)
 
 
 OLS = """

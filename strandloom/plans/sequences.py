@@ -313,10 +313,14 @@ def within_cds(v):
     return sq.within_cds(sq.find_pam_sites(_dna(v))).select("id", "strand", "start", "guide")
 
 
-@R.add()
+@R.add(f"""
+    WITH RECURSIVE o AS MATERIALIZED (SELECT id, start, gc, row_number() OVER (PARTITION BY id ORDER BY gc DESC, start) AS o FROM (SELECT id, start, max(gc) AS gc FROM {PAM} GROUP BY id, start)),
+         g AS (SELECT DISTINCT id, 0::BIGINT AS o, []::BIGINT[] AS kept FROM o UNION ALL
+               SELECT o.id, o.o, CASE WHEN len(kept) < 4 AND len(list_filter(kept, lambda x: abs(x - o.start) < 5)) = 0 THEN list_append(kept, o.start) ELSE kept END FROM g JOIN o ON o.id = g.id AND o.o = g.o + 1)
+    SELECT id, unnest(kept) AS start FROM (SELECT id, arg_max(kept, o) AS kept FROM g GROUP BY id)""")
 def spaced_top_k(v):
     g = sq.find_pam_sites(_dna(v)).select("id", "start", "strand", "gc")
-    return sq.spaced_top_k(g, gene="id", score="gc")
+    return sq.spaced_top_k(g, gene="id", score="gc").select("id", "start")
 
 
 BITS = "(SELECT id, list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0.08) AS bits FROM {vectors})"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -430,6 +429,12 @@ def weighted_calibration(standards: DataFrame, samples: DataFrame) -> DataFrame:
     return s.select("analyte", "sample", "slope", "intercept", "lloq", F.when(F.col("_c") >= F.col("lloq"), F.col("_c")).alias("concentration"))
 
 
+def confirm_by_ion_ratio(samples: DataFrame, ratios: DataFrame, *, tolerance: float = 0.30) -> DataFrame:
+    """Adds ion_ratio (qualifier over quantifier) and id_confirmed: it is within ``tolerance`` of the calibrators' ratio of the analyte (analyte, ratio). An analyte without one isn't confirmed."""
+    d = samples.join(ratios.select("analyte", F.col("ratio").alias("_ratio")), "analyte", "left").withColumn("ion_ratio", F.col("qualifier") / F.nullif("quantifier", F.lit(0.0)))
+    return d.withColumn("id_confirmed", F.coalesce(F.abs(F.col("ion_ratio") - F.col("_ratio")) / F.col("_ratio") <= tolerance, F.lit(False))).drop("_ratio")
+
+
 def isotope_matrix(carbons: int, natural: float = 0.0107) -> np.ndarray:
     """Chance of measuring mass shift i where j carbons are labelled: binomial in the others."""
     from math import comb
@@ -690,11 +695,6 @@ def feature_level_filter(df: DataFrame, *, fill: str = "fill", tag: str = "tag",
     return df.where(F.col(fill) >= least).withColumn("level", F.when((F.col(tag) == "reference") & F.col(spectrum), 1).when((F.col(tag) == "library") & F.col(spectrum), 2).when(F.col(tag) == "library", 3))
 
 
-def bin_labels(values: list[float]) -> list[str]:
-    """Names of the intervals between edges."""
-    return [f"{a:g}-{b:g}" for a, b in pairwise(values)]
-
-
 def sample_scores(df: DataFrame, *, components: int = 5, feature: str = "feature", sample: str = "sample", value: str = "n", dense_samples: int = 2_000) -> DataFrame:
     """Principal components of samples over log10(value + 1), features centred, missing cells 0: sample, pc, score, explained.
 

@@ -217,6 +217,12 @@ def merge_libraries(df: DataFrame, *, transition: list[str], precursor: list[str
     return df.join(t, [library, *precursor]).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_t")
 
 
+def library_stats(library: DataFrame, *, precursor: list[str], protein: str = "protein") -> DataFrame:
+    """One row of a merged library: precursors, proteins, transitions, and transitions per precursor to one decimal."""
+    d = library.agg(F.count_distinct(F.struct(*precursor)).alias("precursors"), F.count_distinct(protein).alias("proteins"), F.count(F.lit(1)).alias("transitions"))
+    return d.withColumn("transitions_per_precursor", F.round(F.col("transitions") / F.nullif("precursors", F.lit(0)), 1))
+
+
 def motif_enrichment(foreground: DataFrame, background: DataFrame, *, window: str = "window") -> DataFrame:
     """Per (offset, residue) of foreground windows (odd length, site in the middle): counts against all residues at that offset in foreground and background, Fisher's one-sided p, BH. Offset 0 and '_' or 'X' are left out."""
 
@@ -335,6 +341,22 @@ def consensus_methods(tables: dict[str, tuple[DataFrame, Column]], *, gene: str
     return out.withColumn("n_methods", total)
 
 
+def method_overlap(hits: DataFrame, methods: list[str], *, alpha: float = 0.05) -> DataFrame:
+    """Per pair of methods of ``consensus_methods``: a, b, genes, hits_a, hits_b, shared, expected, p and enriched.
+
+    p is the hypergeometric chance of as large an overlap. Methods of one
+    comparison overlap by more than chance; a pair that doesn't should be
+    checked before its consensus is trusted. Pairs with a method without hits
+    are left out.
+    """
+    n = F.count_if
+    pairs = [(a, b) for i, a in enumerate(methods) for b in methods[i + 1 :]]
+    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.lit(1)).alias("genes"), n(F.col(a)).alias("hits_a"), n(F.col(b)).alias("hits_b"), n(F.col(a) & F.col(b)).alias("shared")) for a, b in pairs]
+    d = hits.agg(F.array(*each).alias("p")).select(F.inline("p")).where("hits_a > 0 and hits_b > 0")
+    d = d.withColumn("expected", F.col("hits_a") * F.col("hits_b") / F.col("genes")).withColumn("p", tails.hypergeom_p("shared", "genes", "hits_a", "hits_b"))
+    return d.withColumn("enriched", F.col("p") <= alpha)
+
+
 def extract_umi(first: DataFrame, second: DataFrame, *, length: int) -> DataFrame:
     """Reads of ``first`` with the first bases of their mate appended to the name; a mate that is too short or missing is an error row (umi null)."""
     m = second.select("read", F.when(F.length("seq") >= length, F.substring("seq", 1, length)).alias("umi"))

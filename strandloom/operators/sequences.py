@@ -415,25 +415,36 @@ def tanimoto_pairs(a: DataFrame, b: DataFrame, *, threshold: float, key: str = "
     """Pairs (id_a, id_b, shared, similarity) of bit sets at or above the threshold; ``own``: pairs within one table, each once.
 
     Sets are joined on the bits of a prefix, rarest bits first: sets that reach
-    the threshold share a bit of their first n - ceil(t n) + 1. Sizes bound the
-    rest, and the similarity is computed from the arrays.
+    the threshold share a bit of their first n - ceil(t n) + 1. Sizes, and what
+    can follow and precede the shared bit in both, bound the rest before pairs
+    are made distinct; the similarity is computed from the arrays. Sets and
+    prefixes are written once; within one table both sides read the same.
     """
-    rank = a.select(F.explode(bits).alias("bit")).unionByName(b.select(F.explode(bits).alias("bit"))).groupBy("bit").agg(F.count(F.lit(1)).alias("_df"))
+    s = Scratch(a.sparkSession, "tanimoto")
 
-    def side(t: DataFrame, x: str) -> tuple[DataFrame, DataFrame]:
-        d = t.select(F.col(key).alias(f"id_{x}"), F.array_distinct(bits).alias(f"s{x}")).withColumn(f"n{x}", F.size(f"s{x}")).where(f"n{x} > 0")
-        e = d.select(f"id_{x}", f"n{x}", F.explode(f"s{x}").alias("bit")).join(rank, "bit")
-        r = F.row_number().over(Window.partitionBy(f"id_{x}").orderBy("_df", "bit"))
-        return d, e.withColumn("_r", r).where(F.col("_r") <= F.col(f"n{x}") - F.ceil(F.lit(threshold) * F.col(f"n{x}") - 1e-9) + 1).select("bit", f"id_{x}", f"n{x}")
+    def sets(t: DataFrame) -> DataFrame:
+        return s.saved(t.select(F.col(key).alias("id"), F.array_distinct(bits).alias("s")).withColumn("n", F.size("s")).where("n > 0"), "sets", stays=True)
 
-    da, pa = side(a, "a")
-    db, pb = side(b, "b")
-    c = pa.join(pb, "bit").where((F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9))
+    da = sets(a)
+    db = da if own else sets(b)
+    both = da.select(F.explode("s").alias("bit")) if own else da.select(F.explode("s").alias("bit")).unionByName(db.select(F.explode("s").alias("bit")))
+    rank = s.saved(both.groupBy("bit").agg(F.count(F.lit(1)).alias("_df")), "ranks")
+
+    def prefixes(d: DataFrame) -> DataFrame:
+        e = d.select("id", "n", F.explode("s").alias("bit")).join(rank, "bit").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("_df", "bit")))
+        return s.saved(e.where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("bit", "id", "n", "r"), "prefixes", stays=True)
+
+    pa_ = prefixes(da)
+    pb = pa_ if own else prefixes(db)
+    s.close()
+    named = lambda d, x: d.select(*[F.col(c).alias(c if c == "bit" else f"{c}_{x}") for c in d.columns])
+    na, nb, t = F.col("n_a"), F.col("n_b"), F.lit(threshold)
+    reach = F.least("r_a", "r_b") + F.least(na - F.col("r_a"), nb - F.col("r_b"))
+    c = named(pa_, "a").join(named(pb, "b"), "bit").where((na >= t * nb - 1e-9) & (nb >= t * na - 1e-9) & (reach >= t / (1 + t) * (na + nb) - 1e-9))
     if own:
         c = c.where("id_a < id_b")
-    c = c.select("id_a", "id_b").distinct().join(da, "id_a").join(db, "id_b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    c = c.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
+    c = c.select("id_a", "id_b").distinct().join(named(da, "a"), "id_a").join(named(db, "b"), "id_b")
+    c = c.withColumn("shared", F.size(F.array_intersect("s_a", "s_b"))).withColumn("similarity", F.col("shared") / (na + nb - F.col("shared")))
     return c.where(F.col("similarity") >= threshold).select("id_a", "id_b", "shared", "similarity")
 
 

@@ -216,14 +216,17 @@ def site_qc(calls: DataFrame) -> DataFrame:
     return g.withColumn("excess_het_p", tails.excess_het("het", "hom_ref", "hom_alt"))
 
 
-def iterative_missingness(calls: DataFrame, *, min_gq: int = 0, sample_rate: float = 0.8, site_rate: float = 0.8) -> DataFrame:
-    """Calls of the samples and sites that stay: low-quality genotypes are missing, then poor samples go, then poor sites, until nothing goes.
+def iterative_missingness(calls: DataFrame, *, min_gq: int = 0, min_depth: int = 0, depth: Column | None = None, sample_rate: float = 0.8, site_rate: float = 0.8) -> DataFrame:
+    """Calls of the samples and sites that stay: genotypes of low quality or ``depth`` (an expression) are missing, then poor samples go, then poor sites, until nothing goes.
 
     Each round's names of samples and sites are written, not its calls, so the
     plan reads the input and two small tables whatever the round.
     """
     s = Scratch(calls.sparkSession, "missingness")
-    d = s.saved(calls.withColumn("gt", F.when(F.col("gq") >= min_gq, F.col("gt")).otherwise("./.")), "calls", stays=True)
+    good = F.col("gq") >= min_gq
+    if depth is not None:
+        good = good & (depth >= min_depth)
+    d = s.saved(calls.withColumn("gt", F.when(good, F.col("gt")).otherwise("./.")), "calls", stays=True)
     rate = F.avg((F.col("gt") != "./.").cast("double"))
     samples, sites, n = None, None, None
 

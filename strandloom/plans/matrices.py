@@ -529,6 +529,35 @@ def consensus_methods(v):
     return pr.consensus_methods({"a": (a, F.col("s") < 0.09), "b": (b, F.col("s") > 0.01)})
 
 
+@R.add("""
+    WITH h AS (SELECT partkey AS gene, max(discount) < 0.09 AS a, min(tax) > 0.01 AS b, avg(quantity) > 25 AS c FROM {lines} GROUP BY partkey),
+         g AS (SELECT 'a' AS a, 'b' AS b, count(*) AS genes, count(*) FILTER (a) AS ka, count(*) FILTER (b) AS kb, count(*) FILTER (a AND b) AS k FROM h UNION ALL SELECT 'a', 'c', count(*), count(*) FILTER (a), count(*) FILTER (c), count(*) FILTER (a AND c) FROM h
+               UNION ALL SELECT 'b', 'c', count(*), count(*) FILTER (b), count(*) FILTER (c), count(*) FILTER (b AND c) FROM h),
+         p AS (SELECT g.*, least(1.0, list_sum(list_transform(range(greatest(k, ka + kb - genes), least(ka, kb) + 1), lambda i: exp(lgamma(ka + 1) - lgamma(i + 1) - lgamma(ka - i + 1) + lgamma(genes - ka + 1) - lgamma(kb - i + 1) - lgamma(genes - ka - kb + i + 1) - lgamma(genes + 1) + lgamma(kb + 1) + lgamma(genes - kb + 1))))) AS p FROM g WHERE ka > 0 AND kb > 0)
+    SELECT a, b, genes, ka AS hits_a, kb AS hits_b, k AS shared, round(ka * kb / genes, 6) AS expected, round(p, 6) AS p, p <= 0.05 AS enriched FROM p""")
+def method_overlap(v):
+    h = v.lines.groupBy(F.col("partkey").alias("gene")).agg((F.max("discount") < 0.09).alias("a"), (F.min("tax") > 0.01).alias("b"), (F.avg("quantity") > 25).alias("c"))
+    return pr.method_overlap(h, ["a", "b", "c"])
+
+
+@R.add("""
+    WITH t AS (SELECT protein AS library, partkey % 300 AS precursor, sum(intensity) AS t FROM {peptides} GROUP BY ALL), j AS (SELECT p.protein AS library, p.partkey % 300 AS precursor, p.line, p.intensity, t.t FROM {peptides} p JOIN t ON t.library = p.protein AND t.precursor = p.partkey % 300),
+         r AS (SELECT *, row_number() OVER (PARTITION BY precursor, line ORDER BY round(t, 2) DESC, library, intensity DESC) AS r FROM j)
+    SELECT count(DISTINCT precursor) AS precursors, count(DISTINCT library) AS proteins, count(*) AS transitions, round(count(*) / count(DISTINCT precursor), 1) AS transitions_per_precursor FROM r WHERE r = 1""")
+def library_stats(v):
+    x = v.peptides.select(F.col("protein").alias("library"), (F.col("partkey") % 300).alias("precursor"), "line", "intensity")
+    return pr.library_stats(pr.merge_libraries(x, transition=["precursor", "line"], precursor=["precursor"]), precursor=["precursor"], protein="library")
+
+
+@R.add("""
+    WITH s AS (SELECT partkey % 20 AS analyte, concat_ws(':', orderkey, line) AS sample, price AS quantifier, quantity * 1000 AS qualifier FROM {lines}), r AS (SELECT analyte, avg(qualifier / quantifier) AS ratio FROM s WHERE sample LIKE '%:1' AND analyte <> 7 GROUP BY analyte)
+    SELECT analyte, sample, round(qualifier / quantifier, 6) AS ion_ratio, coalesce(abs(qualifier / quantifier - ratio) / ratio <= 0.3, false) AS id_confirmed FROM s LEFT JOIN r USING (analyte)""")
+def confirm_by_ion_ratio(v):
+    s = v.lines.select((F.col("partkey") % 20).alias("analyte"), F.concat_ws(":", "orderkey", "line").alias("sample"), F.col("price").alias("quantifier"), (F.col("quantity") * 1000).alias("qualifier"))
+    r = s.where("sample like '%:1' and analyte <> 7").groupBy("analyte").agg(F.avg(F.col("qualifier") / F.col("quantifier")).alias("ratio"))
+    return mx.confirm_by_ion_ratio(s, r).select("analyte", "sample", "ion_ratio", "id_confirmed")
+
+
 @R.add()
 def feature_ols(v):
     x = v.counts.withColumn("x", F.log2(F.col("n") + 1)).withColumn("case", F.col("is_case").cast("double")).withColumn("b", F.col("batch").cast("double"))

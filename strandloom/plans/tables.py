@@ -43,6 +43,13 @@ def vcf_stats(v):
     return va.vcf_stats(v.variants.withColumn("alt", F.when(F.col("pos") % 13 == 0, F.concat("alt", F.lit(",TTG"))).otherwise(F.col("alt"))))
 
 
+@R.add(f"""
+    SELECT chrom, pos, ref, alt, least(len(ref), len(alt)) > 1 AND (ref[-1] = alt[-1] OR ref[1] = alt[1]) AS needs_normalizing FROM (SELECT chrom, pos, ref || CASE WHEN pos % 2 = 0 THEN 'T' ELSE '' END AS ref, alt FROM {SPLIT})""")
+def needs_normalizing(v):
+    x = va.split_multiallelic(v.variants).withColumn("ref", F.concat("ref", F.when(F.col("pos") % 2 == 0, "T").otherwise("")))
+    return va.needs_normalizing(x).select("chrom", "pos", "ref", "alt", "needs_normalizing")
+
+
 @R.add(f"""
     SELECT chrom, pos, ref, alt, qual FROM {SPLIT} WHERE ref <> alt AND CASE WHEN len(ref) = 1 AND len(alt) = 1 THEN qual IS NULL OR qual >= 950 ELSE qual IS NULL OR qual >= 1000 END""")
 def hard_filter_variants(v):
@@ -116,7 +123,7 @@ def site_qc(v):
 
 
 @R.add("""
-    WITH c AS (SELECT site, sample, CASE WHEN gq >= 10 THEN gt ELSE './.' END AS gt FROM {calls}),
+    WITH c AS (SELECT site, sample, CASE WHEN gq >= 10 AND ref_depth + alt_depth >= 18 THEN gt ELSE './.' END AS gt FROM {calls}),
          s1 AS (SELECT sample FROM c GROUP BY sample HAVING avg((gt <> './.')::INT) >= 0.5), c1 AS (SELECT * FROM c SEMI JOIN s1 USING (sample)),
          t1 AS (SELECT site FROM c1 GROUP BY site HAVING avg((gt <> './.')::INT) >= 0.6), c2 AS (SELECT * FROM c1 SEMI JOIN t1 USING (site)),
          s2 AS (SELECT sample FROM c2 GROUP BY sample HAVING avg((gt <> './.')::INT) >= 0.5), c3 AS (SELECT * FROM c2 SEMI JOIN s2 USING (sample)),
@@ -125,7 +132,7 @@ def site_qc(v):
          t3 AS (SELECT site FROM c5 GROUP BY site HAVING avg((gt <> './.')::INT) >= 0.6)
     SELECT site, sample, gt FROM c5 SEMI JOIN t3 USING (site)""")
 def iterative_missingness(v):
-    return va.iterative_missingness(v.calls, min_gq=10, sample_rate=0.5, site_rate=0.6).select("site", "sample", "gt")
+    return va.iterative_missingness(v.calls, min_gq=10, min_depth=18, depth=F.col("ref_depth") + F.col("alt_depth"), sample_rate=0.5, site_rate=0.6).select("site", "sample", "gt")
 
 
 @R.add("""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-
-from strandloom.operators import intervals, matrix, reads, sequences, variants
+from strandloom.operators import intervals, matrix, proteins, reads, sequences, variants
 from strandloom.sources import text
 
 READ = "qname string, contig string, start long, stop long, mate_start long, tlen long, mapq int, flag int"
@@ -192,3 +194,25 @@ def test_narrowpeak_rows_are_checked(spark, tmp_path):
         read(good[:9])
     with pytest.raises(ValueError):
         read(("# nothing",))
+
+
+def test_methods_of_one_comparison_overlap(spark):
+    rows = [(k, k < 10, k < 8, k % 2 == 0, False) for k in range(40)]
+    got = {(r.a, r.b): r for r in proteins.method_overlap(spark.createDataFrame(rows, "gene int, x boolean, y boolean, z boolean, none boolean"), ["x", "y", "z", "none"]).collect()}
+    assert set(got) == {("x", "y"), ("x", "z"), ("y", "z")}
+    r = got["x", "y"]
+    assert (r.genes, r.hits_a, r.hits_b, r.shared, r.expected, r.enriched) == (40, 10, 8, 8, 2.0, True)
+    assert r.p == pytest.approx(math.comb(10, 8) / math.comb(40, 8)) and not got["x", "z"].enriched
+
+
+def test_identity_by_ion_ratio(spark):
+    s = spark.createDataFrame([("a", 1, 24500.0, 9600.0), ("a", 2, 58500.0, 9200.0), ("b", 3, 1.0, 0.39), ("a", 4, 0.0, 1.0)], "analyte string, sample int, quantifier double, qualifier double")
+    got = {r.sample: r.id_confirmed for r in matrix.confirm_by_ion_ratio(s, spark.createDataFrame([("a", 0.39)], "analyte string, ratio double")).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_shallow_genotypes_are_missing(spark):
+    rows = [(s, k, "0/1", 60, 30 if (s, k) != (0, 0) else 5) for s in range(2) for k in range(2)]
+    d = spark.createDataFrame(rows, "site int, sample int, gt string, gq int, dp int")
+    assert variants.iterative_missingness(d, min_depth=8, depth=F.col("dp"), sample_rate=0.5, site_rate=0.9).select("site").distinct().collect()[0].site == 1
+    assert variants.iterative_missingness(d, sample_rate=0.5, site_rate=0.9).count() == 4

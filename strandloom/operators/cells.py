@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import tails
-from strandloom.operators.stats import adjust_p, quantiles, rank_sum_test, running
+from strandloom.operators.stats import adjust_p, quantiles, rank_sum_test
 from strandloom.scratch import Scratch
 
 
@@ -102,11 +102,11 @@ def marker_genes(df: DataFrame, cells: DataFrame, *, cluster: str = "cluster", t
     n_all = cells.count()
     size = cells.groupBy(cluster).agg(F.count(F.lit(1)).alias("n1"))
     d = df.where("x > 0").join(cells.select("cell", cluster), "cell")
-    #: Counted once; a gene's ranks run through the buckets of the order of all values, so a gene that very many cells express is many tasks.
-    c = Scratch(df.sparkSession, "markers").saved(d.groupBy("gene", cluster, "x").agg(F.count(F.lit(1)).alias("k")), "counts", stays=True)
+    c = d.groupBy("gene", cluster, "x").agg(F.count(F.lit(1)).alias("k"))
     tie = c.groupBy("gene", "x").agg(F.sum("k").alias("t"))
-    per_gene = c.groupBy("gene").agg(F.sum("k").alias("nz"), F.sum(F.col("k") * F.expm1("x")).alias("_s"))
-    tie = running(tie, "x", {"_c": F.col("t")}, by=["gene"]).withColumn("_r", F.col("_c") - F.col("t") + (F.col("t") + 1) / 2).drop("_c")
+    per_gene = tie.groupBy("gene").agg(F.sum("t").alias("nz"), F.sum(F.col("t") * F.expm1("x")).alias("_s"))
+    before = Window.partitionBy("gene").orderBy("x")
+    tie = tie.withColumn("_r", F.sum("t").over(before) - F.col("t") + (F.col("t") + 1) / 2)
     r = c.join(tie, ["gene", "x"]).join(per_gene, "gene")
     zero = F.lit(n_all) - F.col("nz")
     g = r.groupBy("gene", cluster, "nz", "_s").agg(F.sum(F.col("k") * (F.col("_r") + zero)).alias("_w"), F.sum("k").alias("k1"), F.sum(F.col("k") * F.expm1("x")).alias("_s1"))

@@ -8,7 +8,7 @@ where the other side has intervals at home, again in two at most. Two
 intervals therefore meet at the home level of the longer one, however long it
 is, and a pair is emitted from the bin that holds the greater start, so it
 comes once. Which levels a side uses is one small aggregate of its own columns
-(a row of at most ``LEVELS`` numbers, broadcast), so short intervals aren't
+(a scalar subquery), so short intervals aren't
 repeated for levels that nobody uses.
 """
 
@@ -30,40 +30,44 @@ def _home(start: Column, stop: Column, width: int) -> Column:
     return sum(((length > F.lit(width * STEP**k)).cast("int") for k in range(LEVELS - 1)), F.lit(0))
 
 
-def _bins(start: Column, stop: Column, width: int, level: Column) -> Column:
-    """The one or two bins of an interval at its home level or above (intervals longer than the top level: all that they span)."""
-    w = F.get(F.array(*[F.lit(width * STEP**k) for k in range(LEVELS)]), level)
-    return F.sequence(F.floor(start / w).cast("long"), F.floor((F.greatest(stop, start + 1) - 1) / w).cast("long"))
+def _width(width: int, level: Column) -> Column:
+    return F.get(F.array(*[F.lit(width * STEP**k) for k in range(LEVELS)]), level)
 
 
-def _levels(df: DataFrame, start: Column, stop: Column, width: int) -> DataFrame:
-    """One row: the home levels that occur in a table."""
-    return df.agg(F.collect_set(_home(start, stop, width)).alias("_levels"))
-
-
-def _placed(df: DataFrame, start: Column, stop: Column, width: int, other: DataFrame, *, second: bool = False) -> DataFrame:
-    """A row for each bin in which an interval can meet one of the other side, whose home levels are ``other``.
+def _levels(df: DataFrame, start: Column, stop: Column, width: int, *, second: bool) -> DataFrame:
+    """One row: for each home level of the one side, the kinds and levels at which it meets the other side, which is ``df``.
 
     Kind 0 are meetings at the home level of the second side, kind 1 those at a
     higher home level of the first; a side has home rows of a kind only where
-    the other has intervals as short as that. A row that can meet nothing stays
-    once, with nulls.
+    the other has intervals as short as that.
     """
-    d = df.withColumn("_at", _home(start, stop, width)).crossJoin(F.broadcast(other))  # one row
-    at = F.col("_at")
-    above = F.filter("_levels", lambda x: x > at if second else x >= at)
-    below = F.exists("_levels", lambda x: x <= at if second else x < at)
-    place = lambda kind, level: F.transform(_bins(start, stop, width, level), lambda b: F.struct(F.lit(kind).alias("_kind"), level.alias("_level"), b.alias("_bin")))
-    up = F.flatten(F.transform(above, lambda x: place(int(second), x)))
-    own = F.when(below, place(int(not second), at)).otherwise(F.slice(place(0, at), 1, 0))
-    return d.withColumn("_place", F.explode_outer(F.concat(up, own))).select(*[F.col(f"`{c}`") for c in df.columns], "_place.*")
+    at = lambda kind, level: F.struct(F.lit(kind).alias("_kind"), level.alias("_level"))
+
+    def met(home: Column) -> Column:
+        up = F.transform(F.filter("_l", lambda x: x > home if second else x >= home), lambda x: at(int(second), x))
+        below = F.exists("_l", lambda x: x <= home if second else x < home)
+        return F.concat(up, F.when(below, F.array(at(int(not second), home))).otherwise(F.slice(up, 1, 0)))
+
+    mask = df.agg(F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1), _home(start, stop, width))), F.lit(0)).alias("_m"))
+    held = mask.select(F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda x: F.call_function("shiftright", F.col("_m"), x).bitwiseAND(1) == 1).alias("_l"))
+    return held.select(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), met).alias("_plan"))
+
+
+def _placed(df: DataFrame, start: Column, stop: Column, width: int, plan: DataFrame) -> DataFrame:
+    """A row for each bin in which an interval can meet one of the other side. A row that can meet nothing stays once, with nulls."""
+    own = [F.col(f"`{c}`") for c in df.columns]
+    d = df.select(*own, F.get(plan.scalar(), _home(start, stop, width)).alias("_plan"))
+    d = d.select(*own, F.explode_outer("_plan").alias("_place")).select(*own, "_place.*")
+    w = _width(width, F.col("_level"))
+    first, last = F.floor(start / w).cast("long"), F.floor((F.greatest(stop, start + 1) - 1) / w).cast("long")
+    return d.select(*own, "_kind", "_level", F.explode_outer(F.sequence(first, last)).alias("_bin"))
 
 
 def _meet(left: DataFrame, right: DataFrame, ends: tuple[str, str], others: tuple[str, str], width: int) -> tuple[DataFrame, DataFrame]:
     """Both tables by the bins where they meet; the columns of the second one's bins begin with ``__``."""
     (s, e), (t, f) = (tuple(map(F.col, x)) for x in (ends, others))
-    a = _placed(left, s, e, width, _levels(right, t, f, width))
-    b = _placed(right, t, f, width, _levels(left, s, e, width), second=True)
+    a = _placed(left, s, e, width, _levels(right, t, f, width, second=False))
+    b = _placed(right, t, f, width, _levels(left, s, e, width, second=True))
     return a, b.withColumnsRenamed({c: f"_{c}" for c in _PLACE})
 
 
@@ -78,7 +82,7 @@ def interval_join(a: DataFrame, b: DataFrame, *, contig: str = "contig", start:
     left, right = _meet(left, right, (f"{x}_{start}", f"{x}_{stop}"), (f"{y}_{start}", f"{y}_{stop}"), width)
     greater = F.greatest(f"{x}_{start}", f"{y}_{start}")
     on = (F.col(f"{x}_{contig}") == F.col(f"{y}_{contig}")) & F.expr(_SAME) & (F.col(f"{x}_{start}") < F.col(f"{y}_{stop}")) & (F.col(f"{y}_{start}") < F.col(f"{x}_{stop}"))
-    first = F.get(_bins(greater, greater + 1, width, F.col("_level")), F.lit(0))
+    first = F.floor(greater / _width(width, F.col("_level"))).cast("long")
     out = left.join(right, on & (F.col("_bin") == first))
     if condition is not None:
         out = out.where(condition)

@@ -307,12 +307,13 @@ def validate_cds(df: DataFrame, *, seq: str = "seq", table: int = 1, policy: str
         raise ValueError("policy must be 'strict' or 'permissive'")
     _, starts, stops = genetic_code(table)
     d = df.withColumn("_raw", F.coalesce(F.upper(seq), F.lit(""))).withColumn("_all", codons(F.col("_raw")))
-    pure = lambda c: c.rlike("^[ACGT]{3}$")
+    pure = lambda c: c.isin(list(CODONS))
+    plain = F.col("_raw").rlike("^[ACGT]*$")  # one look at the whole sequence spares one at each codon
     part = lambda at, text, why: F.struct(at.cast("int").alias("offset"), text.alias("segment"), F.lit(why).alias("reason"))
     odd = F.filter(F.transform("_all", lambda c, i: part(i * 3, c, "codon contains non-ACGT symbols")), lambda x: ~pure(x.segment))
     rest = F.length("_raw") % 3
     tail = F.when(rest > 0, F.array(part(F.length("_raw") - rest, F.right("_raw", rest), "incomplete trailing codon"))).otherwise(F.slice(odd, 1, 0))
-    d = d.withColumn("codons", F.filter("_all", pure)).withColumn("discarded", F.concat(odd, tail))
+    d = d.withColumn("codons", F.when(plain, F.col("_all")).otherwise(F.filter("_all", pure))).withColumn("discarded", F.concat(odd, tail))
     last = F.size("codons") - 1
     d = d.withColumn("start_ok", F.coalesce(F.get("codons", F.lit(0)).isin(starts), F.lit(False))).withColumn("stop_ok", F.coalesce(F.get("codons", last).isin(stops), F.lit(False)))
     at = F.transform("codons", lambda c, i: F.when(c.isin(stops) & (i < last), i))
@@ -334,7 +335,13 @@ def validate_cds(df: DataFrame, *, seq: str = "seq", table: int = 1, policy: str
 def codon_usage(df: DataFrame, *, seq: str = "seq", by: list[str] | None = None, **validation) -> DataFrame:
     """Counts and frequencies of the admitted codons of the sequences that ``validate_cds`` accepts with these options; refused ones count for nothing."""
     by = by or []
-    c = validate_cds(df.select(*by, F.col(seq).alias("_seq")), seq="_seq", **validation).where("accepted").select(*by, F.explode("codons").alias("codon"))
+    d = df.select(*by, F.col(seq).alias("_seq"))
+    if validation.get("policy") == "permissive" and not validation.get("require_start", True) and not validation.get("require_terminal_stop", True) and validation.get("allow_internal_stops"):
+        #: Nothing is asked of a sequence as a whole but that it has no white space, so its codons are looked at one by one.
+        one = F.transform(F.array("_seq"), lambda x: F.when(~x.rlike(r"\s"), codons(x)))
+        c = d.select(*by, F.explode(F.get(one, F.lit(0))).alias("codon")).where(F.col("codon").isin(list(CODONS)))
+    else:
+        c = validate_cds(d, seq="_seq", **validation).where("accepted").select(*by, F.explode("codons").alias("codon"))
     g = c.groupBy(*by, "codon").agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))))
 

@@ -310,9 +310,9 @@ def validate_cds(df: DataFrame, *, seq: str = "seq", table: int = 1, policy: str
     pure = lambda c: c.isin(list(CODONS))
     plain = F.col("_raw").rlike("^[ACGT]*$")  # one look at the whole sequence spares one at each codon
     part = lambda at, text, why: F.struct(at.cast("int").alias("offset"), text.alias("segment"), F.lit(why).alias("reason"))
-    odd = F.filter(F.transform("_all", lambda c, i: part(i * 3, c, "codon contains non-ACGT symbols")), lambda x: ~pure(x.segment))
+    odd = F.filter(F.transform("_all", lambda c, i: part(i * 3, c, "letters other than ACGT")), lambda x: ~pure(x.segment))
     rest = F.length("_raw") % 3
-    tail = F.when(rest > 0, F.array(part(F.length("_raw") - rest, F.right("_raw", rest), "incomplete trailing codon"))).otherwise(F.slice(odd, 1, 0))
+    tail = F.when(rest > 0, F.array(part(F.length("_raw") - rest, F.right("_raw", rest), "rest of one or two bases"))).otherwise(F.slice(odd, 1, 0))
     d = d.withColumn("codons", F.when(plain, F.col("_all")).otherwise(F.filter("_all", pure))).withColumn("discarded", F.concat(odd, tail))
     last = F.size("codons") - 1
     d = d.withColumn("start_ok", F.coalesce(F.get("codons", F.lit(0)).isin(starts), F.lit(False))).withColumn("stop_ok", F.coalesce(F.get("codons", last).isin(stops), F.lit(False)))

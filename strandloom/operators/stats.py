@@ -168,6 +168,27 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], *, by: list[str]
     return _summed(bucketed(_written(df), order), order, sums, descending, by).drop("_b")
 
 
+def joined_ties(df: DataFrame, value: str, error: str, *, by: list[str] | None = None) -> DataFrame:
+    """``value`` replaced by the least of its chain of ties, over all rows or within ``by``; ``error`` is dropped.
+
+    A value and the next one are ties if they differ by no more than their
+    rounding errors together, which ``error`` bounds: sums that are equal as
+    numbers differ in their last digits by the order of their terms.
+    """
+    by, reach = by or [], F.struct(value, error)
+    b = bucketed(_written(df.withColumn(error, F.when(F.col(error) < math.inf, F.col(error)).otherwise(F.lit(0.0)))), value)
+    inner, outer = Window.partitionBy(*by, "_b").orderBy(value, error), Window.partitionBy(*by).orderBy("_b")  # outer: one row per bucket
+    last = b.groupBy(*by, "_b").agg(F.max(reach).alias("_last")).select(*by, "_b", F.lag("_last").over(outer).alias("_before"))
+    b = b.join(last if by else F.broadcast(last), [*by, "_b"])
+    before = F.coalesce(F.lag(reach).over(inner), F.col("_before"))
+    apart = F.coalesce(F.col(value) - before[value] > F.col(error) + before[error], F.lit(True))
+    b = b.withColumn("_first", F.when(apart, F.col(value))).drop("_before")
+    starts = b.groupBy(*by, "_b").agg(F.max("_first").alias("_s")).select(*by, "_b", F.max("_s").over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_start"))
+    b = b.join(starts if by else F.broadcast(starts), [*by, "_b"])
+    first = F.max("_first").over(Window.partitionBy(*by, "_b").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))  # of equal values one is marked
+    return b.withColumn(value, F.coalesce(first, F.col("_start"))).drop("_b", "_first", "_start", error)
+
+
 def running_least(df: DataFrame, order: str, sums: dict[str, Column], value: Column, *, out: str, value_out: str = "_v", descending: bool = False, back: bool = True) -> DataFrame:
     """Adds running sums, a value of them, and the least such value from the far end of the order back to each row (``back=False``: from the near end)."""
     b = _summed(bucketed(_written(df), order), order, sums, descending).withColumn(value_out, value)
@@ -254,11 +275,14 @@ def paired_t(df: DataFrame, *, feature: str = "feature", pair: str = "donor", va
     return g.select(feature, "n", "mean_diff", t.alias("t"), (F.col("n") - 1).alias("df")).withColumn("p", tails.t_p("t", F.col("df").cast("double")))
 
 
-def binned_auc(df: DataFrame, *, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
-    """ROC area by ranks and PR area by trapezoids over distinct scores, per group: n, positives, roc_auc, pr_auc. One class alone gives null."""
+def binned_auc(df: DataFrame, *, score: str = "score", label: str = "label", by: list[str] | None = None, error: str | None = None) -> DataFrame:
+    """ROC area by ranks and PR area by trapezoids over distinct scores, per group: n, positives, roc_auc, pr_auc. One class alone gives null. Scores within the bounds of their rounding errors, column ``error``, are ties."""
     by = by or []
     d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    g = d.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("tp"), F.sum(1 - F.col(label).cast("long")).alias("fp"))
+    sums = [F.sum(F.col(label).cast("long")).alias("tp"), F.sum(1 - F.col(label).cast("long")).alias("fp")]
+    g = d.groupBy(*by, score).agg(*sums, *([F.max(error).alias(error)] if error else []))
+    if error:
+        g = joined_ties(g, score, error, by=by).groupBy(*by, score).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
     c = running(g, score, {"ctp": F.col("tp"), "cfp": F.col("fp")}, by=by, descending=True)
     total = g.groupBy(*by).agg(F.sum("tp").alias("pos"), F.sum("fp").alias("neg"))
     c = c.join(total, by) if by else c.crossJoin(F.broadcast(total))

@@ -1,24 +1,30 @@
 """Held-out checks of two-class models: whole batches left out, and whole patients per fold.
 
 No model is fitted twice over the rows. What a fit needs are sums, and those
-without a fold are the sums of all rows less the fold's own; so one aggregate
-over the rows gives every fold's fit, however many folds there are, and one
-more pass scores each row by the model that never saw its fold.
+without a fold are the sums of all rows less the fold's own, or the moments of
+the other folds merged; so one aggregate over the rows gives every fold's fit,
+however many folds there are, and one more pass scores each row by the model
+that never saw its fold.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators.stats import binned_auc
+from strandloom.operators.stats import binned_auc, joined_ties
 from strandloom.scratch import Scratch
 
 #: Rows of a table of folds that are broadcast after counting them.
 BROADCAST_FOLDS = 100_000
 
+#: Twice the relative rounding error of one operation on doubles.
+ROUNDING = 2.0**-52
+
 
 def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
@@ -98,26 +104,49 @@ def fold_of(unit: str, folds: int, seed: int) -> Column:
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
 
 
+def _moments(v: Column, k: int) -> list[Column]:
+    """Count, mean and sum of squares about the mean of one class in a fold; exact where all values are equal."""
+    n, same = F.count(v).cast("double"), F.min(v) == F.max(v)
+    m, q = F.when(same, F.min(v)).otherwise(F.avg(v)), F.when(same, F.lit(0.0)).otherwise(F.var_pop(v) * n)
+    return [n.alias(f"n{k}"), F.coalesce(m, F.lit(0.0)).alias(f"m{k}"), F.coalesce(q, F.lit(0.0)).alias(f"q{k}")]
+
+
+def _merged(a: Column, b: Column, k: int) -> list[Column]:
+    """The moments of two disjoint sets of rows together."""
+    n, off = a[f"n{k}"] + b[f"n{k}"], b[f"m{k}"] - a[f"m{k}"]
+    share = b[f"n{k}"] / F.greatest(n, F.lit(1.0))
+    return [n.alias(f"n{k}"), (a[f"m{k}"] + off * share).alias(f"m{k}"), (a[f"q{k}"] + b[f"q{k}"] + off * off * a[f"n{k}"] * share).alias(f"q{k}")]
+
+
 def grouped_cv_auc(df: DataFrame, *, unit: str = "patient", label: str = "label", feature: str = "feature", value: str = "x", sample: str = "sample", folds: int = 5, top: int = 20, seed: int = 1) -> DataFrame:
-    """AUC per fold of held-out units, features chosen inside the fold by Welch's t on the other folds; the score is the mean of the chosen features, signed by their difference."""
+    """AUC per fold of held-out units, features chosen inside the fold by Welch's t on the other folds; the score is the mean of the chosen features, signed by their difference.
+
+    Scores or t that differ by no more than their rounding errors are ties, and
+    features that tie go by name; a difference of means within its error has
+    sign 0. Features without spread in either class, or with values that are
+    not finite, are not tested; rows with a null unit, label or value are left
+    out. A fold trains on the merged moments of the others: no sums of squares
+    are subtracted, so values far from zero or outliers of the fold cost no digits.
+    """
     s = Scratch(df.sparkSession, "grouped_cv")
     v = F.col(value).cast("double")
-    d = s.saved(df.where(v.isNotNull() & F.col(label).isNotNull()).select(F.col(sample).alias("sample"), F.col(label).cast("int").alias("label"), F.col(feature).alias("feature"), v.alias("v"), fold_of(unit, folds, seed).alias("fold")), "rows", stays=True)
+    d = df.where(v.isNotNull() & F.col(label).isNotNull() & F.col(unit).isNotNull())
+    d = s.saved(d.select(F.col(sample).alias("sample"), F.col(label).cast("int").alias("label"), F.col(feature).alias("feature"), v.alias("v"), fold_of(unit, folds, seed).alias("fold")), "rows")
     sides = {1: F.col("label") == 1, 0: F.col("label") != 1}
-    part = d.groupBy("feature", "fold").agg(*[f(F.when(c, e)).alias(f"{n}{k}") for k, c in sides.items() for n, f, e in (("n", F.count, F.col("v")), ("s", F.sum, F.col("v")), ("q", F.sum, F.col("v") * F.col("v")))])
-    part = s.saved(part.fillna(0), "sums")
-    names = [f"{n}{k}" for k in sides for n in "nsq"]
-    total = part.groupBy("feature").agg(*[F.sum(c).alias(f"t_{c}") for c in names])
-    #: A fold in which a feature has no row trains on all of the feature's rows.
-    each = total.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).join(part, ["feature", "fold"], "left").fillna(0, names)
-    n, m, e = {}, {}, {}
-    for k in sides:
-        n[k], total_s, total_q = (F.col(f"t_{c}{k}") - F.col(f"{c}{k}") for c in "nsq")
-        m[k] = total_s / F.nullif(n[k], F.lit(0))
-        e[k] = F.greatest(F.lit(0.0), (total_q - n[k] * m[k] * m[k]) / F.nullif(n[k] - 1, F.lit(0))) / F.nullif(n[k], F.lit(0))
-    t = F.when((n[1] >= 2) & (n[0] >= 2) & (e[1] + e[0] > 1e-18), (m[1] - m[0]) / F.sqrt(e[1] + e[0]))
-    best = each.select("fold", "feature", t.alias("t")).where("t is not null").withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy(F.abs("t").desc(), "feature"))).where(F.col("r") <= top)
-    best = s.saved(best.select("fold", "feature", F.signum("t").alias("sign")), "chosen", stays=True)
+    own = d.groupBy("feature", "fold").agg(*[c for k, side in sides.items() for c in _moments(F.when(side, F.col("v")), k)])
+    parts = own.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("fold", *[f"{c}{k}" for k in sides for c in "nmq"]))).alias("parts"))  # a struct per fold
+    none = F.struct(*[F.lit(0.0).alias(f"{c}{k}") for k in sides for c in "nmq"])
+    without = lambda f: F.aggregate(F.filter("parts", lambda x: x.fold != f), none, lambda a, b: F.struct(*[c for k in sides for c in _merged(a, b, k)]))
+    each = parts.select("feature", F.explode(F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: F.struct(f.alias("fold"), without(f).alias("rest")))).alias("x")).select("feature", "x.fold", "x.rest.*")
+    n, m, q = ({k: F.col(f"{c}{k}") for k in sides} for c in "nmq")
+    se = F.sqrt(sum(q[k] / F.nullif(n[k] - 1, F.lit(0)) / F.nullif(n[k], F.lit(0)) for k in sides))
+    size = sum(F.sqrt(q[k] / n[k] + m[k] * m[k]) for k in sides)
+    t = each.where("n1 >= 2 and n0 >= 2").withColumn("se", se).where((F.col("se") > 0) & (F.col("se") < math.inf)).withColumn("t", (m[1] - m[0]) / F.col("se"))
+    t = t.select("fold", "feature", "t", F.abs("t").alias("far"), ((n[1] + n[0]) * ROUNDING * (size / F.col("se") + F.abs("t"))).alias("error"))
+    t = t.select("fold", "feature", F.when(F.col("far") > F.col("error"), F.signum("t")).otherwise(F.lit(0.0)).alias("sign"), "far", "error")
+    best = joined_ties(t, "far", "error", by=["fold"]).withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy(F.col("far").desc(), "feature"))).where(F.col("r") <= top).drop("far", "r")
+    x = d.join(F.broadcast(best), ["fold", "feature"])  # folds x top rows
+    scored = x.groupBy("fold", "sample", "label").agg(F.avg(F.col("v") * F.col("sign")).alias("score"), ((F.count(F.lit(1)) + 2) * ROUNDING * F.avg(F.abs("v"))).alias("error"))
+    out = binned_auc(scored, by=["fold"], error="error")
     s.close()
-    scored = d.join(F.broadcast(best), ["fold", "feature"]).groupBy("fold", "sample", "label").agg(F.avg(F.col("v") * F.col("sign")).alias("score"))  # folds x top rows
-    return binned_auc(scored, by=["fold"])
+    return out

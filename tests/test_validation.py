@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from strandloom.operators import stats, validation
 
 
@@ -70,3 +74,76 @@ def test_areas_of_groups_run_through_buckets(spark, monkeypatch):
     d = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(g, y, s)], "g int, label int, score double")
     for r in stats.binned_auc(d, by=["g"]).collect():
         assert r.roc_auc == pytest.approx(auc(y[g == r.g], s[g == r.g]))
+
+
+def fold_of(unit, folds):
+    return int(hashlib.md5(f"1:{unit}".encode()).hexdigest()[:8], 16) % folds
+
+
+def test_scores_equal_as_numbers_are_ties(spark):
+    rng = np.random.default_rng(3)
+    unit, x = rng.integers(0, 20, 400), rng.integers(2, 9, (400, 5))
+    y = (rng.random(400) < 0.4).astype(int)
+    x[:, 0] += y
+    rows = [(f"u{u}", i, int(t), f"f{j}", int(v)) for i, (u, t, row) in enumerate(zip(unit, y, x)) for j, v in enumerate(row)]
+    d = spark.createDataFrame(rows, "patient string, sample long, label int, feature string, n long").withColumn("x", F.log("n"))
+    got = {r.fold: r for r in validation.grouped_cv_auc(d.repartition(4, F.rand(1)), folds=3, top=4).collect()}
+    fold, v = np.array([fold_of(f"u{u}", 3) for u in unit]), np.log(x)
+    for f in range(3):
+        a, b = v[(fold != f) & (y == 1)], v[(fold != f) & (y == 0)]
+        t = (a.mean(0) - b.mean(0)) / np.sqrt(a.var(0, ddof=1) / len(a) + b.var(0, ddof=1) / len(b))
+        best = np.argsort(-np.abs(t))[:4]
+        score = [np.prod([Fraction(int(x[i, j])) ** int(np.sign(t[j])) for j in best]) for i in range(400)]  # the exponential of four times the mean
+        steps = [(sum(y[i] for i in s), len(s)) for s in ([*g] for _, g in itertools.groupby(sorted(np.flatnonzero(fold == f), key=lambda i: score[i], reverse=True), key=lambda i: score[i]))]
+        pos, n = int(sum(tp for tp, _ in steps)), int(sum(k for _, k in steps))
+        assert len(steps) < n - 10 and got[f].n == n
+        roc = pr = ctp = seen = 0
+        for tp, k in steps:
+            before = Fraction(int(ctp), seen) if seen else 1
+            ctp, seen = ctp + int(tp), seen + k
+            roc += (k - int(tp)) * (ctp - Fraction(int(tp), 2))
+            pr += Fraction(int(tp), pos) * (Fraction(ctp, seen) + before) / 2
+        assert got[f].roc_auc == pytest.approx(float(roc / (pos * (n - pos))), abs=1e-12)
+        assert got[f].pr_auc == pytest.approx(float(pr), abs=1e-12)
+
+
+def test_features_without_spread_are_not_chosen(spark):
+    rng = np.random.default_rng(5)
+    unit = rng.integers(0, 12, 90)
+    y = (rng.random(90) < 0.5).astype(int)
+    shift = 1e9 + 0.01 * (rng.normal(size=90) + 1.5 * y)  # its spread is lost in sums of squares
+    flat = np.where(y == 1, 0.1, 0.3)
+    noise = rng.normal(size=90)
+    rows = [(f"u{u}" if u else None, i, int(t), f, float(v[i])) for i, (u, t) in enumerate(zip(unit, y)) for f, v in (("flat", flat), ("noise", noise), ("shift", shift))]
+    rows += [("u1", 0, 1, "rare", 5.0), ("u2", 1, 0, "rare", 1.0), ("u3", 2, 0, "endless", float("inf"))]
+    d = spark.createDataFrame(rows, "patient string, sample long, label int, feature string, x double")
+    got = {r.fold: r for r in validation.grouped_cv_auc(d, folds=2, top=1).collect()}
+    fold = np.array([fold_of(f"u{u}", 2) if u else -1 for u in unit])  # samples of no known patient are in no fold
+    for f in range(2):
+        assert got[f].n == (fold == f).sum() and got[f].roc_auc == pytest.approx(auc(y[fold == f], shift[fold == f]))
+
+
+def test_features_of_equal_t_go_by_name(spark):
+    rng = np.random.default_rng(8)
+    unit, y = rng.integers(0, 15, 300), rng.integers(0, 2, 300)
+    fold = np.array([fold_of(f"u{u}", 2) for u in unit])
+    x = rng.random(300) + 0.3 * y
+    others = [np.where(fold == 0, 1 - x, 3 * x) * k / 7 for k in range(1, 10)]  # as far apart as x in either fold, with the other sign in one
+    rows = [(f"u{u}", i, int(t), f"f{j}", float(v[i])) for i, (u, t) in enumerate(zip(unit, y)) for j, v in enumerate([x, *others])]
+    d = spark.createDataFrame(rows, "patient string, sample long, label int, feature string, x double")
+    got = {r.fold: r for r in validation.grouped_cv_auc(d.repartition(4, F.rand(2)), folds=2, top=1).collect()}
+    for f in range(2):
+        assert got[f].roc_auc == pytest.approx(auc(y[fold == f], x[fold == f]))
+
+
+@pytest.mark.parametrize("by", [["g"], None])
+def test_chains_of_ties_cross_buckets(spark, monkeypatch, by):
+    monkeypatch.setattr(stats, "BUCKET_ROWS", 9)
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v), 0.6) for g, v in zip(rng.integers(0, 3, 300), rng.integers(0, 400, 300))] + [(0, float("-inf"), float("inf")), (0, float("inf"), float("inf")), (0, None, None)]
+    d = spark.createDataFrame(rows, "g int, v double, e double").withColumn("was", F.col("v"))
+    got = sorted((r.g if by else 0, r.was, r.v) for r in stats.joined_ties(d, "v", "e", by=by).collect() if r.was is not None)
+    assert len(got) == 302
+    for (g, was, v), (h, then, w) in itertools.pairwise(got):
+        assert w == (v if g == h and then - was <= 1.2 else then)
+    assert got[0][1] == got[0][2]

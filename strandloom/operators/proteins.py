@@ -261,10 +261,15 @@ def match_spectra(query: DataFrame, library: DataFrame, *, tolerance: float = 0.
 
 
 def kinase_activity(sites: DataFrame, prior: DataFrame, *, least: int = 2) -> DataFrame:
-    """z per kinase = (mean of its sites - mean of all) sqrt(m) / sd of all, over finite values; sites (gene, residue, value), prior (kinase, gene, residue)."""
+    """z per kinase = (mean of its sites - mean of all) sqrt(m) / sd of all, over finite values; sites (gene, residue, value), prior (kinase, gene, residue).
+
+    Values that are equal up to rounding (1e-12 of their size) have no spread:
+    z, p and q are null.
+    """
     s = sites.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
     g = s.join(prior.distinct(), ["gene", "residue"]).groupBy("kinase").agg(F.count(F.lit(1)).alias("m"), F.avg("value").alias("mean")).where(F.col("m") >= least)
-    g = g.crossJoin(s.agg(F.avg("value").alias("_a"), F.stddev_samp("value").alias("_s")))  # one row
+    varied = F.max("value") - F.min("value") > 1e-12 * F.max(F.abs("value"))
+    g = g.crossJoin(s.agg(F.avg("value").alias("_a"), F.when(varied, F.stddev_samp("value")).alias("_s")))  # one row
     g = g.select("kinase", "m", "mean", ((F.col("mean") - F.col("_a")) * F.sqrt("m") / F.col("_s")).alias("z"))
     return adjust_p(g.withColumn("p", tails.norm_two_sided("z")))
 

@@ -76,7 +76,7 @@ def _rolls(unit: pd.Series, before: pd.Series) -> pd.Series:
     return pd.Series([roll_left(u, b) for u, b in zip(unit, before)], dtype="int32")
 
 
-def normalize_variant(variants: DataFrame, reference: DataFrame, *, chunk: int = 10_000, look: int = 64) -> DataFrame:
+def normalize_variant(variants: DataFrame, reference: DataFrame, *, chunk: int = 10_000, look: int = 64, anchor_after: bool = False) -> DataFrame:
     """Rows of one ALT each, trimmed and left-aligned against ``reference`` (chrom, chunk, seq: consecutive stretches of ``chunk`` bases); positions are 1-based.
 
     Substitutions never need the reference: they are trimmed by built-ins. An
@@ -84,8 +84,10 @@ def normalize_variant(variants: DataFrame, reference: DataFrame, *, chunk: int =
     the stretch with the base before it and moves left through the ``look``
     bases there; those that reach the end of what they see go into another
     round, from where they are and through whole stretches, until none is left.
-    At the start of a contig there is no base to anchor on and an allele stays
-    empty. A stretch that a variant needs and ``reference`` lacks is an error.
+    At the start of a contig there is no base before to anchor on: an allele
+    stays empty, or with ``anchor_after`` both end with the base after, as VCF
+    has it (but where an allele came in empty there). A stretch that a variant
+    needs and ``reference`` lacks is an error.
     Rows with a null allele or position stay as they are.
     """
     s, rolls = Scratch(variants.sparkSession, "normalize"), F.pandas_udf(_rolls, "int")
@@ -98,7 +100,8 @@ def normalize_variant(variants: DataFrame, reference: DataFrame, *, chunk: int =
     done = [rest.where(alone).select(*keep, "pos", "ref", "alt"), _trimmed(rest.where(~alone)).select(*keep, "pos", "ref", "alt")]
     n = F.abs(F.length("ref") - F.length("alt"))
     todo = v.where(shift).withColumn("deleted", F.length("ref") > F.length("alt")).withColumn("unit", F.when(F.col("deleted"), F.left("ref", n)).otherwise(F.left("alt", n)))
-    todo = s.saved(todo.select(*keep, "pos", "deleted", "unit"), "todo")
+    after = F.left(F.when(F.col("deleted"), F.col("alt")).otherwise(F.col("ref")), F.lit(1))  # the first base that both end with
+    todo = s.saved(todo.select(*keep, "pos", "deleted", "unit", after.alias("_after")), "todo")
     stretch = reference.select("chrom", F.col("chunk").cast("long").alias("_chunk"), F.col("seq").alias("_seq"))
     while not todo.isEmpty():
         j = todo.withColumn("_chunk", F.floor((F.col("pos") - 2) / chunk).cast("long")).join(stretch, ["chrom", "_chunk"], "left")
@@ -108,13 +111,15 @@ def normalize_variant(variants: DataFrame, reference: DataFrame, *, chunk: int =
         j = j.withColumn("_seen", seen).withColumn("_s", rolls("unit", "_seen")).drop("_seq", "_chunk")
         turn = F.col("_s") % F.length("unit")
         j = j.withColumn("unit", F.concat(F.right("unit", turn), F.expr("left(unit, length(unit) - _s % length(unit))"))).withColumn("pos", F.col("pos") - F.col("_s"))
+        j = j.withColumn("_after", F.when(F.col("_s") > 0, F.left("unit", F.lit(1))).otherwise(F.col("_after")))  # a unit that has moved begins with the base after it
         at_start = F.col("pos") == 1
         j = s.saved(j.withColumn("_open", (F.col("_s") == F.length("_seen")) & ~at_start), "rolled", stays=True)
         anchor = F.when(at_start, "").otherwise(F.substr("_seen", F.length("_seen") - F.col("_s"), F.lit(1)))
         end = j.where("not _open").withColumn("_a", anchor)
-        long, short = F.concat("_a", "unit"), F.col("_a")
+        tail = F.when(at_start, F.col("_after")).otherwise("") if anchor_after else F.lit("")
+        long, short = F.concat("_a", "unit", tail), F.concat("_a", tail)
         done.append(end.select(*keep, (F.col("pos") - F.length("_a")).alias("pos"), F.when(F.col("deleted"), long).otherwise(short).alias("ref"), F.when(F.col("deleted"), short).otherwise(long).alias("alt")))
-        todo, look = j.where("_open").select(*keep, "pos", "deleted", "unit"), chunk
+        todo, look = j.where("_open").select(*keep, "pos", "deleted", "unit", "_after"), chunk
     s.close()
     out = done[0]
     for d in done[1:]:

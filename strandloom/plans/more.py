@@ -288,4 +288,4 @@ def normalize_variant(v):
     x = d.withColumn("j", F.explode(F.array(*[F.lit(k) for k in range(5)]))).withColumn("k", 1 + F.col("j") % 3).withColumn("p", 100 + (F.col("id") * 7 + F.col("j") * 13) % (F.col("n") - 150))
     x = x.select(F.col("id").alias("chrom"), F.col("j").alias("number"), F.col("p").alias("pos"), F.expr("substr(seq, cast(p as int), k + 1)").alias("ref"), F.expr("substr(seq, cast(p as int), 1)").alias("alt"))
     ref = d.select(F.col("id").alias("chrom"), F.posexplode(F.regexp_extract_all("seq", F.lit(".{1,1000}"), F.lit(0))).alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("long"))
-    return va.normalize_variant(x, ref, chunk=1000)
+    return va.normalize_variant(x, ref, chunk=1000, anchor_after=True)

@@ -293,27 +293,47 @@ def expand_site_multiplicity(df: DataFrame, *, ids: list[str], probability: str
     return d.where(F.col("value") > 0).select(*ids, F.regexp_extract("_c", pattern, 1).alias("run"), F.regexp_extract("_c", pattern, 2).cast("int").alias("multiplicity"), F.log2(F.col("value").cast("double")).alias("log2"))
 
 
-def _ols(pdf: pd.DataFrame, design: list[str], y: str, term: str) -> tuple:
-    d = pdf[[*design, y]].dropna()
-    x = np.column_stack([np.ones(len(d)), d[design].to_numpy(float)])
-    if len(d) <= x.shape[1] or np.linalg.matrix_rank(x) < x.shape[1]:
-        return len(d), None, None, None, None
-    b, *_ = np.linalg.lstsq(x, d[y].to_numpy(float), rcond=None)
-    df = len(d) - x.shape[1]
-    s2 = float(((d[y].to_numpy(float) - x @ b) ** 2).sum() / df)
-    k = design.index(term) + 1
-    unscaled = float(np.linalg.inv(x.T @ x)[k, k])
-    return len(d), float(b[k]), unscaled, s2, float(df)
+def _ols(moments: list[np.ndarray], k: int, at: int) -> pd.DataFrame:
+    """Slope, unscaled variance, residual variance and degrees of freedom of design column ``at`` of many features, from their counts and their covariances (upper triangles by row, the value last)."""
+    n, m = moments[0], np.empty((len(moments[0]), k + 1, k + 1))
+    for (i, j), c in zip([(i, j) for i in range(k + 1) for j in range(i, k + 1)], moments[1:]):
+        m[:, i, j] = m[:, j, i] = c * n
+    out = np.full((4, len(n)), np.nan)
+    sd = np.sqrt(np.diagonal(m, axis1=1, axis2=2)[:, :k])
+    some = np.flatnonzero((n > k + 1) & np.isfinite(m).all(axis=(1, 2)) & (sd > 0).all(axis=1))
+    r = m[some][:, :k, :k] / (sd[some][:, :, None] * sd[some][:, None, :])
+    full = np.linalg.eigvalsh(r)[:, 0] > 1e-11 if len(some) else np.zeros(0, bool)
+    some, r = some[full], r[full]
+    if len(some):
+        inverse = np.linalg.inv(r) / (sd[some][:, :, None] * sd[some][:, None, :])
+        xy, yy, df = m[some][:, :k, k], m[some][:, k, k], n[some] - k - 1
+        beta = np.einsum("nij,nj->ni", inverse, xy)
+        rest = yy - (beta * xy).sum(axis=1)
+        out[:, some] = beta[:, at], inverse[:, at, at], np.where(rest > 1e-13 * yy, rest, 0.0) / df, df
+    return pd.DataFrame(dict(zip(("beta", "unscaled", "s2", "df"), out)))
 
 
 def feature_ols(df: DataFrame, *, design: list[str], term: str, feature: str = "feature", value: str = "x") -> DataFrame:
-    """Least squares per feature on numeric covariates over observed values: n, beta, se, s2, df, t, p for one term; rank-deficient features are null."""
-    kind = df.schema[feature].dataType.simpleString()
+    """Least squares per feature on numeric covariates over observed values: n, beta, se, s2, df, t, p for one term; rank-deficient features are null.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf[feature].iloc[0], *_ols(pdf, design, value, term))], columns=[feature, "n", "beta", "unscaled", "s2", "df"])
+    A feature's covariances come from one aggregation, so none lies in a task
+    whole. Covariates whose correlations have an eigenvalue of 1e-11 or less
+    are rank-deficient; residuals below 1e-13 of the value's own squares are
+    rounding and count as 0.
+    """
+    names = [*design, value]
+    ok = F.lit(True)
+    for c in names:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    d = df.select(feature, *[F.when(ok, F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(names)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    g = d.groupBy(feature).agg(F.count("_0").alias("n"), *[F.covar_pop(f"_{i}", f"_{j}").alias(f"_{i}_{j}") for i, j in pairs])
+
+    @F.pandas_udf("beta double, unscaled double, s2 double, df double")
+    def solved(*moments: pd.Series) -> pd.DataFrame:
+        return _ols([m.to_numpy(float, na_value=np.nan) for m in moments], len(design), design.index(term))
 
-    g = df.select(feature, *design, value).groupBy(feature).applyInPandas(one, f"{feature} {kind}, n long, beta double, unscaled double, s2 double, df double")
+    g = g.withColumn("_f", solved("n", *[f"_{i}_{j}" for i, j in pairs])).select(feature, "n", "_f.*")
     g = g.withColumn("se", F.sqrt(F.col("unscaled") * F.col("s2"))).withColumn("t", F.col("beta") / F.nullif("se", F.lit(0.0)))
     return g.withColumn("p", tails.t_p("t", "df"))
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 
+from strandloom.functions import tails
+from strandloom.operators import matrix as mx
 from strandloom.operators import proteins as pr
 from strandloom.operators import variants as va
 from strandloom.plans import registry
@@ -39,3 +42,41 @@ def test_normalize_variant_gives_the_rows_of_its_sql_at_contig_starts(spark, tmp
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert got == sorted(con.execute(registry.ORACLES["normalize_variant"]).fetchall())
     assert any(pos == 1 and alt for _, _, pos, _, alt in got)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_least_squares_go_by_sums_and_equal_plain_fits(spark):
+    rng, rows = np.random.default_rng(3), []
+    for f in range(80):
+        for s in range(int(rng.integers(2, 13))):
+            c, b = float(s % 2), float(rng.normal() * 1e-3 + 5e4 if f % 2 else s // 3)
+            rows.append((f, float(rng.normal() + c), c if f % 10 else 1.0, b if f % 7 else c))
+    rows += [(80, 1.0, None, 2.0), (81, None, 1.0, 2.0), *[(82, 3.0, float(s % 2), float(s // 2)) for s in range(6)], *[(83, float(s % 2), float(s % 2), float(s // 2)) for s in range(6)], (0, float("nan"), 1.0, 1.0)]
+    d = spark.createDataFrame(rows, "feature long, x double, c double, b double").repartition(5)
+    fitted = mx.feature_ols(d, design=["c", "b"], term="c")
+    assert "FlatMapGroups" not in plan_of(fitted)
+    for r in fitted.collect():
+        v = np.array([t[1:] for t in rows if t[0] == r.feature and None not in t and t[1] == t[1]]).reshape(-1, 3)
+        x = np.column_stack([np.ones(len(v)), v[:, 1] - v[:1, 1].sum(), v[:, 2] - v[:1, 2].sum()])
+        assert r.n == len(v)
+        if len(v) <= 3 or np.linalg.matrix_rank(x) < 3:
+            assert (r.beta, r.se, r.df, r.t, r.p) == (None,) * 5
+            continue
+        b = np.linalg.lstsq(x, v[:, 0], rcond=None)[0]
+        s2 = ((v[:, 0] - x @ b) ** 2).sum() / (len(v) - 3)
+        assert r.beta == pytest.approx(b[1], rel=1e-6, abs=1e-9) and r.s2 == pytest.approx(s2, rel=1e-6, abs=1e-12) and r.df == len(v) - 3
+        if s2 > 1e-20:
+            assert r.se == pytest.approx(np.sqrt(s2 * np.linalg.inv(x.T @ x)[1, 1]), rel=1e-6) and r.p == pytest.approx(tails.t_two_sided(r.t, r.df), abs=1e-12)
+        else:
+            assert (r.se, r.t, r.p) == (0.0, None, None)
+
+
+def test_t_tails_of_arrays_equal_single_ones():
+    rng = np.random.default_rng(4)
+    t, df = rng.normal(0, 4, 3000), rng.choice([1, 2, 3, 9, 50.5, 1e4], 3000)
+    assert np.abs(tails.t_two_sided_all(t, df) - [tails.t_two_sided(a, b) for a, b in zip(t.tolist(), df.tolist())]).max() < 1e-10
+    odd = tails.t_two_sided_all(np.array([0.0, np.inf, -5.0, np.nan, 2.0]), np.array([5, 4, 0, 5, np.nan]))
+    assert odd[:2].tolist() == [1.0, 0.0] and np.isnan(odd[2:]).all()

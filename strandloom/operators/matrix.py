@@ -341,14 +341,20 @@ def feature_ols(df: DataFrame, *, design: list[str], term: str, feature: str = "
 def moderated_t(df: DataFrame) -> DataFrame:
     """Variances of ``feature_ols`` shrunk to a common prior (by moments of their logs), with the t and p that follow."""
 
+    def each(d: pd.Series, f) -> np.ndarray:
+        """f of half the degrees of freedom, once for each distinct number of them; NaN for none."""
+        return d.map({b: f(b / 2) for b in d.dropna().unique() if b > 0}).to_numpy(float, na_value=np.nan)
+
     @F.pandas_udf("double")
     def e_of(s2: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([None if not a or a != a or not b else np.log(a) - tails.digamma(b / 2) + np.log(b / 2) for a, b in zip(s2, d)], dtype="float64")
+        a = s2.where(s2 > 0).to_numpy(float, na_value=np.nan)
+        return pd.Series(np.log(a) - each(d, lambda h: tails.digamma(h) - math.log(h)))
 
     @F.pandas_udf("double")
     def tri(d: pd.Series) -> pd.Series:
-        return pd.Series([None if not b or b != b else tails.trigamma(b / 2) for b in d], dtype="float64")
+        return pd.Series(each(d, tails.trigamma))
 
+    df = Scratch(df.sparkSession, "moderated").saved(df, "terms", stays=True)
     m = df.withColumn("_e", e_of("s2", "df")).agg(F.avg("_e"), F.var_samp("_e"), F.avg(tri("df"))).first()
     if m[0] is None or m[1] is None:
         return df.withColumn("s2_post", F.col("s2")).withColumn("df_total", F.col("df")).withColumn("t_mod", F.col("t")).withColumn("p_mod", F.col("p"))

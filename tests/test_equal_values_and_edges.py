@@ -80,3 +80,17 @@ def test_t_tails_of_arrays_equal_single_ones():
     assert np.abs(tails.t_two_sided_all(t, df) - [tails.t_two_sided(a, b) for a, b in zip(t.tolist(), df.tolist())]).max() < 1e-10
     odd = tails.t_two_sided_all(np.array([0.0, np.inf, -5.0, np.nan, 2.0]), np.array([5, 4, 0, 5, np.nan]))
     assert odd[:2].tolist() == [1.0, 0.0] and np.isnan(odd[2:]).all()
+
+
+def test_priors_of_variances_read_one_written_table(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f, float(rng.normal()), float(s % 2)) for f in range(50) for s in range(4 + f % 4)]
+    fitted = mx.feature_ols(spark.createDataFrame(rows, "feature long, x double, c double"), design=["c"], term="c")
+    got = mx.moderated_t(fitted)
+    assert "FileScan" in plan_of(got) and "covar_pop" not in plan_of(got)
+    r = {x.feature: x for x in got.collect()}
+    e = [math.log(x.s2) - tails.digamma(x.df / 2) + math.log(x.df / 2) for x in r.values()]
+    spread = np.var(e, ddof=1) - np.mean([tails.trigamma(x.df / 2) for x in r.values()])
+    d0 = 2 * tails.trigamma_inverse(spread) if spread > 0 else math.inf
+    s0 = math.exp(np.mean(e) + (tails.digamma(d0 / 2) - math.log(d0 / 2) if d0 < math.inf else 0))
+    assert r[7].s2_post == pytest.approx((d0 * s0 + r[7].df * r[7].s2) / (d0 + r[7].df) if d0 < math.inf else s0)

@@ -591,7 +591,8 @@ def clr_transform(df: DataFrame, *, feature: str = "feature", sample: str = "sam
 
 def differential_taxa(df: DataFrame, samples: DataFrame, *, design: list[str], term: str, least: int = 3, feature: str = "feature", sample: str = "sample", value: str = "n") -> DataFrame:
     """Prevalence filter, CLR, least squares per taxon with covariates, BH."""
-    c = clr_transform(prevalence_filter(df, least=least, feature=feature, sample=sample, value=value), feature=feature, sample=sample, value=value)
+    kept = Scratch(df.sparkSession, "taxa").saved(prevalence_filter(df, least=least, feature=feature, sample=sample, value=value), "kept", stays=True)  # read several times
+    c = clr_transform(kept, feature=feature, sample=sample, value=value)
     t = feature_ols(c.join(samples, sample), design=design, term=term, feature=feature, value="clr")
     return adjust_p(t.select(feature, "n", "beta", "se", "df", "t", "p"))
 

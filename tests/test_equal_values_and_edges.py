@@ -94,3 +94,19 @@ def test_priors_of_variances_read_one_written_table(spark):
     d0 = 2 * tails.trigamma_inverse(spread) if spread > 0 else math.inf
     s0 = math.exp(np.mean(e) + (tails.digamma(d0 / 2) - math.log(d0 / 2) if d0 < math.inf else 0))
     assert r[7].s2_post == pytest.approx((d0 * s0 + r[7].df * r[7].s2) / (d0 + r[7].df) if d0 < math.inf else s0)
+
+
+def test_taxa_are_tested_without_groups_in_python(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f, s, int(k)) for f in range(30) for s in range(8) if (k := rng.poisson(3 + f % 5))]
+    d = spark.createDataFrame(rows, "feature long, sample long, n long")
+    s = spark.createDataFrame([(i, float(i % 2), float(i // 4)) for i in range(8)], "sample long, c double, b double")
+    got = mx.differential_taxa(d, s, design=["c", "b"], term="c", least=3)
+    assert "FlatMapGroups" not in plan_of(got)
+    n = np.zeros((30, 8))
+    for f, i, k in rows:
+        n[f, i] = k
+    l = np.log(n[(n > 0).sum(axis=1) >= 3] + 0.5)
+    y = l - l.mean(axis=0)
+    want = np.linalg.lstsq(np.column_stack([np.ones(8), np.arange(8) % 2, np.arange(8) // 4]), y.T, rcond=None)[0][1]
+    assert [r.beta for r in got.orderBy("feature").collect()] == pytest.approx(want.tolist())

@@ -377,37 +377,61 @@ def qc_feature_filter(df: DataFrame, *, feature: str = "feature", value: str = "
     return j.select(feature, "detection", "qc_rsd", "d_ratio", F.coalesce(ok, F.lit(False)).alias("kept"))
 
 
-def loess_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.75) -> np.ndarray:
-    """Local quadratic fit with tricube weights over the nearest share of points."""
+def loess_weights(x: np.ndarray, at: np.ndarray, span: float = 0.75) -> np.ndarray:
+    """What each point at ``x`` adds to a local quadratic fit at each of ``at``, with tricube weights over the nearest share of points."""
     n = max(3, int(np.floor(span * len(x) + 1e-5)))
-    out = []
-    for a in at:
+    out = np.empty((len(at), len(x)))
+    for i, a in enumerate(at):
         d = np.abs(x - a)
         h = np.sort(d)[min(n, len(x)) - 1] * (1 if n <= len(x) else span) or 1.0
         w = np.sqrt(np.clip(1 - (d / h) ** 3, 0, None) ** 3)
         m = np.column_stack([np.ones(len(x)), x - a, (x - a) ** 2])
-        b, *_ = np.linalg.lstsq(m * w[:, None], y * w, rcond=None)
-        out.append(b[0])
-    return np.array(out)
+        out[i] = np.linalg.pinv(m * w[:, None], rcond=np.finfo(float).eps * max(m.shape))[0] * w
+    return out
 
 
 def drift_correct(df: DataFrame, *, feature: str = "feature", order: str = "order", value: str = "value", is_qc: str = "is_qc", span: float = 0.75) -> DataFrame:
-    """Values over the QC trend on injection order, times the QC median; fewer than 4 QCs leave a feature alone, and outside the QCs' range or at a trend of 0 or less the QC median stands for the trend."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values(order)
-        qc = d[d[is_qc] & d[value].notna()]
-        d["corrected"] = d[value]
-        if len(qc) >= 4:
-            x, mid = qc[order].to_numpy(float), float(qc[value].median())
-            at = d[order].to_numpy(float)
-            trend = loess_quadratic(x, qc[value].to_numpy(float), at, span)
-            trend = np.where((at < x.min()) | (at > x.max()) | (trend <= 0), mid, trend)
-            d["corrected"] = d[value] / trend * mid
-        return d[[feature, order, value, is_qc, "corrected"]]
-
-    s = df.select(feature, order, F.col(value).cast("double").alias(value), is_qc)
-    return s.groupBy(feature).applyInPandas(one, s.schema.simpleString()[7:-1] + ",corrected:double")
+    """Values over the QC trend on injection order, times the QC median; fewer than 4 QCs leave a feature alone, and outside the QCs' range or at a trend of 0 or less the QC median stands for the trend.
+
+    A trend is linear in the QC values: features measured at the same places
+    share the matrix that makes it, which is worked out once. A feature's rows
+    are one row of arrays.
+    """
+
+    kept: dict = {}  # one for each worker
+
+    def trend_of(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The matrix that takes QC values to trends, the same for features measured at the same places, and where there is none."""
+        key = x.tobytes(), at.tobytes()
+        if key not in kept:
+            if len(kept) >= 5_000:
+                kept.clear()
+            kept[key] = loess_weights(x, at, span), (at < x.min()) | (at > x.max())
+        return kept[key]
+
+    @F.pandas_udf("array<double>")
+    def corrected(at: pd.Series, values: pd.Series, qc: pd.Series) -> pd.Series:
+        out, alike = [None] * len(at), {}
+        for i, (a, v, q) in enumerate(zip(at, values, qc)):
+            a, v = np.asarray(a, float), np.asarray(v, float)
+            used = np.asarray(q, bool) & ~np.isnan(v)
+            out[i] = v
+            if used.sum() >= 4:
+                alike.setdefault((a.tobytes(), used.tobytes()), (a, used, []))[2].append(i)
+        for a, used, some in alike.values():
+            m, outside = trend_of(a[used], a)
+            v = np.stack([out[i] for i in some])
+            mid = np.median(v[:, used], axis=1)[:, None]
+            trend = v[:, used] @ m.T
+            v = v / np.where(outside | (trend <= 0), mid, trend) * mid
+            for i, x in zip(some, v):
+                out[i] = x
+        return pd.Series(out)
+
+    s = df.select(feature, order, F.col(value).cast("double").alias(value), F.coalesce(F.col(is_qc), F.lit(False)).alias(is_qc))
+    g = s.groupBy(feature).agg(F.sort_array(F.collect_list(F.struct(order, value, is_qc))).alias("_r"))
+    g = g.withColumn("_c", corrected(F.transform("_r", lambda r: r[order].cast("double")), F.col(f"_r.{value}"), F.col(f"_r.{is_qc}")))
+    return g.select(feature, F.explode(F.arrays_zip("_r", "_c")).alias("_z")).select(feature, "_z._r.*", F.nullif("_z._c", F.lit(float("nan"))).alias("corrected"))
 
 
 def pqn_normalize(df: DataFrame, *, feature: str = "feature", sample: str = "sample", value: str = "value", reference: Column | None = None) -> DataFrame:

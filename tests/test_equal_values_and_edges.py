@@ -110,3 +110,35 @@ def test_taxa_are_tested_without_groups_in_python(spark):
     y = l - l.mean(axis=0)
     want = np.linalg.lstsq(np.column_stack([np.ones(8), np.arange(8) % 2, np.arange(8) // 4]), y.T, rcond=None)[0][1]
     assert [r.beta for r in got.orderBy("feature").collect()] == pytest.approx(want.tolist())
+
+
+def test_drift_is_corrected_by_shared_matrices_and_equals_plain_fits(spark):
+    rng, rows = np.random.default_rng(7), []
+    for f in range(40):
+        for o in sorted(rng.choice(20, 12, replace=False).tolist()) if f % 3 else range(14):
+            rows.append((f, o, None if rng.random() < 0.1 else float(50 + 3 * o + rng.normal()), o % 2 == 0 or f % 8 == 0))
+    d = spark.createDataFrame(rows, "feature long, order int, value double, is_qc boolean").repartition(6)
+    got = mx.drift_correct(d)
+    assert "FlatMapGroups" not in plan_of(got) and got.dtypes == [*d.dtypes, ("corrected", "double")]
+    got = {(r.feature, r.order): r.corrected for r in got.collect()}
+    assert set(got) == {r[:2] for r in rows}
+    for f in range(40):
+        own = [r for r in rows if r[0] == f]
+        x, y = np.array([(r[1], r[2]) for r in own if r[3] and r[2] is not None], float).reshape(-1, 2).T
+        for _, o, v, _ in own:
+            if v is None:
+                assert got[f, o] is None
+                continue
+            trend = mid = np.median(y) if len(x) else 0
+            if len(x) < 4:
+                assert got[f, o] == v
+                continue
+            if x.min() <= o <= x.max():
+                dist = np.abs(x - o)
+                h = np.sort(dist)[max(3, int(0.75 * len(x))) - 1]
+                w = np.sqrt(np.clip(1 - (dist / h) ** 3, 0, None) ** 3)
+                m = np.column_stack([np.ones(len(x)), x - o, (x - o) ** 2])
+                trend = np.linalg.lstsq(m * w[:, None], y * w, rcond=None)[0][0]
+                trend = trend if trend > 0 else mid
+            assert got[f, o] == pytest.approx(v / trend * mid, rel=1e-6)
+

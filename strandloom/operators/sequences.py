@@ -7,6 +7,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -418,7 +419,69 @@ def transcript_to_genome(sites: DataFrame, exons: DataFrame) -> DataFrame:
     return g.select("site", "transcript", "contig", "strand", "blocks", (F.col("_c") == F.col("t_stop") - F.col("t_start")).alias("covered"))
 
 
-def tanimoto_pairs(a: DataFrame, b: DataFrame, *, threshold: float, key: str = "id", bits: str = "bits", own: bool = False) -> DataFrame:
+def _each_with_each(a: DataFrame, b: DataFrame, group: int) -> DataFrame:
+    """Every row of blocks ``a`` with every one of ``b``: a task holds at most about ``group`` rows of b and reads a's one by one, so nothing is written once more for each pair."""
+    na, nb = max(1, a.count()), max(1, b.count())
+    return a.repartition(min(na, 256)).hint("shuffle_replicate_nl").crossJoin(b.repartition(-(-nb // group)))
+
+
+def _ones(row: np.ndarray, column: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    m = np.zeros((rows, columns), np.float32)
+    m[row, column] = 1
+    return m
+
+
+def _block_hits(batches, threshold, own):
+    """Pairs at or above the threshold of rows (x, ids, n, s) by (y, ...): counts of shared bits as products of 0/1 matrices, 4,096 bits at a time."""
+    for batch in batches:
+        x, ids_a, n_a, s_a, y, ids_b, n_b, s_b = batch.columns
+        for k in range(batch.num_rows):
+            na, nb = (c[k].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in (n_a, n_b))
+            code = pc.dictionary_encode(pa.concat_arrays([s_a[k].values, s_b[k].values]), null_encoding="encode")
+            cut, code = len(s_a[k].values), code.indices.to_numpy()
+            kinds = int(code.max()) + 1 if len(code) else 0
+            both = (np.bincount(code[:cut], minlength=kinds) > 0) & (np.bincount(code[cut:], minlength=kinds) > 0)
+            number = np.cumsum(both) - 1
+            ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+            ka, kb = both[code[:cut]], both[code[cut:]]
+            ra, ca, rb, cb = ra[ka], number[code[:cut][ka]], rb[kb], number[code[cut:][kb]]
+            shared = np.zeros((len(na), len(nb)), np.float32)
+            for lo in range(0, int(both.sum()), 4096):
+                wide = min(4096, int(both.sum()) - lo)
+                ia, ib = ((c >= lo) & (c < lo + wide) for c in (ca, cb))
+                shared += _ones(ra[ia], ca[ia] - lo, len(na), wide) @ _ones(rb[ib], cb[ib] - lo, len(nb), wide).T
+            #: s / (a + b - s) >= t where s >= t / (1 + t) (a + b); a little below that in single precision, then exactly.
+            least = threshold / (1 + threshold) * (1 - 1e-5)
+            i, j = np.nonzero(shared >= (least * na - 1e-3).astype(np.float32)[:, None] + (least * nb).astype(np.float32)[None])
+            n = np.rint(shared[i, j]).astype(np.int32)
+            likeness = n / (na[i] + nb[j] - n)
+            hit = (n > 0) & (likeness >= threshold)
+            i, j, n, likeness = i[hit], j[hit], n[hit], likeness[hit]
+            u, v = ids_a[k].values.take(pa.array(i)), ids_b[k].values.take(pa.array(j))
+            if own:
+                up = pc.less(u, v)
+                turn = pc.greater(u, v) if x[k].as_py() != y[k].as_py() else pa.array(np.zeros(len(i), bool))
+                u, v = pc.if_else(turn, v, u), pc.if_else(turn, u, v)
+                keep = pc.or_(up, turn)
+                u, v, n, likeness = (c.filter(keep) for c in (u, v, pa.array(n), pa.array(likeness)))
+            yield pa.RecordBatch.from_arrays([u, v, pa.array(n), pa.array(likeness)], names=["id_a", "id_b", "shared", "similarity"])
+
+
+def _tanimoto_by_blocks(s: Scratch, da: DataFrame, db: DataFrame, threshold: float, own: bool, block: int) -> DataFrame:
+    def packed(d: DataFrame) -> DataFrame:
+        size = d.agg(F.count(F.lit(1)), F.sum("n")).first()
+        many = max(1, -(-size[0] // block), -(-(size[1] or 0) // 2_000_000))
+        g = d.where("id is not null").groupBy(F.pmod(F.xxhash64("id", "s"), F.lit(many)).alias("x")).agg(F.collect_list(F.struct("id", "n", "s")).alias("r"))  # of bounded blocks
+        return s.saved(g.select("x", F.col("r.id").alias("ids"), F.col("r.n").alias("n"), F.flatten("r.s").alias("s")), "blocks", stays=True)
+
+    a = packed(da)
+    b = (a if own else packed(db)).toDF("y", "ids_b", "n_b", "s_b")
+    c = _each_with_each(a, b, 8)
+    ka, kb = (d.schema["id"].dataType.simpleString() for d in (da, db))
+    return (c.where("x <= y") if own else c).mapInArrow(partial(_block_hits, threshold=threshold, own=own), f"id_a {ka}, id_b {kb}, shared int, similarity double")
+
+
+def tanimoto_pairs(a: DataFrame, b: DataFrame, *, threshold: float, key: str = "id", bits: str = "bits", own: bool = False, by_blocks: bool | None = None, block: int = 2048) -> DataFrame:
     """Pairs (id_a, id_b, shared, similarity) of bit sets at or above the threshold; ``own``: pairs within one table, each once.
 
     Sets are joined on the bits of a prefix, rarest bits first: sets that reach
@@ -426,6 +489,11 @@ def tanimoto_pairs(a: DataFrame, b: DataFrame, *, threshold: float, key: str = "
     can follow and precede the shared bit in both, bound the rest before pairs
     are made distinct; the similarity is computed from the arrays. Sets and
     prefixes are written once; within one table both sides read the same.
+
+    Where the prefixes would join to more rows than a 32nd of all pairs (few
+    bits, low thresholds), all pairs are compared instead, block by block of at
+    most about ``block`` sets: bounded memory, and no row for a pair below the
+    threshold. ``by_blocks`` fixes the choice; both give the same rows.
     """
     s = Scratch(a.sparkSession, "tanimoto")
 
@@ -438,12 +506,18 @@ def tanimoto_pairs(a: DataFrame, b: DataFrame, *, threshold: float, key: str = "
     rank = s.saved(both.groupBy("bit").agg(F.count(F.lit(1)).alias("_df")), "ranks")
 
     def prefixes(d: DataFrame) -> DataFrame:
-        e = d.select("id", "n", F.explode("s").alias("bit")).join(rank, "bit").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("_df", "bit")))
+        e = d.select("id", "n", F.xxhash64("s").alias("mark"), F.explode("s").alias("bit")).join(rank, "bit")  # the mark tells unlike sets of one id apart
+        e = e.withColumn("r", F.dense_rank().over(Window.partitionBy("id", "mark", "n").orderBy("_df", "bit")))
         return s.saved(e.where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("bit", "id", "n", "r"), "prefixes", stays=True)
 
     pa_ = prefixes(da)
     pb = pa_ if own else prefixes(db)
+    if by_blocks is None:
+        held = [p.groupBy("bit").agg(F.count(F.lit(1)).cast("double").alias(f"_{k}")) for k, p in enumerate((pa_, pb))]
+        by_blocks = 32 * (held[0].join(held[1], "bit").agg(F.sum(F.col("_0") * F.col("_1"))).first()[0] or 0.0) > float(da.count()) * db.count()
     s.close()
+    if by_blocks:
+        return _tanimoto_by_blocks(s, da, db, threshold, own, block)
     named = lambda d, x: d.select(*[F.col(c).alias(c if c == "bit" else f"{c}_{x}") for c in d.columns])
     na, nb, t = F.col("n_a"), F.col("n_b"), F.lit(threshold)
     reach = F.least("r_a", "r_b") + F.least(na - F.col("r_a"), nb - F.col("r_b"))

@@ -10,6 +10,7 @@ import pytest
 from strandloom.functions import tails
 from strandloom.operators import matrix as mx
 from strandloom.operators import proteins as pr
+from strandloom.operators import sequences as sq
 from strandloom.operators import variants as va
 from strandloom.plans import registry
 
@@ -142,3 +143,23 @@ def test_drift_is_corrected_by_shared_matrices_and_equals_plain_fits(spark):
                 trend = trend if trend > 0 else mid
             assert got[f, o] == pytest.approx(v / trend * mid, rel=1e-6)
 
+
+
+def sets_of(spark, rng, n, odd):
+    rows = [(f"k{i}", [f"b{j}" for j in rng.choice(30, int(rng.integers(0, 14)), replace=False)]) for i in range(n)]
+    rows += [("z1", [None, "b1", "b2"]), ("z2", [None, "b1", "b1"]), ("z3", []), (None, ["b1", "b2"]), ("z4", None), *([("k0", ["b3", "b4"])] if odd else [])]
+    return spark.createDataFrame(rows, "id string, bits array<string>").repartition(3)
+
+
+def test_pairs_by_blocks_equal_those_by_prefixes(spark):
+    rng = np.random.default_rng(8)
+    d, e = sets_of(spark, rng, 150, False), sets_of(spark, rng, 60, True)
+    for t in (0.2, 0.5, 1.0):
+        for run in (lambda **how: sq.similarity_pairs(d, threshold=t, **how), lambda **how: sq.tanimoto_search(e, d, threshold=t, **how)):  # noqa: B023
+            one, two = (sorted(tuple(r) for r in run(**how).collect()) for how in ({"by_blocks": False}, {"by_blocks": True, "block": 20}))
+            assert one == two and one
+    dense = sq.similarity_pairs(d, threshold=0.2)
+    assert "MapInArrow" in plan_of(dense) and sorted(tuple(r) for r in dense.collect()) == sorted(tuple(r) for r in sq.similarity_pairs(d, threshold=0.2, by_blocks=False).collect())
+    sparse = spark.createDataFrame([(i, [i, i + 1, 1000 + i, 2000 + i]) for i in range(300)], "id long, bits array<long>")
+    assert "MapInArrow" not in plan_of(sq.similarity_pairs(sparse, threshold=0.9))
+    assert sq.similarity_pairs(d.limit(0), threshold=0.5).count() == 0

@@ -163,3 +163,13 @@ def test_pairs_by_blocks_equal_those_by_prefixes(spark):
     sparse = spark.createDataFrame([(i, [i, i + 1, 1000 + i, 2000 + i]) for i in range(300)], "id long, bits array<long>")
     assert "MapInArrow" not in plan_of(sq.similarity_pairs(sparse, threshold=0.9))
     assert sq.similarity_pairs(d.limit(0), threshold=0.5).count() == 0
+
+
+def test_a_search_of_few_bits_makes_no_row_for_a_pair_below_the_threshold(spark):
+    rng = np.random.default_rng(10)
+    x = rng.random((200, 16)) < 0.4
+    d = spark.createDataFrame([(i, np.flatnonzero(r).tolist()) for i, r in enumerate(x)], "id long, bits array<int>")
+    found = sq.tanimoto_search(d.where("id % 10 = 0"), d, threshold=0.6)
+    assert "MapInArrow" in plan_of(found)
+    want = {(i, j) for i in range(0, 200, 10) for j in range(200) if (x[i] | x[j]).sum() and (x[i] & x[j]).sum() / (x[i] | x[j]).sum() >= 0.6}
+    assert {(r.id_a, r.id_b) for r in found.collect()} == want

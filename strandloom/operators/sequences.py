@@ -543,15 +543,18 @@ def similarity_pairs(library: DataFrame, *, threshold: float = 0.7, **how) -> Da
 def _butina_in_rounds(s: Scratch, near: DataFrame, ids: DataFrame, most_rounds: int = 1_000) -> DataFrame:
     """(id, cluster): a free id before all its free neighbours in the order is a centre, whose neighbours are free no more; each of them goes to its first centre in the order."""
     free, centres = ids, None
+    left = s.saved(near.join(ids.select("id", F.col("rank").alias("own")), "id").join(ids.select(F.col("id").alias("o"), "rank"), "o"), "open")
     for _ in range(most_rounds):
         if free.isEmpty():
             break
-        left = near.join(free.select("id", F.col("rank").alias("own")), "id").join(free.select(F.col("id").alias("o"), "rank"), "o")
         beaten = left.where("rank < own").select("id").distinct()
         now = s.saved(free.join(beaten, "id", "left_anti"), "centres")
         centres = now if centres is None else centres.unionByName(now)
-        gone = left.join(now.select(F.col("id").alias("o")), "o", "left_semi").select("id").unionByName(now.select("id")).distinct()
+        gone = s.saved(left.join(now.select(F.col("id").alias("o")), "o", "left_semi").select("id").unionByName(now.select("id")).distinct(), "gone")
         free = s.saved(free.join(gone, "id", "left_anti"), "free")
+        later = s.saved(left.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("o")), "o", "left_anti"), "open")  # links between free ids only
+        s.drop(left)
+        left = later
     else:
         raise RuntimeError("the clusters did not end")
     if centres is None:

@@ -10,6 +10,7 @@ from strandloom.operators import sequences as sq
 from strandloom.operators import splits as sl
 from strandloom.operators.components import components
 from strandloom.plans.core import Registry, bh, norm_two_sided
+from strandloom.scratch import Scratch
 
 R = Registry()
 
@@ -349,7 +350,7 @@ def tanimoto_search(v):
 @R.add()
 def butina_clusters(v):
     b = _bits(v)
-    p = sq.similarity_pairs(b, threshold=0.35)
+    p = Scratch(v.spark, "pairs").saved(sq.similarity_pairs(b, threshold=0.35), "pairs", stays=True)  # read several times
     return sq.butina_clusters(p, b, components(p, b))
 
 

@@ -173,3 +173,14 @@ def test_a_search_of_few_bits_makes_no_row_for_a_pair_below_the_threshold(spark)
     assert "MapInArrow" in plan_of(found)
     want = {(i, j) for i in range(0, 200, 10) for j in range(200) if (x[i] | x[j]).sum() and (x[i] & x[j]).sum() / (x[i] | x[j]).sum() >= 0.6}
     assert {(r.id_a, r.id_b) for r in found.collect()} == want
+
+
+def test_clusters_read_written_pairs(spark, tmp_path, monkeypatch):
+    from strandloom.plans import sequences as plans
+
+    rng = np.random.default_rng(11)
+    spark.createDataFrame([(i, rng.normal(0, 0.125, 64).tolist(), 0) for i in range(40)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen, run = [], sq.butina_clusters
+    monkeypatch.setattr(plans.sq, "butina_clusters", lambda p, *a, **how: seen.append(plan_of(p)) or run(p, *a, **how))
+    assert registry.QUERIES["butina_clusters"](spark, str(tmp_path)).count() == 40
+    assert "FileScan" in seen[0] and "Join" not in seen[0] and "MapInArrow" not in seen[0]

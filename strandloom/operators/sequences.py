@@ -611,36 +611,86 @@ def series_detect(df: DataFrame, *, group: str = "scaffold", least: int = 3) ->
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+def _nearest(batches, k):
+    """The k nearest of the reference rows that follow each other with one query block (x, keys, v), by distance, then label: (q, label, d).
+
+    A product in single precision leaves what may be nearer than the k-th so
+    far; distances of those are in double precision.
+    """
+    block, names, rank = None, {}, np.zeros(0, int)
+
+    def done():
+        at = np.flatnonzero(np.isfinite(best))
+        order = list(names)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()).take(pa.array(at // k)), pa.array([order[c] for c in code[at]], pa.string()), pa.array(best[at])], names=["q", "label", "d"])
+
+    for batch in batches:
+        x, q_keys, q_v, _, labels, m_v = batch.columns
+        for r in range(batch.num_rows):
+            if x[r].as_py() != block:
+                if block is not None:
+                    yield done()
+                block, keys = x[r].as_py(), q_keys[r].as_py()
+                q = q_v[r].values.to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
+                best, code, own = np.full(len(keys) * k, np.inf), np.zeros(len(keys) * k, int), (q * q).sum(axis=1)
+            some = labels[r].as_py()
+            m = m_v[r].values.to_numpy(zero_copy_only=False).astype(float).reshape(len(some), -1)
+            before = len(names)
+            here = np.array([names.setdefault(name, len(names)) for name in some], int)
+            if len(names) > before:  # null before all others, as in Spark
+                rank = np.empty(len(names), int)
+                rank[[names[name] for name in sorted(names, key=lambda name: (name is not None, name or ""))]] = np.arange(len(names))
+            far = (m * m).sum(axis=1)
+            rest = q.astype(np.float32) @ (-2 * m.T).astype(np.float32)
+            rest += far.astype(np.float32)
+            slack = 1e-6 * (16 + q.shape[1]) * (own + far.max())
+            last = best.reshape(-1, k)[:, -1] ** 2 - own
+            if len(some) >= k:
+                fresh = ~np.isfinite(last)
+                if fresh.any():
+                    last[fresh] = np.partition(rest[fresh], k - 1, axis=1)[:, k - 1] + slack[fresh]
+            i, j = np.nonzero(rest <= (last + slack).astype(np.float32)[:, None])
+            d = np.concatenate([np.sqrt(((q[i[t : t + 100_000]] - m[j[t : t + 100_000]]) ** 2).sum(axis=1)) for t in range(0, len(i), 100_000)] or [np.zeros(0)])
+            if not np.isfinite(d).all() or not np.isfinite(rest).all():
+                raise ValueError("vectors hold values that are not finite")
+            touched = np.unique(i)
+            kept = (touched[:, None] * k + np.arange(k)).ravel()
+            who, dist, what = np.concatenate([np.repeat(touched, k), i]), np.concatenate([best[kept], d]), np.concatenate([code[kept], here[j]])
+            order = np.lexsort((rank[what], dist, who))
+            who, dist, what = who[order], dist[order], what[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            first = place < k
+            best[who[first] * k + place[first]], code[who[first] * k + place[first]] = dist[first], what[first]
+    if block is not None:
+        yield done()
+
+
 def knn_label_transfer(reference: DataFrame, query: DataFrame, *, k: int = 15, gate: float = 0.99, key: str = "id", vector: str = "embedding", label: str = "label", block: int = 2048) -> DataFrame:
     """Label of most of the k nearest reference vectors, its vote share and the mean distance; Unknown above the gate (a quantile of the reference's own mean distances, itself included).
 
-    The reference is cut into blocks of bounded size; each query batch meets
-    each block in a task, which keeps k candidates, and a window merges them.
+    Both are cut into blocks of bounded size and written once. A task takes a
+    block of queries through the reference blocks it holds and keeps the k best
+    of each query (by distance, then label), so few rows are shuffled; a window
+    merges them.
     """
-    r = reference.select(key, F.col(label).cast("string").alias("label"), vector).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(max(1, -(-reference.count() // block)))))
-    g = r.groupBy("_b").agg(F.collect_list(F.struct("label", vector)).alias("ref"))
-    spec = "q string, label string, d double"
-
-    def near(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                m = np.array([x[vector] for x in row.ref], float)
-                names = [x["label"] for x in row.ref]
-                qs = np.array([x[vector] for x in row.queries], float)
-                d = np.sqrt(np.maximum(0, (qs**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * qs @ m.T))
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                out = [(row.queries[i]["k"], names[j], float(d[i, j])) for i in range(len(qs)) for j in top[i]]
-                yield pd.DataFrame(out, columns=["q", "label", "d"])
-
-    def mean_of(t: DataFrame) -> DataFrame:
-        q = t.select(F.col(key).cast("string").alias("k"), vector).withColumn("_g", F.pmod(F.xxhash64("k"), F.lit(max(1, -(-t.count() // block)))))
-        q = q.groupBy("_g").agg(F.collect_list(F.struct("k", vector)).alias("queries"))
-        c = q.crossJoin(g).mapInPandas(near, spec)  # query blocks by reference blocks
+    s = Scratch(reference.sparkSession, "neighbours")
+
+    def packed(t: DataFrame, name: str, own: Column, names: list[str]) -> DataFrame:
+        many = max(1, -(-t.count() // block))
+        g = t.groupBy(F.pmod(F.xxhash64(key), F.lit(many)).alias(names[0])).agg(F.collect_list(F.struct(own.alias("o"), F.col(vector).alias("v"))).alias("r"))  # of bounded blocks
+        return s.saved(g.select(names[0], F.col("r.o").alias(names[1]), F.flatten("r.v").alias(names[2])), name, stays=True)
+
+    ref = packed(reference, "reference", F.col(label).cast("string"), ["y", "labels", "m"])
+
+    def means(t: DataFrame, name: str) -> DataFrame:
+        """The k nearest of each row, as (q, label, d)."""
+        c = _each_with_each(packed(t, name, F.col(key).cast("string"), ["x", "keys", "v"]), ref, 64)
+        c = c.mapInArrow(partial(_nearest, k=k), "q string, label string, d double")
         w = Window.partitionBy("q").orderBy("d", "label")
-        return c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+        return s.saved(c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r"), f"{name}_near", stays=True)
 
-    limit = quantiles(mean_of(reference).groupBy("q").agg(F.avg("d").alias("m")), "m", [gate])[0]
-    n = mean_of(query)
+    limit = quantiles(means(reference, "own").groupBy("q").agg(F.avg("d").alias("m")), "m", [gate])[0]
+    n = means(query, "queries")
     v = n.groupBy("q", "label").agg(F.count(F.lit(1)).alias("votes")).groupBy("q").agg(F.min(F.struct((-F.col("votes")).alias("v"), "label")).alias("_b"), F.sum("votes").alias("_n"))
     out = v.join(n.groupBy("q").agg(F.avg("d").alias("distance")), "q")
     return out.select(F.col("q").alias(key), F.when(F.col("distance") > limit, "Unknown").otherwise(F.col("_b.label")).alias("label"), (-F.col("_b.v") / F.col("_n")).alias("vote_share"), "distance")

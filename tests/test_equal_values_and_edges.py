@@ -184,3 +184,37 @@ def test_clusters_read_written_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(plans.sq, "butina_clusters", lambda p, *a, **how: seen.append(plan_of(p)) or run(p, *a, **how))
     assert registry.QUERIES["butina_clusters"](spark, str(tmp_path)).count() == 40
     assert "FileScan" in seen[0] and "Join" not in seen[0] and "MapInArrow" not in seen[0]
+
+
+def test_neighbours_by_small_blocks_equal_plain_ones(spark):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=(90, 5)), np.repeat(rng.normal(size=(2, 5)), 20, axis=0)]).round(3)
+    names = [None if i % 11 == 0 else "abc"[i % 3] for i in range(len(x))]
+    d = spark.createDataFrame([(i, v.tolist(), n) for i, (v, n) in enumerate(zip(x, names))], "id long, embedding array<double>, label string").repartition(4)
+    ref, query = d.where("id % 4 <> 0"), d.where("id % 4 = 0")
+    rows = [i for i in range(len(x)) if i % 4]
+
+    def near(i):
+        return sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), names[j] is not None, names[j] or "") for j in rows)[:7]
+
+    gate = np.quantile([np.mean([t[0] for t in near(i)]) for i in rows], 0.9)
+    for block in (9, 2048):
+        for r in sq.knn_label_transfer(ref, query, k=7, gate=0.9, block=block).collect():
+            t = near(int(r.id))
+            votes = [n if some else None for _, some, n in t]
+            best = min((-votes.count(n), n is not None, n or "") for n in set(votes))
+            mean = np.mean([u[0] for u in t])
+            assert r.distance == pytest.approx(mean) and r.vote_share == pytest.approx(-best[0] / 7)
+            assert r.label == ("Unknown" if mean > gate else best[2] if best[1] else None)
+
+
+def test_a_task_keeps_k_neighbours_over_all_blocks_it_reads():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    q, m = rng.normal(size=(6, 4)), rng.normal(size=(5, 30, 4))
+    rows = [(0, [f"q{i}" for i in range(6)], q.ravel().tolist(), y, ["a"] * 30, m[y].ravel().tolist()) for y in range(5)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=list("xkvylm"))]
+    got = [r for b in sq._nearest(batches, 3) for r in b.to_pylist()]
+    want = np.sort(np.linalg.norm(q[:, None] - m.reshape(-1, 4)[None], axis=2), axis=1)[:, :3]
+    assert len(got) == 18 and np.allclose([r["d"] for r in got], want.ravel())

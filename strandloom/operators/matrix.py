@@ -536,14 +536,41 @@ def beta_diversity(df: DataFrame, *, feature: str = "feature", sample: str = "sa
     return pairs.join(m, ["sample_a", "sample_b"], "left").select("sample_a", "sample_b", (1 - 2 * F.coalesce("_m", F.lit(0)) / (F.col("_ta") + F.col("_tb"))).alias("bray_curtis"))
 
 
+#: log x! less (x + 1/2) log x - x + log(2 pi) / 2, for x from 1 to 9; above that four terms of its series are exact to 1e-12.
+_STIRLING_REST = [math.lgamma(x + 1) - ((x + 0.5) * math.log(x) - x + 0.5 * math.log(2 * math.pi)) for x in range(1, 10)]
+
+
+def log_never_drawn(total: Column, n: Column, depth: Column) -> Column:
+    """log(C(total - n, depth) / C(total, depth)) for n + depth <= total.
+
+    Logarithms of four factorials near total log total would leave its last
+    digits; here each is taken relative to the total, so what cancels is of the
+    size of n and depth.
+    """
+    t = total.cast("double")
+
+    def rest(x: Column) -> Column:
+        y = 1 / x
+        few = F.element_at(F.array(*[F.lit(c) for c in _STIRLING_REST]), F.least(x, F.lit(9.0)).cast("int"))
+        return F.when(x < 10, few).otherwise(y / 12 - F.pow(y, 3) / 360 + F.pow(y, 5) / 1260 - F.pow(y, 7) / 1680)
+
+    def part(out: Column) -> tuple[Column, Column]:
+        """max(total - out, 1), whose factorial is the same, and (that + 1/2) log(that / total) + rest."""
+        x = F.greatest(t - out, F.lit(1.0))
+        return x, (x + 0.5) * F.when(2 * out < t, F.log1p(-out / t)).otherwise(F.log(x / t)) + rest(x)
+
+    x, y, z = (part(c.cast("double")) for c in (n, depth, n + depth))
+    return x[1] + y[1] - z[1] - rest(t) + (x[0] + y[0] - z[0] - t) * (F.log(t) - 1)
+
+
 def rarefaction_curve(df: DataFrame, depths: list[int], *, sample: str = "sample", value: str = "n") -> DataFrame:
-    """Expected features at each depth that a sample reaches: sum(1 - C(N - n, d) / C(N, d))."""
+    """Expected features at each depth that a sample reaches: sum(1 - C(N - n, d) / C(N, d)), once for each distinct n of a sample."""
     d = df.where(F.col(value) > 0)
-    d = d.join(d.groupBy(sample).agg(F.sum(value).alias("_n")), sample).withColumn("depth", F.explode(F.array(*[F.lit(x) for x in depths]))).where(F.col("depth") <= F.col("_n"))
-    lg = lambda c: tails.log_gamma(c.cast("double") + 1)
-    rest = F.col("_n") - F.col(value)
-    gone = F.when(rest >= F.col("depth"), F.exp(lg(rest) - lg(F.greatest(rest - F.col("depth"), F.lit(0))) - lg(F.col("_n")) + lg(F.col("_n") - F.col("depth")))).otherwise(0.0)
-    return d.groupBy(sample, "depth").agg(F.sum(1 - gone).alias("expected"))
+    totals = d.groupBy(sample).agg(F.sum(value).alias("_n"))
+    d = d.groupBy(sample, value).agg(F.count(F.lit(1)).alias("_k"))
+    d = d.join(totals, sample).withColumn("depth", F.explode(F.array(*[F.lit(x) for x in depths]))).where(F.col("depth") <= F.col("_n"))
+    seen = F.when(F.col("_n") - F.col(value) >= F.col("depth"), -F.expm1(log_never_drawn(F.col("_n"), F.col(value), F.col("depth")))).otherwise(1.0)
+    return d.groupBy(sample, "depth").agg(F.sum(F.col("_k") * seen).alias("expected"))
 
 
 def pick_depth(totals: DataFrame, curve: DataFrame, *, sample: str = "sample", kept: float = 0.85, gain: float = 0.01) -> DataFrame:

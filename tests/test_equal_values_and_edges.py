@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.functions import tails
 from strandloom.operators import matrix as mx
@@ -218,3 +219,24 @@ def test_a_task_keeps_k_neighbours_over_all_blocks_it_reads():
     got = [r for b in sq._nearest(batches, 3) for r in b.to_pylist()]
     want = np.sort(np.linalg.norm(q[:, None] - m.reshape(-1, 4)[None], axis=2), axis=1)[:, :3]
     assert len(got) == 18 and np.allclose([r["d"] for r in got], want.ravel())
+
+
+def test_rarefaction_of_large_samples_equals_exact_products(spark):
+    cases = [(1, 0), (5, 3), (50_000_000, 60), (50_000_000, 1), (40, 12), (1_000, 990), (7, 7)]  # the feature's own count is the second, others make up the total
+    rows = [r for k, (total, n) in enumerate(cases) for r in ([(k, n)] if n else []) + ([(k, total - n)] if total > n else [])]
+    depths = [1, 5, 10, 1_000, 100_000]
+    got = {(r.sample, r.depth): r.expected for r in mx.rarefaction_curve(spark.createDataFrame(rows, "sample int, n long"), depths).collect()}
+
+    def seen(total, n, d):
+        if total - n < d:
+            return 1.0
+        k, m = min(n, d), max(n, d)
+        return -math.expm1(math.fsum(math.log1p(-m / (total - i)) if m < total - i else -math.inf for i in range(k)))
+
+    for k, (total, n) in enumerate(cases):
+        for d in depths:
+            assert ((k, d) in got) == (d <= total)
+            if d <= total:
+                assert got[k, d] == pytest.approx(sum(seen(total, x, d) for x in (n, total - n) if x), rel=1e-9)
+    many = spark.range(200_000).select(F.lit(0).alias("sample"), F.lit(250).cast("long").alias("n"))
+    assert mx.rarefaction_curve(many, [1000]).first().expected == pytest.approx(200_000 * seen(50_000_000, 250, 1000), abs=1e-5)

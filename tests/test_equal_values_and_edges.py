@@ -240,3 +240,14 @@ def test_rarefaction_of_large_samples_equals_exact_products(spark):
                 assert got[k, d] == pytest.approx(sum(seen(total, x, d) for x in (n, total - n) if x), rel=1e-9)
     many = spark.range(200_000).select(F.lit(0).alias("sample"), F.lit(250).cast("long").alias("n"))
     assert mx.rarefaction_curve(many, [1000]).first().expected == pytest.approx(200_000 * seen(50_000_000, 250, 1000), abs=1e-5)
+
+
+def test_blocks_of_a_large_family_meet_once_without_copies_in_a_shuffle(spark):
+    from strandloom.llm import shingle_join as sj
+
+    b = lambda rows: spark.createDataFrame([(f, x, [x], [b"12345678"]) for f, x in rows], "family long, x long, ids array<long>, tokens array<binary>")
+    rests, tops = b([(1, 0), (1, 1), (1, 2), (2, 0)]), b([(1, -1), (1, -2), (3, -1)])
+    met = sj._met(rests, rests.unionByName(tops))
+    assert "CartesianProduct" in plan_of(met)
+    got = sorted((r.x, r.y) for r in met.collect())
+    assert got == sorted([(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2), *[(x, y) for x in (0, 1, 2) for y in (-1, -2)], (0, 0)])
